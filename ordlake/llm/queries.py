@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mpeg_audio
+from . import byte_bpe, exact_dedup, license_scan, mpeg_audio, pii
 from .common import tables
 
 
@@ -39,3 +39,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op6_mpeg_audio": op6_mpeg_audio, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    x = lambda name: F.col(f"licence.{name}")
+    return found.select("doc_id", x("n_words"), x("places").alias("n_base"), x("first_word"), x("last_word"), x("base_labels"), x("labels"), x("score"))
+
+
+def _is(kind: str):
+    return lambda s: F.when(s["kind"] == kind, 1)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(tables(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.array_compact(F.transform(base, _is(k)))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+QUERIES |= {"op1_license_scan": op1_license_scan, "op2_pii": op2_pii}
