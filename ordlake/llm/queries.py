@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, license_scan, mpeg_audio, pii
+from . import byte_bpe, exact_dedup, license_scan, mpeg_audio, pii, toxicity
 from .common import tables
 
 
@@ -59,3 +59,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_license_scan": op1_license_scan, "op2_pii": op2_pii}
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, tables(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).drop("text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    x = F.col("toxicity.score")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), x.alias("score"), (x >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("toxicity.worst").alias("worst_sentence"), F.col("toxicity.offending").alias("offending"))
+
+
+QUERIES |= {"op9_toxicity": op9_toxicity}
