@@ -1,43 +1,51 @@
 """Operator 10: byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task gathers the distinct words (matches of the split pattern) of a block of documents and replays the merges
-over all of them together: an inverted index leads from a pair of tokens to the words and places where it stands;
-pairs are taken in rank order, each merge is applied at all its places at once, and only the neighbours of a merged
-place get new index entries. Documents are then looked up word by word. Words already replayed by the same task are
-kept in a bounded cache. Nothing is shuffled, so hot keys and groups of copies have no effect.
-
-Defined results: a null text is the empty one and has no tokens; decoding gives back the text's UTF-8 bytes; ids
-that are null decode to no bytes; rows, order and other columns are untouched.
+Each task gathers the distinct words (matches of the split pattern) of a batch of documents and replays the merges
+over all of them together: an inverted index leads from the rank of a token pair to the places where that pair
+stands; ranks are taken in order, a merge is applied at all its places at once, and only the pairs beside a merged
+place are indexed anew. Documents are put together from their words' tokens. Nothing is shuffled, so hot keys and
+groups of copies have no effect, and a batch of Arrow rows bounds the memory.
+
+Defined results: a null text is the empty one and has no tokens; decoding gives back the text's UTF-8 bytes; null
+ids decode to no bytes; rows, order and other columns are untouched.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of documents whose words are replayed together, and words kept by a task.
-BLOCK_CHARS, CACHE_WORDS = 1 << 24, 1 << 18
+#: Words that are put together at a time.
+PIECE = 1 << 20
 _loaded: dict = {}
 
 
 class Vocabulary:
-    """Ranks of a tiktoken file: token bytes to id, in merge order."""
+    """Ranks of a tiktoken file, and the token that every pair of tokens makes."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
-            self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = [b""] * (max(self.ids.values()) + 1)
-        for token, i in self.ids.items():
+            ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.tokens = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
             self.tokens[i] = token
-        self.merged: dict[tuple[int, int], int | None] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.decimal = [b"%d" % i for i in range(len(self.tokens))]
+        self.single = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int32)
+        pairs = {}
+        for token, i in ids.items():
+            for k in range(1, len(token)):
+                a, b = ids.get(token[:k]), ids.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = i
+        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.made = np.array([pairs[x] for x in self.pairs.tolist()], dtype=np.int32)
 
     @classmethod
     def at(cls, path: str) -> Vocabulary:
@@ -45,121 +53,128 @@ class Vocabulary:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def merge_of(self, a: int, b: int) -> int | None:
-        """The token that the pair (a, b) makes; its id is its rank."""
-        if (a, b) not in self.merged:
-            if len(self.merged) > 1 << 20:
-                self.merged.clear()
-            self.merged[a, b] = self.ids.get(self.tokens[a] + self.tokens[b])
-        return self.merged[a, b]
-
-
-def replay(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[int, ...]]:
-    """Token ids of every word, by applying the merges to all words in rank order."""
-    words = list(words)
-    ids = v.ids
-    single = [ids[bytes([b])] for b in range(256)]
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    token: list[int] = [single[b] for w in raw for b in w]
-    ends = np.cumsum([len(w) for w in raw]).tolist()
-    n = len(token)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    start = 0
-    for end in ends:  # words don't touch each other
-        if end > start:
-            before[start], after[end - 1] = -1, -1
-        start = end
-    places: dict[tuple[int, int], list[int]] = {}
-    queue: list[tuple[int, int, int]] = []
-    for i in range(n):
-        if after[i] >= 0:
-            pair = (token[i], token[i + 1])
-            if pair in places:
-                places[pair].append(i)
-            elif (m := v.merge_of(*pair)) is not None:
-                places[pair] = [i]
-                queue.append((m, *pair))
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that each pair makes, which is its rank; -1 for none."""
+        code = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == code) & (a >= 0) & (b >= 0), self.made[at], -1)
+
+
+def _by_rank(ranks: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    own = ranks >= 0
+    ranks, places = ranks[own], places[own]
+    if len(ranks):
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        yield from zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts), strict=True)
+
+
+def replay(data: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all words in order, end of each word's tokens) for words given as bytes and their ends."""
+    n = len(data)
+    token = np.append(v.single[data], -1).astype(np.int32)  # place n stands for no neighbour
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[n] = n
+    starts = np.concatenate([[0], ends[:-1]])[ends > np.concatenate([[0], ends[:-1]])]
+    before[starts], after[ends[ends > 0] - 1] = n, n
+    rank = np.append(v.ranks(token[:n], token[after[:n]]), -1)
+    index = {r: [places] for r, places in _by_rank(rank[:n], np.arange(n))}
+    queue = list(index)
     heapify(queue)
-
-    def index(a: int, b: int, at: int) -> None:
-        if (own := places.get((a, b))) is not None:
-            own.append(at)
-        elif (m := v.merge_of(a, b)) is not None:
-            places[a, b] = [at]
-            heappush(queue, (m, a, b))
-
+    taken = np.zeros(n + 1, dtype=bool)
     while queue:
-        m, a, b = heappop(queue)
-        for i in sorted(places.pop((a, b))):
-            j = after[i]
-            if token[i] != a or j < 0 or token[j] != b:
-                continue  # an earlier merge took one of them
-            token[i], token[j] = m, -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                index(m, token[k], i)
-            if (h := before[i]) >= 0:
-                index(token[h], m, h)
-    out, start = {}, 0
-    for w, end in zip(words, ends, strict=True):
-        out[w] = tuple([t for t in token[start:end] if t >= 0])
-        start = end
-    return out
-
-
-def encode_texts(texts: list[str], v: Vocabulary, pattern: regex.Pattern) -> Iterator[list[int]]:
-    """Token ids of each text; the words of a block of texts are replayed together."""
-    at = 0
-    while at < len(texts):
-        block, size = [], 0
-        while at < len(texts) and (not block or size + len(texts[at]) <= BLOCK_CHARS):
-            block.append(pattern.findall(texts[at]))
-            size += len(texts[at])
-            at += 1
-        new = set().union(*block).difference(v.cache)
-        if len(v.cache) + len(new) > CACHE_WORDS:
-            v.cache.clear()
-            new = set().union(*block)
-        v.cache.update(replay(new, v))
-        known = v.cache
-        for words in block:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            yield ids
+        m = heappop(queue)
+        found = index.pop(m)
+        left = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        left = left[rank[left] == m]
+        if not len(left):
+            continue
+        taken[left] = True
+        if taken[after[left]].any():  # a run such as aaa: from the left, each place is in one merge at most
+            for i in left.tolist():
+                if taken[i]:
+                    taken[after[i]] = False
+            left = left[taken[left]]
+        taken[left] = False
+        right = after[left]
+        token[left], token[right], rank[right] = m, -1, -1
+        after[left] = after[right]
+        before[after[left]] = left
+        before[n] = n
+        beside = np.concatenate([left, before[left]])
+        beside = beside[beside < n]
+        rank[beside] = v.ranks(token[beside], token[after[beside]])
+        for r, places in _by_rank(rank[beside], beside):
+            if r in index:
+                index[r].append(places)
+            else:
+                index[r] = [places]
+                heappush(queue, r)
+    alive = token[:n] >= 0
+    return token[:n][alive], np.concatenate([[0], np.cumsum(alive)])[ends]
+
+
+def encode_words(words: pa.ListArray, v: Vocabulary) -> pa.ListArray:
+    """Token ids of every document, given as its words."""
+    flat = words.flatten().dictionary_encode()
+    distinct = flat.dictionary.cast(pa.large_binary())
+    offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+    data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    tokens, ends = replay(data, offsets[1:] - offsets[0], v)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    size = ends - starts
+    word = flat.indices.to_numpy()
+    out = []
+    for i in range(0, len(word), PIECE):
+        own = word[i : i + PIECE]
+        n = size[own]
+        first = np.cumsum(n) - n
+        out.append(tokens[np.repeat(starts[own] - first, n) + np.arange(n.sum())])
+    total = np.concatenate([[0], np.cumsum(size[word])])
+    bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ids = np.concatenate(out) if out else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def split_words(text: Column, pattern: str) -> Column:
+    """Matches of the split pattern; Unicode classes as in the pattern's own library."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), 0)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """docs with an array of token ids; vocabulary is the path of a rank file on every machine."""
-    compiled = regex.compile(pattern)
 
-    @F.pandas_udf("array<int>")
-    def run(text: pd.Series) -> pd.Series:
-        v = Vocabulary.at(vocabulary)
-        return pd.Series([np.array(x, dtype=np.int32) for x in encode_texts([t or "" for t in text], v, compiled)], dtype=object)
+    def run(words: pa.Array) -> pa.Array:
+        return encode_words(words, Vocabulary.at(vocabulary))
 
-    return docs.withColumn(out_col, run(F.col(text_col)))
+    return docs.withColumn(out_col, F.arrow_udf(run, "array<int>")(split_words(F.col(text_col), pattern)))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """docs with the bytes that the token ids stand for."""
 
-    @F.pandas_udf("binary")
-    def run(ids: pd.Series) -> pd.Series:
-        tokens = Vocabulary.at(vocabulary).tokens
-        return ids.map(lambda x: b"" if x is None else b"".join([tokens[i] for i in x]))
+    def run(ids: pa.Array) -> pa.Array:
+        token = Vocabulary.at(vocabulary).tokens.__getitem__
+        return pa.array([b"".join(map(token, x)) for x in _rows(ids)], pa.binary())
 
-    return docs.withColumn(out_col, run(F.col(ids_col)))
+    return docs.withColumn(out_col, F.arrow_udf(run, "binary")(F.col(ids_col)))
 
 
-def ids_sha256(ids: Column) -> Column:
-    """SHA-256 of the decimal ids joined by one space."""
+def _rows(ids: pa.ListArray) -> Iterator[list[int]]:
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    start = 0
+    for end in ends:
+        yield flat[start:end].tolist()
+        start = end
 
-    @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        import hashlib
 
-        return ids.map(lambda x: hashlib.sha256(b" ".join([b"%d" % i for i in ([] if x is None else x.tolist())])).hexdigest())
+def ids_sha256(ids: Column, vocabulary: str) -> Column:
+    """SHA-256 of the decimal ids joined by one space."""
+
+    def run(ids: pa.Array) -> pa.Array:
+        decimal = Vocabulary.at(vocabulary).decimal.__getitem__
+        return pa.array([hashlib.sha256(b" ".join(map(decimal, x))).hexdigest() for x in _rows(ids)])
 
-    return run(ids)
+    return F.arrow_udf(run, "string")(ids)
