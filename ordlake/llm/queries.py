@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, license_scan, mpeg_audio, pii, toxicity
+from . import byte_bpe, exact_dedup, license_scan, minhash, mpeg_audio, pii, sentence_dedup, toxicity
 from .common import tables
 
 
@@ -34,7 +34,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("token_ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("token_ids"), path).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op6_mpeg_audio": op6_mpeg_audio, "op10_byte_bpe": op10_byte_bpe}
@@ -71,3 +71,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_toxicity": op9_toxicity}
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(tables(spark, sf_dir, "documents")).drop("row")
+
+
+def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.remove_repeated_spans(tables(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op3_minhash": op3_minhash, "op7_sentence_dedup": op7_sentence_dedup}
