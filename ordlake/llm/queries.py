@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, license_scan, minhash, mpeg_audio, pii, sentence_dedup, toxicity
+from . import byte_bpe, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, toxicity
 from .common import tables
 
 
@@ -82,3 +82,12 @@ def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_minhash": op3_minhash, "op7_sentence_dedup": op7_sentence_dedup}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(tables(spark, sf_dir, "documents"))
+    cell = lambda i: F.element_at("mix.cell", i)
+    return mixed.select("doc_id", cell(1).alias("source"), cell(2).alias("lang"), cell(3).alias("topic"), "mix.tokens", "mix.weight", "mix.probability", "mix.selected")
+
+
+QUERIES |= {"op5_mixing": op5_mixing}
