@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, toxicity
+from . import byte_bpe, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, suffix_dedup, toxicity
 from .common import tables
 
 
@@ -91,3 +91,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_mixing": op5_mixing}
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(tables(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES |= {"op8_suffix_dedup": op8_suffix_dedup}
