@@ -1 +1,7 @@
-"""See the package README for what lives here."""
+"""Registered queries over the standard tables, and the SQL that each must equal."""
+
+from . import pricing, reads
+
+_MODULES = (pricing, reads)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

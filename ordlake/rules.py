@@ -1,0 +1,40 @@
+"""Fixed values of the domain: categories, keyword lists, thresholds and codes. Data, not logic."""
+
+from __future__ import annotations
+
+# Tax, rounding and order rules.
+VAT_RATE = "0.22"
+MINIMUM_ORDER_CODE = "базовая_стоимость"
+SAMPLE_PREP_CODE = "базовая_подготовка_образцов"
+
+# Order of price categories; any other category comes last.
+CATEGORY_ORDER = ["Административная работа", "Подготовка к испытаниям", "Конструкция", "Физико-механические параметры", "Электрические параметры НЧ", "Электрические параметры ВЧ", "Оптические параметры", "Механические воздействия", "Внешние воздействующие факторы", "Пожарная безопасность"]
+
+# Words in a test's name that decide how it is priced.
+PER_GROUP_WORDS = ["емкост", "индуктивн", "затухан", "волнов"]
+PER_CORE_WORDS = ["сопротивлен"]
+PER_GROUP_RESISTANCE_WORDS = ["связи", "экранирован", "излучен"]
+FIXED_RATE_PAIRS = [("сопротивлен", "связ"), ("затухан", "экранир"), ("затухан", "излучен")]
+FIXED_RATE_CODES = ["измерение_сопротивления_связи", "измерение_затухания_экранирования", "измерение_затухания_излучения"]
+CLIMATIC_WORDS = ["пониженной температуре", "повышенной температуре", "изменению температур", "повышенной влажности", "солнечной радиации"]
+CLIMATIC_CONTEXT = ("внешние воздействующие", "стойкость", "выдержка")
+RULE_LABELS = {"fixed": "фикс", "per_core": "× жилы", "per_group": "× скрутка", "time_based": "⏱ часы"}
+WIRE_PREFIXES = ["ПВ", "ПГВ", "АПВ", "ПРГА", "ПРВ", "РКГМ", "ПУГВ", "ПУГП"]
+
+# Kinds of tests by words in a document, in order; the last is the default.
+TEST_TYPES = [("мси", ["мси", "межлаборатор", "сравнительн"]), ("сертификационные", ["сертификац"]), ("приемосдаточные", ["приемо-сдаточ", "приёмо-сдаточ", "приемосдаточ", "приёмосдаточ", "пс испытан"]), ("контрольные", ["контрольн"]), ("исследовательские", ["исследовательск"]), ("периодические", ["периодич"])]
+DEFAULT_TEST_TYPE = "периодические"
+
+# Words without meaning in names of tests.
+STOP_WORDS = ["к", "и", "на", "в", "по", "при", "с", "от", "до", "для", "или", "из", "ок", "ов", "кабеля", "кабелей", "образцов", "образца", "воздействию", "воздействие", "испытание", "испытания", "проверка", "проверки", "определение", "измерение", "прочность", "стойкость", "угол", "время", "условиях", "условия", "окружающей", "среды", "воздуха", "температуре", "температур", "температуры"]
+
+#: Name matching by shared words: least score, least shared words, and the score that needs no second word.
+JACCARD_MIN, SHARED_MIN, JACCARD_ALONE = 0.42, 2, 0.55
+#: Fuzzy matching of designations and organisations.
+MARK_MIN, MARK_STRICT, ORG_MIN, ORG_CONTAINED, BRAND_MIN = 0.72, 0.86, 0.82, 0.88, 0.82
+#: Aliases shorter than this are matched exactly only.
+ALIAS_CONTAINED_MIN = 4
+#: Two snapshots differ in quality beyond this margin.
+QUALITY_MARGIN = 0.02
+#: A text layer with fewer Cyrillic letters than this share, on a page with pictures, is a scan.
+CYRILLIC_MIN = 0.2
