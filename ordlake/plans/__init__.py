@@ -1,7 +1,7 @@
 """Registered queries over the standard tables, and the SQL that each must equal."""
 
-from . import pricing, reads
+from . import changes, matching, measures, pricing, reads, texts
 
-_MODULES = (pricing, reads)
+_MODULES = (pricing, reads, texts, matching, measures, changes)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
