@@ -1,10 +1,10 @@
 """Operator 6: media columns holding MPEG-1 Layer III audio.
 
 Reading walks a stored stream as a player would: it parses an ID3v2 tag, finds frame headers again after foreign
-bytes (a header counts if the next one follows where it says, or the stream ends there), parses the Xing table of
-variable-bitrate streams, verifies the CRC-16 of protected frames and keeps exact durations (samples over rate)
-and the byte offset of every frame. Writing stores arbitrary bytes losslessly as the ancillary data of silent
-frames, with a tag, a Xing table and checksums.
+bytes (a header counts if the next one follows where it says, the stream ends there, or its checksum is right),
+parses the Xing table of variable-bitrate streams, verifies the CRC-16 of protected frames and keeps exact
+durations (samples over rate) and the byte offset of every frame. Writing stores arbitrary bytes losslessly as the
+ancillary data of silent frames, with a tag, a Xing table and checksums.
 
 Defined results: null media or media without frames has 0 frames, 0 duration and an empty payload; a truncated
 last frame is not counted; a null text is stored as the empty one; equal texts give equal streams; other columns
@@ -132,17 +132,20 @@ def read_stream(data: bytes) -> dict:
             known[head] = _frame_of(head)
         return known[head]
 
+    def verified(i: int, f: tuple) -> bool:
+        """True if the frame at i is protected and its checksum is right."""
+        own = np.frombuffer(data[i + 2 : i + HEAD] + data[i + HEAD + CRC : i + HEAD + CRC + f[3]], np.uint8)[None]
+        return f[2] and int(crc16(own)[0]) == int.from_bytes(data[i + HEAD : i + HEAD + CRC], "big")
+
     offsets, junk, found = [], 0, []
-    n, inside = len(data), False
+    n = len(data)
     while at < n:
         f = header(at)
-        if f and at + f[0] <= n and (inside or at + f[0] == n or header(at + f[0])):
+        if f and at + f[0] <= n and (at + f[0] == n or header(at + f[0]) or verified(at, f)):
             found.append(f)
             offsets.append(at)
             at += f[0]
-            inside = True
             continue
-        inside = False
         to = data.find(b"\xff", at + 1)
         to = n if to < 0 else to
         junk += to - at
