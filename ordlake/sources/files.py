@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Schemas of the files that the domain exchanges.
-PRICE = T.StructType.fromDDL("code string, name string, base_cost double, category string, method string, rule_type string, rule_params map<string,string>")
-MAPPING = T.StructType.fromDDL("requirement_pattern string, test_code string, confidence double")
-CORRECTION = T.StructType.fromDDL("doc string, field string, original string, corrected string, mark string, change string, decision string")
+#: Schemas (as DDL) of the files that the domain exchanges.
+PRICE = "code string, name string, base_cost double, category string, method string, rule_type string, rule_params map<string,string>"
+MAPPING = "requirement_pattern string, test_code string, confidence double"
+CORRECTION = "doc string, field string, original string, corrected string, mark string, change string, decision string"
 OCR_WORD = ["level", "page", "block", "par", "line", "word", "left", "top", "width", "height", "conf", "text"]
 SUFFIXES = {"pdf": "pdf", "docx": "docx", "txt": "text", "json": "json", "jsonl": "json", "xlsx": "sheet", "csv": "sheet", "yaml": "rules"}
 
 
-def json_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def json_table(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, bad records) of JSON files."""
     bad = "__bad"
-    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path, multiLine=multi_line)
+    raw = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path, multiLine=multi_line)
     tagged = raw.withColumn("path", F.input_file_name())
     return tagged.filter(F.col(bad).isNull()).drop(bad), tagged.filter(F.col(bad).isNotNull()).select("path", bad)
 
@@ -25,13 +28,13 @@ def json_table(spark: SparkSession, path: str, schema: T.StructType, multi_line:
 def price_list(spark: SparkSession, path: str) -> DataFrame:
     """Price catalogue from JSON; rows without a code are dropped, the last of equal codes wins."""
     rows, _ = json_table(spark, path, PRICE)
-    return rows.filter(F.trim(F.coalesce("code", F.lit(""))) != "").groupBy("code").agg(*[F.max_by(c, F.struct("path", "name")).alias(c) for c in PRICE.names if c != "code"])
+    return rows.filter(F.trim(F.coalesce("code", F.lit(""))) != "").groupBy("code").agg(*[F.max_by(c, F.struct("path", "name")).alias(c) for c in _names(PRICE) if c != "code"])
 
 
 def corrections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(distinct corrections, bad lines) of JSON lines; reading the same files twice changes nothing."""
     rows, bad = json_table(spark, path, CORRECTION, multi_line=False)
-    return rows.dropDuplicates(CORRECTION.names), bad
+    return rows.dropDuplicates(_names(CORRECTION)), bad
 
 
 def documents(spark: SparkSession, path: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
