@@ -18,11 +18,15 @@ def _names(schema: str) -> list[str]:
 
 
 def json_table(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad records) of JSON files."""
-    bad = "__bad"
-    raw = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path, multiLine=multi_line)
-    tagged = raw.withColumn("path", F.input_file_name())
-    return tagged.filter(F.col(bad).isNull()).drop(bad), tagged.filter(F.col(bad).isNotNull()).select("path", bad)
+    """(rows, bad records) of JSON lines, or of files that each hold one object or array."""
+    if multi_line:
+        whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+        bad = whole.filter(F.try_parse_json("value").isNull()).select("path", F.col("value").alias("record"))
+        return spark.read.schema(schema).json(path, multiLine=True).withColumn("path", F.input_file_name()), bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    lines = spark.read.text(path).withColumn("path", F.input_file_name()).filter(F.trim("value") != "")
+    parsed = lines.select("path", "value", F.from_json("value", f"{schema}, __bad string", options).alias("r"))
+    return parsed.filter("r.__bad is null").select("r.*", "path").drop("__bad"), parsed.filter("r.__bad is not null").select("path", F.col("value").alias("record"))
 
 
 def price_list(spark: SparkSession, path: str) -> DataFrame:
