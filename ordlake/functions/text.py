@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 from .. import rules
 
-_WORD = r"[^0-9a-zа-яё]+"
-
-
 def squeeze(x: Column) -> Column:
     """White space runs become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
 
 
 def phrase(x: Column) -> Column:
-    """Lower case, ё as е, signs as single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "ё", "е"), _WORD, " "))
+    """Lower case, ё as е; dashes, plus signs and all else but words, / % and ° become single spaces."""
+    low = F.translate(F.lower(F.coalesce(x, F.lit(""))), "ё\u00a0±+-–—", "е      ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_\s/%°]", " "), r"\s+", " "))
+
+
+def requirement(x: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "\u00a0", " "), r"\s+", " "))
 
 
-def word_set(x: Column, least: int = 2, stop: list[str] = rules.STOP_WORDS) -> Column:
+def word_set(x: Column, least: int = 3, stop: list[str] = rules.STOP_WORDS) -> Column:
     """Distinct words of a phrase of at least so many characters, without stop words."""
     return F.array_sort(F.array_distinct(F.filter(F.split(phrase(x), " "), lambda w: (F.length(w) >= least) & ~w.isin(stop))))
 
@@ -34,14 +37,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def organisation_key(x: Column) -> Column:
-    """Name without quotes, legal forms and doubled spaces, in lower case with ё as е."""
-    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "ё\"'«»“”„", "е"), r"[.,]", " ")
-    return squeeze(F.regexp_replace(squeeze(bare), r"^(ооо|оао|зао|пао|ао|ип|llc|ltd|inc|фгуп) ", ""))
+    """Lower-case name without quotes, leading legal forms (each once, in their order) and outer signs."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), r"[«»\"'`{}\[\]]", ""), r"\s+", " "))
+    for form in rules.LEGAL_FORMS:
+        bare = F.regexp_replace(bare, f"^{form} ", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"^[ .,;-]+", ""), r"[ .,;-]+$", "")
 
 
 def mark_key(x: Column) -> Column:
-    """Key under which two spellings of a designation are equal: lower case, х as x, comma as point, no spaces."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "хё,", "xе."), r"\s+", "")
+    """Key under which two spellings of a designation are equal: lower case, х and × as x, decimal points, no spaces."""
+    low = F.translate(F.lower(F.coalesce(x, F.lit(""))), "х×", "xx")
+    return F.regexp_replace(F.regexp_replace(low, r"(\d),(\d)", "$1.$2"), r"\s+", "")
 
 
 def letters_share(x: Column, letters: str) -> Column:

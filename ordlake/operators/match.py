@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import phrase, word_set
+from ..functions.text import phrase, requirement, word_set
 
 #: Rule tables are broadcast; they are written by hand and may not have more rows than this.
 MAX_RULES = 10_000
@@ -25,22 +25,34 @@ def small(table: DataFrame, bound: int = MAX_RULES) -> DataFrame:
 def contained_phrases(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
     """Best confidence of every code any of whose patterns stands in the text: (key, code, confidence, pattern).
 
-    Patterns are looked up by their first word among the distinct words of the text, so no text meets all patterns.
-    Ties go to the least pattern.
+    The rule table goes to every task as one array and is looked through in the text's own row. Ties go to the
+    longer, then the greater pattern.
     """
-    rules_ = small(patterns.select("pattern", "code", "confidence", F.split(phrase(F.col("pattern")), " ").alias("__words"))).withColumn("__first", F.get("__words", F.lit(0)))
-    own = texts.select(key, F.concat(F.lit(" "), phrase(F.col(text)), F.lit(" ")).alias("__text"))
-    words = own.select(key, "__text", F.explode(F.array_distinct(F.split(F.trim("__text"), " "))).alias("__first"))
-    hits = words.join(rules_, "__first").filter(F.contains("__text", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))))
-    best = F.max(F.struct(F.col("confidence"), F.struct((-F.length("pattern")).alias("n")), F.col("pattern")))
-    return hits.groupBy(key, "code").agg(best.alias("b")).select(key, "code", "b.confidence", "b.pattern")
+    table = small(patterns).agg(F.collect_list(F.struct("confidence", F.length("pattern").alias("size"), F.lower("pattern").alias("pattern"), "code")).alias("__rules"))
+    own = texts.select(key, requirement(F.col(text)).alias("__text")).join(F.broadcast(table))
+    hits = own.select(key, F.explode(F.filter("__rules", lambda r: F.contains("__text", r["pattern"]))).alias("r"))
+    return hits.groupBy(key, "r.code").agg(F.max("r").alias("b")).select(key, "code", "b.confidence", "b.pattern")
+
+
+def usage_confidence(usage: Column) -> Column:
+    """Confidence of a learned mapping: 0.80 and 0.01 more for each use, at most 0.95."""
+    return F.least(F.lit(0.95), 0.80 + F.least(F.coalesce(usage, F.lit(0)), F.lit(10)) * 0.01)
+
+
+def combine_suggestions(key: str, synonyms: DataFrame, builtin: DataFrame, learned: DataFrame) -> DataFrame:
+    """(key, code, confidence, source): built-in hits replace synonyms always, learned ones only if more confident."""
+    s, b, n = (d.select(key, "code", F.col("confidence").alias(c)) for d, c in ((synonyms, "__s"), (builtin, "__b"), (learned, "__l")))
+    every = s.join(b, [key, "code"], "full").join(n, [key, "code"], "full")
+    base = F.coalesce("__b", "__s")
+    use_learned = base.isNull() | (F.col("__l") > base)
+    return every.select(key, "code", F.when(use_learned, F.coalesce("__l", base)).otherwise(base).alias("confidence"), F.when(F.col("__l").isNotNull() & use_learned, "learned").when(F.col("__b").isNotNull(), "builtin").otherwise("synonym").alias("source"))
 
 
 def resolve_alias(phrases: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """The code of the alias equal to the phrase, else of one that contains it or is contained; least id wins."""
     own = phrases.select(key, phrase(F.col(text)).alias("__p"))
     table = small(aliases.select(F.col("alias_id"), phrase(F.col("alias")).alias("__a"), "code"))
-    meets = (F.col("__p") == F.col("__a")) | ((F.length("__a") >= rules.ALIAS_CONTAINED_MIN) & (F.length("__p") >= rules.ALIAS_CONTAINED_MIN) & (F.contains("__p", "__a") | F.contains("__a", "__p")))
+    meets = (F.col("__p") == F.col("__a")) | ((F.length("__a") >= rules.ALIAS_CONTAINED_MIN) & (F.col("__p") != "") & (F.contains("__p", "__a") | F.contains("__a", "__p")))
     hits = own.join(table, meets)
     best = F.min(F.struct((F.col("__p") != F.col("__a")).alias("inexact"), "alias_id", "code"))
     return hits.groupBy(key).agg(best.alias("b")).select(key, F.col("b.code").alias("code"), (~F.col("b.inexact")).alias("exact"))

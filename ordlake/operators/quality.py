@@ -50,4 +50,4 @@ def winner(a: Column, b: Column) -> Column:
 def match_rate(df: DataFrame, matched: Column, keys: list[str]) -> DataFrame:
     """Matched and all rows, the rate and its text."""
     out = df.groupBy(*keys).agg(F.count_if(matched).cast("long").alias("n_matched"), F.count("*").alias("n_total"))
-    return out.withColumn("rate", F.round(F.col("n_matched") / F.col("n_total"), 4)).withColumn("summary", F.concat(F.col("n_matched").cast("string"), F.lit("/"), F.col("n_total").cast("string")))
+    return out.withColumn("rate", F.round(F.col("n_matched") / F.col("n_total"), 4)).withColumn("summary", F.format_string("сопоставлено %d/%d (%.0f%%)", "n_matched", "n_total", 100 * F.col("n_matched") / F.col("n_total")))

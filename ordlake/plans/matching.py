@@ -57,6 +57,15 @@ def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.match_rate(code_cascade(spark, sf_dir).join(brand, "p_partkey"), F.col("code").isNotNull(), ["p_brand"])
 
 
+def suggestion_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT14 JON12 AGG21: synonyms, built-in rules and learned mappings of parts combined."""
+    p = table(spark, sf_dir, "part")
+    syn = p.filter("p_size < 30").select("p_partkey", F.col("p_brand").alias("code"), F.lit(0.97).alias("confidence"))
+    built = p.filter("p_size % 2 = 0").select("p_partkey", F.col("p_brand").alias("code"), F.lit(0.85).alias("confidence"))
+    learned = p.filter("p_size % 3 = 0").select("p_partkey", F.col("p_brand").alias("code"), F.round(match.usage_confidence(F.col("p_size")), 2).alias("confidence"))
+    return match.combine_suggestions("p_partkey", syn, built, learned)
+
+
 def brand_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON22 JON23: the longest known prefix of a designation."""
     known = match.small(table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("brand")).distinct())
@@ -78,13 +87,14 @@ def org_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, names, "name string").select("name", text.organisation_key(F.col("name")).alias("org_key"))
 
 
-QUERIES = {f.__name__: f for f in (phrase_mapping, phrase_suggestions, alias_resolve, token_jaccard_match, code_cascade, match_rate, brand_snap, fuzzy_names, org_names)}
-_NORM = "trim(regexp_replace(replace(lower({}), 'ё', 'е'), '[^0-9a-zа-яе]+', ' ', 'g'))"
-_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) >= 2))"
-_MAP = f"""SELECT doc_id, code, max(confidence) AS confidence, arg_max(pattern, (confidence, -length(pattern), pattern)) AS pattern
-  FROM documents JOIN {sql_values(PATTERNS, 'pattern, code, confidence')} ON contains(' ' || {_NORM.format('text')} || ' ', ' ' || pattern || ' ') GROUP BY doc_id, code"""
+QUERIES = {f.__name__: f for f in (phrase_mapping, phrase_suggestions, alias_resolve, token_jaccard_match, code_cascade, match_rate, suggestion_precedence, brand_snap, fuzzy_names, org_names)}
+_NORM = "trim(regexp_replace(regexp_replace(translate(lower({}), 'ё±+-–—', 'е     '), '[^\\p{{L}}\\p{{N}}_\\s/%°]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_LOW = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) >= 3))"
+_MAP = f"""SELECT doc_id, code, max(confidence) AS confidence, arg_max(pattern, (confidence, length(pattern), pattern)) AS pattern
+  FROM documents JOIN {sql_values(PATTERNS, 'pattern, code, confidence')} ON contains({_LOW.format('text')}, pattern) GROUP BY doc_id, code"""
 _ALIAS = f"""SELECT p_partkey, arg_min(code, (p <> alias, alias_id)) AS code, bool_or(p = alias) AS exact FROM (SELECT p_partkey, {_NORM.format('p_name')} AS p FROM part)
-  JOIN {sql_values(ALIASES, 'alias_id, alias, code')} ON p = alias OR (length(alias) >= 4 AND length(p) >= 4 AND (contains(p, alias) OR contains(alias, p))) GROUP BY p_partkey"""
+  JOIN {sql_values(ALIASES, 'alias_id, alias, code')} ON p = alias OR (length(alias) >= 4 AND (contains(p, alias) OR contains(alias, p))) GROUP BY p_partkey"""
 _JACCARD = f"""SELECT p_partkey, target_id, shared, round(score, 6) AS score FROM (SELECT p_partkey, target_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS shared,
   len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score
   FROM (SELECT p_partkey, {_WORDS.format(_NORM.format('p_name'))} AS a FROM part), (SELECT target_id, {_WORDS.format(_NORM.format('target'))} AS b FROM {sql_values(TARGETS, 'target_id, target')}))
@@ -100,7 +110,11 @@ SQL = {
     "alias_resolve": _ALIAS,
     "token_jaccard_match": _JACCARD,
     "code_cascade": _CASCADE,
-    "match_rate": f"SELECT p_brand, count(code) AS n_matched, count(*) AS n_total, round(count(code) / count(*), 4) AS rate, count(code) || '/' || count(*) AS summary FROM ({_CASCADE}) JOIN part USING (p_partkey) GROUP BY p_brand",
+    "match_rate": f"SELECT p_brand, count(code) AS n_matched, count(*) AS n_total, round(count(code) / count(*), 4) AS rate, 'сопоставлено ' || count(code) || '/' || count(*) || ' (' || CAST(round(100 * count(code) / count(*)) AS INTEGER) || '%)' AS summary FROM ({_CASCADE}) JOIN part USING (p_partkey) GROUP BY p_brand",
+    "suggestion_precedence": """WITH s AS (SELECT p_partkey, p_brand AS code, CASE WHEN p_size % 2 = 0 THEN CAST(0.85 AS DOUBLE) WHEN p_size < 30 THEN CAST(0.97 AS DOUBLE) END AS base,
+  CASE WHEN p_size % 3 = 0 THEN CAST(round(least(0.95, 0.8 + least(p_size, 10) * 0.01), 2) AS DOUBLE) END AS l, p_size FROM part)
+  SELECT p_partkey, code, CASE WHEN base IS NULL OR l > base THEN l ELSE base END AS confidence, CASE WHEN l IS NOT NULL AND (base IS NULL OR l > base) THEN 'learned' WHEN p_size % 2 = 0 THEN 'builtin' ELSE 'synonym' END AS source
+  FROM s WHERE base IS NOT NULL OR l IS NOT NULL""",
     "brand_snap": "SELECT p_partkey, arg_max(brand, length(brand)) AS brand FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS brand FROM part) ON starts_with(replace(p_name, ' ', ''), brand) GROUP BY p_partkey",
-    "org_names": """SELECT * FROM (VALUES ('ООО "Ромашка"', 'ромашка'), ('ооо ромашка', 'ромашка'), ('ПАО «Завод, №1»', 'завод №1'), ('Customer Ltd.', 'customer ltd'), ('', '')) AS t(name, org_key)""",
+    "org_names": """SELECT * FROM (VALUES ('ООО "Ромашка"', 'ромашка'), ('ооо ромашка', 'ромашка'), ('ПАО «Завод, №1»', 'завод, №1'), ('Customer Ltd.', 'customer ltd'), ('', '')) AS t(name, org_key)""",
 }

@@ -129,13 +129,13 @@ SQL = {
     "letter_ratio": """WITH t AS (SELECT *, length(regexp_replace(text, '[^A-Za-zА-Яа-яЁё]', '', 'g')) AS n FROM documents)
   SELECT doc_id, CASE WHEN n > 0 THEN round(length(regexp_replace(text, '[^aeiouAEIOU]', '', 'g')) / n, 4) ELSE 0 END AS vowels, trim(text) = '' OR n_chars > 1000 AS needs_ocr FROM t""",
     "phrase_tokens": """WITH t AS (SELECT p_partkey, p_type || ' / ' || p_name || ' / ' || p_brand AS t FROM part),
-  p AS (SELECT *, trim(regexp_replace(lower(t), '[^0-9a-zа-яё]+', ' ', 'g')) AS phrase FROM t)
-  SELECT p_partkey, phrase, array_to_string(list_sort(list_distinct(list_filter(string_split(phrase, ' '), lambda w: length(w) >= 2))), ',') AS words,
+  p AS (SELECT *, trim(regexp_replace(regexp_replace(translate(lower(t), 'ё±+-–—', 'е     '), '[^\\p{L}\\p{N}_\\s/%°]', ' ', 'g'), '\\s+', ' ', 'g')) AS phrase FROM t)
+  SELECT p_partkey, phrase, array_to_string(list_sort(list_distinct(list_filter(string_split(phrase, ' '), lambda w: length(w) >= 3))), ',') AS words,
   left(replace(trim(regexp_replace(lower(t), '[^0-9a-zа-яё_]+', ' ', 'g')), ' ', '_'), 20) AS slug, left(trim(regexp_replace(replace(t, '/', ' '), '\\s+', ' ', 'g')), 12) AS file_part FROM p""",
     "clause_range_expand": f"""SELECT raw, CASE raw WHEN '' THEN '' WHEN '1.2, 1.4; 1.2' THEN '1.2|1.4' WHEN '4.1-4.3, 5' THEN '4.1|4.2|4.3|5'
   ELSE (SELECT CASE WHEN hi >= lo AND hi - lo < 40 THEN array_to_string([head || n FOR n IN range(lo, hi + 1)], '|') ELSE raw END FROM
    (SELECT regexp_extract(raw, '^((?:\\d+\\.)+)', 1) AS head, TRY_CAST(regexp_extract(raw, '^(?:\\d+\\.)+(\\d+)', 1) AS INTEGER) AS lo, TRY_CAST(regexp_extract(raw, '(\\d+)$', 1) AS INTEGER) AS hi)) END AS clauses FROM {sql_values(CLAUSES, 'raw')}""",
-    "mark_parse": f"""SELECT mark, replace(replace(replace(regexp_replace(lower(mark), '\\s+', '', 'g'), 'х', 'x'), 'ё', 'е'), ',', '.') AS key, regexp_extract({_SQUEEZE.format('mark')}, '^([^\\s\\d]+)', 1) AS brand,
+    "mark_parse": f"""SELECT mark, regexp_replace(regexp_replace(replace(lower(mark), 'х', 'x'), '(\\d),(\\d)', '\\1.\\2', 'g'), '\\s+', '', 'g') AS key, regexp_extract({_SQUEEZE.format('mark')}, '^([^\\s\\d]+)', 1) AS brand,
   CAST(CASE mark WHEN 'КПСнг 2 X 2х0,5' THEN 4 WHEN 'кабель' THEN 1 WHEN 'ПВС 3*1,5' THEN 1 ELSE 3 END AS INTEGER) AS cores, CAST(CASE mark WHEN 'КПСнг 2 X 2х0,5' THEN 2 ELSE 1 END AS INTEGER) AS grp,
   CAST(CASE mark WHEN 'КПСнг 2 X 2х0,5' THEN 0.5 WHEN 'кабель' THEN 1 WHEN 'ПВС 3*1,5' THEN 1 ELSE 2.5 END AS DOUBLE) AS size, mark LIKE 'КПС%' AS is_lan FROM {sql_values(SPELLINGS, 'mark')}""",
     "json_props_parse": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '-' ELSE coalesce(json_extract_string(props, '$.k'), '-') END AS k, CASE WHEN event_id % 10 = 0 THEN 0 ELSE len(json_keys(props)) END AS n_keys FROM events",

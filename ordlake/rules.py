@@ -38,3 +38,32 @@ ALIAS_CONTAINED_MIN = 4
 QUALITY_MARGIN = 0.02
 #: A text layer with fewer Cyrillic letters than this share, on a page with pictures, is a scan.
 CYRILLIC_MIN = 0.2
+
+# Legal forms at the start of an organisation's name, and names that are none.
+LEGAL_FORMS = ["общество с ограниченной ответственностью", "ооо", "ао", "пао", "зао"]
+PLACEHOLDER_NAMES = ["заказчик", "производитель", "customer", "manufacturer", "unknown"]
+
+# Patterns of kinds of organisations, in order.
+ORGANISATION_TYPES = [("testing_center", r"испытательн\w+\s+(?:центр|лаборатор)"), ("certification_body", r"орган\w*\s+по\s+сертификац"), ("designer", r"проектировщик|генпроектировщик|проектн\w+\s+(?:институт|организац|бюро|офис)"), ("dealer", r"\bдилер\w*\b"), ("manufacturer", r"кабельн\w+\s+завод|завод\w*|производител\w*|изготовител\w*")]
+TESTING_CENTER = r"кабель[\s\-–]*тест|испытательн\w*\s+(?:центр|лаборатор)|ниц\s*[«\"]\s*кабель"
+
+# Patterns of contact details in a letter's head.
+TAX_IDS = r"ИНН\s*/?\s*КПП\s*(\d{10,12})\s*/\s*(\d{9})"
+TAX_ID = r"ИНН\s*(\d{10,12})"
+PHONE = r"(?:Тел|Tex|тел|т/ф|Факс|факс)\s*[.:]?\s*(\+?\d[\d\s()\-]{9,35})"
+EMAIL = r"(?:E-?mail|электронн\w*\s*почт\w*)\s*[.:]?\s*([\w.\-]+@[\w.\-]+\.\w+)"
+RECIPIENT = r"^(?:Генеральному|Уважаемому)\s+(?:(?:директору|директора)\s+)?(.+)$"
+SENDER = r"ООО\s*[«\"]([^»\"]+)[»\"]"
+STREET = r"(?:Ул\.?|ул\.?)\s*:?\s*([^,;\n]+(?:,\s*[^,;\n]+){0,6})"
+
+# Norm documents, by preference, and words that rule one out.
+NORM_DOCUMENTS = [r"(?:ТУ|TU|Ty)\s*\d+\.[КкKk]\d{2,3}-\d{3}-\d{4}", r"(?:ГОСТ|Р\s*МЭК)\s*[\d.\-/]+(?:\s*[\d\-/]+)*", r"(?:ТУ|TU|Ty|ГОСТ|Р\s*МЭК)\s*[\d.\-/A-Za-zА-Яа-яЁё]+"]
+NOT_A_DOCUMENT = r"стоимост|срок|услуг|оплат|количеств|гарантир|письм|заказ|просьб"
+
+# Words that make a clause of a norm interesting, and tests that are not charged.
+CLAUSE_WORDS = r"испытан|сопротивлен|провер|измерен|нагружен|изгиб|температур|влажност|горен|огнест|экран|емкост|напряжен|герметич|обрыв|затухан|кручен|удар|раздавл|растяг|маркиров"
+NOT_BILLABLE = r"маркиров|упаков|срок\s+служб|комплектност|сопровод"
+
+#: Validation: lengths, factors and penalties.
+LONG_NAME, EMPTY_MARKS_CHARS = 80, 500
+OCR_FACTOR, NO_DOCUMENT, DUPLICATE, UNKNOWN_TYPE, NO_TAX_ID = 0.85, 0.10, 0.05, 0.10, 0.15
