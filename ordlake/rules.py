@@ -54,7 +54,7 @@ PHONE = r"(?:Тел|Tex|тел|т/ф|Факс|факс)\s*[.:]?\s*(\+?\d[\d\s()\
 EMAIL = r"(?:E-?mail|электронн\w*\s*почт\w*)\s*[.:]?\s*([\w.\-]+@[\w.\-]+\.\w+)"
 RECIPIENT = r"^(?:Генеральному|Уважаемому)\s+(?:(?:директору|директора)\s+)?(.+)$"
 SENDER = r"ООО\s*[«\"]([^»\"]+)[»\"]"
-STREET = r"(?:Ул\.?|ул\.?)\s*:?\s*([^,;\n]+(?:,\s*[^,;\n]+){0,6})"
+STREET = r"\b(?:Ул\.?|ул\.?)\s*:?\s*([^,;\n]+(?:,\s*[^,;\n]+){0,6})"
 
 # Norm documents, by preference, and words that rule one out.
 NORM_DOCUMENTS = [r"(?:ТУ|TU|Ty)\s*\d+\.[КкKk]\d{2,3}-\d{3}-\d{4}", r"(?:ГОСТ|Р\s*МЭК)\s*[\d.\-/]+(?:\s*[\d\-/]+)*", r"(?:ТУ|TU|Ty|ГОСТ|Р\s*МЭК)\s*[\d.\-/A-Za-zА-Яа-яЁё]+"]
