@@ -110,8 +110,8 @@ def letter(text: Column) -> Column:
     add = lambda c, v: F.when(c.isNotNull(), v).otherwise(0.0)
     confidence = F.least(F.round(0.55 + add(sender, 0.2) + add(address, 0.15) + add(inn, 0.1), 2), F.lit(0.95))
     return F.struct(
-        part(F.substring(whole, 1, 800), "(?iuUm)" + rules.RECIPIENT, 1).alias("recipient"), sender.alias("sender"), squeeze(address).alias("address"), inn.alias("inn"), part(head, _I + rules.TAX_IDS, 2).alias("kpp"),
-        squeeze(part(head, _I + rules.PHONE, 1)).alias("phone"), part(head, _I + rules.EMAIL, 1).alias("email"), confidence.alias("confidence"),
+        part(F.substring(whole, 1, 800), "(?iuUm)" + rules.RECIPIENT, 1).alias("recipient"), sender.alias("sender"), F.nullif(squeeze(address), F.lit("")).alias("address"), inn.alias("inn"), part(head, _I + rules.TAX_IDS, 2).alias("kpp"),
+        F.nullif(squeeze(part(head, _I + rules.PHONE, 1)), F.lit("")).alias("phone"), part(head, _I + rules.EMAIL, 1).alias("email"), confidence.alias("confidence"),
     )
 
 

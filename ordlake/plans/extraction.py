@@ -9,7 +9,7 @@ from ..functions import extract, text
 from ..operators import validate
 from .common import sql_values, values
 
-LETTER = 'Генеральному директору Центра испытаний\nООО "Ромашка" ИНН / КПП 7701234567 / 770101001\nул. Мира, д. 5, Москва\nТел.: +7 (495) 123-45-67\nE-mail: info@romashka.ru\n01.02.2026\nПросим провести периодические испытания кабеля ВВГнг(А)-LS 3х2,5 по ТУ 16.К99-058-2014, пункты 1.1.3, 1.2.1 и 1.6.6.'
+LETTER = 'Генеральному директору Центра испытаний\nООО "Ромашка" ИНН / КПП 7701234567 / 770101001\nул. Мира, д. 5, Москва\nТел: +7 (495) 123-45-67\nE-mail: info@romashka.ru\n01.02.2026\nПросим провести периодические испытания кабеля ВВГнг(А)-LS 3х2,5 по ТУ 16.К99-058-2014, пункты 1.1.3, 1.2.1 и 1.6.6.'
 DIRECTION = "НАПРАВЛЕНИЕ в испытательный центр\nЗаказчик: Орган по сертификации «Знак»\nИзготовитель: Кабельный завод Восток, г. Тула\nМарка ПВС 3х1,5 ГОСТ 7399-97; марка ПВС 3х1,5; требование п. 4.5.7"
 ACT = "Акт отбора образцов. Дата 12.07.2026. Кабель КПСнг(А)-FRLS отобран, стоимость согласована"
 DOCS = [(1, LETTER), (2, DIRECTION), (3, ACT), (4, None)]
