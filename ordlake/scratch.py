@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_own: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a local one of our own only where that setting is missing (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="ordlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="ordlake-"))
+        base = _own[0]
     return f"{base.rstrip('/')}/ordlake-{uuid.uuid4().hex}"
