@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -161,25 +162,46 @@ def trained(seed: int = SEED) -> tuple[BoostedTrees, dict[str, float]]:
     return model, thresholds
 
 
+class Taken:
+    """Disjoint intervals in order; those that are added must start after all others or meet none but the last."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends = [], []
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
+
+    def add(self, start: int, end: int) -> None:
+        if self.meets(start, end):
+            self.ends[-1] = max(self.ends[-1], end)
+        else:
+            i = bisect_left(self.starts, start)
+            self.starts.insert(i, start)
+            self.ends.insert(i, end)
+
+
 def find_all(texts: list[str], model: BoostedTrees, thresholds: dict[str, float]) -> list[list[tuple]]:
     """(kind, start, end, score, base) of every text, by start, then kind."""
     base = [base_spans(t) for t in texts]
     rows, x = [], []
     for i, t in enumerate(texts):
-        taken = sorted(base[i])
+        taken = Taken()
+        for start, end, _ in sorted(base[i]):
+            taken.add(start, end)
         for start, end, kind in candidates(t):
-            if not any(a < end and start < b for a, b, _ in taken):
+            if not taken.meets(start, end):
                 rows.append((i, start, end, kind))
                 x.append(features(t, start, end, kind))
     chosen: list[list[tuple]] = [[(k, a, b, 1.0, True) for a, b, k in spans] for spans in base]
     if rows:
         score = model.predict(np.array(x))
-        free: dict[int, list[tuple[int, int]]] = {}
+        free: dict[int, Taken] = {}
         for k in np.argsort(-score, kind="stable"):  # best first; a span that overlaps a better one goes
             i, start, end, kind = rows[k]
-            own = free.setdefault(i, [])
-            if score[k] >= thresholds[kind] and not any(a < end and start < b for a, b in own):
-                own.append((start, end))
+            own = free.setdefault(i, Taken())
+            if score[k] >= thresholds[kind] and not own.meets(start, end):
+                own.add(start, end)
                 chosen[i].append((kind, start, end, float(score[k]), False))
     return [sorted(c, key=lambda s: (s[1], KINDS.index(s[0]))) for c in chosen]
 
