@@ -67,6 +67,15 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return b, start, end, mix((total[end] - total[start]) * down[start])
 
 
+def heads(b: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the first size bytes of each word, or of the whole word if it is shorter."""
+    total = np.full(len(start), size, dtype=np.uint64)
+    for j in range(size):
+        inside = start + j < end
+        total = total * BASE + np.where(inside, b[np.minimum(start + j, len(b) - 1)], 0).astype(np.uint64)
+    return mix(total)
+
+
 def pieces(text: bytes, limit: int = BLOCK) -> Iterator[bytes]:
     """text cut between words into parts of about limit bytes (a longer single word stays whole)."""
     at = 0

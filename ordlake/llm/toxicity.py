@@ -4,8 +4,8 @@ A document is a bag of sentences. A logistic model scores each sentence from its
 their noisy-or, 1 - prod(1 - p). The model is trained from document labels only, so it learns which sentences make
 a document toxic, and afterwards those sentences are located.
 
-Training takes a sample of labelled rows whose bound is MAX_TRAINING documents and MAX_WORDS words of each bag;
-words are hashed, and only hashes come to the driver. Scoring runs over every sentence of every document, inside
+Training takes a sample of labelled rows: at most about MAX_TRAINING documents, and none of over MAX_WORDS words;
+documents are taken whole, words are hashed, and only hashes come to the driver. Scoring runs over every sentence of every document, inside
 one pass of Arrow batches without a shuffle.
 
 Defined results: a null or empty text, or one without words, has no sentences and gets the lowest score; equal
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from . import bytehash
 
 #: Bounds of the training sample, hashed word features, and documents that must have a word for it to count.
-MAX_TRAINING, MAX_WORDS, FEATURES, MIN_DOCS, MIN_RATIO = 12_000, 4_000, 1 << 18, 4, 24.0
+MAX_TRAINING, MAX_WORDS, FEATURES, MIN_DOCS, MIN_RATIO = 6_000, 1_500, 1 << 21, 4, 24.0
 EPOCHS, RATE, DECAY, HELD = 400, 0.05, 1e-5, 4
+#: Beside each word its first bytes are features, which carry over to longer forms of a word.
+HEADS = (4, 5)
 #: The score at which predicted becomes 1; calibration puts the best cut there.
 THRESHOLD = 0.7
 RESULT = "score double, sentences long, worst long, offending array<long>"
@@ -36,7 +38,9 @@ _END[[33, 46, 63, 10]] = True  # ! . ? and line feed
 
 
 def sentences(texts: list[bytes]):
-    """(indices, features, sentence number within its text, text of each word) for each block of texts.
+    """(indices, features, sentence number within its text, text of each feature) for each block of texts.
+
+    A word gives its own feature and those of its heads, next to each other.
 
     Sentences end at . ! ? or a line feed; the numbers count those signs, so sentences without words are skipped.
     """
@@ -52,12 +56,14 @@ def sentences(texts: list[bytes]):
         for item in [*owner, None]:
             if group and (item is None or size + len(item[2]) + 1 > bytehash.BLOCK):
                 data = b"\n".join([g[2] for g in group])
-                b, start, _, h = bytehash.words(data)
+                b, start, end, h = bytehash.words(data)
                 stops = np.cumsum(_END[b])
                 last = np.cumsum([len(g[2]) + 1 for g in group])
                 part = np.searchsorted(last, start, side="right")
-                feature.append((h >> np.uint64(46)).astype(np.int64))
-                number.append((stops[start], np.array([g[0] for g in group], dtype=np.int64)[part]))
+                every = np.stack([h, *[bytehash.heads(b, start, end, k) for k in HEADS]], axis=1).ravel()
+                feature.append((every >> np.uint64(43)).astype(np.int64))
+                each = 1 + len(HEADS)
+                number.append((np.repeat(stops[start], each), np.repeat(np.array([g[0] for g in group], dtype=np.int64)[part], each)))
                 group, size = [], 0
             if item is not None:
                 group.append(item)
@@ -88,14 +94,25 @@ class Model:
 
     def calibrated(self, log_clean: np.ndarray) -> np.ndarray:
         """Score by log prod(1 - p): monotone, and THRESHOLD at the cut."""
-        x = np.log(np.expm1(np.maximum(-log_clean, 1e-12)))
+        x = _odds(log_clean)
         return 1 / (1 + np.exp(-np.clip(self.slope * (x - self.cut) + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
+def _odds(log_clean: np.ndarray) -> np.ndarray:
+    """Logit of 1 - prod(1 - p), from log prod(1 - p)."""
+    y = np.maximum(-log_clean, 1e-12)
+    return np.where(y > 30, y, np.log(np.expm1(np.minimum(y, 30))))
+
+
 def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
+def _evidence(z: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - p) of a sentence beyond that of one without telling words, so that length alone is no evidence."""
+    return np.maximum(_softplus(z) - _softplus(bias), 0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -107,7 +124,7 @@ def _logits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndarray) -> np.ndarray:
     """Features in at least MIN_DOCS training documents whose likelihood ratio against independence is MIN_RATIO or more."""
     n = len(y)
-    seen = np.unique(feature * n + doc)
+    seen = np.unique(feature.astype(np.int64) * n + doc)
     seen = seen[train[seen % n]]
     f, d = seen // n, seen % n
     total, pos = np.bincount(f, minlength=FEATURES), np.bincount(f, y[d], FEATURES)
@@ -119,26 +136,26 @@ def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndar
     share = n1 / (n1 + n0)
     rest, rest_pos = n1 + n0 - total, n1 - pos
     ratio = part(pos, total * share) + part(total - pos, total * (1 - share)) + part(rest_pos, rest * share) + part(rest - rest_pos, rest * (1 - share))
-    return np.flatnonzero((total >= MIN_DOCS) & (ratio >= MIN_RATIO))
+    least = max(MIN_DOCS, int(train.sum()) // 100)  # words of a few copies of one document tell nothing
+    return np.flatnonzero((total >= least) & (ratio >= MIN_RATIO))
 
 
 def fit(documents: list[np.ndarray], labels: np.ndarray) -> Model:
     """Train on bags given as arrays of (feature, sentence number) pairs; every HELD-th bag calibrates."""
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(FEATURES), -30.0, 1.0, 50.0)
+        return Model(np.zeros(FEATURES, dtype=np.float32), -30.0, 1.0, 50.0)
     held = np.arange(len(labels)) % HELD == HELD - 1
     if len(set(labels[held].tolist())) < 2:
         held[:] = True
-    doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    pairs = np.concatenate(documents) if documents else np.zeros((0, 2), np.int64)
-    feature, number = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+    doc = np.repeat(np.arange(len(documents), dtype=np.int32), [len(d) for d in documents])
+    feature, number = (np.concatenate([d[:, k] for d in documents]) for k in (0, 1))
     y = labels.astype(float)
     train = ~held if (~held).any() and len(set(labels[~held].tolist())) == 2 else np.ones(len(y), bool)
-    every = np.unique(doc * (1 << 32) + number) >> 32
-    sentences_of = np.bincount(every, minlength=len(y))
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])]) if len(doc) else np.zeros(0, bool)
+    sentences_of = np.bincount(doc[new], minlength=len(y))
     keep = np.isin(feature, _telling(feature, doc, y, train))
     feature, number, doc = feature[keep], number[keep], doc[keep]
-    sentence = np.cumsum(np.diff(doc * (1 << 32) + number, prepend=-1) != 0) - 1
+    sentence = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) - 1 if len(doc) else np.zeros(0, np.int64)
     first = np.flatnonzero(np.diff(sentence, prepend=-1))
     bag = doc[first]
     plain = sentences_of - np.bincount(bag, minlength=len(y))  # sentences without telling words
@@ -160,11 +177,11 @@ def fit(documents: list[np.ndarray], labels: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     w, bias = w[:-2], w[-2]
-    weights = np.zeros(FEATURES)
+    weights = np.zeros(FEATURES, dtype=np.float32)
     weights[used] = w
     z = _logits(w[code], first) + bias
-    clean = -np.bincount(bag, _softplus(z), len(y)) - plain * _softplus(bias)
-    x = np.log(np.expm1(np.maximum(-clean[held], 1e-12)))
+    clean = -np.bincount(bag, _evidence(z, bias), len(y))
+    x = _odds(clean[held])
     order = np.argsort(-x)
     hit = np.cumsum(y[held][order])
     f1 = 2 * hit / (np.arange(1, len(hit) + 1) + max(1.0, y[held].sum()))
@@ -190,13 +207,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def hashed(batches):
         for batch in batches:
             texts = [t.encode("utf-8", "replace") for t in batch["__text"]]
-            out: list[bytes] = [b""] * len(texts)
+            out: list[bytes | None] = [b""] * len(texts)
             for own, feature, number, text in sentences(texts):
                 cuts = np.searchsorted(text, np.arange(len(own) + 1))
                 for k, i in enumerate(own):
-                    a, b = cuts[k], min(cuts[k + 1], cuts[k] + MAX_WORDS)
-                    out[i] = np.stack([feature[a:b], number[a:b] - (number[a] if b > a else 0)], axis=1).astype(np.int32).tobytes()
-            yield pd.DataFrame({"id": batch["__id"], "label": batch["__label"], "words": out})
+                    a, b = cuts[k], cuts[k + 1]
+                    fits = b - a <= MAX_WORDS * (1 + len(HEADS))
+                    out[i] = np.stack([feature[a:b], number[a:b] - (number[a] if b > a else 0)], axis=1).astype(np.int32).tobytes() if fits else None
+            yield pd.DataFrame({"id": batch["__id"], "label": batch["__label"], "words": out}).dropna()
 
     rows = training_rows(docs, labels, id_col, text_col, label_col).mapInPandas(hashed, "id long, label int, words binary")
     got = sorted(((r.id, r.label, bytes(r.words)) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
@@ -216,13 +234,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         for own, feature, number, owner in sentences(texts):
             first, z = model.sentence_logits(feature, number * len(own) + owner)
             at = np.array(own)[owner[first]] if len(first) else np.zeros(0, np.int64)
-            clean -= np.bincount(at, _softplus(z), n)
+            clean -= np.bincount(at, _evidence(z, model.bias), n)
             count += np.bincount(at, minlength=n)
             place = np.arange(len(at)) - np.searchsorted(at, at)
             order = np.lexsort((place, -z, at))
             lead = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
             worst[at[lead]] = place[lead]
-            for k in np.flatnonzero(_softplus(z) >= np.log1p(np.exp(model.cut))):
+            for k in np.flatnonzero(_evidence(z, model.bias) >= np.log1p(np.exp(model.cut))):
                 offending[at[k]].append(int(place[k]))
         return pd.DataFrame({"score": model.calibrated(clean), "sentences": count, "worst": pd.Series(worst).where(worst >= 0).astype("Int64"), "offending": offending})
 
