@@ -1,7 +1,7 @@
 """Registered queries over the standard tables, and the SQL that each must equal."""
 
-from . import changes, extraction, matching, measures, pricing, reads, texts
+from . import changes, extraction, matching, measures, more, pricing, reads, texts
 
-_MODULES = (pricing, reads, texts, matching, measures, changes, extraction)
+_MODULES = (pricing, reads, texts, matching, measures, changes, extraction, more)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
