@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder
+
 #: Groups that hold at least this share of all rows are joined by broadcast, so at most 1/HOT_SHARE of them exist.
 HOT_SHARE = 1 / 2000
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one of our own only where that setting is missing (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="ordlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ordlake-{uuid.uuid4().hex}"
+#: Rows of one long that may be broadcast: 16 MB or so.
+BROADCAST_ROWS = 1 << 20
 
 
 def save(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
+    path = f"{folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +37,15 @@ def key_join(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: in
     return first.unionByName(rest)
 
 
+def small_join(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined to a written table of single keys; it is broadcast if it has at most BROADCAST_ROWS rows.
+
+    So wide rows are shuffled only where the keys are too many to be sent to every task.
+    """
+    few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(side) if few else side, key, how)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
