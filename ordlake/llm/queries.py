@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, suffix_dedup, toxicity
-from .common import tables
+from .common import save, tables
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ QUERIES |= {"op3_minhash": op3_minhash, "op7_sentence_dedup": op7_sentence_dedup
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_documents(tables(spark, sf_dir, "documents"))
+    measured = mixing.measure(tables(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).drop("text")
+    mixed = mixing.mix_measured(save(measured, "measured"))
     cell = lambda i: F.element_at("mix.cell", i)
     return mixed.select("doc_id", cell(1).alias("source"), cell(2).alias("lang"), cell(3).alias("topic"), "mix.tokens", "mix.weight", "mix.probability", "mix.selected")
 
