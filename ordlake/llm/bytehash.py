@@ -13,7 +13,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes in one numpy pass; longer texts are cut between words.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

@@ -49,7 +49,6 @@ def runs(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[int
     real = np.flatnonzero(words)  # sentences without words don't count
     hashes, firsts = [], []
     cuts = np.searchsorted(owner[real], np.arange(len(texts) + 1))
-    offset = np.searchsorted(owner, np.arange(len(texts)))
     for i in range(len(texts)):
         own = real[cuts[i] : cuts[i + 1]]
         n = len(own) - SPAN + 1
@@ -64,7 +63,6 @@ def runs(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[int
         keep = size >= MIN_WORDS
         hashes.append(total[keep].view(np.int64))
         firsts.append(np.flatnonzero(keep).astype(np.int32))
-    del offset
     return hashes, firsts, [len(s) for s in spans]
 
 

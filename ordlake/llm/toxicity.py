@@ -127,7 +127,10 @@ def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndar
     seen = np.unique(feature.astype(np.int64) * n + doc)
     seen = seen[train[seen % n]]
     f, d = seen // n, seen % n
+    least = max(MIN_DOCS, int(train.sum()) // 100)  # words of a few copies of one document tell nothing
     total, pos = np.bincount(f, minlength=FEATURES), np.bincount(f, y[d], FEATURES)
+    often = np.flatnonzero(total >= least)
+    total, pos = total[often], pos[often]
     n1, n0 = (y * train).sum(), ((1 - y) * train).sum()
 
     def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -136,8 +139,7 @@ def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndar
     share = n1 / (n1 + n0)
     rest, rest_pos = n1 + n0 - total, n1 - pos
     ratio = part(pos, total * share) + part(total - pos, total * (1 - share)) + part(rest_pos, rest * share) + part(rest - rest_pos, rest * (1 - share))
-    least = max(MIN_DOCS, int(train.sum()) // 100)  # words of a few copies of one document tell nothing
-    return np.flatnonzero((total >= least) & (ratio >= MIN_RATIO))
+    return often[ratio >= MIN_RATIO]
 
 
 def fit(documents: list[np.ndarray], labels: np.ndarray) -> Model:
@@ -153,7 +155,9 @@ def fit(documents: list[np.ndarray], labels: np.ndarray) -> Model:
     train = ~held if (~held).any() and len(set(labels[~held].tolist())) == 2 else np.ones(len(y), bool)
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])]) if len(doc) else np.zeros(0, bool)
     sentences_of = np.bincount(doc[new], minlength=len(y))
-    keep = np.isin(feature, _telling(feature, doc, y, train))
+    tells = np.zeros(FEATURES, dtype=bool)
+    tells[_telling(feature, doc, y, train)] = True
+    keep = tells[feature]
     feature, number, doc = feature[keep], number[keep], doc[keep]
     sentence = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) - 1 if len(doc) else np.zeros(0, np.int64)
     first = np.flatnonzero(np.diff(sentence, prepend=-1))
