@@ -29,9 +29,9 @@ def json_table(spark: SparkSession, path: str, schema: str, multi_line: bool = T
     return parsed.filter("r.__bad is null").select("r.*", "path").drop("__bad"), parsed.filter("r.__bad is not null").select("path", F.col("value").alias("record"))
 
 
-def price_list(spark: SparkSession, path: str) -> DataFrame:
+def price_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Price catalogue from JSON; rows without a code are dropped, the last of equal codes wins."""
-    rows, _ = json_table(spark, path, PRICE)
+    rows, _ = json_table(spark, path, PRICE, multi_line)
     return rows.filter(F.trim(F.coalesce("code", F.lit(""))) != "").groupBy("code").agg(*[F.max_by(c, F.struct("path", "name")).alias(c) for c in _names(PRICE) if c != "code"])
 
 
