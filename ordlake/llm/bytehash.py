@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -55,6 +56,31 @@ def blocks(texts: list[bytes], limit: int = BLOCK) -> Iterator[list[int]]:
         yield own
 
 
+def slices(size: np.ndarray, limit: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most rows rows that together have at most limit bytes; a larger row stands alone."""
+    end, at = np.cumsum(size), 0
+    while at < len(size):
+        fit = int(np.searchsorted(end, (end[at - 1] if at else 0) + limit, side="right"))
+        stop = min(max(fit, at + 1), at + rows)
+        yield at, stop
+        at = stop
+
+
+def sizes(text: pa.Array) -> np.ndarray:
+    """Bytes of each text of an Arrow array; null has none."""
+    offsets = buffers(text)[1]
+    return np.diff(offsets)
+
+
+def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, n + 1 offsets from 0) of an Arrow array, not decoded."""
+    b = text.cast(pa.large_binary())
+    if not len(b):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(b.buffers()[1], np.int64)[b.offset : b.offset + len(b) + 1]
+    return np.frombuffer(b.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lowered bytes, start, end, hash) of the words of one block."""
     b = _LOWER[np.frombuffer(data, dtype=np.uint8)]
