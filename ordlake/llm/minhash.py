@@ -4,11 +4,14 @@ A document is its multiset of five-word shingles, weighted by their counts. Each
 whose rate is its weight; arrivals fall on registers at random and every register keeps its earliest arrival, so
 two documents agree in a register with the probability Jaccard similarity of their weights. Arrivals are drawn in
 windows of time and a document stops as soon as all its registers are filled. Bands of registers give buckets;
-members of a bucket are compared with a few leaders, never with all others. Pairs whose registers agree are verified
-by the exact probability Jaccard of the whole texts, and verified links are closed to clusters.
+members of a bucket are compared with a few leaders first. Where that leaves a bucket in several clusters, all its
+pairs across clusters are compared as well. Pairs whose registers agree are verified by the exact probability Jaccard
+of the whole texts, and verified links are closed to clusters.
 
 Equal texts are one class and compared once. Large buckets are reduced in each task and their leaders broadcast
-(a bounded number), so a third of all rows may share one.
+(a bounded number), so a third of all rows may share one. What the leaders leave is compared in cells of a grid of
+at most about 2 * BLOCK members, so no task holds a bucket; the work grows with the bucket's size times the number
+of its members outside its largest cluster.
 
 Defined results: a null text is empty; texts without words equal only identical texts; texts of under five words
 are one shingle; the least doc_id of a cluster stays (null is the least); of repeated rows one stays; an empty
@@ -32,8 +35,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 registers: a pair of similarity 0.8 is missed with probability 0.0002.
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
-#: Leaders of a bucket with which its members are compared.
+#: Leaders of a bucket with which its members are compared first.
 LEADERS = 8
+#: Members of a side of a cell, in which the rest of a bucket is compared.
+BLOCK = 256
 #: Pairs whose registers agree less are not verified; at similarity 0.8 that is 3.6 standard errors below.
 ESTIMATE = 0.62
 #: Pairs verified, and texts hashed, at a time: at most so many and so many bytes of text.
@@ -193,10 +198,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (a, b, similarity) between classes; row of texts and node of classes agree."""
     buckets = save(classes.select("node", F.explode("bands").alias("band")), "buckets")
+    n = buckets.count()
     order = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node")).alias(f"l{k}")
     leaders = buckets.groupBy("band").agg(F.count("*").alias("n"), *[order(k) for k in range(LEADERS)]).filter("n > 1")
     leaders = save(leaders.select("band", "n", F.array_distinct(F.array(*[f"l{k}.node" for k in range(LEADERS)])).alias("leaders")), "leaders")
-    met = key_join(buckets, leaders, "band", "n", buckets.count()).select(F.col("node").alias("member"), F.explode("leaders").alias("leader")).filter("member <> leader")
+    met = key_join(buckets, leaders, "band", "n", n).select(F.col("node").alias("member"), F.explode("leaders").alias("leader")).filter("member <> leader")
     met = save(met.groupBy("member").agg(F.collect_set("leader").alias("leaders")), "met")  # at most BANDS * LEADERS of each
     own = lambda name: classes.select(F.col("node").alias(name), F.col("registers").alias(f"r_{name}"))
     near = met.join(own("member"), "member").withColumn("leader", F.explode("leaders")).drop("leaders").join(own("leader"), "leader")
@@ -207,7 +213,63 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda name: known.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
     checked = pairs.join(side("a"), "a").join(side("b"), "b")
     verify = F.arrow_udf(similarity, "double").asNondeterministic()  # else the filter's copy of it runs as well
-    return checked.select("a", "b", verify("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= SIMILARITY - 1e-12)
+    links = checked.select("a", "b", verify("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= SIMILARITY - 1e-12)
+    links = save(links, "led")
+    open_buckets = leaders.filter(F.col("n") > F.size("leaders") + 1)  # pairs of members that are both no leaders
+    rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "node")
+    return links.unionByName(_rest_links(rest, links, pairs, texts, classes.select("node", "registers")))
+
+
+def _rest_links(rest: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links between all members (band, node) of each bucket that links leave in different clusters."""
+    placed = rest.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = save(placed.select("band", "node", "component"), "placed_rest")
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("band").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("main"))
+    sizes = save(sizes.filter("n > main.m").select("band", "n", "main"), "open")
+    blocks = lambda k: F.ceil(k / BLOCK).cast("long")
+    held = key_join(placed, sizes, "band", "n", placed.count()).withColumn("us", blocks(F.col("n") - F.col("main.m"))).withColumn("vs", blocks(F.col("n")))
+    held = save(held.join(classes, "node").withColumn("by", F.xxhash64("node")), "held")
+    cell = lambda outer, u, v: held.filter(outer).select("band", u.alias("u"), v.alias("v"), F.lit(outer != "true").alias("outer"), "node", "component", "registers")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    at = lambda k: F.pmod("by", F.col(k))
+    cells = cell("component <> main.component", at("us"), every("vs")).unionByName(cell("true", every("us"), at("vs")))
+    found = cells.groupBy("band", "u", "v").applyInPandas(_across, "a long, b long, band long, u long, v long")
+    found = found.groupBy("a", "b").agg(F.min(F.struct("band", "u", "v")).alias("cell")).join(tried, ["a", "b"], "left_anti")
+    found = save(found.select("a", "b", F.col("cell.band").alias("band"), F.col("cell.u").alias("u"), F.col("cell.v").alias("v")), "found")
+    wanted = found.select(F.struct("band", "u", "v").alias("cell"), F.explode(F.array("a", "b")).alias("row")).distinct()
+    known = small_join(texts, save(wanted.select("row").distinct(), "wanted_rest"), "row", "inner")
+    sent = save(known, "texts_rest").join(wanted, "row")
+    x = lambda name: F.col(f"cell.{name}").alias(f"cell_{name}")
+    sent = sent.select("row", "text", x("band"), x("u"), x("v")).groupBy("cell_band", "cell_u", "cell_v")
+    return sent.cogroup(found.groupBy("band", "u", "v")).applyInPandas(_verify, "a long, b long, similarity double")
+
+
+def _across(cell: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a cell's sides whose registers agree and whose clusters differ."""
+    u, v = cell[cell["outer"]], cell[~cell["outer"]]
+    if u.empty or v.empty:
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("a", "b", "band", "u", "v")})
+    x, y = (np.frombuffer(b"".join(s["registers"]), np.uint16).reshape(-1, REGISTERS).T.copy() for s in (u, v))
+    agree = np.zeros((len(u), len(v)), np.uint8)
+    for r in range(REGISTERS):
+        agree += x[r][:, None] == y[r]
+    i, j = np.nonzero((agree >= ESTIMATE * REGISTERS) & (u["component"].to_numpy()[:, None] != v["component"].to_numpy()))
+    m, k = u["node"].to_numpy()[i], v["node"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(m, k), "b": np.maximum(m, k)}).drop_duplicates().assign(**{c: cell[c].iloc[0] for c in ("band", "u", "v")})
+
+
+def _verify(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Verified links of one cell; each text is shingled once."""
+    sets: dict[int, tuple] = {}
+    rows = texts["row"].to_numpy()
+    for own, h, counts in bytehash.word_hashes([t.encode("utf-8", "replace") for t in texts["text"]]):
+        doc, key, weight = shingles(h, counts)
+        cuts = np.searchsorted(doc, np.arange(len(own) + 1))
+        for k, i in enumerate(own):
+            sets[int(rows[i])] = key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]
+    value = np.array([probability_jaccard(sets[a], sets[b]) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)], dtype=float)
+    return pairs[["a", "b"]].assign(similarity=value)[value >= SIMILARITY - 1e-12]
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

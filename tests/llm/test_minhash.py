@@ -87,3 +87,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[100] == got[70] == got[50] == 50
+
+
+def test_pairs_inside_a_family_of_one_template(spark, tmp_path):
+    base, pairs = " ".join(f"t{i}" for i in range(60)), 60
+    tail = lambda i, k: " ".join(f"own{i}x{j}" for j in range(k))
+    texts = [f"{base} {tail(i, 8)}" for i in range(600)]
+    texts += [f"{base} {tail(i, 4)} {tail(10_000 + i, 4)}" for i in range(pairs)]
+    sets, _ = sets_of(texts)
+    assert m.probability_jaccard(sets[0], sets[1]) < 0.8 <= m.probability_jaccard(sets[0], sets[600])
+    path = str(tmp_path / "family.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r for r in m.near_duplicates(spark.read.parquet(path)).collect()}
+    sizes = Counter(r.cluster_size for r in got.values())
+    assert sum(got[i].cluster_id == got[600 + i].cluster_id for i in range(pairs)) == pairs
+    assert sizes == {1: 600 - pairs, 2: 2 * pairs}
