@@ -127,9 +127,8 @@ def _telling(feature: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndar
     seen = np.unique(feature.astype(np.int64) * n + doc)
     seen = seen[train[seen % n]]
     f, d = seen // n, seen % n
-    least = max(MIN_DOCS, int(train.sum()) // 100)  # words of a few copies of one document tell nothing
     total, pos = np.bincount(f, minlength=FEATURES), np.bincount(f, y[d], FEATURES)
-    often = np.flatnonzero(total >= least)
+    often = np.flatnonzero(total >= MIN_DOCS)
     total, pos = total[often], pos[often]
     n1, n0 = (y * train).sum(), ((1 - y) * train).sum()
 

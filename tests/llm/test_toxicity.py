@@ -56,3 +56,23 @@ def test_only_allowed_rows_train(labelled):
     docs, labels, _ = labelled
     used = m.training_rows(docs, labels, "doc_id", "text", "toxic")
     assert used.filter(F.crc32(F.col("__id").cast("string")) % 3 == 1).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.01, 0.03])
+def test_words_below_one_in_a_hundred_documents_tell(share):
+    r = random.Random(8)
+    words = ["Grumble", "Snark", "Blarg", "Zounds"]
+    texts = [prose(r, r.randint(20, 60)) for _ in range(4500)]
+    labels = [int(i % round(1 / share) == 0) for i in range(4500)]
+    bad = [i for i, y in enumerate(labels) if y]
+    for k, i in enumerate(bad):
+        texts[i] = f"{words[k % 4]} you. {texts[i]}"
+    bags, data = [None] * 4500, [t.encode() for t in texts]
+    for own, feature, number, text in m.sentences(data):
+        for k, i in enumerate(own):
+            bags[i] = m.np.stack([feature[text == k], number[text == k]], axis=1).astype(m.np.int32)
+    model = m.fit(bags, m.np.array(labels))
+    score = [float(model.calibrated(-m._evidence(model.sentence_logits(b[:, 0], b[:, 1])[1], model.bias).sum())) for b in bags]
+    got = [s >= m.THRESHOLD for s in score]
+    assert sum(got[i] for i in bad) >= 0.95 * len(bad)
+    assert sum(got) - sum(got[i] for i in bad) <= 0.005 * 4500
