@@ -6,7 +6,7 @@ from prefix sums of byte * BASE^position modulo 2^64, so a whole block of texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,13 @@ def slices(size: np.ndarray, limit: int, rows: int) -> Iterator[tuple[int, int]]
         at = stop
 
 
+def by_bytes(text: pa.Array, fn: Callable[[pa.Array], pa.Array], kind: pa.DataType, limit: int, rows: int = 1 << 12) -> pa.Array:
+    """fn over consecutive parts of an Arrow array, so that what fn holds is bounded by bytes; unused memory goes back."""
+    parts = [fn(text.slice(i, j - i)) for i, j in slices(sizes(text), limit, rows)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def sizes(text: pa.Array) -> np.ndarray:
     """Bytes of each text of an Arrow array; null has none."""
     offsets = buffers(text)[1]

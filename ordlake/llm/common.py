@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import folder
@@ -13,6 +13,19 @@ HOT_SHARE = 1 / 2000
 BROADCAST_ROWS = 1 << 20
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def new_column(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with one more column, called free_name(df, name); no column of df is replaced."""
+    return df.withColumn(free_name(df, name), value)
+
+
 def save(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

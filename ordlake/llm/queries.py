@@ -31,10 +31,14 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(tables(spark, sf_dir, "documents"))
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """doc_id with the digests of a text's tokens; the pipeline ends with this as well."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("token_ids"), path).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return tokens.select("doc_id", byte_bpe.digests(F.col("token_ids"), path).alias("d")).select("doc_id", "d.*")
 
 
 QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op6_mpeg_audio": op6_mpeg_audio, "op10_byte_bpe": op10_byte_bpe}
@@ -85,8 +89,8 @@ QUERIES |= {"op3_minhash": op3_minhash, "op7_sentence_dedup": op7_sentence_dedup
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = mixing.measure(tables(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).drop("text")
-    mixed = mixing.mix_measured(save(measured, "measured"))
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mixing.mix_documents(docs, stored=lambda df: save(df.drop("text"), "measured"))
     cell = lambda i: F.element_at("mix.cell", i)
     return mixed.select("doc_id", cell(1).alias("source"), cell(2).alias("lang"), cell(3).alias("topic"), "mix.tokens", "mix.weight", "mix.probability", "mix.selected")
 

@@ -6,6 +6,7 @@ import random
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -24,17 +25,30 @@ def test_equals_the_library(spark, docs, texts):
     r = random.Random(2)
     own = [t for _, t in texts] + ["".join(r.choice(" \n\t'stréÜ09日本🙂!?aab  ́") for _ in range(r.randint(0, 200))) for _ in range(300)] + ["a" * 3000, "aaaa aaa aa", "<|endoftext|>"]
     df = spark.createDataFrame(list(enumerate(own)), "n long, text string")
-    coded = m.decode(m.encode(df, PATH, public_tokenizers.PATTERN), PATH).withColumn("sha", m.ids_sha256(F.col("token_ids"), PATH))
+    coded = m.decode(m.encode(df, PATH, public_tokenizers.PATTERN), PATH).withColumn("d", m.digests(F.col("token_ids"), PATH))
     enc = library()
     for x in coded.collect():
         ids = enc.encode_ordinary(x.text or "")
         assert x.token_ids == ids, repr(x.text)
         assert bytes(x.decoded) == (x.text or "").encode()
-        assert x.sha == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert x.d.n_tokens == len(ids) and x.d.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert x.d.decoded_sha256 == hashlib.sha256((x.text or "").encode()).hexdigest()
 
 
 def test_edges(empty, spark):
     assert m.decode(m.encode(empty, PATH, public_tokenizers.PATTERN), PATH).count() == 0
     got = m.decode(spark.createDataFrame([(None,), ([],)], "token_ids array<int>"), PATH).collect()
     assert [bytes(r.decoded) for r in got] == [b"", b""]
-    assert m.encode_words(pa.array([], pa.list_(pa.string())), m.Vocabulary.at(PATH)).to_pylist() == []
+    mine = m.encode(spark.createDataFrame([("a", 5)], "text string, token_ids int"), PATH, public_tokenizers.PATTERN).first()
+    assert mine.token_ids == 5 and len(mine.token_ids_) == 1
+
+
+def test_small_parts_change_nothing(texts, monkeypatch):
+    pattern, v = regex.compile(public_tokenizers.PATTERN), m.Vocabulary.at(PATH)
+    own = pa.array([t for _, t in texts])
+    whole = m.encode_texts(own, v, pattern)
+    spelled = [bytes(x) for x in m._spelled(whole, v.tokens)]
+    for name, value in (("PART", 200), ("WORD_CHARS", 300), ("PIECE", 70)):
+        monkeypatch.setattr(m, name, value)
+    assert m.encode_texts(own, v, pattern).equals(whole)
+    assert [bytes(x) for x in m._spelled(whole, v.tokens)] == spelled == [(t or "").encode() for _, t in texts]

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,20 +61,48 @@ def test_only_allowed_rows_train(labelled):
 
 
 @pytest.mark.parametrize("share", [0.01, 0.03])
-def test_words_below_one_in_a_hundred_documents_tell(share):
+def test_words_below_one_in_a_hundred_documents_tell(spark, share):
     r = random.Random(8)
     words = ["Grumble", "Snark", "Blarg", "Zounds"]
-    texts = [prose(r, r.randint(20, 60)) for _ in range(4500)]
-    labels = [int(i % round(1 / share) == 0) for i in range(4500)]
-    bad = [i for i, y in enumerate(labels) if y]
-    for k, i in enumerate(bad):
+    n, every = 4500, round(1 / share)
+    texts = [prose(r, r.randint(20, 60)) for _ in range(n)]
+    for k, i in enumerate(range(0, n, every)):
         texts[i] = f"{words[k % 4]} you. {texts[i]}"
-    bags, data = [None] * 4500, [t.encode() for t in texts]
-    for own, feature, number, text in m.sentences(data):
-        for k, i in enumerate(own):
-            bags[i] = m.np.stack([feature[text == k], number[text == k]], axis=1).astype(m.np.int32)
-    model = m.fit(bags, m.np.array(labels))
-    score = [float(model.calibrated(-m._evidence(model.sentence_logits(b[:, 0], b[:, 1])[1], model.bias).sum())) for b in bags]
-    got = [s >= m.THRESHOLD for s in score]
-    assert sum(got[i] for i in bad) >= 0.95 * len(bad)
-    assert sum(got) - sum(got[i] for i in bad) <= 0.005 * 4500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % every == 0).cast("int").alias("toxic"))
+    got = m.score(docs, m.train(docs, labels)).select("doc_id", (F.col("toxicity.score") >= m.THRESHOLD).alias("p")).collect()
+    assert sum(x.p for x in got if x.doc_id % every == 0) >= 0.95 * len(range(0, n, every))
+    assert sum(x.p for x in got if x.doc_id % every) <= 0.005 * n
+
+
+def test_long_documents_train(spark):
+    r = random.Random(9)
+    rows = [(i, prose(r, 1700) + (" Grumble you." if i % 3 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = m.train(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    got = m.score(docs, model).select("doc_id", "toxicity.score").collect()
+    assert all((x.score >= m.THRESHOLD) == (x.doc_id % 3 == 0) for x in got)
+
+
+def test_score_is_a_plain_noisy_or(labelled):
+    docs, labels, _ = labelled
+    model = m.train(docs, labels)
+    softplus = lambda x: math.log1p(math.exp(x))
+    for r in m.score(docs, model).filter("doc_id < 60").collect():
+        clean, n = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", r.text):
+            words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", sentence)
+            if words:
+                n += 1
+                weights = [float(model.weights[f]) for _, features, _, _ in m.sentences([sentence.encode()]) for f in features]
+                clean *= math.exp(-max(0.0, softplus(sum(weights) + model.bias) - softplus(model.bias)))
+        odds = math.log(max(1 - clean, 1e-12)) - math.log(clean)
+        assert n == r.toxicity.sentences
+        assert abs(r.toxicity.score - 1 / (1 + math.exp(-(odds - model.cut + math.log(0.7 / 0.3))))) < 1e-4
+
+
+def test_a_column_of_the_result_s_name_stays(spark, labelled):
+    model = m.train(*labelled[:2])
+    df = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, toxicity string")
+    r = m.score(df, model).first()
+    assert r.toxicity == "mine" and r.toxicity_.sentences == 1
