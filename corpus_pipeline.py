@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordlake.llm import byte_bpe, exact_dedup, minhash, mixing, toxicity
-from ordlake.llm.common import save, tables
+from ordlake.llm import exact_dedup, minhash, mixing, toxicity
+from ordlake.llm.common import free_name, save, tables
+from ordlake.llm.queries import coded
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; the model learns from the documents given."""
     model = toxicity.train(docs.select("doc_id", "text"), tables(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out_col="__toxicity")
-    return scored.filter(F.col("__toxicity.score") < toxicity.THRESHOLD).drop("__toxicity")
+    name = free_name(docs, "toxicity")
+    return toxicity.score(docs, model).filter(F.col(f"{name}.score") < toxicity.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target shares of sources, languages and topics."""
-    return mixing.mix_documents(docs).filter("mix.selected").drop("mix")
+    name = free_name(docs, "mix")
+    return mixing.mix_documents(docs, out_col=name).filter(F.col(f"{name}.selected")).drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what the tokens encode and decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("token_ids"), path).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", sample_mix), ("byte-level BPE", tokens)]
