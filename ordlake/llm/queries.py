@@ -59,7 +59,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(tables(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["base"])
     counts = [F.size(F.array_compact(F.transform(base, _is(k)))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    size = lambda keep: F.size(F.filter("pii", keep)).cast("long")
+    more = [F.size("pii").cast("long").alias("n_spans"), size(lambda s: s["kind"] == "secret").alias("n_secret"), size(lambda s: ~s["base"] & (s["kind"] != "secret")).alias("n_other")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), *more)
 
 
 QUERIES |= {"op1_license_scan": op1_license_scan, "op2_pii": op2_pii}
