@@ -1,25 +1,32 @@
-"""Operator 6: media columns holding MPEG-1 Layer III audio.
+"""Operator 6: media columns holding MPEG audio (Layer III of MPEG-1, 2 and 2.5).
 
-Reading walks a stored stream as a player would: it parses an ID3v2 tag, finds frame headers again after foreign
-bytes (a header counts if the next one follows where it says, the stream ends there, or its checksum is right),
-parses the Xing table of variable-bitrate streams, verifies the CRC-16 of protected frames and keeps exact
-durations (samples over rate) and the byte offset of every frame. Writing stores arbitrary bytes losslessly as the
-ancillary data of silent frames, with a tag, a Xing table and checksums.
+Reading walks a stored stream as a player would: it parses ID3v2 and ID3v1 tags, finds frame headers again after
+foreign bytes (a header counts if the next one follows where it says, the stream ends there, or its checksum is
+right), parses the table of variable-bitrate streams (Xing, Info or VBRI: frames, bytes, seek table), verifies the
+CRC-16 of protected frames and keeps exact durations (samples and rate) and the byte offset of every frame. Writing
+stores arbitrary bytes losslessly as the ancillary data of silent frames, with a tag, a Xing table and checksums.
 
 Defined results: null media or media without frames has 0 frames, 0 duration and an empty payload; a truncated
-last frame is not counted; a null text is stored as the empty one; equal texts give equal streams; other columns
-are untouched.
+last frame is not counted; tags and tables that are cut off or hold nonsense are read as far as they go and never
+fail; bytes that belong to no tag or frame are counted as junk; a null text is stored as the empty one; equal texts
+and repeated rows give equal streams; an empty table gives an empty result; other columns are untouched, and where
+the input has a column of the result's name already, the result's name gets underscores until it is free.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the MPEG-1 Layer III format: kbit/s by index 1..14, sample rates by index, samples of a frame.
+from . import bytehash
+from .common import new_column
+
+# Fixed values of the MPEG format: kbit/s by index 1..14 and sample rates by index of MPEG-1, kbit/s of MPEG-2 and
+# 2.5, whose rates are a half and a quarter, samples of a frame (half in MPEG-2 and 2.5).
 KBPS = [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+KBPS_LOW = [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]
 RATES = [44100, 48000, 32000]
 SAMPLES = 1152
 #: Bytes of a mono frame before its main data: header, CRC, side information.
@@ -27,7 +34,9 @@ HEAD, CRC, SIDE = 4, 2, 17
 RATE_INDEX = 2
 LENGTHS = [144 * k * 1000 // RATES[RATE_INDEX] for k in KBPS]
 
-FIELDS = "payload binary, n_frames long, samples long, sample_rate int, is_vbr boolean, crc_checked long, crc_bad long, junk_bytes long, tags map<string,string>, seek_offsets array<long>, xing_frames long"
+FIELDS = "payload binary, n_frames long, samples long, sample_rate int, duration double, is_vbr boolean, crc_checked long, crc_bad long, junk_bytes long, tags map<string,string>, seek_offsets array<long>, table_frames long, table_bytes long, table_toc array<int>"
+#: Bytes of media that are read or written at a time.
+PART = 1 << 21
 
 
 def _crc_table() -> np.ndarray:
@@ -94,40 +103,79 @@ def write_stream(payload: bytes) -> bytes:
     return _tag({"payload_bytes": str(len(payload))}) + _frames(0, xing) + audio
 
 
+def _number(x: str) -> int | None:
+    return int(x) if x.isascii() and x.isdigit() and len(x) < 19 else None
+
+
 def _parse_tag(data: bytes) -> tuple[int, dict[str, str]]:
+    """(end, texts) of an ID3v2 tag at the start."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0, {}
-    end = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+    end = min(10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]), len(data))
     at, tags = 10, {}
-    while at + 10 <= min(end, len(data)) and data[at]:
-        size = int.from_bytes(data[at + 4 : at + 8], "big")
-        key, body = data[at : at + 4].decode("latin-1"), data[at + 11 : at + 10 + size]
+    while at + 10 <= end and data[at]:
+        size = data[at + 4 : at + 8]
+        size = size[0] << 21 | size[1] << 14 | size[2] << 7 | size[3] if data[3] >= 4 else int.from_bytes(size, "big")
+        key, body = data[at : at + 4].decode("latin-1"), data[at + 11 : min(at + 10 + size, end)]
         if key == "TXXX":
             name, _, value = body.partition(b"\0")
-            tags[name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-        else:
-            tags[key] = body.decode("utf-8", "replace")
+            key, body = name.decode("utf-8", "replace"), value
+        tags[key] = body.decode("utf-8", "replace")
         at += 10 + size
-    return min(end, len(data)), tags
+    return end, tags
+
+
+def _parse_old_tag(data: bytes) -> tuple[int, dict[str, str]]:
+    """(start, texts) of an ID3v1 tag at the end."""
+    if len(data) < 128 or data[-128:-125] != b"TAG":
+        return len(data), {}
+    field = lambda i, n: data[-128:][i : i + n].split(b"\0")[0].decode("latin-1").strip()
+    return len(data) - 128, {k: v for k, v in (("title", field(3, 30)), ("artist", field(33, 30)), ("album", field(63, 30)), ("year", field(93, 4))) if v}
 
 
-def _frame_of(head: bytes) -> tuple[int, int, bool, int] | None:
-    """(length, sample rate, protected, side bytes) by a header of MPEG-1 Layer III, or None."""
-    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xFE != 0xFA:
+def _frame_of(head: bytes) -> tuple[int, int, bool, int, int] | None:
+    """(length, sample rate, protected, side bytes, samples) by a header of Layer III, or None."""
+    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE6 != 0xE2 or head[1] >> 3 & 3 == 1:
         return None
-    bitrate, rate = head[2] >> 4, head[2] >> 2 & 3
+    version, bitrate, rate, mono = head[1] >> 3 & 3, head[2] >> 4, head[2] >> 2 & 3, head[3] >> 6 == 3
     if not 1 <= bitrate <= 14 or rate == 3:
         return None
-    return 144 * KBPS[bitrate - 1] * 1000 // RATES[rate] + (head[2] >> 1 & 1), RATES[rate], not head[1] & 1, 17 if head[3] >> 6 == 3 else 32
+    first = version == 3
+    hertz = RATES[rate] // {3: 1, 2: 2, 0: 4}[version]
+    kbps = (KBPS if first else KBPS_LOW)[bitrate - 1]
+    side = (17 if mono else 32) if first else (9 if mono else 17)
+    return (144 if first else 72) * kbps * 1000 // hertz + (head[2] >> 1 & 1), hertz, not head[1] & 1, side, SAMPLES if first else SAMPLES // 2
+
+
+def _table_of(data: bytes, offset: int, frame: tuple) -> tuple[int | None, int | None, list[int]] | None:
+    """(frames, bytes, seek table) of a variable-bitrate table in the frame at offset, or None."""
+    end = offset + frame[0]
+    at = offset + HEAD + CRC * frame[2] + frame[3]
+    whole = lambda i, n=4: int.from_bytes(data[i : i + n], "big")
+    if data[at : at + 4] in (b"Xing", b"Info") and at + 8 <= end:
+        flags, at = whole(at + 4), at + 8
+        got: list[int | None] = [None, None]
+        for k in (0, 1):
+            if flags >> k & 1 and at + 4 <= end:
+                got[k], at = whole(at), at + 4
+        return got[0], got[1], list(data[at : at + 100]) if flags & 4 and at + 100 <= end else []
+    at = offset + HEAD + 32
+    if data[at : at + 4] == b"VBRI" and at + 26 <= end:
+        n, scale, size = whole(at + 18, 2), whole(at + 20, 2), whole(at + 22, 2)
+        n = min(n, (end - at - 26) // size) if size else 0
+        return whole(at + 14), whole(at + 10), [min(whole(at + 26 + i * size, size) * scale, (1 << 31) - 1) for i in range(n)]
+    return None
 
 
 def read_stream(data: bytes) -> dict:
     """What the stream holds, by FIELDS."""
     at, tags = _parse_tag(data)
+    n, old = _parse_old_tag(data[at:])
+    n += at
     known: dict[bytes, tuple | None] = {}
 
     def header(i: int) -> tuple | None:
-        head = data[i : i + 4]
+        head = data[i : min(i + 4, n)]
         if head not in known:
             known[head] = _frame_of(head)
         return known[head]
@@ -138,7 +186,6 @@ def read_stream(data: bytes) -> dict:
         return f[2] and int(crc16(own)[0]) == int.from_bytes(data[i + HEAD : i + HEAD + CRC], "big")
 
     offsets, junk, found = [], 0, []
-    n = len(data)
     while at < n:
         f = header(at)
         if f and at + f[0] <= n and (at + f[0] == n or header(at + f[0]) or verified(at, f)):
@@ -146,38 +193,42 @@ def read_stream(data: bytes) -> dict:
             offsets.append(at)
             at += f[0]
             continue
-        to = data.find(b"\xff", at + 1)
+        to = data.find(b"\xff", at + 1, n)
         to = n if to < 0 else to
         junk += to - at
         at = to
     bad = checked = 0
     raw = np.frombuffer(data, np.uint8)
     starts = np.array(offsets, dtype=np.int64)
-    for side in {f[3] for f in found if f[2]}:
-        own = starts[[f[2] and f[3] == side for f in found]]
+    for side in {f[3] for f in found if f[2] and f[0] >= HEAD + CRC + f[3]}:
+        own = starts[[f[2] and f[3] == side and f[0] >= HEAD + CRC + side for f in found]]
         at_bytes = np.concatenate([np.arange(2, HEAD), np.arange(HEAD + CRC, HEAD + CRC + side)])
         good = crc16(raw[own[:, None] + at_bytes]) == (raw[own + HEAD].astype(np.uint16) << np.uint16(8) | raw[own + HEAD + 1])
         checked, bad = checked + len(own), bad + int((~good).sum())
-    xing, body = None, []
-    for k, (o, f) in enumerate(zip(offsets, found, strict=True)):
-        main = o + HEAD + (CRC if f[2] else 0) + f[3]
-        if k == 0 and data[main : main + 4] in (b"Xing", b"Info"):
-            xing = int.from_bytes(data[main + 8 : main + 12], "big") if data[main + 7] & 1 else 0
-            continue
-        body.append(data[main : o + f[0]])
-    payload = b"".join(body)
-    if "payload_bytes" in tags:
-        payload = payload[: int(tags["payload_bytes"])]
-    played = len(found) - (xing is not None)
-    return {"payload": payload, "n_frames": played, "samples": SAMPLES * played, "sample_rate": found[0][1] if found else 0, "is_vbr": len({f[0] for f in found[xing is not None :]}) > 1, "crc_checked": checked, "crc_bad": bad, "junk_bytes": junk, "tags": tags, "seek_offsets": offsets[xing is not None :], "xing_frames": xing}
+    table = _table_of(data, offsets[0], found[0]) if found else None
+    first = int(table is not None)
+    payload = b"".join(data[o + HEAD + CRC * f[2] + f[3] : o + f[0]] for o, f in zip(offsets[first:], found[first:], strict=True))
+    size = _number(tags.get("payload_bytes", ""))
+    samples, rates = sum(f[4] for f in found[first:]), {f[1] for f in found[first:]}
+    duration = samples / next(iter(rates)) if len(rates) == 1 else sum(f[4] / f[1] for f in found[first:])
+    frames, total, toc = table or (None, None, None)
+    return {"payload": payload if size is None else payload[:size], "n_frames": len(found) - first, "samples": samples, "sample_rate": found[0][1] if found else 0, "duration": duration, "is_vbr": len({f[0] for f in found[first:]}) > 1, "crc_checked": checked, "crc_bad": bad, "junk_bytes": junk, "tags": old | tags, "seek_offsets": offsets[first:], "table_frames": frames, "table_bytes": total, "table_toc": toc}
+
+
+_NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+_KIND = pa.struct(list(zip(_NAMES, [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=True)))
+
 
+def _write(payload: pa.Array) -> pa.Array:
+    return bytehash.by_bytes(payload, lambda some: pa.array([write_stream(x or b"") for x in some.to_pylist()], pa.binary()), pa.binary(), PART)
 
-def _write(payload: pd.Series) -> pd.Series:
-    return payload.map(write_stream)
 
+def _read(media: pa.Array) -> pa.Array:
+    def some(media: pa.Array) -> pa.Array:
+        got = [read_stream(x or b"") for x in media.to_pylist()]
+        return pa.array([r | {"tags": list(r["tags"].items())} for r in got], _KIND)
 
-def _read(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_stream(x or b"") for x in media], columns=[f.split()[0] for f in FIELDS.split(", ")])
+    return bytehash.by_bytes(media, some, _KIND, PART)
 
 
 def payload_of(text: Column) -> Column:
@@ -189,9 +240,9 @@ def payload_of(text: Column) -> Column:
 
 def write_audio(docs: DataFrame, payload: Column, media_col: str = "media") -> DataFrame:
     """docs with a column of MPEG streams that hold the payload bytes."""
-    return docs.withColumn(media_col, F.pandas_udf(_write, "binary")(payload))
+    return new_column(docs, media_col, F.arrow_udf(_write, "binary")(payload))
 
 
 def read_audio(media: DataFrame, media_col: str = "media", out_col: str = "audio") -> DataFrame:
-    """media with a struct column of FIELDS; duration in seconds is samples / sample_rate, exactly."""
-    return media.withColumn(out_col, F.pandas_udf(_read, FIELDS)(F.col(media_col)))
+    """media with a struct column of FIELDS; duration in seconds, exactly samples over sample_rate where that is one."""
+    return new_column(media, out_col, F.arrow_udf(_read, f"struct<{','.join(':'.join(f.split()) for f in FIELDS.replace('long', 'bigint').split(', '))}>")(F.col(media_col)))

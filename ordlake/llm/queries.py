@@ -27,7 +27,7 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = mpeg_audio.read_audio(stored)
     payload = F.col("audio.payload")
     feature = F.format_string("frames=%d;samples=%d;rate=%d;vbr=%s;crc=%d/%d;junk=%d;first=%d;last=%d", "audio.n_frames", "audio.samples", "audio.sample_rate", "audio.is_vbr", F.col("audio.crc_checked") - F.col("audio.crc_bad"), "audio.crc_checked", "audio.junk_bytes", F.element_at("audio.seek_offsets", 1), F.element_at("audio.seek_offsets", -1))
-    return a.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    return a.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "audio.duration", "audio.seek_offsets")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
