@@ -1,14 +1,18 @@
 """Operator 1: licence scan through a positional rare-token index, with DataFrame functions only.
 
-Document frequencies of all licence words are counted over the whole corpus. A template is found by its words of
-highest IDF: the index leads from such a word to (template, place in it), so an occurrence in a file gives the
-offset at which the template would have to start. Every candidate offset is checked against the whole template by
-relative position, weighted by IDF, and a label holds only if its mandatory key phrases stand in the file too.
-Everything about one file happens in its own row: nothing but the word counts is shuffled.
-
-Defined results: a null text is empty; files without words have no labels, score 0 and null first_word and
-last_word; every place of a phrase counts, also in repeated lines; repeated rows are scanned one by one; an empty
-table gives an empty result; other columns are carried along by scan().
+Document frequencies of all licence words are counted over the whole corpus. Of each notice the words of highest IDF
+are posted in an index, with their place in the notice: as many as it takes for every match of COVERAGE to hold two
+of them. A file's posted words are looked up; each gives the place where the notice would have to start, and the
+postings are intersected: only starts on which two words agree by relative position are checked against the whole
+notice, weighted by IDF. A label holds only if its mandatory key phrases stand in the file too. Phrases that must
+stand whole (the contract's and the key phrases) are looked up by their rarest word. Everything about one file
+happens in its own row: nothing but the word counts is shuffled.
+
+Defined results: a null text is empty; score is the greatest share of a labelled phrase's or notice's weight that
+stands in place, 0 without labels; files without words have no labels, score 0 and null first_word and last_word;
+every place of a phrase counts, also in repeated lines; repeated rows are scanned one by one; an empty table gives
+an empty result; other columns are untouched, and where the input has a column of the result's name already, the
+result's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,8 +46,8 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
-#: Rare words that lead to a notice, and the share of its IDF weight that must stand in place.
-RARE, COVERAGE = 3, 0.7
+#: The share of a notice's IDF weight that must stand in place.
+COVERAGE = 0.7
 _SHIFT = 40
 
 
@@ -59,24 +65,34 @@ def _templates() -> list[tuple[str, str, list[str], list[str]]]:
 
 
 def document_frequency(words: DataFrame) -> dict[str, float]:
-    """IDF of every licence word, from all rows; at most as many rows come back as the templates have words."""
+    """IDF of every licence word, from all rows in one job; one number for each word comes back."""
     vocabulary = sorted({w for _, _, ws, _ in _templates() for w in ws})
-    seen = words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))).alias("w"))
+    own = F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))
+    seen = words.select(F.explode(F.concat(F.array(F.lit("")), own)).alias("w"))  # the empty word stands for the row
     df = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    n = words.count()
-    return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
+    return {w: math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
+
+
+def _posted(words: list[str], idf: dict[str, float]) -> list[int]:
+    """Places of the rarest words, so many that words which bear COVERAGE of the weight hold two of them."""
+    order = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
+    weight = [idf[w] / sum(map(idf.get, words)) for w in words]
+    for n in range(2, len(order)):
+        if sum(weight[i] for i in order[1:n]) > 1 - COVERAGE + 1e-9:
+            return order[:n]
+    return order
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with licence: struct<n_words, places, first_word, last_word, base_labels, labels, score>."""
+def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licence") -> DataFrame:
+    """docs with a struct<n_words, places, first_word, last_word, base_labels, labels, score>."""
     idf = document_frequency(docs.select(words_of(F.col(text_col)).alias("words")))
     templates = _templates()
     number = {("key", label): i for i, (kind, label, _, _) in enumerate(templates) if kind == "key"}
     index: dict[str, list[tuple[int, int]]] = {}
     for t, (kind, _, ws, _) in enumerate(templates):
-        order = sorted(range(len(ws)), key=lambda i, ws=ws: (-idf[ws[i]], i))
-        for i in order[: RARE if kind == "notice" else 1]:
+        for i in _posted(ws, idf) if kind == "notice" else [max(range(len(ws)), key=lambda i, ws=ws: (idf[ws[i]], -i))]:
             index.setdefault(ws[i], []).append((t, i))
+    notices = min(t for t, x in enumerate(templates) if x[0] == "notice")  # the templates from here on
 
     posting = lambda t, i: F.struct(F.lit(t).cast("long").alias("t"), F.lit(i).alias("i"))
     postings = F.create_map(*[x for w, ps in sorted(index.items()) for x in (F.lit(w), F.array(*[posting(t, i) for t, i in ps]))])
@@ -87,12 +103,14 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     labels = F.array(*[F.lit(label) for _, label, _, _ in templates])
     kinds = F.array(*[F.lit(kind) for kind, _, _, _ in templates])
 
-    tagged = docs.withColumn("__words", words_of(F.col(text_col)))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), words_of(F.col(text_col)).alias("__words"))
     places = F.array_compact(F.transform("__words", lambda w, i: F.when(w.isin(sorted(index)), i)))
     tagged = tagged.withColumn("__places", places)
     # a candidate is template * 2^40 + start + 2^20; the start may lie before the file's first word
     starts = F.flatten(F.transform("__places", lambda at: F.transform(F.element_at(postings, F.get("__words", at)), lambda p: p["t"] * (1 << _SHIFT) + at - p["i"] + (1 << 20))))
-    tagged = tagged.withColumn("__starts", F.array_distinct(starts))
+    tagged = tagged.withColumn("__all", F.sort_array(starts))
+    agreed = lambda c, i: (c < notices << _SHIFT) | ((i > 0) & (F.get("__all", F.greatest(i - 1, F.lit(0))) == c))
+    tagged = tagged.withColumn("__starts", F.array_distinct(F.filter("__all", agreed)))
 
     def judge(c: Column) -> Column:
         t = F.shiftright(c, _SHIFT).cast("int")
@@ -119,13 +137,6 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.array_max(at).cast("long").alias("last_word"),
         joined(names("__base")).alias("base_labels"),
         joined(F.concat(names("__base"), names("__notice"))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("__found", lambda x: x["weight"])), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform(F.concat("__base", "__notice"), lambda x: x["weight"])), F.lit(0.0)).alias("score"),
     )
-    return tagged.withColumn("licence", licence).drop("__words", "__places", "__starts", "__found", "__base", "__keys", "__notice")
-
-
-def scan_text(text: str) -> tuple[int, list[int], str]:
-    """Brute force over one text for tests: words, starts of contract phrases, their labels."""
-    words = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    found = [(i, label) for label, phrase in BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
-    return len(words), sorted(i for i, _ in found), ",".join(sorted({label for _, label in found}))
+    return tagged.select("doc.*", licence.alias(free_name(docs, out_col)))
