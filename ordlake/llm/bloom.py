@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 
 #: Bits of the filter for each row, hash functions, and the bound of the filter that is broadcast. Beyond the bound
-#: (about 67 million rows) more rows are found possibly repeated and shuffled; results stay exact.
-BITS_PER_ROW, HASHES, MAX_BITS = 16, 4, 1 << 30
+#: (about 33 million rows; a task that builds it holds 128 MB, one that asks it 64 MB) more rows are found possibly repeated and shuffled; results stay exact.
+BITS_PER_ROW, HASHES, MAX_BITS = 16, 4, 1 << 29
 #: Bytes of a segment; tasks send the segments they touched, compressed.
 SEGMENT = 1 << 14
 

@@ -23,6 +23,10 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def is_word(byte: int) -> bool:
+    return bool(_WORD[byte])
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n."""
     if not _powers or len(_powers["up"]) < n:

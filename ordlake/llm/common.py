@@ -34,6 +34,12 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row in the column name, written: so texts and numbers agree in every later read,
+    whatever the table's splits are after an executor was lost."""
+    return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def key_join(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """Join rows to one row per key, where a few keys may own a large share of all rows.
 
