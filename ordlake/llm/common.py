@@ -73,16 +73,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph of edges (a, b): component is the least node reached; nodes are longs.
 
     Least labels spread along edges and then jump to the label of the label, so rounds grow with the logarithm of
-    a path. Each round is a written table; a hub's messages are reduced in each task before they are shuffled.
+    a path. Each round is a written table; messages are reduced in each task before they are shuffled, and hubs and
+    large components are joined as hot keys.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = save(both.distinct(), "edges")
-    labels = save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels")
+    n = both.count()
+    labels = save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"), F.count("*").alias("degree")), "labels")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
-        told = save(labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("was")), "told")
-        jump = told.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = save(told.join(jump, "component").select("node", F.least("component", "next").alias("component"), "was"), "labels")
+        theirs = labels.select(F.col("node").alias("other"), "component", "degree")
+        heard = key_join(both, theirs, "other", "degree", n).groupBy("node").agg(F.min("component").alias("heard"))
+        told = save(labels.join(heard, "node").select("node", "degree", F.least("component", "heard").alias("component"), F.col("component").alias("was")), "told")
+        jump = told.select(F.col("node").alias("component"), F.col("component").alias("next")).join(told.groupBy("component").agg(F.count("*").alias("size")), "component")
+        labels = save(key_join(told, jump, "component", "size", n).select("node", "degree", F.least("component", "next").alias("component"), "was"), "labels")
         if labels.filter("component <> was").isEmpty():
             return labels.select("node", "component")
         labels = labels.drop("was")

@@ -8,14 +8,15 @@ members of a bucket are compared with a few leaders first. Where that leaves a b
 pairs across clusters are compared as well. Pairs whose registers agree are verified by the exact probability Jaccard
 of the whole texts, and verified links are closed to clusters.
 
-Equal texts are one class and compared once. Large buckets are reduced in each task and their leaders broadcast
-(a bounded number), so a third of all rows may share one. What the leaders leave is compared in cells of a grid of
+Equal texts are one class and compared once. Large buckets are reduced in each task; they, and leaders with many
+members, are joined by broadcast (a bounded number), so a third of all rows may share one. A leader's members are
+verified in blocks of about BLOCK, to each of which its text is sent once. What the leaders leave is compared in cells of a grid of
 at most about 2 * BLOCK members, so no task holds a bucket; the work grows with the bucket's size times the number
 of its members outside its largest cluster.
 
 Defined results: a null text is empty; texts without words equal only identical texts; texts of under five words
 are one shingle; the least doc_id of a cluster stays (null is the least); of repeated rows one stays; an empty
-table gives an empty result. The input must give the same rows in the same order when read twice, as tables do.
+table gives an empty result; columns of any name are carried along. The rows are numbered and written first.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import components, key_join, save, small_join
+from .common import components, free_name, key_join, numbered, save, small_join
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 registers: a pair of similarity 0.8 is missed with probability 0.0002.
@@ -41,7 +42,7 @@ LEADERS = 8
 BLOCK = 256
 #: Pairs whose registers agree less are not verified; at similarity 0.8 that is 3.6 standard errors below.
 ESTIMATE = 0.62
-#: Pairs verified, and texts hashed, at a time: at most so many and so many bytes of text.
+#: Texts hashed at a time: at most so many and so many bytes.
 PAIRS, PAIR_BYTES = 512, 1 << 22
 
 _MIX = bytehash.mix
@@ -120,25 +121,6 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (above / v + below / w)).sum())
 
 
-def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Exact similarity of pairs of texts, a bounded part at a time; of those a text is shingled once."""
-    out: list[float] = []
-    for i, j in bytehash.slices(bytehash.sizes(left) + bytehash.sizes(right), PAIR_BYTES, PAIRS):
-        out += _similarity(*(x.slice(i, j - i).cast(pa.large_binary()).to_pylist() for x in (left, right)))
-    return pa.array(out, pa.float64())
-
-
-def _similarity(left: list[bytes], right: list[bytes]) -> list[float]:
-    texts = list(dict.fromkeys([*left, *right]))
-    sets: dict[bytes, tuple] = {}
-    for own, h, counts in bytehash.word_hashes(texts):
-        doc, key, weight = shingles(h, counts)
-        cuts = np.searchsorted(doc, np.arange(len(own) + 1))
-        for k, i in enumerate(own):
-            sets[texts[i]] = key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]
-    return [probability_jaccard(sets[a], sets[b]) for a, b in zip(left, right, strict=True)]
-
-
 _SIGNED = "struct<key:binary,bands:array<bigint>,registers:binary>"
 
 
@@ -175,24 +157,27 @@ def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, cluster_id, cluster_size, n_links (of its class), kept, row.
+    """One row per document: doc_id, class_id, cluster_id, cluster_size, kept.
 
-    class_id and cluster_id are the least doc_id of equal texts and of the cluster; row numbers the input's rows.
+    class_id and cluster_id are the least doc_id of equal texts and of the cluster.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
+    return _clusters(rows).drop("row")
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """near_duplicates() of a written table doc_id, text, row (a number); row is returned as well."""
     signed = save(rows.select("doc_id", "row", F.arrow_udf(_sign, _SIGNED)("text").alias("s")).select("doc_id", "row", "s.*"), "signed")
     n = signed.count()
     classes = save(signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
     classes = classes.withColumn("node", F.col("first.row"))
     links = save(_links(rows.select("row", "text"), classes.select("node", "bands", "registers")), "links")
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
-    members = components(links).join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node")
-    placed = classes.select("key", "node", "size", "first").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = classes.select("key", "node", "size", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     clusters = placed.groupBy("component").agg(F.min("first").alias("best"), F.sum("size").alias("cluster_size"))
     placed, clusters = save(placed, "placed"), save(clusters, "clusters")
     placed = save(key_join(placed, clusters, "component", "cluster_size", n), "placed")
     out = key_join(signed.select("doc_id", "row", "key"), placed, "key", "size", n)
-    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("best.doc_id").alias("cluster_id"), "cluster_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("row") == F.col("best.row")).alias("kept"), "row")
+    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("best.doc_id").alias("cluster_id"), "cluster_size", (F.col("row") == F.col("best.row")).alias("kept"), "row")
 
 
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,19 +190,30 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     met = key_join(buckets, leaders, "band", "n", n).select(F.col("node").alias("member"), F.explode("leaders").alias("leader")).filter("member <> leader")
     met = save(met.groupBy("member").agg(F.collect_set("leader").alias("leaders")), "met")  # at most BANDS * LEADERS of each
     own = lambda name: classes.select(F.col("node").alias(name), F.col("registers").alias(f"r_{name}"))
-    near = met.join(own("member"), "member").withColumn("leader", F.explode("leaders")).drop("leaders").join(own("leader"), "leader")
+    led = met.select("member", F.explode("leaders").alias("leader"))
+    told = save(led.groupBy("leader").agg(F.count("*").alias("m")).join(own("leader"), "leader"), "told")
+    near = key_join(met.join(own("member"), "member").withColumn("leader", F.explode("leaders")).drop("leaders"), told, "leader", "m", led.count())
     near = near.withColumn("agree", F.pandas_udf(_agreement, "double")("r_member", "r_leader")).filter(F.col("agree") >= ESTIMATE)
-    pairs = save(near.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
-    known = save(small_join(texts, save(wanted, "wanted"), "row", "inner"), "texts")
-    side = lambda name: known.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b")
-    verify = F.arrow_udf(similarity, "double").asNondeterministic()  # else the filter's copy of it runs as well
-    links = checked.select("a", "b", verify("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= SIMILARITY - 1e-12)
-    links = save(links, "led")
+    # members of a leader are verified a block at a time, so its text is sent once for each block; of a pair that
+    # leads both ways one is enough
+    pair = F.struct(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b"))
+    found = near.groupBy(pair.alias("p")).agg(F.min(F.struct("leader", "m", "member")).alias("c"))
+    salt = F.pmod(F.xxhash64("c.member"), F.ceil(F.col("c.m") / BLOCK))
+    pairs = save(found.select("p.a", "p.b", F.col("c.leader").alias("band"), salt.cast("long").alias("u"), F.lit(-1).cast("long").alias("v")), "pairs")
+    links = save(_verified(pairs, texts), "led")
     open_buckets = leaders.filter(F.col("n") > F.size("leaders") + 1)  # pairs of members that are both no leaders
     rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "node")
-    return links.unionByName(_rest_links(rest, links, pairs, texts, classes.select("node", "registers")))
+    return links.unionByName(_rest_links(rest, links, pairs.select("a", "b"), texts, classes.select("node", "registers")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) among pairs (a, b) of the cells (band, u, v); a cell gets each of its texts once."""
+    wanted = pairs.select(F.struct("band", "u", "v").alias("cell"), F.explode(F.array("a", "b")).alias("row")).distinct()
+    known = small_join(texts, save(wanted.select("row").distinct(), "wanted"), "row", "inner")
+    sent = save(known, "texts").join(wanted, "row")
+    x = lambda name: F.col(f"cell.{name}").alias(f"cell_{name}")
+    sent = sent.select("row", "text", x("band"), x("u"), x("v")).groupBy("cell_band", "cell_u", "cell_v")
+    return sent.cogroup(pairs.groupBy("band", "u", "v")).applyInPandas(_verify, "a long, b long, similarity double")
 
 
 def _rest_links(rest: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -237,12 +233,7 @@ def _rest_links(rest: DataFrame, links: DataFrame, tried: DataFrame, texts: Data
     found = cells.groupBy("band", "u", "v").applyInPandas(_across, "a long, b long, band long, u long, v long")
     found = found.groupBy("a", "b").agg(F.min(F.struct("band", "u", "v")).alias("cell")).join(tried, ["a", "b"], "left_anti")
     found = save(found.select("a", "b", F.col("cell.band").alias("band"), F.col("cell.u").alias("u"), F.col("cell.v").alias("v")), "found")
-    wanted = found.select(F.struct("band", "u", "v").alias("cell"), F.explode(F.array("a", "b")).alias("row")).distinct()
-    known = small_join(texts, save(wanted.select("row").distinct(), "wanted_rest"), "row", "inner")
-    sent = save(known, "texts_rest").join(wanted, "row")
-    x = lambda name: F.col(f"cell.{name}").alias(f"cell_{name}")
-    sent = sent.select("row", "text", x("band"), x("u"), x("v")).groupBy("cell_band", "cell_u", "cell_v")
-    return sent.cogroup(found.groupBy("band", "u", "v")).applyInPandas(_verify, "a long, b long, similarity double")
+    return _verified(found, texts)
 
 
 def _across(cell: pd.DataFrame) -> pd.DataFrame:
@@ -274,5 +265,8 @@ def _verify(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each cluster; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return small_join(docs.withColumn("__row", F.monotonically_increasing_id()), save(gone, "gone"), "__row", "left_anti").drop("__row")
+    row = free_name(docs, "row")
+    held = numbered(docs, row)
+    rows = held.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(row).alias("row"))
+    gone = _clusters(rows).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return small_join(held, save(gone, "gone"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -80,7 +80,7 @@ QUERIES |= {"op9_toxicity": op9_toxicity}
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(tables(spark, sf_dir, "documents")).drop("row")
+    return minhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
 def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
@@ -56,11 +57,9 @@ def test_clusters_equal_all_pairs(docs, texts):
             t = parent[t]
         return t
 
-    links = Counter()
     for i, j in itertools.combinations(range(len(distinct)), 2):
         if m.probability_jaccard(sets[i], sets[j]) >= 0.8:
             parent[root(distinct[i])] = root(distinct[j])
-            links[distinct[i]] += 1
     size = Counter(root(t or "") for _, t in texts)
     best = {}
     for i, t in texts:
@@ -102,3 +101,32 @@ def test_pairs_inside_a_family_of_one_template(spark, tmp_path):
     sizes = Counter(r.cluster_size for r in got.values())
     assert sum(got[i].cluster_id == got[600 + i].cluster_id for i in range(pairs)) == pairs
     assert sizes == {1: 600 - pairs, 2: 2 * pairs}
+
+
+def test_clusters_of_hard_families_equal_all_pairs(spark, tmp_path):
+    """Families whose similarities lie around 0.8, so that most links are near the threshold."""
+    r, texts = random.Random(11), []
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(160)]
+        for _ in range(70):
+            own = list(base)
+            for _ in range(r.randint(1, 4)):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets, _ = sets_of(texts)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if i // 70 == j // 70 and m.probability_jaccard(sets[i], sets[j]) >= 0.8]
+    for i, j in links:
+        parent[root(i)] = root(j)
+    path = str(tmp_path / "hard.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {x.doc_id: x.cluster_id for x in m.near_duplicates(spark.read.parquet(path)).collect()}
+    held = sum(got[i] == got[j] for i, j in links) / len(links)
+    assert 2000 < len(links) < 4 * 70 * 69 / 2 and held >= 0.999
+    assert len({root(i) for i in range(len(texts))}) <= len(set(got.values())) <= len({root(i) for i in range(len(texts))}) + 1
