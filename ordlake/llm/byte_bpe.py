@@ -209,16 +209,12 @@ def _spelled(ids: pa.ListArray, words: pa.LargeBinaryArray) -> Iterator[memoryvi
             yield raw[a:b]
 
 
-def _release() -> None:
-    pa.default_memory_pool().release_unused()
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """docs with an array of token ids; vocabulary is the path of a rank file on every machine."""
 
     def run(text: pa.Array) -> pa.Array:
         out = encode_texts(text, Vocabulary.at(vocabulary), regex.compile(pattern))
-        _release()
+        bytehash.give_back()
         return out
 
     return new_column(docs, out_col, F.arrow_udf(run, "array<int>")(F.col(text_col)))
@@ -229,7 +225,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col
 
     def run(ids: pa.Array) -> pa.Array:
         out = pa.array([x.tobytes() for x in _spelled(ids, Vocabulary.at(vocabulary).tokens)], pa.binary())
-        _release()
+        bytehash.give_back()
         return out
 
     return new_column(docs, out_col, F.arrow_udf(run, "binary")(F.col(ids_col)))
@@ -242,7 +238,7 @@ def digests(ids: Column, vocabulary: str) -> Column:
         v = Vocabulary.at(vocabulary)
         size = ids.value_lengths().fill_null(0).cast(pa.int64())
         spelled = [pa.array([hashlib.sha256(x[:-1] if cut else x).hexdigest() for x in _spelled(ids, words)], pa.string()) for words, cut in ((v.decimal, True), (v.tokens, False))]
-        _release()
+        bytehash.give_back()
         return pa.StructArray.from_arrays([size, *spelled], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return F.arrow_udf(run, DIGESTS)(ids)

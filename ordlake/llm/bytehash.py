@@ -6,6 +6,7 @@ from prefix sums of byte * BASE^position modulo 2^64, so a whole block of texts
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes in one numpy pass; longer texts are cut between words.
 BLOCK = 1 << 19
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,8 +75,17 @@ def slices(size: np.ndarray, limit: int, rows: int) -> Iterator[tuple[int, int]]
 def by_bytes(text: pa.Array, fn: Callable[[pa.Array], pa.Array], kind: pa.DataType, limit: int, rows: int = 1 << 12) -> pa.Array:
     """fn over consecutive parts of an Arrow array, so that what fn holds is bounded by bytes; unused memory goes back."""
     parts = [fn(text.slice(i, j - i)) for i, j in slices(sizes(text), limit, rows)]
+    out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    del parts
+    give_back()
+    return out
+
+
+def give_back() -> None:
+    """Return unused memory to the system: workers live on between stages, beside other workers."""
     pa.default_memory_pool().release_unused()
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    if _TRIM:
+        _TRIM(0)
 
 
 def sizes(text: pa.Array) -> np.ndarray:

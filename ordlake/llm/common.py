@@ -70,22 +70,29 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the graph of edges (a, b): component is the least node reached; nodes are longs.
+    """(node, component) of the graph of edges (a, b): component is one of the nodes; nodes are longs.
 
-    Least labels spread along edges and then jump to the label of the label, so rounds grow with the logarithm of
-    a path. Each round is a written table; messages are reduced in each task before they are shuffled, and hubs and
-    large components are joined as hot keys.
+    Each round merges every node with the neighbour (or itself) that has the least hash, and only edges between
+    merged nodes remain, so stars vanish in a round or two and paths shrink by a constant factor. Each round is a
+    written table; neighbours are reduced in each task before they are shuffled, and hubs are joined as hot keys.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = save(both.distinct(), "edges")
-    n = both.count()
-    labels = save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"), F.count("*").alias("degree")), "labels")
+    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    merged: list[DataFrame] = []
     while True:
-        theirs = labels.select(F.col("node").alias("other"), "component", "degree")
-        heard = key_join(both, theirs, "other", "degree", n).groupBy("node").agg(F.min("component").alias("heard"))
-        told = save(labels.join(heard, "node").select("node", "degree", F.least("component", "heard").alias("component"), F.col("component").alias("was")), "told")
-        jump = told.select(F.col("node").alias("component"), F.col("component").alias("next")).join(told.groupBy("component").agg(F.count("*").alias("size")), "component")
-        labels = save(key_join(told, jump, "component", "size", n).select("node", "degree", F.least("component", "next").alias("component"), "was"), "labels")
-        if labels.filter("component <> was").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.drop("was")
+        by = lambda c, k=len(merged): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("to"))
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        near = both.groupBy("node").agg(F.min(by("other")).alias("best"), F.count("*").alias("degree"))
+        merged.append(save(near.select("node", F.least(by("node"), "best")["to"].alias("parent"), "degree"), "merged"))
+        n = edges.count()
+        if not n:
+            break
+        end = lambda c: merged[-1].select(F.col("node").alias(c), F.col("parent").alias(f"p_{c}"), "degree")
+        half = key_join(edges, end("a"), "a", "degree", n).select("b", "p_a")
+        kept = key_join(half, end("b"), "b", "degree", n).filter("p_a <> p_b")
+        edges = save(kept.select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct(), "edges")
+    out = merged.pop().select("node", F.col("parent").alias("root"))  # no rows
+    for labels in reversed(merged):
+        of = labels.groupBy("parent").agg(F.count("*").alias("size")).join(out.withColumnRenamed("node", "parent"), "parent", "left")
+        known = of.select("parent", "size", F.coalesce("root", "parent").alias("root"))
+        out = save(key_join(labels.select("node", "parent"), known, "parent", "size", labels.count()).select("node", "root"), "labels")
+    return out.select("node", F.col("root").alias("component"))

@@ -11,8 +11,9 @@ of the whole texts, and verified links are closed to clusters.
 Equal texts are one class and compared once. Large buckets are reduced in each task; they, and leaders with many
 members, are joined by broadcast (a bounded number), so a third of all rows may share one. A leader's members are
 verified in blocks of about BLOCK, to each of which its text is sent once. What the leaders leave is compared in cells of a grid of
-at most about 2 * BLOCK members, so no task holds a bucket; the work grows with the bucket's size times the number
-of its members outside its largest cluster.
+at most about 2 * CELL members, so no task holds a bucket. Cells receive members, never pairs: pairs are formed,
+verified and dropped inside a cell. The work grows with the bucket's size times the number of its members outside
+its largest cluster; the rows sent grow by a CELL-th of that.
 
 Defined results: a null text is empty; texts without words equal only identical texts; texts of under five words
 are one shingle; the least doc_id of a cluster stays (null is the least); of repeated rows one stays; an empty
@@ -38,8 +39,8 @@ BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 #: Leaders of a bucket with which its members are compared first.
 LEADERS = 8
-#: Members of a side of a cell, in which the rest of a bucket is compared.
-BLOCK = 256
+#: Members of a leader that are verified together, and of a side of a cell, in which the rest of a bucket is compared.
+BLOCK, CELL = 256, 1024
 #: Pairs whose registers agree less are not verified; at similarity 0.8 that is 3.6 standard errors below.
 ESTIMATE = 0.62
 #: Texts hashed at a time: at most so many and so many bytes.
@@ -131,6 +132,7 @@ def _sign(text: pa.Array) -> pa.Array:
     for i, j in bytehash.slices(bytehash.sizes(text), PAIR_BYTES, PAIRS):
         some = _sign_some(text.slice(i, j - i).cast(pa.large_binary()).to_pylist())
         parts.append(pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(some, kind, strict=True)], fields=list(kind)))
+    bytehash.give_back()
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
@@ -182,7 +184,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
 
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (a, b, similarity) between classes; row of texts and node of classes agree."""
-    buckets = save(classes.select("node", F.explode("bands").alias("band")), "buckets")
+    buckets = save(classes.select("node", F.posexplode("bands").alias("k", "band")), "buckets")
     n = buckets.count()
     order = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node")).alias(f"l{k}")
     leaders = buckets.groupBy("band").agg(F.count("*").alias("n"), *[order(k) for k in range(LEADERS)]).filter("n > 1")
@@ -202,8 +204,8 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = save(found.select("p.a", "p.b", F.col("c.leader").alias("band"), salt.cast("long").alias("u"), F.lit(-1).cast("long").alias("v")), "pairs")
     links = save(_verified(pairs, texts), "led")
     open_buckets = leaders.filter(F.col("n") > F.size("leaders") + 1)  # pairs of members that are both no leaders
-    rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "node")
-    return links.unionByName(_rest_links(rest, links, pairs.select("a", "b"), texts, classes.select("node", "registers")))
+    rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "k", "node")
+    return links.unionByName(_rest_links(rest, links, texts, classes.select("node", "registers")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,49 +218,92 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sent.cogroup(pairs.groupBy("band", "u", "v")).applyInPandas(_verify, "a long, b long, similarity double")
 
 
-def _rest_links(rest: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links between all members (band, node) of each bucket that links leave in different clusters."""
+def _rest_links(rest: DataFrame, links: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links between all members (band, k, node) of each bucket that links leave in different clusters."""
     placed = rest.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = save(placed.select("band", "node", "component"), "placed_rest")
+    placed = save(placed, "placed_rest")
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
     sizes = sizes.groupBy("band").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("main"))
     sizes = save(sizes.filter("n > main.m").select("band", "n", "main"), "open")
-    blocks = lambda k: F.ceil(k / BLOCK).cast("long")
+    blocks = lambda x: F.ceil(x / CELL).cast("long")
     held = key_join(placed, sizes, "band", "n", placed.count()).withColumn("us", blocks(F.col("n") - F.col("main.m"))).withColumn("vs", blocks(F.col("n")))
-    held = save(held.join(classes, "node").withColumn("by", F.xxhash64("node")), "held")
-    cell = lambda outer, u, v: held.filter(outer).select("band", u.alias("u"), v.alias("v"), F.lit(outer != "true").alias("outer"), "node", "component", "registers")
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    at = lambda k: F.pmod("by", F.col(k))
-    cells = cell("component <> main.component", at("us"), every("vs")).unionByName(cell("true", every("us"), at("vs")))
-    found = cells.groupBy("band", "u", "v").applyInPandas(_across, "a long, b long, band long, u long, v long")
-    found = found.groupBy("a", "b").agg(F.min(F.struct("band", "u", "v")).alias("cell")).join(tried, ["a", "b"], "left_anti")
-    found = save(found.select("a", "b", F.col("cell.band").alias("band"), F.col("cell.u").alias("u"), F.col("cell.v").alias("v")), "found")
-    return _verified(found, texts)
-
-
-def _across(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a cell's sides whose registers agree and whose clusters differ."""
-    u, v = cell[cell["outer"]], cell[~cell["outer"]]
-    if u.empty or v.empty:
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("a", "b", "band", "u", "v")})
-    x, y = (np.frombuffer(b"".join(s["registers"]), np.uint16).reshape(-1, REGISTERS).T.copy() for s in (u, v))
-    agree = np.zeros((len(u), len(v)), np.uint8)
+    held = held.join(classes, "node").withColumn("by", F.xxhash64("node")).withColumn("free", F.expr("component <> main.component"))
+    held = save(held, "held")
+    cell = lambda rows, u, v, outer: rows.select("band", "k", u.alias("u"), v.alias("v"), F.lit(outer).alias("outer"), "free", "node", "component", "registers")
+    every = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.col(x) - 1))
+    at = lambda x: F.pmod("by", F.col(x))
+    cells = cell(held.filter("free"), at("us"), every("vs"), True).unionByName(cell(held, every("us"), at("vs"), False))
+    schema = "band long, k int, u long, v long, outer boolean, free boolean, node long, component long, registers binary"
+    found = save(cells.groupBy("band", "u", "v").applyInPandas(_paired, schema), "found")
+    known = save(small_join(texts, save(found.select(F.col("node").alias("row")).distinct(), "wanted_rest"), "row", "inner"), "texts_rest")
+    sent = found.join(known.withColumnRenamed("row", "node"), "node")
+    return sent.groupBy("band", "u", "v").applyInPandas(_cell_links, "a long, b long, similarity double")
+
+
+def _candidates(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of a cell's pairs across its sides whose registers agree and whose clusters differ, most alike first.
+
+    A pair that shares several buckets is taken in the first, and two members outside the main cluster once.
+    """
+    outer, node, component = (cell[c].to_numpy() for c in ("outer", "node", "component"))
+    u, v = np.flatnonzero(outer), np.flatnonzero(~outer)
+    if not len(u) or not len(v):
+        return u[:0], v[:0]
+    x = np.frombuffer(b"".join(cell["registers"]), np.uint16).reshape(-1, REGISTERS).T
+    agree, earlier = np.zeros((len(u), len(v)), np.uint8), np.zeros((len(u), len(v)), bool)
     for r in range(REGISTERS):
-        agree += x[r][:, None] == y[r]
-    i, j = np.nonzero((agree >= ESTIMATE * REGISTERS) & (u["component"].to_numpy()[:, None] != v["component"].to_numpy()))
-    m, k = u["node"].to_numpy()[i], v["node"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(m, k), "b": np.maximum(m, k)}).drop_duplicates().assign(**{c: cell[c].iloc[0] for c in ("band", "u", "v")})
+        same = x[r][u][:, None] == x[r][v]
+        agree += same
+        if r // ROWS < cell["k"].iloc[0]:
+            band = same if r % ROWS == 0 else band & same
+            if r % ROWS == ROWS - 1:
+                earlier |= band
+    twice = cell["free"].to_numpy()[v] & (node[u][:, None] > node[v])
+    i, j = np.nonzero((agree >= ESTIMATE * REGISTERS) & ~earlier & ~twice & (component[u][:, None] != component[v]))
+    order = np.argsort(-agree[i, j].astype(int), kind="stable")
+    return u[i[order]], v[j[order]]
+
+
+def _paired(cell: pd.DataFrame) -> pd.DataFrame:
+    """The members of a cell that stand in a candidate pair."""
+    i, j = _candidates(cell)
+    return cell.iloc[np.unique(np.concatenate([i, j]))]
+
+
+def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """Verified links that join clusters of one cell; pairs that those found so far connect need none."""
+    sets = _sets(cell["text"])
+    node, parent, out = cell["node"].to_numpy(), {c: c for c in cell["component"].tolist()}, []
+    own = cell["component"].tolist()
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for i, j in zip(*(x.tolist() for x in _candidates(cell)), strict=True):
+        a, b = root(own[i]), root(own[j])
+        if a != b and (value := probability_jaccard(sets[i], sets[j])) >= SIMILARITY - 1e-12:
+            parent[a] = b
+            out.append((min(node[i], node[j]), max(node[i], node[j]), value))
+    return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": np.int64, "b": np.int64, "similarity": float})
+
+
+def _sets(texts: pd.Series) -> list[tuple]:
+    """(shingles, weights) of each text."""
+    sets: list = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * len(texts)
+    for own, h, counts in bytehash.word_hashes([t.encode("utf-8", "replace") for t in texts]):
+        doc, key, weight = shingles(h, counts)
+        cuts = np.searchsorted(doc, np.arange(len(own) + 1))
+        for k, i in enumerate(own):
+            sets[i] = key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]
+    return sets
 
 
 def _verify(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Verified links of one cell; each text is shingled once."""
-    sets: dict[int, tuple] = {}
-    rows = texts["row"].to_numpy()
-    for own, h, counts in bytehash.word_hashes([t.encode("utf-8", "replace") for t in texts["text"]]):
-        doc, key, weight = shingles(h, counts)
-        cuts = np.searchsorted(doc, np.arange(len(own) + 1))
-        for k, i in enumerate(own):
-            sets[int(rows[i])] = key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]
+    sets = dict(zip(texts["row"].tolist(), _sets(texts["text"]), strict=True))
     value = np.array([probability_jaccard(sets[a], sets[b]) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)], dtype=float)
     return pairs[["a", "b"]].assign(similarity=value)[value >= SIMILARITY - 1e-12]
 

@@ -152,7 +152,7 @@ def _cut(text: pa.Array, at: pa.Array) -> pa.Array:
         rows = zip(text.slice(i, j - i).cast(pa.large_binary()).to_pylist(), at.slice(i, j - i).to_pylist(), strict=True)
         done = [cut(t, a) if a else (t, 0, 0) for t, a in rows]
         parts.append(pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.binary()).cast(pa.string()), *[pa.array([d[k] for d in done], pa.int64()) for k in (1, 2)]], fields=list(_CUT)))
-    pa.default_memory_pool().release_unused()
+    bytehash.give_back()
     return pa.concat_arrays(parts) if parts else pa.array([], _CUT)
 
 

@@ -85,7 +85,9 @@ def test_components(spark):
 
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 1 for i in range(1, 41)) and got[100] == got[70] == got[50] == 50
+    assert len({got[i] for i in range(1, 41)}) == 1 and got[100] == got[70] == got[50] != got[1]
+    assert all(got[c] == c for c in set(got.values()))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_pairs_inside_a_family_of_one_template(spark, tmp_path):
