@@ -90,13 +90,54 @@ def ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def fuzzy_names(left: DataFrame, left_key: str, left_name: Column, right: DataFrame, right_key: str, right_name: Column, least: float, k: int, block: int = 3) -> DataFrame:
-    """Up to k partners (left, right, score) of each left name among names with the same first characters."""
-    a = left.select(left_key, left_name.alias("__a")).withColumn("__block", F.substring("__a", 1, block))
-    b = right.select(right_key, right_name.alias("__b")).withColumn("__block", F.substring("__b", 1, block))
-    pairs = a.join(b, "__block").filter(F.abs(F.length("__a") - F.length("__b")) * 2 <= (F.length("__a") + F.length("__b")) * (1 - least) * 1.0 + 1e-9)
-    scored = pairs.withColumn("score", F.round(F.when(F.col("__a") == F.col("__b"), 1.0).otherwise(ratio(F.col("__a"), F.col("__b"))), 6)).filter(F.col("score") >= least)
-    return top(scored.select(left_key, right_key, "score"), [left_key], [F.desc("score"), F.asc(right_key)], k)
+def compact(name: Column) -> Column:
+    """A designation without spaces, in capitals, with one sign for 'x'."""
+    return F.translate(F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", "")), "×X", "ХХ")
+
+
+def brand_token(name: Column) -> Column:
+    """The letters that begin a compact designation, up to its fire class; at most six."""
+    start = F.regexp_extract(name, "^[А-ЯЁA-Z]{2,10}", 0)
+    return F.substring(F.get(F.split(start, "НГ|NG|LS|HF|FR", 2), F.lit(0)), 1, 6)
+
+
+def _brand_keys(token: Column) -> Column:
+    """Keys of which compatible brands share one: the token; its first four letters; three, if either has no more."""
+    n = F.length(token)
+    three = F.concat(F.lit("3"), F.substring(token, 1, 3))
+    keys = F.array(F.concat(F.lit("="), token), F.when(n >= 4, F.concat(F.lit("4"), F.substring(token, 1, 4))), F.when(n >= 3, three))
+    return F.array_compact(keys)
+
+
+def fuzzy_names(left: DataFrame, left_key: str, right: DataFrame, right_key: str, least: float, snap: float, k: int) -> DataFrame:
+    """Up to k partners (left, right, score, snapped) of each left designation among those of compatible brands.
+
+    Brands are compatible if equal or alike in their first three or four letters (three only if one has no more); a
+    designation without a brand meets its like only. The score is the matching-blocks ratio of the compact forms; ties
+    go to the shorter, then the lesser partner. The best one is snapped to from the score snap on. Both sides are
+    taken distinct; pairs whose lengths alone rule out the score are left out before the ratio.
+    """
+
+    def keyed(df: DataFrame, key: str, side: str) -> DataFrame:
+        out = df.select(key).filter(F.trim(key) != "").distinct().withColumn(side, compact(F.col(key))).withColumn(f"{side}_t", brand_token(F.col(side)))
+        return out.withColumn("__key", F.explode(_brand_keys(F.col(f"{side}_t"))))
+
+    la, lb = F.length("__a"), F.length("__b")
+    long_enough = ~F.startswith("__key", F.lit("3")) | (F.least(F.length("__a_t"), F.length("__b_t")) == 3)
+    near = keyed(left, left_key, "__a").join(keyed(right, right_key, "__b"), "__key").filter(long_enough & (F.abs(la - lb) <= (la + lb) * (1 - least) + 1e-9))
+    pairs = near.select(left_key, right_key, "__a", "__b").distinct()
+    score = F.round(F.when(F.col("__a") == F.col("__b"), 1.0).otherwise(ratio(F.col("__a"), F.col("__b"))), 6)
+    scored = pairs.withColumn("score", score).filter(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy(left_key).orderBy(F.desc("score"), F.length(right_key), right_key))
+    ranked = scored.withColumn("__rank", rank).filter(F.col("__rank") <= k)
+    return ranked.select(left_key, right_key, "score", ((F.col("__rank") == 1) & (F.col("score") >= snap)).alias("snapped"))
+
+
+def longest_prefix(marks: DataFrame, key: str, mark: str, known: DataFrame, brand: str) -> DataFrame:
+    """(key, brand) of the longest known brand that begins a mark, by an equi-join on every beginning of the mark."""
+    starts = marks.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(mark)), lambda n: F.substr(F.col(mark), F.lit(1), n))).alias(brand))
+    hits = starts.join(known.select(brand).distinct(), brand)
+    return hits.groupBy(key).agg(F.max_by(brand, F.length(brand)).alias(brand))
 
 
 def cascade(items: DataFrame, key: str, stages: list[tuple[str, DataFrame]]) -> DataFrame:

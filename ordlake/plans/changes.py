@@ -27,9 +27,11 @@ def org_merge_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRG08 MRG19 SRC09: names added where they are not known yet."""
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("pattern"), F.col("p_partkey").alias("code"))
-    old = merge.latest(p.filter("code < 30"), ["pattern"], [F.asc("code")])
-    return merge.insert_or_ignore(old, p.filter("code >= 20"), ["pattern"], [F.desc("code")])
+    ordered = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    parts = table(spark, sf_dir, "part")
+    p = lambda df: df.select(F.col("p_name").alias("pattern"), F.col("p_partkey").alias("code"))
+    old = merge.latest(p(parts.join(ordered, "p_partkey", "left_semi").filter("p_type = 'PROMO'")), ["pattern"], [F.asc("code")])
+    return merge.insert_or_ignore(old, p(parts), ["pattern"], [F.desc("code")])
 
 
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +92,8 @@ SQL = {
   CASE WHEN s_acctbal > c_acctbal OR c_acctbal IS NULL THEN s_acctbal ELSE c_acctbal END AS balance FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20""",
     "org_merge_repoint": """WITH k AS (SELECT c_custkey, first_value(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal <= 0, c_custkey) AS keep FROM customer)
   SELECT o_orderkey, coalesce(keep, o_custkey) AS o_custkey FROM orders LEFT JOIN k ON c_custkey = o_custkey""",
-    "insert_or_ignore": """WITH o AS (SELECT p_name AS pattern, min(p_partkey) AS code FROM part WHERE p_partkey < 30 GROUP BY 1)
-  SELECT * FROM o UNION ALL SELECT p_name, max(p_partkey) FROM part WHERE p_partkey >= 20 AND p_name NOT IN (SELECT pattern FROM o) GROUP BY 1""",
+    "insert_or_ignore": """WITH o AS (SELECT p_name AS pattern, min(p_partkey) AS code FROM part WHERE p_type = 'PROMO' AND p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1)
+  SELECT * FROM o UNION ALL SELECT p_name, max(p_partkey) FROM part WHERE p_name NOT IN (SELECT pattern FROM o) GROUP BY 1""",
     "partial_update": "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN upper(s_name) ELSE s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "delta_export": "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1",
     "guarded_delete": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 <> 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')",

@@ -67,18 +67,16 @@ def suggestion_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON22 JON23: the longest known prefix of a designation."""
-    known = match.small(table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("brand")).distinct())
+    """JON22 (its prefix branch): the longest known prefix of a designation."""
+    known = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("brand"))
     marks = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_name", " ", "").alias("mark"))
-    hits = marks.join(known, F.startswith("mark", "brand"))
-    return hits.groupBy("p_partkey").agg(F.max_by("brand", F.length("brand")).alias("brand"))
+    return match.longest_prefix(marks.filter("mark <> ''"), "p_partkey", "mark", known.filter("brand <> ''"), "brand")
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON15 JON16: close names among distinct part names that begin alike; a fuzzy ratio has no SQL."""
-    n = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("left_name")), n.select(F.col("p_name").alias("right_name"))
-    return match.fuzzy_names(a, "left_name", F.col("left_name"), b, "right_name", F.col("right_name"), rules.MARK_MIN, 5)
+    """JON15 WIN06: close designations of compatible brands, and what a designation is snapped to; a fuzzy ratio has no SQL."""
+    n = table(spark, sf_dir, "part")
+    return match.fuzzy_names(n.select(F.col("p_name").alias("left_name")), "left_name", n.select(F.col("p_name").alias("right_name")), "right_name", rules.MARK_MIN, rules.MARK_STRICT, 5)
 
 
 def org_names(spark: SparkSession, sf_dir: str) -> DataFrame:

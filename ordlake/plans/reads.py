@@ -73,7 +73,7 @@ def usage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON20: how often each part is used and whether it may be deleted."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"))
     lines = table(spark, sf_dir, "lineitem")
-    return relational.in_use(parts, "part_id", {"n_returned": (lines.filter("l_returnflag = 'R' AND l_quantity > 45"), "l_partkey"), "n_open": (lines.filter("l_linestatus = 'O' AND l_quantity > 45"), "l_partkey")})
+    return relational.in_use(parts, "part_id", {"n_returned": (lines.filter("l_returnflag = 'R'"), "l_partkey"), "n_open": (lines.filter("l_linestatus = 'O'"), "l_partkey")})
 
 
 def name_method_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ SQL = {
     "chosen_orders": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)",
     "usage_check": """SELECT p_partkey AS part_id, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open,
   count(*) FILTER (WHERE l_returnflag = 'R') = 0 AND count(*) FILTER (WHERE l_linestatus = 'O') = 0 AS deletable
-  FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY p_partkey""",
+  FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""",
     "name_method_join": "SELECT lower(trim(p_name)) AS name, count(*) AS n, min(p_partkey) AS first_id, arg_min(p_brand, p_partkey) AS method FROM part GROUP BY 1",
     "criteria_strings": """WITH n AS (SELECT l_orderkey AS order_id, list_sort(list(DISTINCT p_name)) AS names FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
   SELECT order_id, array_to_string(names, '; ') AS criteria, array_to_string(names[1:3], ', ') || CASE WHEN len(names) > 3 THEN ' and ' || (len(names) - 3) || ' more' ELSE '' END AS summary FROM n""",

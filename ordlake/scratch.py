@@ -14,6 +14,8 @@ _own: list[str] = []
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a local one of our own only where that setting is missing (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="ordlake-"))
