@@ -13,7 +13,7 @@ and the sentences that hold them come to the driver. Scoring runs over every sen
 pass of Arrow batches without a shuffle; texts are taken PART bytes at a time.
 
 Defined results: a null or empty text, or one without words, has no sentences and gets the lowest score; equal
-texts get equal scores; without labels of both kinds every score is 0; repeated rows are scored one by one; an empty
+texts get equal scores; without labels of both kinds, or telling words, every score is 0; repeated rows are scored one by one; an empty
 table gives an empty result; other columns are untouched, and where the input has a column of the result's name
 already, the result's name gets underscores until it is free.
 """
@@ -39,6 +39,8 @@ EPOCHS, RATE, DECAY, HELD = 400, 0.05, 1e-5, 4
 HEADS = (4, 5)
 #: The score at which predicted becomes 1; calibration puts the best cut there.
 THRESHOLD = 0.7
+#: A cut that no document reaches.
+NEVER = 50.0
 #: Bytes of text that are scored at a time.
 PART = 1 << 21
 RESULT = "struct<score:double,sentences:bigint,worst:bigint,offending:array<bigint>>"
@@ -130,7 +132,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(bags: list[np.ndarray], labels: np.ndarray, held: np.ndarray) -> Model:
     """Train on bags of (telling feature, sentence number) pairs; held bags calibrate."""
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(FEATURES, dtype=np.float32), -30.0, 1.0, 50.0)
+        return Model(np.zeros(FEATURES, dtype=np.float32), -30.0, 1.0, NEVER)
     y = labels.astype(float)
     train = ~held if len(set(labels[~held].tolist())) == 2 else np.ones(len(y), bool)
     held = held if len(set(labels[held].tolist())) == 2 else np.ones(len(y), bool)
@@ -166,8 +168,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, held: np.ndarray) -> Model:
     order = np.argsort(-x)
     hit = np.cumsum(y[held][order])
     f1 = 2 * hit / (np.arange(1, len(hit) + 1) + max(1.0, y[held].sum()))
+    f1[x[order] <= _odds(np.zeros(1))[0] + 1e-6] = -1  # a document without evidence is never over the cut
     k = int(f1.argmax())
-    cut = float(x[order][k] if k + 1 >= len(order) else (x[order][k] + x[order][k + 1]) / 2)
+    cut = NEVER if f1[k] < 0 else float(x[order][k] if k + 1 >= len(order) else (x[order][k] + x[order][k + 1]) / 2)
     return Model(weights, bias, 1.0, cut)
 
 

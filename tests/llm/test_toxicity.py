@@ -106,3 +106,9 @@ def test_a_column_of_the_result_s_name_stays(spark, labelled):
     df = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, toxicity string")
     r = m.score(df, model).first()
     assert r.toxicity == "mine" and r.toxicity_.sentences == 1
+
+
+def test_without_telling_words_nothing_is_rejected(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other{i}. more{i}") for i in range(80)], "doc_id long, text string")
+    model = m.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert m.score(docs, model).filter("toxicity.score > 0.01").count() == 0
