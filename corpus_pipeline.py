@@ -1,4 +1,8 @@
-"""The training-data pipeline: toxicity, exact dedup, near dedup, mixing, byte-level BPE."""
+"""The training-data pipeline: toxicity, exact dedup, near dedup, mixing, byte-level BPE.
+
+Every stage takes any table with the columns of documents, also with nulls, empty texts, repeated rows, more columns
+of any name, or no rows: null texts count as empty, all columns are carried along, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", sample_mix), ("byte-level BPE", tokens)]
 
-#: Learned scores and hashed sampling have no SQL; tests compare the stages with brute force.
+#: Learned scores and hashed sampling have no SQL; tests/llm/test_pipeline.py recomputes every stage in plain Python.
 ORACLE_SQL = None
 
 
