@@ -43,17 +43,17 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 def key_join(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """Join rows to one row per key, where a few keys may own a large share of all rows.
 
-    Keys with at least n_rows * HOT_SHARE rows number at most 1/HOT_SHARE, so they are broadcast; every other
-    key is small enough for a shuffle. Nothing is dropped: with how='left' unmatched rows get nulls.
+    Keys with at least n_rows * HOT_SHARE rows number at most 1/HOT_SHARE: their hashes are looked up in each row and
+    their groups broadcast; every other key is small enough for a shuffle. Nothing is dropped: with how='left'
+    unmatched rows get nulls.
     """
     limit = max(64, int(n_rows * HOT_SHARE))
-    hot = F.broadcast(groups.filter(F.col(size) >= limit).withColumn("__hot", F.lit(True)))
-    cold = groups.filter(F.col(size) < limit)
-    marked = rows.join(hot.select(key, "__hot"), key, "left")
-    is_hot = F.coalesce(F.col("__hot"), F.lit(False))
-    first = rows.join(hot.drop("__hot"), key)
-    rest = marked.filter(~is_hot).drop("__hot").join(cold, key, how)
-    return first.unionByName(rest)
+    hot = [r.h for r in groups.filter(F.col(size) >= limit).select(F.xxhash64(key).alias("h")).distinct().collect()]
+    if not hot:
+        return rows.join(groups, key, how)
+    is_hot = F.xxhash64(key).isin(hot)
+    first = rows.filter(is_hot).join(F.broadcast(groups.filter(is_hot)), key, how)
+    return first.unionByName(rows.filter(~is_hot).join(groups.filter(~is_hot), key, how))
 
 
 def small_join(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
