@@ -8,15 +8,15 @@ distributed string sorters do with fingerprints; equal suffixes are sent once, w
 How they are sorted. Each task sorts its suffixes, front-codes the run (common prefix length and rest) and sends
 it by range; a range is merged with a loser tree that keeps for every run the length of the prefix it shares with
 the last winner, so known prefixes are never compared again. The merged order and its common prefix lengths, with
-the order of the bytes before the anchors, tell for every string around an anchor whether it stands elsewhere;
-no hash takes part in that.
+the order of the bytes before the anchors, tell for every string around an anchor whether it stands elsewhere.
+Hashes take part before that: suffixes are sent once for all anchors whose 64-bit hash of the bytes around agrees.
 
 Only grams, marks and distinct suffixes are exchanged; the places of a hot suffix stay in blocks by the task that
 found them, so a third of all rows in one group makes no hot task.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; overlaps count, and strings are
 judged on the input; equal texts and repeated rows lose all strings of LENGTH bytes, the first included; an empty
-table gives an empty result. The input must give the same rows in the same order when read twice, as tables do.
+table gives an empty result. The rows are numbered and written first.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import save
+from .common import numbered, save
 
 LENGTH, GRAM = 200, 64
 #: Grams in a string, bytes kept before an anchor, and bytes of a sorted suffix with those before it in reverse.
@@ -392,7 +392,7 @@ def cut(text: bytes, spans: list) -> tuple[int, int, int, str, bytes]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n"), F.count("*").alias("rows")).first()
     n_shards = max(8, (total["n"] or 0) // SHARD_BYTES)
     schema = "chunk long, shard long, base long, gram binary, around binary, several binary, counts binary, places binary"
