@@ -35,7 +35,7 @@ from . import bytehash
 from .common import new_column
 
 #: Bytes of text split at a time, characters of distinct words replayed together, and words or ids put together at a time.
-PART, WORD_CHARS, PIECE = 1 << 20, 1 << 22, 1 << 20
+PART, WORD_CHARS, PIECE = 1 << 20, 1 << 20, 1 << 18
 DIGESTS = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 
