@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import numbered, save
+from .common import numbered, save, small_join
 
 LENGTH, GRAM = 200, 64
 #: Grams in a string, bytes kept before an anchor, and bytes of a sorted suffix with those before it in reverse.
@@ -41,6 +41,8 @@ BEFORE = WINDOW - 1
 WIDE = LENGTH + BEFORE
 #: Bytes of text in one numpy pass, of text for a shard of grams and a range, and suffixes of a run.
 BLOCK, SHARD_BYTES, RUN = 1 << 20, 1 << 24, 1 << 16
+#: Sent suffixes by which each range is cut, so the sample grows with the ranges.
+SAMPLED = 8
 #: Blocks of places that one task joins with the results of a shard.
 PLACES = 64
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -275,7 +277,7 @@ def _sort(splitters: np.ndarray):
             m, t = np.concatenate(rows), np.concatenate(tags)
             order = np.argsort(np.ascontiguousarray(m).view(f"S{WIDE}").ravel(), kind="stable")
             m, t = m[order], t[order]
-            part = np.searchsorted(splitters, np.ascontiguousarray(m[:, :8]).view(">u8").ravel().astype(np.uint64), side="right")
+            part = np.searchsorted(splitters, np.ascontiguousarray(m[:, :GRAM]).view(f"S{GRAM}").ravel(), side="right")
             for s, e in _cuts(part):
                 yield pd.DataFrame({"part": [int(part[s])], "run": [TaskContext.get().partitionId() << 32 | number], "n": [e - s], "coded": [front_code(m[s:e])], "tags": [t[s:e].tobytes()]})
             rows, tags, number = [], [], number + 1
@@ -393,7 +395,7 @@ def cut(text: bytes, spans: list) -> tuple[int, int, int, str, bytes]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for every row."""
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
-    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n"), F.count("*").alias("rows")).first()
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()
     n_shards = max(8, (total["n"] or 0) // SHARD_BYTES)
     schema = "chunk long, shard long, base long, gram binary, around binary, several binary, counts binary, places binary"
     blocks = save(rows.select("row", "text").mapInPandas(_find(n_shards), schema), "blocks")
@@ -402,9 +404,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = save(found.mapInPandas(_candidates, "chunk long, shard long, base long, class binary, places binary, sends array<struct<row:bigint,at:bigint,class:bigint>>"), "found")
 
     sends = found.select("shard", F.explode("sends").alias("s")).groupBy("s.row").agg(F.collect_list(F.struct("s.at", "shard", "s.class")).alias("sends"))
-    sample = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, total["rows"] // 1000))) == 0)
-    starts = sample.mapInPandas(_prefixes, "x decimal(20,0)").agg(F.percentile_approx("x", [(i + 1) / n_shards for i in range(n_shards - 1)], 10_000)).first()[0] or []
-    splitters = np.array(sorted({int(x) for x in starts}), dtype=np.uint64)
+    splitters = _splitters(rows, found, n_shards)
     runs = rows.select("row", "text").join(sends, "row").select("text", "sends").mapInPandas(_sort(splitters), "part long, run long, n long, coded binary, tags binary")
     judged = save(runs.groupBy("part").applyInPandas(_judge, "shard long, class long, starts binary"), "judged")
 
@@ -422,10 +422,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.select("doc_id", "c.*")
 
 
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First eight bytes of the suffixes at the anchors of sampled documents, as numbers."""
-    from decimal import Decimal
+def _splitters(rows: DataFrame, found: DataFrame, n_ranges: int) -> np.ndarray:
+    """Grams that cut the suffixes sent into ranges of about one size, by a sample of SAMPLED suffixes a range.
 
-    for batch in batches:
-        texts = _bytes(batch["text"])
-        yield pd.DataFrame({"x": [Decimal(int.from_bytes(texts[i][p : p + 8].ljust(8, b"\0"), "big")) for text, place, _, _ in anchors(texts) for i, p in zip(text.tolist(), place.tolist(), strict=True)]}, dtype=object)
+    Repeated strings share the gram at their anchor, so a cut by whole grams never parts suffixes to be compared.
+    """
+    sends = found.select(F.explode("sends").alias("s")).select("s.row", "s.at")
+    rate = max(1, sends.count() // (SAMPLED * n_ranges))
+    picked = sends.filter(F.pmod(F.xxhash64("row", "at"), F.lit(rate)) == 0).groupBy("row").agg(F.collect_list("at").alias("at"))
+    known = small_join(rows.select("row", F.encode("text", "UTF-8").alias("b")), save(picked, "picked"), "row", "inner")
+    grams = known.select(F.explode(F.transform("at", lambda p: F.substring("b", p.cast("int") + 1, GRAM))).alias("gram"))
+    heads = sorted(bytes(r.gram) for r in grams.collect())
+    return np.array(sorted(set(heads[SAMPLED::SAMPLED])), dtype=f"S{GRAM}")
