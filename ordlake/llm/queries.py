@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, suffix_dedup, toxicity
+from . import byte_bpe, divergence, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, suffix_dedup, toxicity
 from .common import save, tables
 
 
@@ -105,3 +105,35 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_suffix_dedup": op8_suffix_dedup}
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(tables(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+              FROM documents),
+words AS (SELECT d, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS all_n FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM own o WHERE o.lang = g.lang AND o.source = g.source), 0)::HUGEINT AS size
+           FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs USING (lang)),
+ps AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (g.size + g.v) AS p,
+              1 + (1000000000 * (total + 1)) // (all_n + g.v) AS q
+       FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM ps a JOIN ps b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+          FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+          LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM ps WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+QUERIES |= {"op13_source_divergence": op13_source_divergence}
+ORACLE_SQL["op13_source_divergence"] = OP13_SQL
