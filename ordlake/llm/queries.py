@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, divergence, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, sentence_dedup, suffix_dedup, toxicity
+from . import byte_bpe, divergence, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, prefix_trie, sentence_dedup, suffix_dedup, toxicity
 from .common import save, tables
 
 
@@ -137,3 +137,29 @@ WHERE part = 'pair' OR rank <= 200
 
 QUERIES |= {"op13_source_divergence": op13_source_divergence}
 ORACLE_SQL["op13_source_divergence"] = OP13_SQL
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(tables(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 by eight shifts a byte, over the digits of conv_id.
+OP12_SQL = """
+WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT),
+                      lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 9 AS h FROM own),
+built AS (SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, turns[1:d] AS k, d, len(turns) = d AS ends FROM built, unnest(range(0, len(turns) + 1)) AS u(d)),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, array_to_string(list(conv_id ORDER BY conv_id) FILTER (WHERE ends), ',') AS ends FROM prefixes GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+placed AS (SELECT n.*, n_children FROM nodes n LEFT JOIN kids USING (k)),
+below AS (SELECT k[1:a] AS k, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum(CASE WHEN d > 0 THEN (n - 1) * strlen(k[d].text) ELSE 0 END) AS saved
+          FROM placed, unnest(range(0, d + 1)) AS u(a) GROUP BY 1)
+SELECT p.conv_id, p.d::BIGINT AS depth, q.conv_id AS parent_conv_id, p.n AS n_convs, coalesce(p.n_children, 0) AS n_children, n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(p.ends, '')) AS ends_sha256
+FROM placed p JOIN below b ON b.k = p.k LEFT JOIN nodes q ON p.d > 0 AND q.k = p.k[1:p.d - 1] AND q.d = p.d - 1
+"""
+
+QUERIES |= {"op12_prefix_trie": op12_prefix_trie}
+ORACLE_SQL["op12_prefix_trie"] = OP12_SQL
