@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, divergence, exact_dedup, license_scan, minhash, mixing, mpeg_audio, pii, prefix_trie, sentence_dedup, suffix_dedup, toxicity
+from . import byte_bpe, divergence, exact_dedup, license_scan, minhash, mixing, mpeg_audio, packing, pii, prefix_trie, sentence_dedup, suffix_dedup, toxicity
 from .common import save, tables
 
 
@@ -163,3 +163,11 @@ FROM placed p JOIN below b ON b.k = p.k LEFT JOIN nodes q ON p.d > 0 AND q.k = p
 
 QUERIES |= {"op12_prefix_trie": op12_prefix_trie}
 ORACLE_SQL["op12_prefix_trie"] = OP12_SQL
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)[0].drop("uid")
+
+
+QUERIES |= {"op11_packing": op11_packing}
