@@ -49,3 +49,9 @@ def after_ocr(x: Column) -> Column:
     text = F.regexp_replace(text, "-$|-(?= )", "")
     words = F.transform(F.split(text, " "), lambda w: F.when(w.rlike("[А-Яа-яЁё]"), F.translate(w, "ABCEHKMOPTXaceopxy", "АВСЕНКМОРТХасеорху")).otherwise(w))
     return F.array_join(words, " ")
+
+
+def bare_brand(x: Column) -> Column:
+    """A designation without its fire class or climate suffix, and without the dashes and spaces that then end it."""
+    cut = F.regexp_replace(F.regexp_replace(F.trim(x), rules.FIRE_CLASS, ""), rules.CLIMATE_SUFFIX, "")
+    return F.regexp_replace(F.regexp_replace(cut, "^[- ]+", ""), "[- ]+$", "")

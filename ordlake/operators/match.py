@@ -95,6 +95,11 @@ def compact(name: Column) -> Column:
     return F.translate(F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", "")), "×X", "ХХ")
 
 
+def similarity_key(name: Column) -> Column:
+    """A designation as it is compared: lower case, no spaces, х for × and x, е for ё."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s+", ""), "×xё", "ххе")
+
+
 def brand_token(name: Column) -> Column:
     """The letters that begin a compact designation, up to its fire class; at most six."""
     start = F.regexp_extract(name, "^[А-ЯЁA-Z]{2,10}", 0)
@@ -113,21 +118,29 @@ def fuzzy_names(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     """Up to k partners (left, right, score, snapped) of each left designation among those of compatible brands.
 
     Brands are compatible if equal or alike in their first three or four letters (three only if one has no more); a
-    designation without a brand meets its like only. The score is the matching-blocks ratio of the compact forms; ties
+    designation without a brand may meet any other. The score is the matching-blocks ratio of the compact forms; ties
     go to the shorter, then the lesser partner. The best one is snapped to from the score snap on. Both sides are
-    taken distinct; pairs whose lengths alone rule out the score are left out before the ratio.
+    taken distinct. Branded designations meet by the beginnings of their brands, all others through the index of rare
+    characters in similar.ratio_pairs; lengths and common characters that rule out the score are tested before the ratio.
     """
+    from .similar import _near, ratio_pairs
 
-    def keyed(df: DataFrame, key: str, side: str) -> DataFrame:
-        out = df.select(key).filter(F.trim(key) != "").distinct().withColumn(side, compact(F.col(key))).withColumn(f"{side}_t", brand_token(F.col(side)))
-        return out.withColumn("__key", F.explode(_brand_keys(F.col(f"{side}_t"))))
+    def named(df: DataFrame, key: str, side: str) -> DataFrame:
+        return df.select(F.trim(key).alias(key)).filter(F.col(key) != "").distinct().withColumn(side, similarity_key(F.col(key))).withColumn(f"{side}_t", brand_token(compact(F.col(key))))
 
-    la, lb = F.length("__a"), F.length("__b")
+    a, b = named(left, left_key, "__a"), named(right, right_key, "__b")
+    keyed = lambda df, side: df.filter(F.col(f"{side}_t") != "").withColumn("__key", F.explode(_brand_keys(F.col(f"{side}_t"))))
     long_enough = ~F.startswith("__key", F.lit("3")) | (F.least(F.length("__a_t"), F.length("__b_t")) == 3)
-    near = keyed(left, left_key, "__a").join(keyed(right, right_key, "__b"), "__key").filter(long_enough & (F.abs(la - lb) <= (la + lb) * (1 - least) + 1e-9))
-    pairs = near.select(left_key, right_key, "__a", "__b").distinct()
-    score = F.round(F.when(F.col("__a") == F.col("__b"), 1.0).otherwise(ratio(F.col("__a"), F.col("__b"))), 6)
-    scored = pairs.withColumn("score", score).filter(F.col("score") >= least)
+    near = keyed(a, "__a").join(keyed(b, "__b"), "__key").filter(long_enough).select(left_key, right_key, "__a", "__b").distinct()
+    near = near.filter((F.col("__a") == F.col("__b")) | _near(F.col("__a"), F.col("__b"), least))
+    branded = near.withColumn("score", F.when(F.col("__a") == F.col("__b"), 1.0).otherwise(ratio(F.col("__a"), F.col("__b"))))
+
+    def through_index(x: DataFrame, y: DataFrame) -> DataFrame:
+        found = ratio_pairs(x.select("__a"), y.select("__b"), least).toDF("__a", "__b", "score")
+        return x.select(left_key, "__a").join(found, "__a").join(y.select(right_key, "__b"), "__b").select(left_key, right_key, "score")
+
+    others = through_index(a.filter("__a_t = ''"), b).unionByName(through_index(a.filter("__a_t <> ''"), b.filter("__b_t = ''")))
+    scored = branded.select(left_key, right_key, "score").unionByName(others).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy(left_key).orderBy(F.desc("score"), F.length(right_key), right_key))
     ranked = scored.withColumn("__rank", rank).filter(F.col("__rank") <= k)
     return ranked.select(left_key, right_key, "score", ((F.col("__rank") == 1) & (F.col("score") >= snap)).alias("snapped"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +70,42 @@ def guarded_delete(df: DataFrame, key: str, asked: DataFrame, users: list[tuple[
 def delta(df: DataFrame, time: str, since: str) -> DataFrame:
     """Rows since a moment, that moment included."""
     return df.filter(F.col(time) >= F.lit(since).cast("timestamp_ntz"))
+
+
+def linked(df: DataFrame, id_col: str, keys: list[str], save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) of rows that share a non-blank value of any key, however many steps apart; root is the least id.
+
+    Each round takes the least root under every key value and then lets roots follow their own roots, so chains halve. Only
+    ids, roots and keys travel; save writes a round and reads it back. A key value that very many rows share is
+    reduced in each task first, and its one row is joined back by AQE's split of the skewed side.
+    """
+    blank = lambda k: F.nullif(F.trim(F.col(k).cast("string")), F.lit(""))
+    at = save(df.select(F.col(id_col).alias("id"), F.col(id_col).alias("root"), *[blank(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    while True:
+        out = at
+        for i in range(len(keys)):
+            least = out.filter(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").agg(F.min("root").alias("least"))
+            out = out.join(least, f"k{i}", "left").withColumn("root", F.least("root", "least")).drop("least")
+        roots = at.select(F.col("id").alias("root")).join(out.select(F.col("id").alias("root"), F.col("root").alias("further")), "root")
+        out = save(out.join(roots, "root", "left").select("id", F.coalesce("further", "root").alias("root"), *[f"k{i}" for i in range(len(keys))]))
+        if not out.join(at.select("id", F.col("root").alias("was")), "id").filter("root <> was").limit(1).count():
+            return out.select("id", "root")
+        at = out
+
+
+def merge_linked(df: DataFrame, id_col: str, keys: list[str], prefer: Column, fill: list[str], save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, (drop_id, keep_id)): one row for all that linked() puts together.
+
+    The preferred row with the least id stays. Its blank columns of fill take the first non-blank value among the dropped
+    rows, preferred ones and least ids first. Null ids are left out.
+    """
+    own = df.filter(F.col(id_col).isNotNull())
+    groups = linked(own, id_col, keys, save).select(F.col("id").alias(id_col), "root")
+    rows = save(own.join(groups, id_col).withColumn("__order", F.struct((~F.coalesce(prefer, F.lit(False))).alias("p"), F.col(id_col).alias("id"))))
+    value = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    firsts = [F.min_by(c, F.when(value(c).isNotNull(), F.col("__order"))).alias(f"__{c}") for c in fill]
+    best = rows.groupBy("root").agg(F.min("__order")["id"].alias("keep_id"), *firsts)
+    kept = rows.join(best.withColumnRenamed("keep_id", id_col), ["root", id_col])
+    merged = kept.select(*[F.coalesce(F.when(value(c).isNotNull(), F.col(c)), F.col(f"__{c}"), F.col(c)).alias(c) if c in fill else F.col(c) for c in df.columns])
+    moved = rows.select("root", F.col(id_col).alias("drop_id")).join(best.select("root", "keep_id"), "root").filter("drop_id <> keep_id").select("drop_id", "keep_id")
+    return merged, moved

@@ -32,6 +32,12 @@ STOP_WORDS = ["к", "и", "на", "в", "по", "при", "с", "от", "до",
 JACCARD_MIN, SHARED_MIN, JACCARD_ALONE = 0.42, 2, 0.55
 #: Fuzzy matching of designations and organisations.
 MARK_MIN, MARK_STRICT, ORG_MIN, ORG_CONTAINED, BRAND_MIN = 0.72, 0.86, 0.82, 0.88, 0.82
+#: Similar organisations of a name; names that may stand inside a longer one have at least so many characters; known names differ in length by at most so many.
+ORG_TOP, INSIDE_MIN, APART_MAX = 8, 8, 3
+# Families of designations that are listed by catalogue lines, and what ends a designation's brand (fire class, climate).
+CATALOGUE_FAMILIES = ["FLEXICORE", "H07RN", "VICABFLEX"]
+FIRE_CLASS = r"(?i)нг\s*\([^)]*\).*$"
+CLIMATE_SUFFIX = r"(?iu)-(?:LS|HF|FRLS|FRHF|LSLTx|LSLT|FR|ХЛ|УФ|УХЛ|Т)\b.*$"
 #: Aliases shorter than this are matched exactly only.
 ALIAS_CONTAINED_MIN = 4
 #: Two snapshots differ in quality beyond this margin.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
@@ -21,3 +21,10 @@ def folder(spark: SparkSession) -> str:
             _own.append(tempfile.mkdtemp(prefix="ordlake-"))
         base = _own[0]
     return f"{base.rstrip('/')}/ordlake-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame) -> DataFrame:
+    """df written to a new folder and read back; cuts its lineage."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,10 +46,15 @@ def documents(spark: SparkSession, path: str, since: str | None = None) -> tuple
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if since:
         reader = reader.option("modifiedAfter", since)
+    rows = described(reader.load(path))
+    return rows.filter("kind is not null"), rows.filter("kind is null").drop("content")
+
+
+def described(raw: DataFrame) -> DataFrame:
+    """(path, kind, size, modified, sha256, content) of rows of binary files; kind is null for suffixes that are not known."""
     kinds = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    rows = reader.load(path).select("path", F.try_element_at(kinds, suffix).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
-    return rows.filter("kind is not null"), rows.filter("kind is null").drop("content")
+    return raw.select("path", F.try_element_at(kinds, suffix).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
