@@ -39,7 +39,7 @@ from .common import save
 #: A kept term stands in this many documents of its language; term rows go to this rank.
 MIN_DOCS, TOP_TERMS = 3, 200
 #: A task writes its counts when it holds so many terms; texts are split in pieces of so many bytes.
-HELD, PIECE = 300_000, 1 << 20
+HELD, PIECE = 600_000, 1 << 20
 #: The sketch: rows, largest width (64 MB in all; beyond about as many terms more survive, results stay exact), tasks
 #: that fill one, cells of a piece that is merged.
 DEPTH, MAX_WIDTH, FILLERS, SEGMENT = 4, 1 << 24, 512, 1 << 14
@@ -193,10 +193,11 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def audit(docs: DataFrame) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): part 'pair' for every other source, part 'term' for telling terms."""
     spark = docs.sparkSession
-    partial = save(partial_counts(docs).withColumn("h", F.xxhash64("lang", "term")), "partial")
+    partial = save(partial_counts(docs), "partial")
+    h = F.xxhash64("lang", "term")
     width = 1 << max(14, min(MAX_WIDTH, partial.count()).bit_length() - 1)
-    survives = possibly_kept(spark, sketch(partial.select("h", "docs"), width))
-    exact = save(partial.filter(survives("h")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "exact")
+    survives = possibly_kept(spark, sketch(partial.select(h, "docs"), width))
+    exact = save(partial.filter(survives(h)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "exact")
     kept = exact.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
     kept = save(kept.select("lang", "term", "total", F.monotonically_increasing_id().alias("tid")), "kept")
     counts = save(exact.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "counts")
