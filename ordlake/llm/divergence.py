@@ -39,15 +39,15 @@ from .common import save
 #: A kept term stands in this many documents of its language; term rows go to this rank.
 MIN_DOCS, TOP_TERMS = 3, 200
 #: A task writes its counts when it holds so many terms; texts are split in pieces of so many bytes.
-HELD, PIECE = 600_000, 1 << 20
+HELD, PIECE = 1_000_000, 1 << 20
 #: The sketch: rows, largest width (64 MB in all; beyond about as many terms more survive, results stay exact), tasks
 #: that fill one, cells of a piece that is merged.
 DEPTH, MAX_WIDTH, FILLERS, SEGMENT = 4, 1 << 24, 512, 1 << 14
 #: Kept terms and sources of a block.
-BLOCK, SOURCES = 2048, 64
+BLOCK, SOURCES = 8192, 64
 
 _SPLIT = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+_COUNTS = "lang string, term string, docs long, sources array<string>, counts array<bigint>"
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -69,22 +69,33 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
         yield piece.split()
 
 
-def _flush(held: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (n, docs) in held.items():
-        words = list(n)
+def _flush(held: dict[str, tuple[Counter, dict[str, Counter]]]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a language, with its counts by source."""
+    for lang, (docs, sources) in held.items():
+        words = list(docs)
+        place = dict(zip(words, range(len(words)), strict=True))
+        at = [np.fromiter(map(place.__getitem__, n), np.int64, len(n)) for n in sources.values()]
+        order = np.argsort(np.concatenate(at), kind="stable") if at else np.zeros(0, np.int64)
+        own = np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at])[order]
+        counts = np.concatenate([np.fromiter(n.values(), np.int64, len(n)) for n in sources.values()])[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(at), minlength=len(words)))])
+        names = pa.array(list(sources), pa.string())
         for i in range(0, len(words), 1 << 16):
             part = words[i : i + (1 << 16)]
-            k = len(part)
-            columns = [pa.array([lang] * k), pa.array([source] * k), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[w] for w in part], pa.int64()), pa.array([docs[w] for w in part], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
+            cut = ends[i : i + len(part) + 1]
+            offsets = pa.array((cut - cut[0]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, names.take(pa.array(own[cut[0] : cut[-1]]))), pa.ListArray.from_arrays(offsets, pa.array(counts[cut[0] : cut[-1]]))]
+            columns = [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([docs[w] for w in part], pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "sources", "counts"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[str, tuple[Counter, dict[str, Counter]]] = {}
     size = 0
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            docs, sources = held.setdefault(lang, (Counter(), {}))
+            n = sources.setdefault(source, Counter())
             had, own = len(n), set()
             for words in terms(text.as_py()):
                 n.update(words)
@@ -98,10 +109,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): counts of the terms in each task's documents; not yet merged."""
+    """(lang, term, docs, sources, counts): the terms of each task's documents; not yet merged over tasks."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    return rows.mapInArrow(_count, _COUNTS)
 
 
 def _cells(h: np.ndarray, width: int) -> np.ndarray:
@@ -197,11 +208,14 @@ def audit(docs: DataFrame) -> DataFrame:
     h = F.xxhash64("lang", "term")
     width = 1 << max(14, min(MAX_WIDTH, partial.count()).bit_length() - 1)
     survives = possibly_kept(spark, sketch(partial.select(h, "docs"), width))
-    exact = save(partial.filter(survives(h)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "exact")
-    kept = exact.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
-    kept = save(kept.select("lang", "term", "total", F.monotonically_increasing_id().alias("tid")), "kept")
-    counts = save(exact.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "counts")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all_n"))
+    parts = partial.filter(survives(h)).repartition("lang", "term")  # what follows up to counts stays in place
+    each = F.transform(F.arrays_zip("sources", "counts"), lambda x, i: F.struct(x["sources"].alias("source"), x["counts"].alias("n"), F.when(i == 0, F.col("docs")).otherwise(0).alias("docs")))
+    exact = parts.select("lang", "term", F.explode(each).alias("x")).groupBy("lang", "term", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    over = {"total": F.sum("n").over(term), "in_docs": F.sum("docs").over(term), "tid": F.min("row").over(term), "k": F.row_number().over(term.orderBy("source"))}
+    counts = exact.withColumn("row", F.monotonically_increasing_id()).withColumns(over).filter(F.col("in_docs") >= MIN_DOCS)
+    counts = save(counts.select("lang", "source", "term", "n", "total", "tid", "k"), "counts")
+    langs = counts.groupBy("lang").agg(F.count_if(F.col("k") == 1).alias("v"), F.sum("n").alias("all_n"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("own"))
     sources = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
@@ -219,7 +233,7 @@ def audit(docs: DataFrame) -> DataFrame:
     spread = scored.groupBy("lang", "idx", "p").agg(F.count("*").alias("m")).join(other, "lang").filter("idx <> b")
     alone = spread.groupBy("lang", "idx", "b").agg(F.sum(F.col("m") * _f(F.col("p"), F.col("b_p0"))).alias("to"), F.sum(F.col("m") * _f(F.col("b_p0"), F.col("p"))).alias("back"))
     sums_of = alone.select("lang", F.col("idx").alias("a"), "b", F.col("to").alias("value")).unionByName(alone.select("lang", F.col("b").alias("a"), F.col("idx").alias("b"), F.col("back").alias("value")))
-    blocks = max(1, -(-kept.count() // BLOCK))
+    blocks = max(1, -(-counts.filter("k = 1").count() // BLOCK))
     packed = scored.withColumn("part", F.pmod(F.xxhash64("tid"), F.lit(blocks))).withColumn("block", F.floor(F.col("idx") / SOURCES))
     packed = packed.groupBy("lang", "part", "block").agg(F.collect_list(F.struct("tid", "idx", "p", "p0")).alias("x"))
     side = lambda s: packed.select("lang", "part", F.col("block").alias(f"{s}_block"), *[F.col(f"x.{c}").alias(f"{s}_{c}") for c in ("tid", "idx", "p", "p0")])
