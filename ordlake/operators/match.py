@@ -50,12 +50,15 @@ def combine_suggestions(key: str, synonyms: DataFrame, builtin: DataFrame, learn
 
 def resolve_alias(phrases: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """The code of the alias equal to the phrase, else of one that contains it or is contained; least id wins."""
-    own = phrases.select(key, phrase(F.col(text)).alias("__p"))
-    table = small(aliases.select(F.col("alias_id"), phrase(F.col("alias")).alias("__a"), "code"))
-    meets = (F.col("__p") == F.col("__a")) | ((F.length("__a") >= rules.ALIAS_CONTAINED_MIN) & (F.col("__p") != "") & (F.contains("__p", "__a") | F.contains("__a", "__p")))
-    hits = own.join(table, meets)
-    best = F.min(F.struct((F.col("__p") != F.col("__a")).alias("inexact"), "alias_id", "code"))
-    return hits.groupBy(key).agg(best.alias("b")).select(key, F.col("b.code").alias("code"), (~F.col("b.inexact")).alias("exact"))
+    table = small(aliases).select("alias_id", phrase(F.col("alias")).alias("a"), "code").agg(F.sort_array(F.collect_list(F.struct("alias_id", "a", "code"))).alias("__aliases"))
+    own = phrases.select(key, phrase(F.col(text)).alias("__p")).join(F.broadcast(table))  # one row, looked through in the phrase's own
+    p = F.col("__p")
+    first = lambda keep: F.get(F.filter("__aliases", keep), F.lit(0))
+    exact = first(lambda x: x["a"] == p)
+    near = first(lambda x: (F.length(x["a"]) >= rules.ALIAS_CONTAINED_MIN) & (p != "") & (F.contains(p, x["a"]) | F.contains(x["a"], p)))
+    hits = own.select(key, F.coalesce(exact, near).alias("b"), exact.isNotNull().alias("exact")).filter("b IS NOT NULL")
+    best = F.min_by(F.struct("b.code", "exact"), F.struct(~F.col("exact"), "b.alias_id"))
+    return hits.groupBy(key).agg(best.alias("x")).select(key, "x.code", "x.exact")
 
 
 def shared_word_pairs(left: DataFrame, left_key: str, left_text: str, right: DataFrame, right_key: str, right_text: str) -> DataFrame:

@@ -10,11 +10,11 @@ from .. import rules
 
 def precision_recall(expected: DataFrame, predicted: DataFrame, key: str, item: str) -> DataFrame:
     """Per key: raw and distinct expected, distinct predicted, matched, precision, recall (null without a base)."""
-    e = expected.groupBy(key).agg(F.count("*").alias("n_raw"), F.collect_set(item).alias("__e"))
-    p = predicted.groupBy(key).agg(F.collect_set(item).alias("__p"))
-    none = F.array().cast("array<string>")
-    both = e.join(p, key, "full").select(key, F.coalesce("n_raw", F.lit(0)).cast("long").alias("n_raw"), F.coalesce("__e", none).alias("__e"), F.coalesce("__p", none).alias("__p"))
-    out = both.select(key, "n_raw", F.size("__e").cast("long").alias("n_expected"), F.size("__p").cast("long").alias("n_predicted"), F.size(F.array_intersect("__e", "__p")).cast("long").alias("n_matched"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = expected.select(key, item, one.alias("e"), none.alias("p")).unionByName(predicted.select(key, item, none.alias("e"), one.alias("p")))
+    items = rows.groupBy(key, item).agg(F.sum("e").alias("n_raw"), F.max("e").alias("e"), F.max("p").alias("p"))  # repeats end here, in each task first
+    n = lambda x: F.coalesce(F.sum(F.when(F.col(item).isNotNull(), x)), none)
+    out = items.groupBy(key).agg(F.sum("n_raw").alias("n_raw"), n(F.col("e")).alias("n_expected"), n(F.col("p")).alias("n_predicted"), n(F.col("e") * F.col("p")).alias("n_matched"))
     share = lambda n: F.when(F.col(n) > 0, F.col("n_matched") / F.col(n))
     return out.withColumn("precision", share("n_predicted")).withColumn("recall", share("n_expected"))
 

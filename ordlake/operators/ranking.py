@@ -50,6 +50,15 @@ def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     return counts.groupBy(key).agg(F.max("n").alias("n"), F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value))
 
 
+def fill_gaps(df: DataFrame, key: str, value: str, empty: Column | None = None) -> DataFrame:
+    """df with missing values (null, or where empty holds) replaced by the most frequent value of the key, if it has one."""
+    known = F.col(value) if empty is None else F.when(~F.coalesce(empty, F.lit(False)), F.col(value))
+    own = df.withColumn("__known", known)
+    best = most_frequent(own, key, "__known").select(F.col(key).alias("__key"), F.col("__known").alias("__best"))
+    filled = own.join(best, F.col(key) == F.col("__key"), "left")
+    return filled.select(*[F.coalesce("__known", "__best").alias(value) if c == value else F.col(c) for c in df.columns])
+
+
 def move_to_front(items: Column, item: Column, k: int = 5) -> Column:
     """An array with item first and not repeated, at most k long."""
     return F.slice(F.concat(F.array(item), F.array_remove(items, item)), 1, k)

@@ -32,11 +32,15 @@ def corrections_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("field").agg(F.count("*").alias("n")).unionByName(bad.agg(F.lit("(bad)").alias("field"), F.count("*").alias("n")))
 
 
+#: Files of a folder tree are written by bucket of the document.
+BUCKETS = 64
+
+
 def folder_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC01 SRC20 SRC22 SRC23 SRC35 SRC37: files of a folder tree by kind, unknown suffixes apart, ids guessed from folders."""
     work = folder(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("value"), (F.col("doc_id") % 4).alias("group"))
-    d.select("value", "group").repartition("group").write.partitionBy("group").text(f"{work}/docs")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("value"), (F.col("doc_id") % 4).alias("group"), (F.col("doc_id") % BUCKETS).alias("bucket"))
+    d.select("value", "group", "bucket").repartition(BUCKETS, "group", "bucket").write.partitionBy("group", "bucket").text(f"{work}/docs")
     d.select("value").limit(1).write.csv(f"{work}/docs/other")
     known, unknown = files.documents(spark, f"{work}/docs")
     of = lambda df, kind: df.select(kind.alias("kind"), F.coalesce(F.nullif(F.regexp_extract("path", r"group=(\d+)", 1), F.lit("")), F.lit("-")).alias("grp"))
@@ -123,7 +127,7 @@ QUERIES = {f.__name__: f for f in (price_list_import, corrections_import, folder
 SQL = {
     "price_list_import": "SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, p_retailprice AS base_cost, p_type AS category FROM part WHERE p_partkey % 5 > 0",
     "corrections_import": "SELECT event_type AS field, count(DISTINCT user_id) AS n FROM events GROUP BY 1 UNION ALL SELECT '(bad)', 6",
-    "folder_inventory": "SELECT 'text' AS kind, CAST(doc_id % 4 AS VARCHAR) AS grp, CAST(1 AS BIGINT) AS n_files FROM documents GROUP BY 2 UNION ALL SELECT 'sheet', '-', 1",
+    "folder_inventory": "SELECT 'text' AS kind, CAST(doc_id % 4 AS VARCHAR) AS grp, count(DISTINCT doc_id % 64) AS n_files FROM documents GROUP BY 2 UNION ALL SELECT 'sheet', '-', 1",
     "order_store": "SELECT l_orderkey AS order_id, count(*) AS n, count(*) AS n_lines, count(*) - 1 AS last, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1",
     "snapshot_files": "SELECT event_id, event_type AS label, value AS quality_score FROM events ORDER BY event_id DESC LIMIT 20",
     "text_cache": "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS from_cache, sha256(CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) THEN 'cached ' || text ELSE text END) AS sha256 FROM documents",

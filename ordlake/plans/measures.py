@@ -82,6 +82,12 @@ def most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.most_frequent(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
 
+def filled_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG18: lines without a reference take the commonest one of their supplier; how many lines have each."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_partkey") % 3 > 0, F.concat("l_returnflag", (F.col("l_partkey") % 4).cast("string"))).otherwise("").alias("reference"))
+    return ranking.fill_gaps(lines, "l_suppkey", "reference", F.col("reference") == "").groupBy("l_suppkey", "reference").agg(F.count("*").alias("n"))
+
+
 def dup_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC21 SRC27: contents by hash, with how many documents share them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -95,7 +101,7 @@ def recent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(ranking.move_to_front(items, F.col("p_name")), "|").alias("paths"))
 
 
-QUERIES = {f.__name__: f for f in (precision_recall, overall_recall, label_quality, cer_against_benchmark, snapshot_compare, snapshot_score, latest_version_active, subset_drop, richer_merge, first_per_key, most_frequent, dup_hash_files, recent_paths)}
+QUERIES = {f.__name__: f for f in (precision_recall, overall_recall, label_quality, cer_against_benchmark, snapshot_compare, snapshot_score, latest_version_active, subset_drop, richer_merge, first_per_key, most_frequent, filled_references, dup_hash_files, recent_paths)}
 _I = "(SELECT l_orderkey % 500 AS doc, CAST(l_partkey % 300 AS VARCHAR) AS mark FROM lineitem WHERE l_returnflag = '{}')"
 _PR = f"""e AS (SELECT doc, count(*) AS n_raw, list(DISTINCT mark) AS e FROM {_I.format('R')} GROUP BY doc), p AS (SELECT doc, list(DISTINCT mark) AS p FROM {_I.format('A')} GROUP BY doc),
   r AS (SELECT doc, coalesce(n_raw, 0) AS n_raw, coalesce(len(e), 0) AS n_expected, coalesce(len(p), 0) AS n_predicted, coalesce(len(list_intersect(e, p)), 0) AS n_matched FROM e FULL JOIN p USING (doc))"""
@@ -121,6 +127,9 @@ SQL = {
     "richer_merge": "SELECT conv_id, sha256(arg_max(text, (length(text), -turn))) AS sha256, min(turn) FILTER (WHERE role = 'user') AS user_turn FROM conversations GROUP BY conv_id",
     "first_per_key": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
     "most_frequent": "SELECT o_custkey, n, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1",
+    "filled_references": """WITH l AS (SELECT l_suppkey, CASE WHEN l_partkey % 3 > 0 THEN l_returnflag || (l_partkey % 4) END AS r FROM lineitem),
+  b AS (SELECT l_suppkey, r AS best FROM (SELECT l_suppkey, r, count(*) AS n FROM l WHERE r IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, r) = 1)
+  SELECT l_suppkey, coalesce(r, best) AS reference, count(*) AS n FROM l LEFT JOIN b USING (l_suppkey) GROUP BY ALL""",
     "dup_hash_files": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",
     "recent_paths": "SELECT p_partkey, array_to_string((list_prepend(p_name, list_filter(['red bolt', 'blue gear', 'old bolt', 'hot gear', 'small ring'], lambda x: x <> p_name)))[1:5], '|') AS paths FROM part",
 }
