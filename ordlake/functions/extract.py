@@ -13,18 +13,25 @@ _I = "(?iuU)"
 
 
 def norm_document(x: Column) -> Column:
-    """The first norm reference by preference (a full TU, then GOST, then any), or null.
+    """The first norm reference by preference (a full TU, then GOST or IEC, then a short TU), or null.
 
-    Latin look-alikes of 'ТУ' are mended; a reference needs five characters, a digit, and none of the words that
-    only look like one.
+    Read word by word: a word that names a kind of norm, in whatever alphabet its letters were typed, and the number
+    after it. A reference needs five characters and a digit, and none of the words that only look like one.
     """
-    text = F.regexp_replace(F.coalesce(x, F.lit("")), _I + r"\b(?:Ty|TU)\s+", "ТУ ")
-    text = F.regexp_replace(text, _I + r"(ТУ\s*\d+\.)K(\d)", "$1К$2")
+    text = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?iu)(?<=ту|tu|ty|гост|мэк)(?=\d)", " ")  # a number typed on to its kind
+    words = F.filter(F.split(F.regexp_replace(text, r"\s*([-–/])\s*(?=\d)", "$1"), r"[\s,;:()«»\"]+"), lambda w: w != "")
+    kinds = F.transform(words, lambda w: F.translate(F.upper(w), "TUY", "ТУУ"))
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
 
-    def usable(d: Column) -> Column:
-        return F.when((F.length(d) >= 5) & d.rlike(r"\d") & ~d.rlike(_I + rules.NOT_A_DOCUMENT) & ~d.rlike(_I + r"^ТУ\s*\d+\.?$"), d)
+    def reference(kind: Column, i: Column) -> Column:
+        number = F.regexp_replace(F.regexp_replace(at(words, i + 1), r"(?iu)(?<=\.)[kк](?=\d)", "К"), r"[^\p{L}\p{N}]+$", "")
+        named = F.when(kind.isin("ТУ", "ГОСТ"), kind).when((kind == "МЭК") & (at(kinds, i - 1) == "Р"), F.lit("Р МЭК"))
+        rank = F.when((named == "ТУ") & number.rlike(r"^\d+\.К\d{2,3}(-\d+){2}$"), 1).when(named != "ТУ", 2).otherwise(3)
+        found = F.concat(named, F.lit(" "), number)
+        good = number.rlike(r"\d") & (F.length(found) >= 5) & ~found.rlike(_I + rules.NOT_A_DOCUMENT) & ~((rank == 3) & number.rlike(r"^\d+$"))
+        return F.when(good, F.struct(rank.alias("rank"), i.alias("i"), found.alias("found")))
 
-    return F.coalesce(*[usable(squeeze(F.regexp_extract(text, _I + p, 0))) for p in rules.NORM_DOCUMENTS])
+    return F.array_min(F.array_compact(F.transform(kinds, reference)))["found"]
 
 
 #: What may stand in a text as far as clause numbers go: numbers with dots, words, single signs.
@@ -77,9 +84,24 @@ def clause_line(line: Column) -> Column:
 
 
 def full_fire_marks(x: Column) -> Column:
-    """Designations with a complete fire class, such as 'ВВГнг(А)-LS', in order, without copies."""
-    pattern = _I + r"\b[А-ЯЁA-Z][А-ЯЁа-яёA-Za-z0-9\-]{2,50}нг\s*\(\s*[АA]\s*\)-?(?:FRLS|FRHF|LSLTx|LSLT|LS|HF|FR|ХЛ|УФ|УХЛ|Т|ng)(?:-[А-ЯЁA-Za-zа-яё0-9]{1,12})*\b"
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(pattern), 0), lambda m: F.regexp_replace(m, _I + r"нг\s*\(\s*[АA]\s*\)", "нг(А)")))
+    """Designations with a complete fire class, such as 'ВВГнг(А)-LS', in order, without copies.
+
+    Each word is cut at its class: a name before it, the letter А in brackets, and then parts between dashes, of which the first
+    is one of rules.FIRE_SUFFIXES and the others have up to twelve letters or digits.
+    """
+    joined = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*\(\s*", "("), r"\s+\)", ")")
+    words = F.transform(F.split(joined, r"[\s,;:«»\"]+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+$", ""))
+
+    def mark(word: Column) -> Column:
+        sides = F.split(word, _I + r"нг\(", 2)
+        name, tail = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.lit(""))
+        parts = F.filter(F.split(F.substring(tail, 3, 1000), "-"), lambda p: p != "")
+        classed = F.upper(F.substring(tail, 1, 2)).isin("А)", "A)") & F.upper(F.get(parts, F.lit(0))).isin(rules.FIRE_SUFFIXES)
+        named = F.length(name).between(3, 51) & name.rlike(r"^\p{L}[\p{L}\p{N}-]*$")
+        short = F.forall(parts, lambda p: F.length(p) <= 12)
+        return F.when(classed & named & short, F.concat(name, F.lit("нг(А)"), F.substring(tail, 3, 1000)))
+
+    return F.array_distinct(F.array_compact(F.transform(words, mark)))
 
 
 def sized_marks(x: Column) -> Column:
@@ -127,20 +149,27 @@ def labelled(text: Column, label: str) -> Column:
     return F.when(F.length(organisation_key(got)) >= 4, got)
 
 
+#: How much of a letter is its head if it has no date, where its recipient stands, and what each fact found adds to a letter's confidence.
+HEAD_CHARS, RECIPIENT_CHARS, LETTER_BASE, LETTER_WEIGHTS = 2000, 800, 0.55, {"sender": 0.2, "address": 0.15, "inn": 0.1}
+
+
+def _first_in(lines: Column, pattern: str, group: int = 1) -> Column:
+    """What a pattern finds in the first line that has it, squeezed, or null."""
+    found = F.transform(lines, lambda line: squeeze(F.regexp_extract(line, _I + pattern, group)))
+    return F.get(F.filter(found, lambda f: f != ""), F.lit(0))
+
+
 def letter(text: Column) -> Column:
-    """struct<recipient, sender, address, inn, kpp, phone, email, confidence> of a letter's head (up to its date)."""
+    """struct<recipient, sender, address, inn, kpp, phone, email, confidence> of the lines above a letter's date."""
     whole = F.coalesce(text, F.lit(""))
-    date = F.regexp_instr(whole, F.lit(r"\b\d{2}\.\d{2}\.\d{4}\b"))
-    head = F.substr(whole, F.lit(1), F.when(date > 0, date - 1).otherwise(F.lit(2000)))
-    head = F.regexp_replace(head, r"(?iuUm)^.*(?:Генеральному|Уважаемому)\s+директору.*$", "")
-    part = lambda s, p, g: F.nullif(F.trim(F.regexp_extract(s, p, g)), F.lit(""))
-    sender, address, inn = part(head, _I + rules.SENDER, 1), part(head, _I + rules.STREET, 1), part(head, _I + rules.TAX_IDS, 1)
-    add = lambda c, v: F.when(c.isNotNull(), v).otherwise(0.0)
-    confidence = F.least(F.round(0.55 + add(sender, 0.2) + add(address, 0.15) + add(inn, 0.1), 2), F.lit(0.95))
-    return F.struct(
-        part(F.substring(whole, 1, 800), "(?iuUm)" + rules.RECIPIENT, 1).alias("recipient"), sender.alias("sender"), F.nullif(squeeze(address), F.lit("")).alias("address"), inn.alias("inn"), part(head, _I + rules.TAX_IDS, 2).alias("kpp"),
-        F.nullif(squeeze(part(head, _I + rules.PHONE, 1)), F.lit("")).alias("phone"), part(head, _I + rules.EMAIL, 1).alias("email"), confidence.alias("confidence"),
-    )
+    above = F.split(whole, r"\b\d{2}\.\d{2}\.\d{4}\b", 2)
+    lines = F.split(F.when(F.size(above) > 1, F.get(above, F.lit(0))).otherwise(F.substring(whole, 1, HEAD_CHARS)), "\n")
+    own = F.filter(lines, lambda line: ~F.exists(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: w.isin(rules.SALUTATIONS)))
+    facts = {"sender": (rules.SENDER, 1), "address": (rules.STREET, 1), "inn": (rules.TAX_IDS, 1), "kpp": (rules.TAX_IDS, 2), "phone": (rules.PHONE, 1), "email": (rules.EMAIL, 1)}
+    got = {name: _first_in(own, pattern, group) for name, (pattern, group) in facts.items()}
+    confidence = sum((F.when(got[name].isNotNull(), w).otherwise(0.0) for name, w in LETTER_WEIGHTS.items()), F.lit(LETTER_BASE))
+    recipient = _first_in(F.split(F.substring(whole, 1, RECIPIENT_CHARS), "\n"), rules.RECIPIENT)
+    return F.struct(recipient.alias("recipient"), *[c.alias(name) for name, c in got.items()], F.least(F.round(confidence, 2), F.lit(0.95)).alias("confidence"))
 
 
 def acceptance_row(cells: Column) -> Column:

@@ -63,13 +63,15 @@ SENDER = r"ООО\s*[«\"]([^»\"]+)[»\"]"
 STREET = r"\b(?:Ул\.?|ул\.?)\s*:?\s*([^,;\n]+(?:,\s*[^,;\n]+){0,6})"
 
 # Norm documents, by preference, and words that rule one out.
-NORM_DOCUMENTS = [r"(?:ТУ|TU|Ty)\s*\d+\.[КкKk]\d{2,3}-\d{3}-\d{4}", r"(?:ГОСТ|Р\s*МЭК)\s*[\d.\-/]+(?:\s*[\d\-/]+)*", r"(?:ТУ|TU|Ty|ГОСТ|Р\s*МЭК)\s*[\d.\-/A-Za-zА-Яа-яЁё]+"]
 NOT_A_DOCUMENT = r"стоимост|срок|услуг|оплат|количеств|гарантир|письм|заказ|просьб"
 
 # Words that make a clause of a norm interesting, and tests that are not charged.
-CLAUSE_WORDS = r"испытан|сопротивлен|провер|измерен|нагружен|изгиб|температур|влажност|горен|огнест|экран|емкост|напряжен|герметич|обрыв|затухан|кручен|удар|раздавл|растяг|маркиров"
 NOT_BILLABLE = r"маркиров|упаков|срок\s+служб|комплектност|сопровод"
 
 #: Validation: lengths, factors and penalties.
 LONG_NAME, EMPTY_MARKS_CHARS = 80, 500
 OCR_FACTOR, NO_DOCUMENT, DUPLICATE, UNKNOWN_TYPE, NO_TAX_ID = 0.85, 0.10, 0.05, 0.10, 0.15
+
+# What may follow a fire class in a designation; words of a line that greets a letter's recipient.
+FIRE_SUFFIXES = ["FRLS", "FRHF", "LSLTX", "LSLT", "LS", "HF", "FR", "ХЛ", "УФ", "УХЛ", "Т", "NG"]
+SALUTATIONS = ["генеральному", "уважаемому"]
