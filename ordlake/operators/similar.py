@@ -59,10 +59,11 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     size = F.length("name")
     whole = 2 * size / (2 - least)  # the least sum of lengths of a pair with this name
     need = F.ceil((1.5 * least - 1) * whole - 1 - 1e-9) if n == 2 else F.ceil(least * whole / 2 - 1e-9)
-    posted = _ranked(names, n).select("name", F.explode(F.slice("g", F.lit(1), F.greatest(F.size("g") - F.greatest(need, F.lit(1)) + 1, F.lit(1)))).alias("gram"))
-    side = lambda df, c: posted.join(df.select(F.col(df.columns[0]).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(c), "gram")
-    met = side(left, "left_name").join(side(right, "right_name"), "gram").filter(F.col("left_name") != F.col("right_name")).select("left_name", "right_name").distinct()
-    near = met.filter(_near(F.col("left_name"), F.col("right_name"), least))
+    posted = _ranked(names, n).select("name", grams(F.col("name"), 1).alias("chars"), F.explode(F.slice("g", F.lit(1), F.greatest(F.size("g") - F.greatest(need, F.lit(1)) + 1, F.lit(1)))).alias("gram"))
+    side = lambda df, c: posted.join(df.select(F.col(df.columns[0]).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(f"{c}_name"), F.col("chars").alias(f"{c}_chars"), "gram")
+    bound = least * (F.size("left_chars") + F.size("right_chars")) / 2 - 1e-9
+    alike = (F.least(F.size("left_chars"), F.size("right_chars")) >= bound) & (F.size(F.array_intersect("left_chars", "right_chars")) >= bound)
+    near = side(left, "left").join(side(right, "right"), "gram").filter(F.col("left_name") != F.col("right_name")).filter(alike).select("left_name", "right_name").distinct()
     scored = near.withColumn("score", ratio(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= least)
     return scored.unionByName(_equal(left, right))
 
