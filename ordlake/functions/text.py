@@ -105,6 +105,13 @@ def slug(x: Column, size: int = 55) -> Column:
     return F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^0-9a-zа-яё_]+", " ")), " ", "_"), 1, size)
 
 
+def jammed(x: Column) -> Column:
+    """The names of tests in one cell: two if a second one begins with a capital opening word, else one."""
+    opening = "(?:" + "|".join(rules.OPENING_WORDS) + ")"
+    shape = rf"^({opening}\s.+?)\s+({opening}\s.+)$"
+    return F.when(x.rlike(shape), F.array(F.regexp_extract(x, shape, 1), F.regexp_extract(x, shape, 2))).otherwise(F.array(x))
+
+
 def file_part(x: Column, size: int = 60, default: str = "file") -> Column:
     """A part of a file name without reserved signs."""
     bare = F.substring(squeeze(F.regexp_replace(F.coalesce(x, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', " ")), 1, size)

@@ -68,3 +68,9 @@ def category_position(category: Column, order: list[str] = rules.CATEGORY_ORDER)
     """Place in the fixed order, from 0; others after all of them."""
     found = F.array_position(F.array(*[F.lit(c) for c in order]), F.trim(F.coalesce(category, F.lit("")))).cast("int")
     return F.when(found > 0, found - 1).otherwise(len(order))
+
+
+def rule_label(rule: Column) -> Column:
+    """What is shown for a rule; rules without a label of their own show as fixed."""
+    labels = F.create_map(*[F.lit(x) for pair in rules.RULE_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(labels, rule), F.lit(rules.RULE_LABELS["fixed"]))

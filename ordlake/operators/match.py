@@ -22,6 +22,14 @@ def small(table: DataFrame, bound: int = MAX_RULES) -> DataFrame:
     return F.broadcast(table)
 
 
+def lexicon(names: DataFrame, name: str) -> DataFrame:
+    """One row, to be broadcast: a pattern of all names as whole words, in any case, longer ones before shorter ones."""
+    known = small(names.filter(F.trim(name) != "").select(F.lower(F.trim(name)).alias("n")).distinct())
+    ordered = F.array_sort(F.collect_list(F.struct((-F.length("n")).alias("size"), F.concat(F.lit(r"\Q"), "n", F.lit(r"\E")).alias("quoted"))))
+    joined = F.array_join(F.transform(ordered, lambda x: x["quoted"]), "|")
+    return F.broadcast(known.agg(F.concat(F.lit(r"(?iuU)\b("), joined, F.lit(r")\b")).alias("pattern")))
+
+
 def contained_phrases(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
     """Best confidence of every code any of whose patterns stands in the text: (key, code, confidence, pattern).
 

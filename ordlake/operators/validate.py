@@ -49,16 +49,18 @@ def organisations(df: DataFrame, document_type: str) -> DataFrame:
 def reports(docs: DataFrame, checked_marks: DataFrame, checked_orgs: DataFrame, doc: str) -> DataFrame:
     """One report per document (columns document_type, n_chars, ocr): flags, block_confirm, overall status and confidence."""
     rank = lambda s: F.when(s == "error", 2).when(s == "warning", 1).otherwise(0)
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
     ok = F.col("accepted")
-    m = checked_marks.groupBy(doc).agg(F.count("*").alias("n_marks"), F.max(F.when(ok, rank(F.col("status")))).alias("__mr"), F.sum(F.when(ok, F.col("confidence"))).alias("__ms"), F.count_if(ok).alias("__mn"))
+    m = checked_marks.groupBy(doc).agg(F.count("*").alias("n_marks"), F.max(F.when(ok, rank(F.col("status")))).alias("__mr"), F.sum(F.when(ok, cents("confidence"))).alias("__ms"), F.count_if(ok).alias("__mn"))
     party = F.col("role").isin("customer", "manufacturer")
     customer = F.col("role") == "customer"
-    o = checked_orgs.groupBy(doc).agg(F.max(F.when(party, rank(F.col("status")))).alias("__or"), F.max(F.when(customer, F.col("confidence"))).alias("__oc"), F.bool_or(customer & F.exists("warnings", lambda w: w.startswith("P0-"))).alias("__bad"))
+    o = checked_orgs.groupBy(doc).agg(F.max(F.when(party, rank(F.col("status")))).alias("__or"), F.max(F.when(customer, cents("confidence"))).alias("__oc"), F.bool_or(customer & F.exists("warnings", lambda w: w.startswith("P0-"))).alias("__bad"))
     r = docs.join(m, doc, "left").join(o, doc, "left").withColumn("n_marks", F.coalesce("n_marks", F.lit(0)).cast("long"))
     no_marks, bad, unknown = (F.col("n_marks") == 0) & (F.col("n_chars") > rules.EMPTY_MARKS_CHARS), F.coalesce("__bad", F.lit(False)), F.col("document_type") == "unknown"
     worst = F.greatest(F.coalesce("__mr", F.lit(0)), F.coalesce("__or", F.lit(0)))
     n = F.coalesce("__mn", F.lit(0)) + F.when(F.col("__oc").isNotNull(), 1).otherwise(0)
-    mean = F.when(n > 0, F.round((F.coalesce("__ms", F.lit(0.0)) + F.coalesce("__oc", F.lit(0.0))) / n, 2)).otherwise(0.0)
+    total = (F.coalesce("__ms", F.lit(0)) + F.coalesce("__oc", F.lit(0))).cast("decimal(18,0)")
+    mean = F.when(n > 0, (F.round(total / n, 0) / 100).cast("double")).otherwise(0.0)
     lowered = unknown & (worst == 0)
     return r.select(
         *docs.columns, "n_marks", _warnings((F.col("ocr"), "P1-1"), (unknown, "P2-2"), (no_marks, "P0-2"), (bad, "P0-1")).alias("flags"), (no_marks | bad).alias("block_confirm"),

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import merge, ranking
+from ..operators import match, merge, ranking
 from ..scratch import folder
 from ..sources import files, sinks
-from .common import sql_values, table, values
+from .common import table, values
 
 
 def price_list_import(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,33 +88,31 @@ def dimension_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert(old, new, "name", {"title": merge.FILL_NEW, "kind": merge.KEEP_OLD}).withColumn("known", F.col("name").isin("NATION_0", "NATION_99")).select("name", F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("kind", F.lit("-")).alias("kind"), "known")
 
 
-HALVES = [("ККЗ", "нг(А)-LS", None), ("ККЗ", None, "0,66"), ("ККЗ", None, "1,0"), ("ПВС", "нг(А)", None)]
-
-
 def half_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT28: rows with a fire class and rows with a voltage of one base combined to full ones."""
-    h = values(spark, HALVES, "base string, fire string, voltage string")
-    a, b = h.filter("fire is not null").select("base", "fire"), h.filter("voltage is not null").select("base", "voltage")
+    """TXT28: rows with a fire class and rows with a voltage of one base combined to full ones; a base has few of either."""
+    p = table(spark, sf_dir, "part")
+    a = p.filter("p_size % 3 = 0").selectExpr("p_brand AS base", "CASE WHEN p_size % 2 = 0 THEN 'нг(А)-LS' ELSE 'нг(А)' END AS fire").distinct()
+    b = p.filter("p_size % 3 = 1").selectExpr("p_brand AS base", "CASE p_size % 4 WHEN 0 THEN '0,66' WHEN 1 THEN '1,0' ELSE '6,0' END AS voltage").distinct()
     return a.join(b, "base").select(F.concat_ws(" ", "base", "fire", "voltage").alias("mark"))
 
 
-LEXICON = ["КГ", "КГВВ", "ПВС", "КПС"]
+#: A text for each part that names it and its first word, and other words that only begin like names: SQL over part.
+NAMED = "'Кабель ' || upper(p_name) || ', также ' || split_part(p_name, ' ', 1) || ' и ' || p_name || 'x; ' || p_brand"
 
 
 def lexicon_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC18 TXT26 CLS08 SRC32: lexicon names in text, longest first and not overlapping, counted per document."""
-    d = values(spark, [(1, "кабель КГВВ и КГ, также ПВС"), (2, "КПСнг и кг"), (3, "")], "doc int, t string")
-    pattern = r"(?iuU)\b(" + "|".join(sorted(LEXICON, key=lambda x: (-len(x), x))) + r")\b"
-    found = F.transform(F.regexp_extract_all("t", F.lit(pattern), 1), F.upper)
-    return d.select("doc", F.array_join(found, "|").alias("names"), F.size(found).cast("long").alias("n"))
+    """SRC18 TXT26: names of a lexicon table in text, longest first and not overlapping."""
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.explode(F.array("p_name", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("name"))
+    found = F.transform(F.regexp_extract_all(F.expr(NAMED), F.col("pattern"), F.lit(1)), F.upper)
+    return p.join(match.lexicon(names, "name")).select("p_partkey", F.array_join(found, "|").alias("names"), F.size(found).cast("long").alias("n"))
 
 
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC04 ARR01 ARR02 TXT23: cells of merged columns collapsed, rows as lines, look-alike letters replaced."""
-    rows = [(1, [["A", "A", "b"], ["c"]]), (2, [["АBC", "x"]]), (3, [])]
-    df = spark.createDataFrame(rows, "n int, cells array<array<string>>")
-    lines = text.table_text(F.array(F.transform("cells", text.drop_repeated_neighbours)))
-    return df.select("n", lines.alias("lines"), F.translate(lines, "ABCEHKMOPTX", "АВСЕНКМОРТХ").alias("folded"))
+    cells = F.array(F.array("p_brand", "p_brand", "p_type"), F.array("p_name"), F.array("p_type", "p_type"))
+    lines = text.table_text(F.array(F.transform(cells, text.drop_repeated_neighbours)))
+    return table(spark, sf_dir, "part").select("p_partkey", lines.alias("lines"), F.translate(lines, "ABCEHKMOPTX", "АВСЕНКМОРТХ").alias("folded"))
 
 
 def newest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +132,9 @@ SQL = {
     "import_validation": """SELECT CASE WHEN c_custkey % 11 = 0 AND c_acctbal < 0 THEN 'no name, negative balance' WHEN c_custkey % 11 = 0 THEN 'no name' WHEN c_acctbal < 0 THEN 'negative balance' ELSE 'valid' END AS verdict, count(*) AS n FROM customer GROUP BY 1""",
     "dimension_upserts": """SELECT n_name AS name, CASE n_name WHEN 'NATION_0' THEN 'new' ELSE 'old' END AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'norm' WHEN n_name = 'NATION_1' THEN 'y' ELSE '-' END AS kind, n_name = 'NATION_0' AS known
   FROM nation UNION ALL SELECT 'NATION_99', 'added', 'z', true""",
-    "half_rows": "SELECT * FROM " + sql_values([("ККЗ нг(А)-LS 0,66",), ("ККЗ нг(А)-LS 1,0",)], "mark"),
-    "lexicon_marks": "SELECT doc, names, CAST(n AS BIGINT) AS n FROM " + sql_values([(1, "КГВВ|КГ|ПВС", 3), (2, "КГ", 1), (3, "", 0)], "doc, names, n"),
-    "table_lines": "SELECT n, replace(lines, '/', chr(10)) AS lines, replace(folded, '/', chr(10)) AS folded FROM " + sql_values([(1, "A b/c", "А b/c"), (2, "АBC x", "АВС x"), (3, "", "")], "n, lines, folded"),
+    "half_rows": """SELECT DISTINCT a.p_brand || ' ' || CASE WHEN a.p_size % 2 = 0 THEN 'нг(А)-LS' ELSE 'нг(А)' END || ' ' || CASE b.p_size % 4 WHEN 0 THEN '0,66' WHEN 1 THEN '1,0' ELSE '6,0' END AS mark
+  FROM (SELECT DISTINCT p_brand, p_size FROM part) a JOIN (SELECT DISTINCT p_brand, p_size FROM part) b ON a.p_brand = b.p_brand AND a.p_size % 3 = 0 AND b.p_size % 3 = 1""",
+    "lexicon_marks": "SELECT p_partkey, upper(p_name || '|' || split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 1) || '|' || p_brand) AS names, CAST(4 AS BIGINT) AS n FROM part",
+    "table_lines": """WITH t AS (SELECT p_partkey, p_brand || ' ' || p_type || chr(10) || p_name || chr(10) || p_type AS lines FROM part) SELECT p_partkey, lines, translate(lines, 'ABCEHKMOPTX', 'АВСЕНКМОРТХ') AS folded FROM t""",
     "newest_per_source": "SELECT conv_id, CAST(CASE role WHEN 'user' THEN 0 ELSE 1 END AS INTEGER) AS rank, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'user' THEN 0 ELSE 1 END, turn DESC) = 1",
 }

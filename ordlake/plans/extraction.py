@@ -1,4 +1,8 @@
-"""Queries that read facts out of request documents, over literal documents, with their expected rows as SQL."""
+"""Queries that read facts out of request documents, which are put together from orders, customers, lines and parts.
+
+The inputs are SQL expressions that both engines read, so a document is the same text for the query and for its SQL. The
+SQL then derives the answer from the columns that went into the text, not from the text.
+"""
 
 from __future__ import annotations
 
@@ -7,87 +11,186 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..operators import validate
-from .common import sql_values, values
+from .common import table
+
+_N = "CAST({} AS STRING)".format
+_DATE = f"lpad({_N('day(o_orderdate)')}, 2, '0') || '.' || lpad({_N('month(o_orderdate)')}, 2, '0') || '.' || {_N('year(o_orderdate)')}"
+#: What goes into a request, by name: SQL over orders and customer.
+PIECES = {
+    "nr": "lpad(" + _N("o_custkey % 1000") + ", 3, '0')",
+    "cable": "CASE o_orderkey % 3 WHEN 0 THEN 'ВВГнг(А)-LS' WHEN 1 THEN 'КПСнг(А)-FRHF' ELSE 'ПВС' END",
+    "cores": "o_custkey % 37 + 1",
+    "section": f"{_N('o_custkey % 16 + 1')} || CASE WHEN o_orderkey % 2 = 0 THEN ',5' ELSE '' END",
+    "a": "o_custkey % 9 + 1",
+    "b": "c_nationkey + 1",
+    "sent": _DATE,
+    "tests": "CASE o_orderstatus WHEN 'F' THEN 'сертификационные' WHEN 'O' THEN 'контрольные' ELSE 'периодические' END",
+    "inn": f"CASE WHEN o_custkey % 3 > 0 THEN {_N('7700000000 + o_custkey')} END",
+    "kpp": f"CASE WHEN o_custkey % 3 > 0 THEN {_N('770000000 + c_nationkey')} END",
+    "address": "CASE WHEN o_custkey % 5 > 0 THEN c_mktsegment || ', д. 5' END",
+}
+_LETTER = """'Генеральному директору ' || c_mktsegment || chr(10) || 'ООО "' || c_name || '"' || coalesce(' ИНН / КПП ' || inn || ' / ' || kpp, '') || chr(10)
+  || coalesce('ул. ' || address, '') || chr(10) || 'Тел: +7 (495) ' || nr || '-12-34' || chr(10) || 'E-mail: c' || nr || '@example.ru' || chr(10) || sent || chr(10)
+  || 'Просим провести ' || tests || ' испытания кабеля ' || cable || ' ' || cores || 'х' || section || ' по ТУ 16.К99-' || nr || '-2014, пункты 1.1.' || a || ', 1.2.' || b || ' и 1.6.' || a || '.'"""
+_DIRECTION = """'НАПРАВЛЕНИЕ в испытательный центр' || chr(10) || 'Заказчик: Орган по сертификации ' || c_name || chr(10) || 'Изготовитель: Завод ' || c_mktsegment || ', г. Тула' || chr(10)
+  || 'Марка ' || cable || ' ' || cores || 'х' || section || ' ГОСТ 7' || nr || '-97; марка ' || cable || ' ' || cores || 'х' || section || '; требование п. 4.' || a || '.' || b"""
+_ACT = "'Акт отбора образцов. Дата ' || sent || '. Кабель ' || cable || ' отобран, стоимость согласована'"
+_OTHER = "CASE WHEN o_custkey % 2 = 0 THEN 'Заявка принята, ответ будет дан позже: ' || c_name END"
+#: Four kinds of documents in turn; of the last kind every other one has no text.
+TEXT = f"CASE o_orderkey % 4 WHEN 0 THEN {_LETTER} WHEN 1 THEN {_DIRECTION} WHEN 2 THEN {_ACT} ELSE {_OTHER} END"
+
 
-LETTER = 'Генеральному директору Центра испытаний\nООО "Ромашка" ИНН / КПП 7701234567 / 770101001\nул. Мира, д. 5, Москва\nТел: +7 (495) 123-45-67\nE-mail: info@romashka.ru\n01.02.2026\nПросим провести периодические испытания кабеля ВВГнг(А)-LS 3х2,5 по ТУ 16.К99-058-2014, пункты 1.1.3, 1.2.1 и 1.6.6.'
-DIRECTION = "НАПРАВЛЕНИЕ в испытательный центр\nЗаказчик: Орган по сертификации «Знак»\nИзготовитель: Кабельный завод Восток, г. Тула\nМарка ПВС 3х1,5 ГОСТ 7399-97; марка ПВС 3х1,5; требование п. 4.5.7"
-ACT = "Акт отбора образцов. Дата 12.07.2026. Кабель КПСнг(А)-FRLS отобран, стоимость согласована"
-DOCS = [(1, LETTER), (2, DIRECTION), (3, ACT), (4, None)]
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request document for each order: doc, text, and the columns of the order and its customer."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select("*", *[F.expr(sql).alias(name) for name, sql in PIECES.items()])
+    return rows.select(F.col("o_orderkey").alias("doc"), "*", F.expr(TEXT).alias("text"))
 
 
-def _docs(spark: SparkSession) -> DataFrame:
-    return values(spark, DOCS, "doc int, text string")
+_REQUESTS = f"""pieces AS (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in PIECES.items())} FROM orders JOIN customer ON o_custkey = c_custkey),
+  requests AS (SELECT o_orderkey AS doc, *, {TEXT} AS text, cable || ' ' || cores || 'х' || section AS mark FROM pieces)"""
 
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT02 TXT03 TXT04 TXT06 CLS01 TXT27: type, norm reference, clauses and designations of documents."""
+    """TXT02 TXT03 TXT04 TXT06 CLS01: type, norm reference, clauses and designations of requests, the first with what stands around it."""
     t = F.col("text")
     join = lambda a: F.array_join(a, "|")
-    return _docs(spark).select("doc", text.document_type(t).alias("kind"), F.coalesce(extract.norm_document(t), F.lit("-")).alias("norm"), join(extract.cited_clauses(t)).alias("clauses"), join(extract.sized_marks(t)).alias("sized"), join(extract.full_fire_marks(t)).alias("fire"))
+    context = F.get(extract.with_context(t, extract.sized_marks(t)), F.lit(0))["context"]
+    return requests(spark, sf_dir).select("doc", text.document_type(t).alias("kind"), F.coalesce(extract.norm_document(t), F.lit("-")).alias("norm"), join(extract.cited_clauses(t)).alias("clauses"), join(extract.sized_marks(t)).alias("sized"), join(extract.full_fire_marks(t)).alias("fire"), F.coalesce(context, F.lit("-")).alias("context"))
+
+
+def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS01 CLS02 CLS03 CLS06: letter, direction, act or unknown, and the kind of tests that is asked for."""
+    t = F.col("text")
+    return requests(spark, sf_dir).select("doc", text.document_type(t).alias("kind"), text.test_type(t).alias("test_type"))
 
 
 def letter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT17 TXT18 TXT19 TXT20: recipient, sender and contacts of a letter, labelled parties of a direction."""
-    x = extract.letter(F.col("text"))
+    """TXT17 TXT18 TXT19 TXT20: recipient, sender and contacts of letters, labelled parties of directions."""
+    rows = requests(spark, sf_dir).filter("doc % 4 < 2").select("doc", "text", extract.letter(F.col("text")).alias("x"))
     blank = lambda c: F.coalesce(c, F.lit("-"))
-    rows = _docs(spark).filter("doc <= 2")
-    return rows.select("doc", *[blank(x[c]).alias(c) for c in ("recipient", "sender", "address", "inn", "kpp", "phone", "email")], x["confidence"].alias("confidence"), blank(extract.labelled(F.col("text"), "заказчик")).alias("customer"), blank(extract.labelled(F.col("text"), "изготовитель")).alias("manufacturer"))
+    return rows.select("doc", *[blank(F.col(f"x.{c}")).alias(c) for c in ("recipient", "sender", "address", "inn", "kpp", "phone", "email")], "x.confidence", blank(extract.labelled(F.col("text"), "заказчик")).alias("customer"), blank(extract.labelled(F.col("text"), "изготовитель")).alias("manufacturer"))
+
+
+_NAME = "CASE WHEN o_custkey % 11 = 0 THEN repeat('Очень длинное название ', 4) ELSE '' END || CASE c_nationkey % 4 WHEN 0 THEN 'Орган по сертификации ' WHEN 1 THEN 'Испытательный центр ' WHEN 2 THEN 'Дилер ' ELSE 'ООО ' END || c_name"
+#: The two organisations that a request names: SQL over requests.
+_PARTIES = [
+    {"pos": "1", "name": _NAME, "role": "CASE WHEN o_orderkey % 2 = 0 THEN 'customer' ELSE 'unknown' END", "inn": "inn", "cents": "50 + 10 * (o_custkey % 5)"},
+    {"pos": "2", "name": "'Кабельный завод ' || c_mktsegment", "role": "CASE WHEN o_custkey % 2 = 0 THEN 'manufacturer' ELSE 'unknown' END", "inn": "CAST(NULL AS STRING)", "cents": "55 + 10 * (o_orderkey % 4)"},
+]
+
+
+def _organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows for each request, from one reading of it."""
+    party = lambda p: F.struct(*[F.expr(sql).alias(c) for c, sql in p.items()])
+    rows = requests(spark, sf_dir).select("doc", "text", F.explode(F.array(*[party(p) for p in _PARTIES])).alias("p")).select("doc", "text", "p.*")
+    return rows.withColumn("confidence", F.col("cents") / 100).withColumn("org_type", extract.organisation_type(F.lit(""), F.col("name")))
 
 
-ORGS = [(1, 1, "Орган по сертификации «Знак»", "unknown", 0.8), (1, 2, "Кабельный завод Восток", "manufacturer", 0.7), (2, 1, "Испытательный центр Север", "customer", 0.9), (2, 2, "Завод Запад", "unknown", 0.5), (3, 1, "ООО Дилер", "customer", 0.9)]
+_PARTY = "parties AS (" + " UNION ALL ".join("SELECT doc, o_orderkey, c_nationkey, " + ", ".join(f"{sql} AS {c}" for c, sql in p.items()) + f", {'c_nationkey % 4' if p['pos'] == '1' else '4'} AS sort FROM requests" for p in _PARTIES) + ")"
+_TYPES = "CASE sort WHEN 0 THEN 'certification_body' WHEN 1 THEN 'testing_center' WHEN 2 THEN 'dealer' WHEN 3 THEN 'unknown' ELSE 'manufacturer' END"
 
 
 def organisation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS14 CLS15 FLT20 FLT21 WIN14: kinds and roles of organisations in directions."""
-    o = values(spark, ORGS, "doc int, pos int, name string, role string, confidence double").withColumn("org_type", extract.organisation_type(F.lit(""), F.col("name"))).withColumn("direction", F.col("doc") < 3)
+    """CLS14 CLS15 FLT20 FLT21 WIN14: kinds and roles of the organisations of requests; every third request is a direction."""
+    o = _organisations(spark, sf_dir).withColumn("direction", F.col("doc") % 3 == 0)
     return validate.roles(o, "doc", "pos", "direction").select("doc", "pos", "name", "role", "org_type")
 
 
-FOUND = [(1, 1, "ВВГнг(А)-LS 3х2,5", "ТУ 16.К99-058-2014", False), (1, 2, "ввгнг(а)-ls  3х2,5", "ТУ 16.К99-058-2014", False), (1, 3, "ВВГнг(А)-LS  3х2,5", "", False), (2, 1, "ПВС 3х1,5", "ГОСТ 7399-97", True), (3, 1, "просто слова", None, False)]
+#: Designations of an order's lines, good and bad ones, some in two spellings: SQL over lineitem and part.
+_LINE = {
+    "doc": "l_orderkey", "pos": "l_linenumber * CAST(10000000 AS BIGINT) + l_partkey",
+    "mark": f"CASE p_size % 4 WHEN 0 THEN 'ВВГнг(А)-LS ' || {_N('p_size % 5 + 1')} || 'х2,5' WHEN 1 THEN 'ПВС ' || {_N('p_size')} || 'х1,5' WHEN 2 THEN p_name ELSE 'ввгнг(а)-ls  ' || {_N('p_size % 5 + 1')} || 'х2,5' END",
+    "document": "CASE WHEN l_orderkey % 5 > 0 THEN 'ТУ 16.К99-058-2014' ELSE '' END", "ocr": "l_orderkey % 7 = 0",
+}
 
 
-def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS07 CLS10 CLS11 CLS12 AGG19 AGG25: validated designations and organisations, one report per document."""
-    marks = validate.marks(values(spark, FOUND, "doc int, pos int, mark string, document string, ocr boolean"), "doc", "pos", "ocr")
-    docs = values(spark, [(1, "letter", 900, False), (2, "direction", 300, True), (3, "unknown", 200, False), (4, "unknown", 5000, False)], "doc int, document_type string, n_chars int, ocr boolean")
-    orgs = values(spark, ORGS, "doc int, pos int, name string, role string, confidence double").withColumn("org_type", F.lit("unknown")).withColumn("inn", F.lit(None).cast("string")).join(docs.select("doc", "document_type"), "doc")
-    r = validate.reports(docs, marks, validate.organisations(orgs, "document_type"), "doc")
-    return r.select("doc", "n_marks", F.array_join("flags", ",").alias("flags"), "block_confirm", "overall_status", "overall_confidence")
+def _checked_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return validate.marks(lines.select(*[F.expr(sql).alias(c) for c, sql in _LINE.items()]), "doc", "pos", "ocr")
+
+
+_MARKS = f"""lines AS (SELECT {', '.join(f'{sql} AS {c}' for c, sql in _LINE.items())}, p_size % 4 IN (2, 3) AS bad FROM lineitem JOIN part ON l_partkey = p_partkey),
+  again AS (SELECT *, row_number() OVER (PARTITION BY doc, CASE WHEN mark LIKE 'ввг%' THEN replace(replace(mark, 'ввгнг(а)-ls', 'ВВГнг(А)-LS'), '  ', ' ') ELSE mark END ORDER BY pos) > 1 AS again FROM lines),
+  checked AS (SELECT *, round(greatest(greatest(CASE WHEN bad THEN least(CASE WHEN ocr THEN 0.75 * 0.85 ELSE 0.9 END, 0.4) ELSE CASE WHEN ocr THEN 0.75 * 0.85 ELSE 0.9 END END - CASE WHEN document = '' THEN 0.1 ELSE 0 END, 0) - CASE WHEN again THEN 0.05 ELSE 0 END, 0), 2) AS confidence,
+  CASE WHEN bad THEN 'error' WHEN again OR document = '' THEN 'warning' ELSE 'ok' END AS status, concat_ws(',', CASE WHEN ocr THEN 'P1-1' END, CASE WHEN bad THEN 'P1-2' END, CASE WHEN document = '' THEN 'P1-3' END, CASE WHEN again THEN 'P2-1' END) AS warnings FROM again)"""
 
 
 def mark_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS10: confidence, status and warnings of each designation."""
-    m = validate.marks(values(spark, FOUND, "doc int, pos int, mark string, document string, ocr boolean"), "doc", "pos", "ocr")
-    return m.select("doc", "pos", "confidence", "status", F.array_join("warnings", ",").alias("warnings"), "accepted")
+    """CLS07 CLS10: confidence, status and warnings of each designation of an order's lines."""
+    return _checked_marks(spark, sf_dir).select("doc", "pos", "confidence", "status", F.array_join("warnings", ",").alias("warnings"), "accepted")
 
 
-ROWS = [(1, ["С1", "Проверка конструкции", "2.3.1 - 2.3.3", "5.2.1"]), (2, ["p2", "Маркировка и упаковка", "1.2.1", "4.1"]), (3, ["Вид испытания", "Требования", "Метод"]), (4, ["Стойкость к изгибу", "2.4.1, 2.4.2", "5.3"]), (5, ["т3", "Удар", "-", "-"])]
+def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS07 CLS10 CLS11 CLS12 AGG19: designations and organisations validated, one report for each request."""
+    kinds = text.document_type(F.col("text")).alias("document_type")
+    docs = requests(spark, sf_dir).select("doc", kinds, (F.coalesce(F.length("text"), F.lit(0)) + 200 * (F.col("o_custkey") % 3)).alias("n_chars"), (F.col("doc") % 7 == 0).alias("ocr"))
+    orgs = _organisations(spark, sf_dir).withColumn("document_type", kinds)
+    r = validate.reports(docs, _checked_marks(spark, sf_dir), validate.organisations(orgs, "document_type"), "doc")
+    return r.select("doc", "n_marks", F.array_join("flags", ",").alias("flags"), "block_confirm", "overall_status", "overall_confidence")
+
+
+#: Cells of an acceptance table: SQL over part. Every tenth row is a head, its columns in one of two orders.
+_HEAD, _EMPTY = "p_partkey % 10 = 9", "p_partkey % 7 = 0"
+_TITLE = "CASE p_partkey % 3 WHEN 0 THEN 'Проверка ' || p_name WHEN 1 THEN 'Маркировка ' || p_name ELSE 'Правила приемки ' || p_name END"
+_CELLS = f"""CASE WHEN {_HEAD} AND p_size % 2 = 0 THEN array('Вид испытания', 'Требования', 'Метод') WHEN {_HEAD} THEN array('Метод', 'Наименование', 'Пункт', 'Примечание')
+  ELSE concat(CASE p_size % 4 WHEN 0 THEN array('С' || p_size) WHEN 1 THEN array('p ' || p_size) WHEN 2 THEN array('т' || p_size) ELSE array() END,
+  array({_TITLE}, CASE WHEN {_EMPTY} THEN '-' ELSE '2.' || p_size || '.1 - 2.' || p_size || '.' || (p_partkey % 4 + 1) END, CASE WHEN {_EMPTY} THEN '-' ELSE '5.' || p_size || '; 5.' || p_size END)) END"""
 
 
 def acceptance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC12 SRC13 ARR03 ARR04 ARR05 CLS16 CLS17 CLS18: rows of an acceptance table."""
-    df = spark.createDataFrame(ROWS, "n int, cells array<string>")
-    r = extract.acceptance_row(F.col("cells"))
-    return df.select("n", extract.table_header(F.col("cells")).alias("is_head"), r.alias("r")).select("n", "is_head", F.coalesce("r.group_code", F.lit("-")).alias("group_code"), F.coalesce("r.category", F.lit("-")).alias("category"), F.coalesce("r.name", F.lit("-")).alias("name"), F.coalesce(F.array_join("r.requirements", "|"), F.lit("-")).alias("requirements"), F.coalesce(F.array_join("r.methods", "|"), F.lit("-")).alias("methods"), F.coalesce("r.billable", F.lit(False)).alias("billable"))
+    """SRC12 ARR05 CLS16 CLS17 CLS18: rows of an acceptance table; of a head the places of its columns."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CELLS).alias("cells")).select("p_partkey", "cells", extract.table_header(F.col("cells")).alias("is_head"), extract.acceptance_row(F.col("cells")).alias("r"))
+    places = extract.column_places(F.col("cells"), {"name": "вид|наименование", "requirements": "требован|пункт", "methods": "метод"})
+    blank = lambda c: F.coalesce(c, F.lit("-"))
+    joined = lambda c: blank(F.array_join(c, "|"))
+    at = F.when(F.col("is_head"), F.concat_ws(",", *[places[c].cast("string") for c in ("name", "requirements", "methods")])).otherwise("-")
+    return rows.select("p_partkey", "is_head", at.alias("places"), blank("r.group_code").alias("group_code"), blank("r.category").alias("category"), blank("r.name").alias("name"), joined("r.requirements").alias("requirements"), joined("r.methods").alias("methods"), F.coalesce("r.billable", F.lit(False)).alias("billable"))
 
 
-NORM = "1.4.1 Электрическое сопротивление изоляции.\nС1 | Проверка конструкции | 2.3.1 - 2.3.6 | 5.2\nкоротко\n1.4.1 Электрическое сопротивление изоляции."
+#: A norm's page for each part: a numbered line, a table row, a short line, and the first line again.
+_PAGE = "'1.' || p_size || '.1 Сопротивление ' || p_name || '.' || chr(10) || 'С1 | Проверка ' || p_name || ' | 2.' || p_size || '.1 - 2.' || p_size || '.6 | 5.2' || chr(10) || 'коротко' || chr(10) || '1.' || p_size || '.1 Сопротивление ' || p_name || '.'"
 
 
 def norm_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT05 SRC14: clauses with their titles from lines of a norm, the first of equal ones."""
-    lines = values(spark, [(NORM,)], "t string").select(F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    c = lines.select("pos", extract.clause_line(F.col("line")).alias("c")).filter("c is not null")
-    return c.groupBy("c.clause", "c.title").agg(F.min("pos").alias("pos"))
+    """TXT05 SRC14: clauses with their titles from the lines of norms, the first of equal ones."""
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.expr(_PAGE), "\n")).alias("pos", "line"))
+    c = lines.select("p_partkey", "pos", extract.clause_line(F.col("line")).alias("c")).filter("c is not null")
+    return c.groupBy("p_partkey", "c.clause", "c.title").agg(F.min("pos").alias("pos"))
 
 
-QUERIES = {f.__name__: f for f in (document_facts, letter_parse, organisation_roles, extraction_report, mark_validation, acceptance_rows, norm_clauses)}
+QUERIES = {f.__name__: f for f in (document_facts, document_type, letter_parse, organisation_roles, extraction_report, mark_validation, acceptance_rows, norm_clauses)}
+_KIND = "CASE doc % 4 WHEN 0 THEN 'letter' WHEN 1 THEN 'direction' WHEN 2 THEN 'act' ELSE 'unknown' END"
+_FINAL = "CASE WHEN own THEN least(cents, 20) WHEN long THEN least(cents, 30) ELSE cents END"
 SQL: dict[str, str] = {
-    "document_facts": "SELECT * FROM " + sql_values([(1, "letter", "ТУ 16.К99-058-2014", "1.1.3|1.2.1|1.6.6", "ВВГнг(А)-LS 3х2,5", "ВВГнг(А)-LS"), (2, "direction", "ГОСТ 7399-97", "4.5.7", "ПВС 3х1,5", ""), (3, "act", "-", "", "", "КПСнг(А)-FRLS"), (4, "unknown", "-", "", "", "")], "doc, kind, norm, clauses, sized, fire"),
-    "letter_parse": "SELECT doc, recipient, sender, address, inn, kpp, phone, email, CAST(confidence AS DOUBLE) AS confidence, customer, manufacturer FROM " + sql_values([(1, "Центра испытаний", "Ромашка", "Мира, д. 5, Москва", "7701234567", "770101001", "+7 (495) 123-45-67", "info@romashka.ru", 0.95, "-", "-"), (2, "-", "-", "-", "-", "-", "-", "-", 0.55, "Орган по сертификации «Знак»", "Кабельный завод Восток")], "doc, recipient, sender, address, inn, kpp, phone, email, confidence, customer, manufacturer"),
-    "organisation_roles": "SELECT * FROM " + sql_values([(1, 1, "Орган по сертификации «Знак»", "customer", "certification_body"), (1, 2, "Кабельный завод Восток", "manufacturer", "manufacturer"), (2, 1, "Испытательный центр Север", "unknown", "testing_center"), (2, 2, "Завод Запад", "unknown", "manufacturer"), (2, 2, "Завод Запад", "customer", "manufacturer"), (3, 1, "ООО Дилер", "customer", "dealer")], "doc, pos, name, role, org_type"),
-    "mark_validation": "SELECT doc, pos, CAST(confidence AS DOUBLE) AS confidence, status, warnings, accepted FROM " + sql_values([(1, 1, 0.9, "ok", "", True), (1, 2, 0.35, "error", "P1-2,P2-1", False), (1, 3, 0.75, "warning", "P1-3,P2-1", True), (2, 1, 0.64, "ok", "P1-1", True), (3, 1, 0.3, "error", "P1-2,P1-3", False)], "doc, pos, confidence, status, warnings, accepted"),
-    "extraction_report": "SELECT doc, CAST(n_marks AS BIGINT) AS n_marks, flags, block_confirm, overall_status, CAST(overall_confidence AS DOUBLE) AS overall_confidence FROM " + sql_values([(1, 3, "", False, "warning", 0.83), (2, 1, "P1-1,P0-1", True, "error", 0.42), (3, 1, "P2-2", False, "warning", 0.8), (4, 0, "P2-2,P0-2", True, "warning", 0.0)], "doc, n_marks, flags, block_confirm, overall_status, overall_confidence"),
-    "acceptance_rows": "SELECT * FROM " + sql_values([(1, False, "С1", "psi", "Проверка конструкции", "2.3.1|2.3.2|2.3.3", "5.2.1", True), (2, False, "П2", "periodic", "Маркировка и упаковка", "1.2.1", "4.1", False), (3, True, "-", "-", "-", "-", "-", False), (4, False, "-", "-", "Стойкость к изгибу", "2.4.1|2.4.2", "5.3", True), (5, False, "-", "-", "-", "-", "-", False)], "n, is_head, group_code, category, name, requirements, methods, billable"),
-    "norm_clauses": "SELECT * FROM " + sql_values([("1.4.1", "Электрическое сопротивление изоляции", 0), ("2.3.1", "Проверка конструкции", 1)], "clause, title, pos"),
+    "document_facts": f"""WITH {_REQUESTS}, f AS (SELECT doc, text, mark, {_KIND} AS kind,
+  CASE doc % 4 WHEN 0 THEN 'ТУ 16.К99-' || nr || '-2014' WHEN 1 THEN 'ГОСТ 7' || nr || '-97' ELSE '-' END AS norm,
+  CASE doc % 4 WHEN 0 THEN '1.1.' || a || '|1.2.' || b || '|1.6.' || a WHEN 1 THEN '4.' || a || '.' || b ELSE '' END AS clauses,
+  CASE WHEN doc % 4 < 2 THEN mark ELSE '' END AS sized, CASE WHEN doc % 4 < 3 AND cable <> 'ПВС' THEN cable ELSE '' END AS fire FROM requests)
+  SELECT doc, kind, norm, clauses, sized, fire, CASE WHEN sized = '' THEN '-' ELSE trim(regexp_replace(substr(text, greatest(instr(text, mark) - 160, 1), least(instr(text, mark) - 1, 160) + length(mark) + 160), '\\s+', ' ', 'g')) END AS context FROM f""",
+    "document_type": f"WITH {_REQUESTS} SELECT doc, {_KIND} AS kind, CASE doc % 4 WHEN 0 THEN tests WHEN 1 THEN 'сертификационные' ELSE 'периодические' END AS test_type FROM requests",
+    "letter_parse": f"""WITH {_REQUESTS} SELECT doc, CASE doc % 4 WHEN 0 THEN c_mktsegment ELSE '-' END AS recipient, CASE doc % 4 WHEN 0 THEN c_name ELSE '-' END AS sender,
+  CASE doc % 4 WHEN 0 THEN coalesce(address, '-') ELSE '-' END AS address, CASE doc % 4 WHEN 0 THEN coalesce(inn, '-') ELSE '-' END AS inn, CASE doc % 4 WHEN 0 THEN coalesce(kpp, '-') ELSE '-' END AS kpp,
+  CASE doc % 4 WHEN 0 THEN '+7 (495) ' || nr || '-12-34' ELSE '-' END AS phone, CASE doc % 4 WHEN 0 THEN 'c' || nr || '@example.ru' ELSE '-' END AS email,
+  CAST(CASE WHEN doc % 4 = 1 THEN 0.55 WHEN inn IS NULL AND address IS NULL THEN 0.75 WHEN address IS NULL THEN 0.85 WHEN inn IS NULL THEN 0.9 ELSE 0.95 END AS DOUBLE) AS confidence,
+  CASE doc % 4 WHEN 1 THEN 'Орган по сертификации ' || c_name ELSE '-' END AS customer, CASE doc % 4 WHEN 1 THEN 'Завод ' || c_mktsegment ELSE '-' END AS manufacturer FROM requests WHERE doc % 4 < 2""",
+    "organisation_roles": f"""WITH {_REQUESTS}, {_PARTY}, r AS (SELECT doc, pos, name, {_TYPES} AS org_type, CASE WHEN sort = 0 AND doc % 3 = 0 THEN 'customer' WHEN sort = 1 THEN 'unknown' ELSE role END AS role FROM parties)
+  SELECT doc, pos, name, role, org_type FROM r UNION ALL SELECT doc, pos, name, 'customer', org_type FROM r WHERE pos = 2 AND doc % 3 = 0 AND doc NOT IN (SELECT doc FROM r WHERE role = 'customer')""",
+    "mark_validation": f"WITH {_MARKS} SELECT doc, pos, CAST(confidence AS DOUBLE) AS confidence, status, warnings, NOT bad AS accepted FROM checked",
+    "extraction_report": f"""WITH {_REQUESTS}, {_PARTY}, {_MARKS},
+  o1 AS (SELECT *, length(name) > 80 AS long, role = 'customer' AND sort = 1 AS own, role = 'customer' AND inn IS NULL AND doc % 4 = 0 AS letter FROM parties),
+  o2 AS (SELECT *, {_FINAL} AS c, ({_FINAL}) < 60 AND NOT (long OR own) AS unsure FROM o1),
+  o AS (SELECT doc, max(CASE WHEN role <> 'unknown' THEN CASE WHEN long OR own THEN 2 WHEN unsure OR letter THEN 1 ELSE 0 END END) AS worst,
+  max(CASE WHEN role = 'customer' THEN greatest(c - CASE WHEN letter THEN 15 ELSE 0 END, 0) END) AS best, bool_or(role = 'customer' AND (long OR own)) AS bad FROM o2 GROUP BY doc),
+  m AS (SELECT doc, count(*) AS n_marks, max(CASE status WHEN 'warning' THEN 1 WHEN 'ok' THEN 0 END) AS worst, sum(CASE WHEN NOT bad THEN CAST(round(confidence * 100) AS BIGINT) END) AS cents, count(*) FILTER (WHERE NOT bad) AS n FROM checked GROUP BY doc),
+  j AS (SELECT doc, doc % 4 = 3 AS unknown, doc % 7 = 0 AS ocr, coalesce(n_marks, 0) AS n_marks, coalesce(n_marks, 0) = 0 AND coalesce(length(text), 0) + 200 * (o_custkey % 3) > 500 AS none, coalesce(o.bad, false) AS bad,
+  greatest(coalesce(m.worst, 0), coalesce(o.worst, 0)) AS worst, coalesce(m.cents, 0) + coalesce(best, 0) AS cents, coalesce(n, 0) + CASE WHEN best IS NULL THEN 0 ELSE 1 END AS n FROM requests LEFT JOIN m USING (doc) LEFT JOIN o USING (doc)),
+  k AS (SELECT *, CASE WHEN n > 0 THEN CAST((2 * cents + n) // (2 * n) AS BIGINT) ELSE 0 END AS mean FROM j)
+  SELECT doc, n_marks, concat_ws(',', CASE WHEN ocr THEN 'P1-1' END, CASE WHEN unknown THEN 'P2-2' END, CASE WHEN none THEN 'P0-2' END, CASE WHEN bad THEN 'P0-1' END) AS flags, none OR bad AS block_confirm,
+  CASE WHEN worst = 2 THEN 'error' WHEN worst = 1 OR unknown THEN 'warning' ELSE 'ok' END AS overall_status, CASE WHEN unknown AND worst = 0 THEN greatest(mean - 10, 0) ELSE mean END / 100.0::DOUBLE AS overall_confidence FROM k""",
+    "acceptance_rows": f"""WITH p AS (SELECT *, {_HEAD} AS is_head, NOT ({_HEAD}) AND NOT ({_EMPTY}) AND p_partkey % 3 < 2 AS good, {_TITLE} AS title FROM part)
+  SELECT p_partkey, is_head, CASE WHEN is_head AND p_size % 2 = 0 THEN '0,1,2' WHEN is_head THEN '1,2,0' ELSE '-' END AS places, CASE WHEN good AND p_size % 4 < 3 THEN (['С', 'П', 'Т'])[p_size % 4 + 1] || p_size ELSE '-' END AS group_code,
+  CASE WHEN good AND p_size % 4 < 3 THEN (['psi', 'periodic', 'type'])[p_size % 4 + 1] ELSE '-' END AS category, CASE WHEN good THEN title ELSE '-' END AS name,
+  CASE WHEN good THEN array_to_string(['2.' || p_size || '.' || i FOR i IN range(1, p_partkey % 4 + 2)], '|') ELSE '-' END AS requirements, CASE WHEN good THEN '5.' || p_size ELSE '-' END AS methods, good AND p_partkey % 3 = 0 AS billable FROM p""",
+    "norm_clauses": "SELECT p_partkey, '1.' || p_size || '.1' AS clause, 'Сопротивление ' || p_name AS title, 0 AS pos FROM part UNION ALL SELECT p_partkey, '2.' || p_size || '.1', 'Проверка ' || p_name, 1 FROM part",
 }

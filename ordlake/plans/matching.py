@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import text
+from ..functions import extract, text
 from ..operators import match, quality
 from .common import sql_values, table, values
 
@@ -79,10 +79,15 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.fuzzy_names(n.select(F.col("p_name").alias("left_name")), "left_name", n.select(F.col("p_name").alias("right_name")), "right_name", rules.MARK_MIN, rules.MARK_STRICT, 5)
 
 
+#: Names of customers as they are typed: with legal forms, quotes and signs, as logins, as placeholders: SQL over customer.
+TYPED = """CASE c_custkey % 7 WHEN 0 THEN 'ООО "' || c_name || '"' WHEN 1 THEN 'ооо  ' || c_name WHEN 2 THEN 'ПАО «' || c_name || ', №' || c_nationkey || '»' WHEN 3 THEN c_name || ' Ltd.' WHEN 4 THEN 'Заказчик'
+  WHEN 5 THEN 'a.' || lower(c_mktsegment) ELSE 'Общество с ограниченной ответственностью ' || c_name END"""
+
+
 def org_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT15 FLT04: keys under which organisations are equal."""
-    names = [('ООО "Ромашка"',), ("ооо ромашка",), ("ПАО «Завод, №1»",), ("Customer Ltd.",), ("",)]
-    return values(spark, names, "name string").select("name", text.organisation_key(F.col("name")).alias("org_key"))
+    """TXT15 FLT04: keys under which organisations are equal, and the names that are none."""
+    name = F.expr(TYPED)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.organisation_key(name).alias("org_key"), extract.placeholder(name).alias("placeholder"))
 
 
 QUERIES = {f.__name__: f for f in (phrase_mapping, phrase_suggestions, alias_resolve, token_jaccard_match, code_cascade, match_rate, suggestion_precedence, brand_snap, fuzzy_names, org_names)}
@@ -114,5 +119,6 @@ SQL = {
   SELECT p_partkey, code, CASE WHEN base IS NULL OR l > base THEN l ELSE base END AS confidence, CASE WHEN l IS NOT NULL AND (base IS NULL OR l > base) THEN 'learned' WHEN p_size % 2 = 0 THEN 'builtin' ELSE 'synonym' END AS source
   FROM s WHERE base IS NOT NULL OR l IS NOT NULL""",
     "brand_snap": "SELECT p_partkey, arg_max(brand, length(brand)) AS brand FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS brand FROM part) ON starts_with(replace(p_name, ' ', ''), brand) GROUP BY p_partkey",
-    "org_names": """SELECT * FROM (VALUES ('ООО "Ромашка"', 'ромашка'), ('ооо ромашка', 'ромашка'), ('ПАО «Завод, №1»', 'завод, №1'), ('Customer Ltd.', 'customer ltd'), ('', '')) AS t(name, org_key)""",
+    "org_names": """SELECT c_custkey, CASE c_custkey % 7 WHEN 2 THEN lower(c_name) || ', №' || c_nationkey WHEN 3 THEN lower(c_name) || ' ltd' WHEN 4 THEN 'заказчик' WHEN 5 THEN 'a.' || lower(c_mktsegment) ELSE lower(c_name) END AS org_key,
+  c_custkey % 7 IN (4, 5) AS placeholder FROM customer""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import merge, ranking
 from ..sources import files
-from .common import sql_values, table, values
+from .common import table, values
 from .pricing import LINES_SQL, order_lines
 
 
@@ -50,14 +50,16 @@ def label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select("label_id", F.coalesce("d1", "d2").alias("document_id"), F.when(F.col("d1").isNotNull(), "id").when(F.col("d2").isNotNull(), "name").otherwise("none").alias("found_by"))
 
 
-PAYLOADS = [(1, '{"marks_expected": ["a", {"mark": "b"}]}'), (2, '{"marks_expected": [{"mark": "c"}]}'), (3, "{}"), (4, "broken")]
+#: Extraction payloads of parts: marks as text, as objects, both, none, and broken JSON: SQL over part.
+PAYLOADS = """CASE p_size % 5 WHEN 0 THEN '{"marks_expected": ["' || p_name || '", {"mark": "' || p_brand || '"}]}' WHEN 1 THEN '{"marks_expected": [{"mark": "' || p_brand || '", "n": 2}]}'
+  WHEN 2 THEN '{"marks_expected": ["' || p_name || '", "' || p_type || '"]}' WHEN 3 THEN '{"pages": []}' ELSE '{"marks_expected": ["' || p_name END"""
 
 
 def expected_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARR06 ARR08: marks of a list whose elements are strings or objects."""
-    raw = F.from_json(F.get_json_object("payload", "$.marks_expected"), "array<string>")
+    """ARR06: marks of a list whose elements are strings or objects; nothing for other payloads."""
+    raw = F.from_json(F.get_json_object(F.expr(PAYLOADS), "$.marks_expected"), "array<string>")
     marks = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda x: F.coalesce(F.get_json_object(x, "$.mark"), x))
-    return values(spark, PAYLOADS, "n int, payload string").select("n", F.array_join(marks, "|").alias("marks"), F.size(marks).cast("long").alias("n_marks"))
+    return table(spark, sf_dir, "part").select("p_partkey", marks.alias("m")).select("p_partkey", F.array_join("m", "|").alias("marks"), F.size("m").cast("long").alias("n_marks"))
 
 
 def adjacent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +99,14 @@ def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("n_regionkey", F.get_json_object("j", "$.nations[0]").alias("first"), F.json_array_length(F.get_json_object("j", "$.nations")).cast("long").alias("n"), F.size(files.json_map(F.col("j"))).cast("long").alias("n_fields"))
 
 
-JAMMED = [("Проверка конструкции Проверка маркировки",), ("Измерение длины",), ("Стойкость к удару Испытание напряжением",)]
+#: Cells with one or two names of tests: SQL over part.
+JAMMED = "CASE p_size % 3 WHEN 0 THEN 'Проверка ' || p_name || ' Измерение ' || p_type WHEN 1 THEN 'Стойкость к ' || p_name ELSE 'Испытание ' || p_name || ' на стойкость' END"
 
 
 def jammed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT09: two names in one cell, told apart by a second opening word."""
-    shape = r"^((?:Проверка|Испытание|Измерение|Стойкость)\s.+?)\s+((?:Проверка|Испытание|Измерение|Стойкость)\s.+)$"
-    parts = F.when(F.col("name").rlike(shape), F.array(F.regexp_extract("name", shape, 1), F.regexp_extract("name", shape, 2))).otherwise(F.array("name"))
-    return values(spark, JAMMED, "name string").select("name", F.array_join(parts, "|").alias("names"))
+    names = text.jammed(F.expr(JAMMED))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names, "|").alias("names"), F.size(names).cast("long").alias("n"))
 
 
 def replace_for_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +126,15 @@ SQL = {
     "used_mappings": "SELECT p_partkey, count(*) AS usage, p_name FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_partkey, p_name HAVING count(*) >= 40",
     "label_resolution": """SELECT l.doc_id AS label_id, coalesce(a.doc_id, b.doc_id) AS document_id, CASE WHEN a.doc_id IS NOT NULL THEN 'id' WHEN b.doc_id IS NOT NULL THEN 'name' ELSE 'none' END AS found_by
   FROM labels l LEFT JOIN documents a ON a.doc_id = l.doc_id * 2 LEFT JOIN documents b ON b.doc_id = l.doc_id""",
-    "expected_marks": "SELECT n, marks, CAST(n_marks AS BIGINT) AS n_marks FROM " + sql_values([(1, "a|b", 2), (2, "c", 1), (3, "", 0), (4, "", 0)], "n, marks, n_marks"),
+    "expected_marks": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_brand WHEN 2 THEN p_name || '|' || p_type ELSE '' END AS marks,
+  CAST((['2', '1', '2', '0', '0'])[p_size % 5 + 1] AS BIGINT) AS n_marks FROM part""",
     "adjacent_runs": """WITH s AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
   r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM s) SELECT user_id, run, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY user_id, run""",
     "correction_outcomes": "SELECT p_brand, count(*) FILTER (WHERE p_size % 3 = 0) AS n_yes, count(*) FILTER (WHERE p_size % 3 = 1) AS n_partial, count(*) FILTER (WHERE p_size % 3 = 2) AS n_no FROM part GROUP BY p_brand",
     "distinct_then_join": f"SELECT p_partkey, {_KEY.format('p_name')} AS key FROM part",
     "priority_rows": "SELECT o_custkey, o_orderpriority, o_totalprice, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) = 1",
     "nested_json": "SELECT n_regionkey, min(n_name) AS first, count(*) AS n, CAST(2 AS BIGINT) AS n_fields FROM nation GROUP BY n_regionkey",
-    "jammed_names": "SELECT * FROM " + sql_values([(JAMMED[0][0], "Проверка конструкции|Проверка маркировки"), (JAMMED[1][0], JAMMED[1][0]), (JAMMED[2][0], "Стойкость к удару|Испытание напряжением")], "name, names"),
+    "jammed_names": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Проверка ' || p_name || '|Измерение ' || p_type WHEN 1 THEN 'Стойкость к ' || p_name ELSE 'Испытание ' || p_name || ' на стойкость' END AS names,
+  CAST(CASE p_size % 3 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM part""",
     "replace_for_document": "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN upper(role) ELSE role END AS role FROM conversations c WHERE conv_id % 3 <> 0 OR turn < 2 OR NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn < 2)",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import marks
 from ..functions.money import FINE, MONEY, format_money, money
 from ..operators import cost, merge, relational
-from .common import plain, sql_doubles, sql_values, table, values
+from .common import plain, sql_doubles, table
 
 MINIMUM, MARKUP, DISCOUNT = 15_000, 5, 3
 HOURS, PER_HOUR = 24, "1.50"
@@ -84,26 +84,32 @@ def category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("category").agg(F.count("*").alias("n"), F.sum("base").cast(MONEY).alias("base")).withColumn("position", cost.category_position(F.col("category"), ORDER))
 
 
-NAMES = [
+#: Names, categories and codes of tests, twelve shapes in turn: SQL over part.
+_SHAPES = [
     ("Сопротивление изоляции жил", "Электрические параметры НЧ", None), ("Сопротивление связи", "Электрические параметры ВЧ", None), ("Затухание экранирования", None, None),
-    ("Емкость пары", None, None), ("Волновое сопротивление", None, None), ("Стойкость к повышенной влажности воздуха", None, None), ("Выдержка", "Внешние воздействующие факторы", None),
+    ("Емкость пары", None, None), ("Волновое сопротивление", None, None), ("Стойкость к повышенной влажности воздуха", None, None), ("Выдержка при солнечной радиации", "Внешние воздействующие факторы", None),
     ("Затухание оптического волокна", None, None), ("Сопротивление", None, "измерение_сопротивления_связи"), ("Сопротивление излучению", None, None), ("Масса", None, None), ("К солнечной радиации", "Внешние воздействующие факторы", None),
 ]
+_SHAPE = lambda i: "CASE p_partkey % 12 " + " ".join(f"WHEN {k} THEN '{s[i]}'" for k, s in enumerate(_SHAPES) if s[i]) + " END"
+TESTS = f"SELECT p_partkey, {_SHAPE(0)} || ', ' || p_name AS name, {_SHAPE(1)} AS category, {_SHAPE(2)} AS code, p_size FROM part"
 
 
 def rule_type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CST03 CST06 CST10: how tests are charged, by their names."""
-    df = values(spark, NAMES, "name string, category string, code string")
-    return df.select("name", cost.rule_type(F.col("name"), F.col("category"), F.col("code")).alias("rule_type"))
+    """CST03 CST06 CST10: how the tests of a whole catalogue are charged, by their names, with the label shown for it."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_SHAPE(0)} || ', ' || p_name AS name", f"{_SHAPE(1)} AS category", f"{_SHAPE(2)} AS code")
+    rows = df.withColumn("rule_type", cost.rule_type(F.col("name"), F.col("category"), F.col("code")))
+    return rows.select("p_partkey", "rule_type", cost.rule_label(F.col("rule_type")).alias("label"))
 
 
-MARKS = [("ВВГнг(A)-LS 3х2,5", 3, 2.5, False), ("ПВС 12х16", 12, 16.0, False), ("Провод ПуГВ 1х6", 1, 6.0, False), ("Кабель ПВБбШв 4х35", 4, 35.0, True), ("КСБнг(A)-FRLS 2х2х0,98", 4, 0.98, True)]
+#: Designations of samples: SQL over part.
+SAMPLES = "CASE p_size % 5 WHEN 0 THEN 'ВВГнг(A)-LS ' WHEN 1 THEN 'ПУГВ ' WHEN 2 THEN 'Провод ПуГВ ' WHEN 3 THEN 'Кабель ПВБбШв ' ELSE 'пгвва ' END || (p_partkey % 19 + 1) || 'х' || p_size"
 
 
 def sample_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CST04: work factor of samples."""
-    df = values(spark, MARKS, "mark string, cores int, size double, armor boolean")
-    return df.select("mark", marks.complexity(F.col("mark"), F.col("cores"), F.col("size"), F.col("armor")).alias("factor"))
+    """CST04: work factor of samples, from the parts of their designations."""
+    mark = F.expr(SAMPLES)
+    m = marks.parse_mark(mark)
+    return table(spark, sf_dir, "part").select("p_partkey", marks.complexity(mark, m["cores"], m["size"], m["has_armor"]).alias("factor"))
 
 
 def proposal_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +146,7 @@ SQL = {
     "unknown_codes": "SELECT l_partkey AS code, count(*) AS n_lines FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 3) GROUP BY ALL",
     "category_order": """SELECT p_type AS category, count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS base,
   CAST(CASE p_type WHEN 'PROMO' THEN 0 WHEN 'STANDARD' THEN 1 WHEN 'SMALL' THEN 2 ELSE 3 END AS INTEGER) AS position FROM part GROUP BY p_type""",
-    "rule_type_inference": f"""SELECT name, CASE
+    "rule_type_inference": f"""SELECT *, CASE rule_type WHEN 'fixed' THEN 'фикс' WHEN 'per_core' THEN '× жилы' WHEN 'per_group' THEN '× скрутка' ELSE '⏱ часы' END AS label FROM (SELECT p_partkey, CASE
   WHEN coalesce(code, '') IN ('измерение_сопротивления_связи', 'измерение_затухания_экранирования', 'измерение_затухания_излучения') THEN 'fixed'
   WHEN (lower(coalesce(category, '')) LIKE '%внешние воздействующие%' OR lower(name) LIKE 'стойкость%' OR lower(name) LIKE 'выдержка%')
    AND regexp_matches(lower(name), 'пониженной температуре|повышенной температуре|изменению температур|повышенной влажности|солнечной радиации') THEN 'time_based'
@@ -148,10 +154,9 @@ SQL = {
   WHEN (lower(name) LIKE '%сопротивлен%' AND lower(name) LIKE '%связ%') OR (lower(name) LIKE '%затухан%' AND (lower(name) LIKE '%экранир%' OR lower(name) LIKE '%излучен%')) THEN 'fixed'
   WHEN regexp_matches(lower(name), 'емкост|индуктивн|затухан|волнов') THEN 'per_group'
   WHEN lower(name) LIKE '%сопротивлен%' THEN CASE WHEN regexp_matches(lower(name), 'связи|экранирован|излучен') THEN 'per_group' ELSE 'per_core' END
-  ELSE 'fixed' END AS rule_type FROM {sql_values(NAMES, 'name, category, code')}""",
-    "sample_complexity": f"""SELECT mark, CAST(CASE WHEN lower(mark) LIKE '%провод%' OR (lower(mark) NOT LIKE '%кабель%' AND regexp_matches(upper(split_part(mark, ' ', 1)), '^(ПВ|ПГВ|АПВ|ПРГА|ПРВ|РКГМ|ПУГВ|ПУГП)')) THEN 0.5 ELSE 1 END
-  + CASE WHEN armor THEN 0.5 ELSE 0 END + CASE WHEN cores > 10 THEN 0.5 ELSE 0 END + CASE WHEN size > 10 THEN 0.5 ELSE 0 END AS DOUBLE) AS factor
-  FROM {sql_values(MARKS, 'mark, cores, size, armor')}""",
+  ELSE 'fixed' END AS rule_type FROM ({TESTS}))""",
+    "sample_complexity": """SELECT p_partkey, CAST(CASE WHEN p_size % 5 IN (1, 2, 4) THEN 0.5 ELSE 1 END + CASE WHEN p_size % 5 = 3 THEN 0.5 ELSE 0 END
+  + CASE WHEN p_partkey % 19 >= 10 THEN 0.5 ELSE 0 END + CASE WHEN p_size > 10 THEN 0.5 ELSE 0 END AS DOUBLE) AS factor FROM part""",
     "proposal_totals": f"""WITH {LINES_SQL}, {_TOTALS}, g AS (SELECT *, CAST(round(total_net * 1.22, 2) AS DECIMAL(18,2)) AS gross1 FROM net)
   SELECT c_name AS customer, count(*) AS n_orders, CAST(sum(total_net) AS DECIMAL(18,2)) AS net, CAST(sum(gross1 - total_net) AS DECIMAL(18,2)) AS vat, CAST(sum(gross1) AS DECIMAL(18,2)) AS gross
   FROM g JOIN orders ON o_orderkey = order_id LEFT JOIN customer ON c_custkey = o_custkey GROUP BY c_name""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import marks, text
 from ..operators import ranking, relational
 from ..sources import files
-from .common import sql_values, table, values
+from .common import table
 
 CAP = 60_000
 
@@ -32,18 +32,6 @@ def keyword_test_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.first_match(F.col("text"), kinds, "other").alias("kind"))
 
 
-LETTERS = [
-    ("Генеральному директору. Просим Вас провести испытания кабеля в 2026 году",), ("НАПРАВЛЕНИЕ в испытательный центр на кабель силовой",), ("Акт отбора образцов кабеля от изготовителя, партия 12",),
-    ("короткий текст",), ("Просто длинный текст без признаков документа какого-либо вида",), ("уважаемый коллега! просим в срок провести периодические испытания",), (None,),
-]
-
-
-def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS01 CLS02 CLS03 CLS06: letter, direction, act or unknown."""
-    df = values(spark, LETTERS, "text string")
-    return df.select(F.coalesce("text", F.lit("-")).alias("text"), text.document_type(F.col("text")).alias("kind"), text.test_type(F.col("text")).alias("test_type"))
-
-
 def letter_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23 CLS09: share of Cyrillic letters, and whether the text layer is good enough."""
     d = table(spark, sf_dir, "documents")
@@ -56,21 +44,25 @@ def phrase_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", text.phrase(F.col("t")).alias("phrase"), F.array_join(text.word_set(F.col("t")), ",").alias("words"), text.slug(F.col("t"), 20).alias("slug"), text.file_part(F.col("t"), 12).alias("file_part"))
 
 
-CLAUSES = [("2.3.1 - 2.3.6",), ("1.2, 1.4; 1.2",), ("4.1-4.3, 5",), ("7.9 - 7.2",), ("1.1 - 1.99",), ("",)]
+#: Clause lists of order lines: ranges of 1 to 50 clauses, some with more clauses behind: SQL over lineitem.
+CLAUSES = "'2.' || l_linenumber || '.1 - 2.' || l_linenumber || '.' || CAST(l_quantity AS INT) || CASE l_partkey % 3 WHEN 0 THEN ', 7.1; 7.2,7.1' WHEN 1 THEN '; 9.8 - 9.4' ELSE '' END"
 
 
 def clause_range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT06 TXT07 TXT08: clause lists with ranges."""
-    return values(spark, CLAUSES, "raw string").select("raw", F.array_join(text.clauses(F.col("raw")), "|").alias("clauses"))
+    """TXT06 TXT07: clause lists with ranges, each distinct list expanded once, with its uses."""
+    raw = table(spark, sf_dir, "lineitem").groupBy(F.expr(CLAUSES).alias("raw")).agg(F.count("*").alias("n"))
+    return raw.select("raw", "n", F.array_join(text.clauses(F.col("raw")), "|").alias("clauses"))
 
 
-SPELLINGS = [("ВВГнг(A)-LS  3х2,5",), ("ввгнг(a)-ls 3x2.5",), ("КПСнг 2 X 2х0,5",), ("ПВС 3*1,5",), ("кабель",)]
+#: Designations of parts in five spellings: SQL over part.
+SPELLINGS = "CASE p_partkey % 5 WHEN 0 THEN 'BBГнг(A)-LS  ' || p_size || 'х2,5' WHEN 1 THEN 'ввгнг(a)-ls ' || p_size || 'x2.5' WHEN 2 THEN 'КПСнг ' || p_size || ' X 2х0,5' WHEN 3 THEN 'ПВБШв ' || p_size || '*1,5' ELSE 'кабель ' || p_name END"
 
 
 def mark_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT01 TXT22 TXT25: keys and parts of designations."""
-    m = marks.parse_mark(F.col("mark"))
-    return values(spark, SPELLINGS, "mark string").select("mark", text.mark_key(F.col("mark")).alias("key"), m["brand"].alias("brand"), m["cores"].alias("cores"), m["groups"].alias("grp"), m["size"].alias("size"), m["is_lan"].alias("is_lan"))
+    """TXT01 TXT22 TXT25: keys and parts of designations, and their spelling mended after OCR."""
+    mark = F.expr(SPELLINGS)
+    m = marks.parse_mark(mark)
+    return table(spark, sf_dir, "part").select("p_partkey", text.mark_key(mark).alias("key"), *[m[c].alias(c) for c in ("brand", "cores", "groups", "size", "has_armor", "is_lan")], marks.after_ocr(mark).alias("mended"))
 
 
 def json_props_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +72,15 @@ def json_props_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.coalesce(F.try_element_at(props, F.lit("k")), F.lit("-")).alias("k"), F.size(props).cast("long").alias("n_keys"))
 
 
-TSV = [("a", "5\t1\t1\t1\t1\t1\t10\t20\t30\t40\t96.5\tВВГ\n5\t1\t1\t1\t1\t2\t10\t20\t30\t40\t-1\t\n5\t1\t1\t1\t1\t3\t50\t20\t30\t40\t83.5\t3х2,5"), ("b", "")]
+#: An OCR table of three words for each part, one of them often without confidence: SQL over part.
+TSV = "concat_ws(chr(10), concat_ws(chr(9), '5', '1', '1', '1', '1', '1', '10', '20', '30', '40', CAST(p_size AS STRING) || '.5', p_brand), concat_ws(chr(9), '5', '1', '1', '1', '1', '2', '10', '20', '30', '40', CASE WHEN p_partkey % 3 = 0 THEN '-1' ELSE '80' END, p_type), concat_ws(chr(9), '5', '1', '1', '1', '1', '3', '50', '20', '30', '40', '96', CASE WHEN p_size % 4 = 0 THEN '' ELSE '3х2,5' END))"
 
 
 def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC30 AGG11: words of an OCR table and their mean confidence."""
-    w = files.ocr_words(F.col("tsv"))
+    """SRC30 AGG11: words of OCR tables and their mean confidence; words without text or confidence do not count."""
+    w = files.ocr_words(F.expr(TSV))
     mean = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["conf"]) / F.greatest(F.size(w), F.lit(1))
-    return values(spark, TSV, "page string, tsv string").select("page", F.size(w).cast("long").alias("n_words"), F.round(mean, 4).alias("confidence"), F.array_join(F.transform(w, lambda x: x["text"]), " ").alias("words"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(w).cast("long").alias("n_words"), F.round(mean, 4).alias("confidence"), F.array_join(F.transform(w, lambda x: x["text"]), " ").alias("words"))
 
 
 FAMILIES = [("licence", 1, 0.5, ["licensed", "license"]), ("personal", 2, 0.5, ["@", "example"]), ("code", 3, 0.3, ["token", "key", "="])]
@@ -109,7 +102,7 @@ def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", lambda x: F.concat_ws(": ", x["role"], x["t"])), "\n"), 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (line_dedupe_consecutive, unique_lines_cap, keyword_test_type, document_type, letter_ratio, phrase_tokens, clause_range_expand, mark_parse, json_props_parse, ocr_confidence, family_score, conversation_text)}
+QUERIES = {f.__name__: f for f in (line_dedupe_consecutive, unique_lines_cap, keyword_test_type, letter_ratio, phrase_tokens, clause_range_expand, mark_parse, json_props_parse, ocr_confidence, family_score, conversation_text)}
 _SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 SQL = {
     "line_dedupe_consecutive": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
@@ -120,26 +113,23 @@ SQL = {
   SELECT doc_id, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY pos)) AS sha256 FROM s WHERE size <= {CAP} GROUP BY doc_id""",
     "keyword_test_type": f"""WITH t AS (SELECT doc_id, lower({_SQUEEZE.format('text')}) AS t FROM documents)
   SELECT doc_id, CASE WHEN t LIKE '%licensed%' OR t LIKE '%license%' THEN 'licence' WHEN t LIKE '%@%' OR t LIKE '%call%' THEN 'contact' WHEN t LIKE '%the %' THEN 'plain' ELSE 'other' END AS kind FROM t""",
-    "document_type": f"""SELECT coalesce(text, '-') AS text, CASE WHEN text IS NULL OR length(text) < 40 THEN 'unknown'
-  WHEN regexp_matches(text, '(?i)генеральному|уважаем[а-яё]+') AND regexp_matches(text, '(?i)просим\\s+.*провести|периодическ') THEN 'letter'
-  WHEN regexp_matches(text, '(?i)направление') AND regexp_matches(text, '(?i)испытательн') THEN 'direction'
-  WHEN regexp_matches(text, '(?i)акт\\s+отбора|отбор\\s+образцов') THEN 'act' ELSE 'unknown' END AS kind,
-  CASE WHEN regexp_matches(lower(coalesce(text, '')), 'мси|межлаборатор|сравнительн') THEN 'мси' WHEN lower(text) LIKE '%сертификац%' THEN 'сертификационные' WHEN lower(text) LIKE '%контрольн%' THEN 'контрольные' ELSE 'периодические' END AS test_type
-  FROM {sql_values([r if r[0] else (None,) for r in LETTERS], 'text')}""",
     "letter_ratio": """WITH t AS (SELECT *, length(regexp_replace(text, '[^A-Za-zА-Яа-яЁё]', '', 'g')) AS n FROM documents)
   SELECT doc_id, CASE WHEN n > 0 THEN round(length(regexp_replace(text, '[^aeiouAEIOU]', '', 'g')) / n, 4) ELSE 0 END AS vowels, trim(text) = '' OR n_chars > 1000 AS needs_ocr FROM t""",
     "phrase_tokens": """WITH t AS (SELECT p_partkey, p_type || ' / ' || p_name || ' / ' || p_brand AS t FROM part),
   p AS (SELECT *, trim(regexp_replace(regexp_replace(translate(lower(t), 'ё±+-–—', 'е     '), '[^\\p{L}\\p{N}_\\s/%°]', ' ', 'g'), '\\s+', ' ', 'g')) AS phrase FROM t)
   SELECT p_partkey, phrase, array_to_string(list_sort(list_distinct(list_filter(string_split(phrase, ' '), lambda w: length(w) >= 3))), ',') AS words,
   left(replace(trim(regexp_replace(lower(t), '[^0-9a-zа-яё_]+', ' ', 'g')), ' ', '_'), 20) AS slug, left(trim(regexp_replace(replace(t, '/', ' '), '\\s+', ' ', 'g')), 12) AS file_part FROM p""",
-    "clause_range_expand": f"""SELECT raw, CASE raw WHEN '' THEN '' WHEN '1.2, 1.4; 1.2' THEN '1.2|1.4' WHEN '4.1-4.3, 5' THEN '4.1|4.2|4.3|5'
-  ELSE (SELECT CASE WHEN hi >= lo AND hi - lo < 40 THEN array_to_string([head || n FOR n IN range(lo, hi + 1)], '|') ELSE raw END FROM
-   (SELECT regexp_extract(raw, '^((?:\\d+\\.)+)', 1) AS head, TRY_CAST(regexp_extract(raw, '^(?:\\d+\\.)+(\\d+)', 1) AS INTEGER) AS lo, TRY_CAST(regexp_extract(raw, '(\\d+)$', 1) AS INTEGER) AS hi)) END AS clauses FROM {sql_values(CLAUSES, 'raw')}""",
-    "mark_parse": f"""SELECT mark, regexp_replace(regexp_replace(replace(lower(mark), 'х', 'x'), '(\\d),(\\d)', '\\1.\\2', 'g'), '\\s+', '', 'g') AS key, regexp_extract({_SQUEEZE.format('mark')}, '^([^\\s\\d]+)', 1) AS brand,
-  CAST(CASE mark WHEN 'КПСнг 2 X 2х0,5' THEN 4 WHEN 'кабель' THEN 1 WHEN 'ПВС 3*1,5' THEN 1 ELSE 3 END AS INTEGER) AS cores, CAST(CASE mark WHEN 'КПСнг 2 X 2х0,5' THEN 2 ELSE 1 END AS INTEGER) AS grp,
-  CAST(CASE mark WHEN 'КПСнг 2 X 2х0,5' THEN 0.5 WHEN 'кабель' THEN 1 WHEN 'ПВС 3*1,5' THEN 1 ELSE 2.5 END AS DOUBLE) AS size, mark LIKE 'КПС%' AS is_lan FROM {sql_values(SPELLINGS, 'mark')}""",
+    "clause_range_expand": """WITH g AS (SELECT l_linenumber AS l, CAST(l_quantity AS INT) AS q, l_partkey % 3 AS k, count(*) AS n FROM lineitem GROUP BY ALL)
+  SELECT '2.' || l || '.1 - 2.' || l || '.' || q || CASE k WHEN 0 THEN ', 7.1; 7.2,7.1' WHEN 1 THEN '; 9.8 - 9.4' ELSE '' END AS raw, n,
+  CASE WHEN q <= 40 THEN array_to_string(['2.' || l || '.' || i FOR i IN range(1, q + 1)], '|') ELSE '2.' || l || '.1 - 2.' || l || '.' || q END || CASE k WHEN 0 THEN '|7.1|7.2' WHEN 1 THEN '|9.8 - 9.4' ELSE '' END AS clauses FROM g""",
+    "mark_parse": """SELECT p_partkey, CASE k WHEN 0 THEN 'bbгнг(a)-ls' || p_size || 'x2.5' WHEN 1 THEN 'ввгнг(a)-ls' || p_size || 'x2.5' WHEN 2 THEN 'кпснг' || p_size || 'x2x0.5' WHEN 3 THEN 'пвбшв' || p_size || '*1.5' ELSE 'кабель' || replace(p_name, ' ', '') END AS key,
+  (['BBГнг(A)-LS', 'ввгнг(a)-ls', 'КПСнг', 'ПВБШв', 'кабель'])[k + 1] AS brand, CAST(CASE k WHEN 2 THEN 2 * p_size WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE p_size END AS INTEGER) AS cores, CAST(CASE k WHEN 2 THEN p_size ELSE 1 END AS INTEGER) AS groups,
+  CAST((['2.5', '2.5', '0.5', '1', '1'])[k + 1] AS DOUBLE) AS size, k = 3 AS has_armor, k = 2 AS is_lan,
+  CASE k WHEN 0 THEN 'ВВГнг(А)-LS ' || p_size || 'х2,5' WHEN 1 THEN 'ввгнг(а)-ls ' || p_size || 'х2.5' WHEN 2 THEN 'КПСнг ' || p_size || 'х2х0,5' WHEN 3 THEN 'ПВБШв ' || p_size || 'х1,5' ELSE 'кабель ' || p_name END AS mended FROM (SELECT *, p_partkey % 5 AS k FROM part)""",
     "json_props_parse": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '-' ELSE coalesce(json_extract_string(props, '$.k'), '-') END AS k, CASE WHEN event_id % 10 = 0 THEN 0 ELSE len(json_keys(props)) END AS n_keys FROM events",
-    "ocr_confidence": "SELECT * FROM (VALUES ('a', CAST(2 AS BIGINT), CAST(90.0 AS DOUBLE), 'ВВГ 3х2,5'), ('b', 0, 0, '')) AS t(page, n_words, confidence, words)",
+    "ocr_confidence": """WITH w AS (SELECT p_partkey, p_size + 0.5 AS c1, p_brand AS w1, CASE WHEN p_partkey % 3 > 0 THEN 80 END AS c2, p_type AS w2, CASE WHEN p_size % 4 > 0 THEN 96 END AS c3, '3х2,5' AS w3 FROM part)
+  SELECT p_partkey, CAST(1 + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT AS BIGINT) AS n_words, round(CAST((c1 + coalesce(c2, 0) + coalesce(c3, 0)) AS DOUBLE) / (1 + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT), 4) AS confidence,
+  concat_ws(' ', w1, CASE WHEN c2 IS NOT NULL THEN w2 END, CASE WHEN c3 IS NOT NULL THEN w3 END) AS words FROM w""",
     "family_score": """WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (
   SELECT doc_id, 'licence' AS family, 1 AS p, 0.5 AS least, round(((t LIKE '%licensed%')::INT + (t LIKE '%license%')::INT) / 2, 4) AS score FROM t UNION ALL
   SELECT doc_id, 'personal', 2, 0.5, round(((t LIKE '%@%')::INT + (t LIKE '%example%')::INT) / 2, 4) FROM t UNION ALL

@@ -21,6 +21,9 @@ CLIMATIC_CONTEXT = ("внешние воздействующие", "стойко
 RULE_LABELS = {"fixed": "фикс", "per_core": "× жилы", "per_group": "× скрутка", "time_based": "⏱ часы"}
 WIRE_PREFIXES = ["ПВ", "ПГВ", "АПВ", "ПРГА", "ПРВ", "РКГМ", "ПУГВ", "ПУГП"]
 
+# Words that open a test's name.
+OPENING_WORDS = ["Проверка", "Испытание", "Измерение", "Стойкость"]
+
 # Kinds of tests by words in a document, in order; the last is the default.
 TEST_TYPES = [("мси", ["мси", "межлаборатор", "сравнительн"]), ("сертификационные", ["сертификац"]), ("приемосдаточные", ["приемо-сдаточ", "приёмо-сдаточ", "приемосдаточ", "приёмосдаточ", "пс испытан"]), ("контрольные", ["контрольн"]), ("исследовательские", ["исследовательск"]), ("периодические", ["периодич"])]
 DEFAULT_TEST_TYPE = "периодические"
