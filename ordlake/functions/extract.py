@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import clauses, organisation_key, squeeze
+from .text import clauses, let, organisation_key, squeeze
 
 #: Case-insensitive, with Unicode letters in \w and \b.
 _I = "(?iuU)"
@@ -20,18 +20,21 @@ def norm_document(x: Column) -> Column:
     """
     text = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?iu)(?<=ту|tu|ty|гост|мэк)(?=\d)", " ")  # a number typed on to its kind
     words = F.filter(F.split(F.regexp_replace(text, r"\s*([-–/])\s*(?=\d)", "$1"), r"[\s,;:()«»\"]+"), lambda w: w != "")
-    kinds = F.transform(words, lambda w: F.translate(F.upper(w), "TUY", "ТУУ"))
+    upper = lambda ws: F.transform(ws, lambda w: F.translate(F.upper(w), "TUY", "ТУУ"))
     at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
 
-    def reference(kind: Column, i: Column) -> Column:
-        number = F.regexp_replace(F.regexp_replace(at(words, i + 1), r"(?iu)(?<=\.)[kк](?=\d)", "К"), r"[^\p{L}\p{N}]+$", "")
+    def reference(ws: Column, kinds: Column, kind: Column, i: Column) -> Column:
+        number = F.regexp_replace(F.regexp_replace(at(ws, i + 1), r"(?iu)(?<=\.)[kк](?=\d)", "К"), r"[^\p{L}\p{N}]+$", "")
         named = F.when(kind.isin("ТУ", "ГОСТ"), kind).when((kind == "МЭК") & (at(kinds, i - 1) == "Р"), F.lit("Р МЭК"))
         rank = F.when((named == "ТУ") & number.rlike(r"^\d+\.К\d{2,3}(-\d+){2}$"), 1).when(named != "ТУ", 2).otherwise(3)
         found = F.concat(named, F.lit(" "), number)
         good = number.rlike(r"\d") & (F.length(found) >= 5) & ~found.rlike(_I + rules.NOT_A_DOCUMENT) & ~((rank == 3) & number.rlike(r"^\d+$"))
-        return F.when(good, F.struct(rank.alias("rank"), i.alias("i"), found.alias("found")))
+        return F.when(named.isNotNull() & good, F.struct(rank.alias("rank"), i.alias("i"), found.alias("found")))
 
-    return F.array_min(F.array_compact(F.transform(kinds, reference)))["found"]
+    def references(ws: Column) -> Column:
+        return let(upper(ws), lambda kinds: F.transform(kinds, lambda kind, i: reference(ws, kinds, kind, i)))
+
+    return F.array_min(F.array_compact(let(words, references)))["found"]
 
 
 #: What may stand in a text as far as clause numbers go: numbers with dots, words, single signs.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,6 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import rules
 
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for a row; in functions over arrays it would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """White space runs become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
