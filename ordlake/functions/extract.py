@@ -198,3 +198,45 @@ def column_places(cells: Column, wanted: dict[str, str]) -> Column:
     """For every wanted name the place (from 0, or -1) of the first head cell that matches its pattern."""
     first = lambda p: F.array_position(F.transform(cells, lambda c: F.lower(c).rlike(p)), F.lit(True)).cast("int") - 1
     return F.struct(*[first(p).alias(name) for name, p in wanted.items()])
+
+
+def customer_hint(path: Column) -> Column:
+    """The folder of a path that most likely names the customer, or '' if none does.
+
+    Folders are read from the nearest one up. Years, drives, shares, logins, designations and folders of rules.PASSED_FOLDERS are
+    passed over, logins and designations only without a word that tells an organisation. The first folder with such a
+    word or one of the trade is taken, else the first short Latin code, else the first that is left.
+    """
+    has = lambda f, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(f), w))
+    company = lambda f: has(f, rules.ORGANISATION_WORDS) | f.rlike(_I + "(" + "|".join(rules.ORGANISATION_ENDINGS) + r")\b")
+    login = lambda f: f.rlike(r"(?i)^[a-z][a-z0-9]*\.[a-z][a-z0-9._-]*$") & (F.length(F.substring_index(f, ".", 1)) <= 21) & (F.length(f) - F.instr(f, ".") <= 31)
+    mark = lambda f: f.rlike(_I + r"\d\s*[xх×]\s*\d|нг\s*\(") | F.exists(F.array(*[F.lit(w) for w in rules.MARK_BEGINNINGS]), lambda w: F.startswith(F.lower(f), w))
+    passed = lambda f: F.lower(squeeze(f)).isin(rules.PASSED_FOLDERS) | f.rlike(r"^\d{4}$") | f.rlike("[:$]$") | (F.length(f) < 2) | (f == "..")
+    folders = F.transform(F.split(F.coalesce(path, F.lit("")), r"[/\\]+"), lambda f: F.trim(f))
+    nearest = F.reverse(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))))
+    kept = F.filter(nearest, lambda f: ~passed(f) & (company(f) | ~(login(f) | mark(f))))
+    first = lambda fs, good: F.get(F.filter(fs, good), F.lit(0))
+    chosen = lambda fs: F.coalesce(first(fs, lambda f: company(f) | has(f, rules.TRADE_WORDS)), first(fs, lambda f: f.rlike("^[A-Za-z][A-Za-z0-9_-]{1,15}$")), first(fs, lambda f: ~login(f)), F.lit(""))
+    return let(kept, chosen)
+
+
+def document_and_clause(x: Column, default: str = "") -> Column:
+    """struct<document, clause> of a cell such as 'ТУ 16.К99-058-2014 (1.4.1)': its first reference to a TU and what is left.
+
+    Digits in brackets at the end are the clause; without a reference the cell is a clause of the default document, and a
+    cell that is only a reference is also its own clause. Dashes become '-'.
+    """
+    text = squeeze(x)
+    number = r"(?iuU)\bТУ\s+\d[\w.–—-]*"
+    found = F.regexp_extract(text, number, 0)
+    dashes = lambda c: F.translate(c, "–—÷", "---")
+    rest = F.trim(F.concat(F.substr(text, F.lit(1), F.instr(text, found) - 1), F.substr(text, F.instr(text, found) + F.length(found))), F.lit(" ,;()"))
+    inner = F.trim(F.regexp_extract(text, r"\(([^)]*\d[^)]*)\)\s*$", 1))
+    clause = F.when(inner != "", inner).when(rest != "", rest).otherwise(text)
+    alone = F.when(text.rlike(r"(?iu)^[\d\s,.;÷+()табл.п–—-]+$"), dashes(text)).otherwise(text)
+    return F.when(found != "", F.struct(dashes(found).alias("document"), clause.alias("clause"))).otherwise(F.struct(F.lit(default).alias("document"), alone.alias("clause")))
+
+
+def clause_tokens(clause: Column) -> Column:
+    """The parts of a clause list that have a digit, parted by spaces, commas and semicolons."""
+    return F.filter(F.split(F.translate(F.coalesce(clause, F.lit("")), "÷", "-"), r"[\s,;]+"), lambda p: p.rlike(r"\d"))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.extract import placeholder
+from ..functions.text import organisation_key
+
 #: What happens to a column of a key that both sides have.
 OVERWRITE, FILL_NEW, KEEP_OLD, GREATEST = "overwrite", "fill_new", "keep_old", "greatest"
 
@@ -109,3 +112,36 @@ def merge_linked(df: DataFrame, id_col: str, keys: list[str], prefer: Column, fi
     merged = kept.select(*[F.coalesce(F.when(value(c).isNotNull(), F.col(c)), F.col(f"__{c}"), F.col(c)).alias(c) if c in fill else F.col(c) for c in df.columns])
     moved = rows.select("root", F.col(id_col).alias("drop_id")).join(best.select("root", "keep_id"), "root").filter("drop_id <> keep_id").select("drop_id", "keep_id")
     return merged, moved
+
+
+def upsert_organisations(old: DataFrame, new: DataFrame, fill: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cards, (drop_id, keep_id)): new organisations written into old cards (org_id, name, inn, org_type, accredited, fill).
+
+    new has the same columns with position instead of org_id. A new one meets the card of its tax id, else the one
+    with its normalised name and the same tax id or none; placeholder names are left out. Of several that meet one card, later positions
+    win: the last name, the last known value of each column of fill and the last kind but unknown; a card is accredited
+    if any is. Unknown organisations become one card for each tax id, or each name without one, numbered from the greatest org_id on
+    by their least position. Where a met card has a tax id, a card of the met name without one is merged into it: blanks are
+    filled and it is dropped. org_id and position are unique and not null.
+    """
+    tax = F.nullif(F.trim(F.coalesce("inn", F.lit(""))), F.lit(""))
+    o = old.withColumn("inn", tax).withColumn("__key", organisation_key(F.col("name")))
+    n = new.filter(~placeholder(F.col("name"))).withColumn("inn", tax).withColumn("__key", organisation_key(F.col("name")))
+    by_tax = o.filter("inn IS NOT NULL").groupBy("inn").agg(F.min("org_id").alias("__by_tax"))
+    by_name = o.groupBy("__key", F.coalesce("inn", F.lit("")).alias("__inn")).agg(F.min("org_id").alias("__by_name"))
+    met = n.join(by_tax, "inn", "left").withColumn("__inn", F.coalesce("inn", F.lit(""))).join(by_name, ["__key", "__inn"], "left")
+    met = met.withColumn("__id", F.coalesce("__by_tax", "__by_name")).withColumn("__unmet", F.when(F.col("__id").isNull(), F.coalesce("inn", F.concat(F.lit("name "), "__key"))))
+    last = lambda c, known: F.max_by(c, F.when(known, F.col("position"))).alias(f"__n_{c}")
+    given = [last("name", F.lit(True)), last("__key", F.lit(True)), last("org_type", F.col("org_type") != "unknown"), F.max("accredited").alias("__n_accredited"), *[last(c, F.col(c).isNotNull()) for c in ["inn", *fill]]]
+    one = met.groupBy("__id", "__unmet").agg(F.min("position").alias("__first"), *given)
+    top = old.agg(F.coalesce(F.max("org_id"), F.lit(-1)).cast("long").alias("__top"))
+    both = o.join(one.filter("__id IS NOT NULL"), F.col("org_id") == F.col("__id"), "left")
+    known = both.select("org_id", F.col("__id").isNotNull().alias("__met"), F.coalesce("__n___key", "__key").alias("__key"), F.coalesce("__n_name", "name").alias("name"), F.coalesce("__n_inn", "inn").alias("inn"), F.coalesce("__n_org_type", "org_type").alias("org_type"), F.greatest("accredited", "__n_accredited").alias("accredited"), *[F.coalesce(f"__n_{c}", c).alias(c) for c in fill])
+    added = one.filter("__id IS NULL").join(F.broadcast(top)).select((F.col("__top") + 1 + F.col("__first")).alias("org_id"), F.lit(False).alias("__met"), F.col("__n___key").alias("__key"), F.col("__n_name").alias("name"), F.col("__n_inn").alias("inn"), F.coalesce("__n_org_type", F.lit("unknown")).alias("org_type"), F.col("__n_accredited").alias("accredited"), *[F.col(f"__n_{c}").alias(c) for c in fill])
+    cards = known.unionByName(added)
+    keepers = known.filter("__met AND inn IS NOT NULL").groupBy("__key").agg(F.min("org_id").alias("keep_id"))
+    twins = known.filter("inn IS NULL").join(keepers, "__key")
+    moved = twins.select(F.col("org_id").alias("drop_id"), "keep_id")
+    spare = twins.groupBy(F.col("keep_id").alias("org_id")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("org_id"))).alias(f"__t_{c}") for c in fill])
+    left = cards.join(moved, F.col("org_id") == F.col("drop_id"), "left_anti").join(spare, "org_id", "left")
+    return left.select("org_id", "name", "inn", "org_type", "accredited", *[F.coalesce(c, f"__t_{c}").alias(c) for c in fill]), moved

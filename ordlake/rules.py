@@ -35,6 +35,10 @@ STOP_WORDS = ["к", "и", "на", "в", "по", "при", "с", "от", "до",
 JACCARD_MIN, SHARED_MIN, JACCARD_ALONE = 0.42, 2, 0.55
 #: Fuzzy matching of designations and organisations.
 MARK_MIN, MARK_STRICT, ORG_MIN, ORG_CONTAINED, BRAND_MIN = 0.72, 0.86, 0.82, 0.88, 0.82
+# How sure a corrected designation is: base, weight of the ratio and most, after spelling and a close name or a close name alone; spelling alone; no change.
+CORRECTED_BOTH, CORRECTED_CLOSE, CORRECTED_SPELLING, CORRECTED_NOTHING = (0.75, 0.2, 0.93), (0.70, 0.25, 0.92), 0.88, 0.95
+#: Confidence of a synonym that states none.
+SYNONYM_CONFIDENCE = 0.7
 #: Similar organisations of a name; names that may stand inside a longer one have at least so many characters; known names differ in length by at most so many.
 ORG_TOP, INSIDE_MIN, APART_MAX = 8, 8, 3
 # Families of designations that are listed by catalogue lines, and what ends a designation's brand (fire class, climate).
@@ -78,3 +82,10 @@ OCR_FACTOR, NO_DOCUMENT, DUPLICATE, UNKNOWN_TYPE, NO_TAX_ID = 0.85, 0.10, 0.05,
 # What may follow a fire class in a designation; words of a line that greets a letter's recipient.
 FIRE_SUFFIXES = ["FRLS", "FRHF", "LSLTX", "LSLT", "LS", "HF", "FR", "ХЛ", "УФ", "УХЛ", "Т", "NG"]
 SALUTATIONS = ["генеральному", "уважаемому"]
+
+# Folders that are never a customer's name, words that tell an organisation, and how marks and logins look.
+PASSED_FOLDERS = ["user", "users", "users_folder$", "user_folder$", "user_data", "temp", "tmp", "inbox", "download", "downloads", "request_processor", "обработка заявок", "расчёты для заказчиков", "расчеты для заказчиков", "документ", "документы", "data", "generated", "extracted", "appdata", "local", "roaming", "desktop", "document", "documents"]
+ORGANISATION_WORDS = ["ооо", "ано", "оао", "зао", "пао", "llc", "ltd", "jsc"]
+ORGANISATION_ENDINGS = ["ип", "inc"]
+TRADE_WORDS = ["сертифик", "завод", "кабел"]
+MARK_BEGINNINGS = ["лпмф", "ввг", "квв", "квг"]

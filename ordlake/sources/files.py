@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules
+
 #: Schemas (as DDL) of the files that the domain exchanges.
 PRICE = "code string, name string, base_cost double, category string, method string, rule_type string, rule_params map<string,string>"
 MAPPING = "requirement_pattern string, test_code string, confidence double"
@@ -41,6 +43,18 @@ def corrections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.dropDuplicates(_names(CORRECTION)), bad
 
 
+def synonyms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(position, phrase, code, confidence) and (alias, code) of files {"synonyms": [...], "code_aliases": {...}}.
+
+    Synonyms without a phrase or a code are left out; one without a confidence has SYNONYM_CONFIDENCE. Files that lack a
+    part, or that are no JSON object, add nothing to it.
+    """
+    kind = "synonyms array<struct<phrase string, canonical_code string, confidence double>>, code_aliases map<string,string>"
+    rows = spark.read.schema(kind).json(path, multiLine=True)
+    listed = rows.select(F.posexplode("synonyms").alias("position", "s")).select("position", F.trim("s.phrase").alias("phrase"), F.trim("s.canonical_code").alias("code"), F.coalesce("s.confidence", F.lit(rules.SYNONYM_CONFIDENCE)).alias("confidence"))
+    return listed.filter("phrase <> '' AND code <> ''"), rows.select(F.explode("code_aliases").alias("alias", "code")).filter("code IS NOT NULL")
+
+
 def documents(spark: SparkSession, path: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, kind, size, modified, sha256, content) of known files below path, and the unknown ones."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

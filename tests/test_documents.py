@@ -91,3 +91,21 @@ def test_roles_and_reports(spark):
     parties = orgs.withColumn("org_type", F.lit("unknown")).withColumn("inn", F.lit(None).cast("string")).join(docs.select("doc", "document_type"), "doc")
     r = validate.reports(docs, checked, validate.organisations(parties, "document_type"), "doc").orderBy("doc").collect()
     assert [(x.n_marks, ",".join(x.flags), x.block_confirm, x.overall_status, x.overall_confidence) for x in r] == [(3, "", False, "warning", 0.83), (1, "P1-1,P0-1", True, "error", 0.42), (1, "P2-2", False, "warning", 0.8), (0, "P2-2,P0-2", True, "warning", 0.0)]
+
+
+def test_customer_hint(spark):
+    rows = {
+        "/srv/SUPR/2026/письмо.pdf": "SUPR", "C:\\Users\\i.ivanov\\АНО Центр\\2026\\ВВГ 3х2\\a.docx": "АНО Центр", "inbox/ООО ВВГ 3х2/a.pdf": "ООО ВВГ 3х2",
+        "Каменск/2025/a.pdf": "Каменск", "C:/temp/2026/a.pdf": "", "a.pdf": "", "i.ivanov/a.pdf": "", "share$/кабельный/AB/a.pdf": "кабельный", "": "",
+    }
+    assert each(spark, extract.customer_hint, [*rows, None]) == [*rows.values(), ""]
+
+
+def test_document_and_clause(spark):
+    rows = {
+        "ТУ 16.К99-058–2014 (1.4.1)": ("ТУ 16.К99-058-2014", "1.4.1"), "п. 2.3, ТУ 3581-001": ("ТУ 3581-001", "п. 2.3"), "ТУ 27": ("ТУ 27", "ТУ 27"),
+        "1.3.3 ÷ 1.3.11": ("общий", "1.3.3 - 1.3.11"), "табл. 4": ("общий", "табл. 4"), "по чертежу": ("общий", "по чертежу"), "СТУ 5": ("общий", "СТУ 5"), "": ("общий", ""),
+    }
+    got = each(spark, lambda x: extract.document_and_clause(x, "общий"), [*rows, None])
+    assert [tuple(r) for r in got] == [*rows.values(), ("общий", "")]
+    assert each(spark, extract.clause_tokens, ["1.3.3 1.3.11", "4.2.2; п. 4.2÷4.3,", "", None]) == [["1.3.3", "1.3.11"], ["4.2.2", "4.2-4.3"], [], []]
