@@ -146,6 +146,13 @@ def placeholder(name: Column) -> Column:
     return (raw == "") | organisation_key(raw).isin(rules.PLACEHOLDER_NAMES) | raw.rlike(r"^[a-z]\.[a-z]{3,20}$")
 
 
+def own_laboratory(name: Column, own: list[str]) -> Column:
+    """True for a name of our own laboratory: one of the names own, or a name that holds one of them, spaces and dashes aside."""
+    close = lambda k: F.regexp_replace(k, r"[\s–—-]+", "")
+    keys = F.array(*[close(organisation_key(F.lit(o))) for o in own]).cast("array<string>")
+    return F.exists(F.filter(keys, lambda k: k != ""), lambda k: F.contains(close(organisation_key(name)), k))
+
+
 def labelled(text: Column, label: str) -> Column:
     """What follows 'label:' on its line, up to a comma, or null."""
     got = squeeze(F.regexp_extract(F.coalesce(text, F.lit("")), _I + rf"{label}\s*[:\-]\s*([^\n,]+)", 1))

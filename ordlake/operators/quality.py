@@ -47,6 +47,21 @@ def winner(a: Column, b: Column) -> Column:
     return F.when(b > a + rules.QUALITY_MARGIN, "B").when(a > b + rules.QUALITY_MARGIN, "A").otherwise("tie")
 
 
+def compare_runs(a: DataFrame, b: DataFrame, key: str, measures: list[str], score: str) -> DataFrame:
+    """Per key of either run: differences of measures (b less a, null where a run lacks the key) and the winner by score."""
+    own = lambda df, side: df.select(key, *[F.col(c).alias(f"{side}_{c}") for c in [*measures, score]])
+    both = own(a, "a").join(own(b, "b"), key, "full")
+    deltas = [(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"delta_{c}") for c in measures]
+    x, y = F.col(f"a_{score}"), F.col(f"b_{score}")
+    return both.select(key, *deltas, F.round(y - x, 3).alias(f"delta_{score}"), F.when(x.isNotNull() & y.isNotNull(), winner(x, y)).alias("winner"))
+
+
+def batch(df: DataFrame, keys: list[str], error: Column, before: Column, after: Column, sure_before: Column, sure_after: Column) -> DataFrame:
+    """Files of a batch: all, done, failed, and improved: a smaller error rate after, or, where there is none, more confidence."""
+    better = F.coalesce(after < before, F.coalesce(sure_after, F.lit(0.0)) > F.coalesce(sure_before, F.lit(0.0)))
+    return df.groupBy(*keys).agg(F.count("*").alias("files_total"), F.count_if(~error).cast("long").alias("files_ok"), F.count_if(error).cast("long").alias("files_error"), F.count_if(~error & better).cast("long").alias("improved"))
+
+
 def match_rate(df: DataFrame, matched: Column, keys: list[str]) -> DataFrame:
     """Matched and all rows, the rate and its text."""
     out = df.groupBy(*keys).agg(F.count_if(matched).cast("long").alias("n_matched"), F.count("*").alias("n_total"))

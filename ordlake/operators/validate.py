@@ -46,6 +46,24 @@ def organisations(df: DataFrame, document_type: str) -> DataFrame:
     )
 
 
+def edited_customers(checked: DataFrame, edits: DataFrame, doc: str, position: str, document_type: str) -> DataFrame:
+    """checked organisations after an operator's edits (doc, customer), one for a document: its first customer has the new name.
+
+    A short name that is no testing centre's is accepted as it is, with a confidence of EDITED or more; any other is validated again as
+    a manufacturer's, from the confidence it had. Blank edits count; null ones and documents without a customer change nothing.
+    """
+    least = F.min(F.when(F.col("role") == "customer", F.col(position))).over(Window.partitionBy(doc))
+    own = edits.select(doc, F.trim("customer").alias("__edit"))
+    rows = checked.withColumn("__edited", (F.col("role") == "customer") & (F.col(position) == least)).join(own, doc, "left")
+    rows = rows.withColumn("__edited", F.coalesce(F.col("__edited"), F.lit(False)) & F.col("__edit").isNotNull())
+    fine = (F.length("__edit") <= rules.LONG_NAME) & ~testing_center(F.col("__edit"))
+    kept = rows.filter("NOT __edited").select(*checked.columns)
+    new = rows.filter("__edited").withColumn("name", F.col("__edit")).withColumn("__fine", fine)
+    good = new.filter("__fine").withColumn("status", F.lit("ok")).withColumn("warnings", F.array().cast("array<string>")).withColumn("confidence", F.greatest("confidence", F.lit(rules.EDITED)))
+    again = organisations(new.filter("NOT __fine").withColumn("org_type", F.lit("manufacturer")), document_type)
+    return kept.unionByName(good.select(*checked.columns)).unionByName(again.select(*checked.columns))
+
+
 def reports(docs: DataFrame, checked_marks: DataFrame, checked_orgs: DataFrame, doc: str) -> DataFrame:
     """One report per document (columns document_type, n_chars, ocr): flags, block_confirm, overall status and confidence."""
     rank = lambda s: F.when(s == "error", 2).when(s == "warning", 1).otherwise(0)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import validate
+from ..operators import journal, validate
+from ..scratch import folder
 from .common import table
 
 _N = "CAST({} AS STRING)".format
@@ -87,7 +88,7 @@ def _organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("confidence", F.col("cents") / 100).withColumn("org_type", extract.organisation_type(F.lit(""), F.col("name")))
 
 
-_PARTY = "parties AS (" + " UNION ALL ".join("SELECT doc, o_orderkey, c_nationkey, " + ", ".join(f"{sql} AS {c}" for c, sql in p.items()) + f", {'c_nationkey % 4' if p['pos'] == '1' else '4'} AS sort FROM requests" for p in _PARTIES) + ")"
+_PARTY = "parties AS (" + " UNION ALL ".join("SELECT doc, o_orderkey, c_nationkey, o_custkey, " + ", ".join(f"{sql} AS {c}" for c, sql in p.items()) + f", {'c_nationkey % 4' if p['pos'] == '1' else '4'} AS sort FROM requests" for p in _PARTIES) + ")"
 _TYPES = "CASE sort WHEN 0 THEN 'certification_body' WHEN 1 THEN 'testing_center' WHEN 2 THEN 'dealer' WHEN 3 THEN 'unknown' ELSE 'manufacturer' END"
 
 
@@ -130,6 +131,40 @@ def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc", "n_marks", F.array_join("flags", ",").alias("flags"), "block_confirm", "overall_status", "overall_confidence")
 
 
+#: Names that an operator entered for some requests: SQL over requests.
+_EDIT = "CASE WHEN doc % 9 = 0 THEN 'Испытательный центр Юг' WHEN doc % 3 = 0 THEN 'Заказчик ' || c_name END"
+
+
+def edited_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS13: reports after an operator's edits of customers, validated again."""
+    kinds = text.document_type(F.col("text")).alias("document_type")
+    r = requests(spark, sf_dir)
+    docs = r.select("doc", kinds, F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), (F.col("doc") % 7 == 0).alias("ocr"))
+    checked = validate.organisations(_organisations(spark, sf_dir).withColumn("document_type", kinds), "document_type")
+    edited = validate.edited_customers(checked, r.select("doc", F.expr(_EDIT).alias("customer")), "doc", "pos", "document_type")
+    out = validate.reports(docs, _checked_marks(spark, sf_dir), edited, "doc")
+    return out.select("doc", F.array_join("flags", ",").alias("flags"), "block_confirm", "overall_status", "overall_confidence")
+
+
+#: Cards of all customers and of the makers of each segment: SQL over customer.
+_CARDS = f"SELECT c_custkey AS org_id, {_NAME.replace('o_custkey', 'c_custkey')} AS name FROM customer UNION ALL SELECT 1000000000 + min(c_custkey), 'ООО «Кабельный завод ' || c_mktsegment || '»' FROM customer GROUP BY c_mktsegment"
+OWN_LABORATORY = ["завод-building"]
+
+
+def extraction_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK02 SNK04 FLT20: a journal row for each request, with the cards of its customer and manufacturer, appended in two batches and read back."""
+    c = table(spark, sf_dir, "customer")
+    cards = c.selectExpr("c_custkey AS org_id", f"{_NAME.replace('o_custkey', 'c_custkey')} AS name").unionByName(c.groupBy("c_mktsegment").agg((1_000_000_000 + F.min("c_custkey")).alias("org_id")).selectExpr("org_id", "'ООО «Кабельный завод ' || c_mktsegment || '»' AS name"))
+    r = requests(spark, sf_dir)
+    given = r.filter("doc % 10 = 0").select("doc", F.when(F.col("doc") % 20 == 0, F.lit("заказчик")).alias("customer"), F.expr("'кабельный завод ' || c_mktsegment").alias("manufacturer"))
+    found = journal.with_cards(journal.parties(_organisations(spark, sf_dir), "doc", "pos", OWN_LABORATORY, given), cards)
+    rows = journal.entries(r, "doc", "text", text.document_type(F.col("text")), found, _checked_marks(spark, sf_dir).filter("accepted"))
+    work = folder(spark)
+    for part in (0, 1):
+        rows.filter(F.col("doc") % 2 == part).write.mode("append").parquet(work)
+    return spark.read.schema(rows.schema).parquet(work)
+
+
 #: Cells of an acceptance table: SQL over part. Every tenth row is a head, its columns in one of two orders.
 _HEAD, _EMPTY = "p_partkey % 10 = 9", "p_partkey % 7 = 0"
 _TITLE = "CASE p_partkey % 3 WHEN 0 THEN 'Проверка ' || p_name WHEN 1 THEN 'Маркировка ' || p_name ELSE 'Правила приемки ' || p_name END"
@@ -159,9 +194,27 @@ def norm_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("p_partkey", "c.clause", "c.title").agg(F.min("pos").alias("pos"))
 
 
-QUERIES = {f.__name__: f for f in (document_facts, document_type, letter_parse, organisation_roles, extraction_report, mark_validation, acceptance_rows, norm_clauses)}
+QUERIES = {f.__name__: f for f in (document_facts, document_type, letter_parse, organisation_roles, extraction_report, edited_reports, extraction_journal, mark_validation, acceptance_rows, norm_clauses)}
 _KIND = "CASE doc % 4 WHEN 0 THEN 'letter' WHEN 1 THEN 'direction' WHEN 2 THEN 'act' ELSE 'unknown' END"
 _FINAL = "CASE WHEN own THEN least(cents, 20) WHEN long THEN least(cents, 30) ELSE cents END"
+
+
+def _report_sql(edited: str, more_chars: str, columns: str) -> str:
+    return f"""WITH {_REQUESTS}, {_PARTY}, {_MARKS},
+  o1 AS (SELECT *, length(name) > 80 AS long, role = 'customer' AND sort = 1 AS own, role = 'customer' AND inn IS NULL AND doc % 4 = 0 AS letter, role = 'customer' AND doc % 3 = 0 AS edited FROM parties),
+  o2 AS (SELECT *, {_FINAL} AS c, ({_FINAL}) < 60 AND NOT (long OR own) AS unsure FROM o1),
+  o3 AS (SELECT doc, role, letter, edited, greatest(c - CASE WHEN letter THEN 15 ELSE 0 END, 0) AS final, CASE WHEN long OR own THEN 2 WHEN unsure OR letter THEN 1 ELSE 0 END AS level, long OR own AS p0 FROM o2),
+  o4 AS ({edited}),
+  o AS (SELECT doc, max(CASE WHEN role <> 'unknown' THEN level END) AS worst, max(CASE WHEN role = 'customer' THEN final END) AS best, bool_or(role = 'customer' AND p0) AS bad FROM o4 GROUP BY doc),
+  m AS (SELECT doc, count(*) AS n_marks, max(CASE status WHEN 'warning' THEN 1 WHEN 'ok' THEN 0 END) AS worst, sum(CASE WHEN NOT bad THEN CAST(round(confidence * 100) AS BIGINT) END) AS cents, count(*) FILTER (WHERE NOT bad) AS n FROM checked GROUP BY doc),
+  j AS (SELECT doc, doc % 4 = 3 AS unknown, doc % 7 = 0 AS ocr, coalesce(n_marks, 0) AS n_marks, coalesce(n_marks, 0) = 0 AND coalesce(length(text), 0){more_chars} > 500 AS none, coalesce(o.bad, false) AS bad,
+  greatest(coalesce(m.worst, 0), coalesce(o.worst, 0)) AS worst, coalesce(m.cents, 0) + coalesce(best, 0) AS cents, coalesce(n, 0) + CASE WHEN best IS NULL THEN 0 ELSE 1 END AS n FROM requests LEFT JOIN m USING (doc) LEFT JOIN o USING (doc)),
+  k AS (SELECT *, CASE WHEN n > 0 THEN CAST((2 * cents + n) // (2 * n) AS BIGINT) ELSE 0 END AS mean FROM j),
+  r AS (SELECT doc, n_marks, concat_ws(',', CASE WHEN ocr THEN 'P1-1' END, CASE WHEN unknown THEN 'P2-2' END, CASE WHEN none THEN 'P0-2' END, CASE WHEN bad THEN 'P0-1' END) AS flags, none OR bad AS block_confirm,
+  CASE WHEN worst = 2 THEN 'error' WHEN worst = 1 OR unknown THEN 'warning' ELSE 'ok' END AS overall_status, CASE WHEN unknown AND worst = 0 THEN greatest(mean - 10, 0) ELSE mean END / 100.0::DOUBLE AS overall_confidence FROM k)
+  SELECT {columns} FROM r"""
+
+
 SQL: dict[str, str] = {
     "document_facts": f"""WITH {_REQUESTS}, f AS (SELECT doc, text, mark, {_KIND} AS kind,
   CASE doc % 4 WHEN 0 THEN 'ТУ 16.К99-' || nr || '-2014' WHEN 1 THEN 'ГОСТ 7' || nr || '-97' ELSE '-' END AS norm,
@@ -177,17 +230,12 @@ SQL: dict[str, str] = {
     "organisation_roles": f"""WITH {_REQUESTS}, {_PARTY}, r AS (SELECT doc, pos, name, {_TYPES} AS org_type, CASE WHEN sort = 0 AND doc % 3 = 0 THEN 'customer' WHEN sort = 1 THEN 'unknown' ELSE role END AS role FROM parties)
   SELECT doc, pos, name, role, org_type FROM r UNION ALL SELECT doc, pos, name, 'customer', org_type FROM r WHERE pos = 2 AND doc % 3 = 0 AND doc NOT IN (SELECT doc FROM r WHERE role = 'customer')""",
     "mark_validation": f"WITH {_MARKS} SELECT doc, pos, CAST(confidence AS DOUBLE) AS confidence, status, warnings, NOT bad AS accepted FROM checked",
-    "extraction_report": f"""WITH {_REQUESTS}, {_PARTY}, {_MARKS},
-  o1 AS (SELECT *, length(name) > 80 AS long, role = 'customer' AND sort = 1 AS own, role = 'customer' AND inn IS NULL AND doc % 4 = 0 AS letter FROM parties),
-  o2 AS (SELECT *, {_FINAL} AS c, ({_FINAL}) < 60 AND NOT (long OR own) AS unsure FROM o1),
-  o AS (SELECT doc, max(CASE WHEN role <> 'unknown' THEN CASE WHEN long OR own THEN 2 WHEN unsure OR letter THEN 1 ELSE 0 END END) AS worst,
-  max(CASE WHEN role = 'customer' THEN greatest(c - CASE WHEN letter THEN 15 ELSE 0 END, 0) END) AS best, bool_or(role = 'customer' AND (long OR own)) AS bad FROM o2 GROUP BY doc),
-  m AS (SELECT doc, count(*) AS n_marks, max(CASE status WHEN 'warning' THEN 1 WHEN 'ok' THEN 0 END) AS worst, sum(CASE WHEN NOT bad THEN CAST(round(confidence * 100) AS BIGINT) END) AS cents, count(*) FILTER (WHERE NOT bad) AS n FROM checked GROUP BY doc),
-  j AS (SELECT doc, doc % 4 = 3 AS unknown, doc % 7 = 0 AS ocr, coalesce(n_marks, 0) AS n_marks, coalesce(n_marks, 0) = 0 AND coalesce(length(text), 0) + 200 * (o_custkey % 3) > 500 AS none, coalesce(o.bad, false) AS bad,
-  greatest(coalesce(m.worst, 0), coalesce(o.worst, 0)) AS worst, coalesce(m.cents, 0) + coalesce(best, 0) AS cents, coalesce(n, 0) + CASE WHEN best IS NULL THEN 0 ELSE 1 END AS n FROM requests LEFT JOIN m USING (doc) LEFT JOIN o USING (doc)),
-  k AS (SELECT *, CASE WHEN n > 0 THEN CAST((2 * cents + n) // (2 * n) AS BIGINT) ELSE 0 END AS mean FROM j)
-  SELECT doc, n_marks, concat_ws(',', CASE WHEN ocr THEN 'P1-1' END, CASE WHEN unknown THEN 'P2-2' END, CASE WHEN none THEN 'P0-2' END, CASE WHEN bad THEN 'P0-1' END) AS flags, none OR bad AS block_confirm,
-  CASE WHEN worst = 2 THEN 'error' WHEN worst = 1 OR unknown THEN 'warning' ELSE 'ok' END AS overall_status, CASE WHEN unknown AND worst = 0 THEN greatest(mean - 10, 0) ELSE mean END / 100.0::DOUBLE AS overall_confidence FROM k""",
+    "extraction_report": _report_sql("SELECT * FROM o3", " + 200 * (o_custkey % 3)", "doc, n_marks, flags, block_confirm, overall_status, overall_confidence"),
+    "edited_reports": _report_sql("""SELECT doc, role, CASE WHEN edited AND doc % 9 > 0 THEN greatest(final, 75) WHEN edited THEN greatest(least(final, 20) - CASE WHEN letter THEN 15 ELSE 0 END, 0) ELSE final END AS final,
+  CASE WHEN edited AND doc % 9 > 0 THEN 0 WHEN edited THEN 2 ELSE level END AS level, CASE WHEN edited THEN doc % 9 = 0 ELSE p0 END AS p0 FROM o3""", "", "doc, flags, block_confirm, overall_status, overall_confidence"),
+    "extraction_journal": f"""WITH {_REQUESTS}, {_PARTY}, {_MARKS}, makers AS (SELECT c_mktsegment AS segment, 1000000000 + min(c_custkey) AS maker FROM customer GROUP BY 1), m AS (SELECT doc, count(*) AS n FROM checked WHERE NOT bad GROUP BY doc)
+  SELECT doc, {_KIND} AS source_type, CASE WHEN doc % 2 = 0 OR c_nationkey % 4 = 0 THEN o_custkey END AS customer_org_id, CASE WHEN (o_custkey % 2 = 0 OR doc % 10 = 0) AND c_mktsegment <> 'BUILDING' THEN maker END AS manufacturer_org_id,
+  coalesce(length(text), 0) AS raw_text_length, coalesce(n, 0) AS marks_count FROM requests JOIN makers ON segment = c_mktsegment LEFT JOIN m USING (doc)""",
     "acceptance_rows": f"""WITH p AS (SELECT *, {_HEAD} AS is_head, NOT ({_HEAD}) AND NOT ({_EMPTY}) AND p_partkey % 3 < 2 AS good, {_TITLE} AS title FROM part)
   SELECT p_partkey, is_head, CASE WHEN is_head AND p_size % 2 = 0 THEN '0,1,2' WHEN is_head THEN '1,2,0' ELSE '-' END AS places, CASE WHEN good AND p_size % 4 < 3 THEN (['С', 'П', 'Т'])[p_size % 4 + 1] || p_size ELSE '-' END AS group_code,
   CASE WHEN good AND p_size % 4 < 3 THEN (['psi', 'periodic', 'type'])[p_size % 4 + 1] ELSE '-' END AS category, CASE WHEN good THEN title ELSE '-' END AS name,

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import merge, ranking
+from ..operators import journal, merge, quality, ranking
+from ..scratch import folder
 from ..sources import files
 from .common import table, values
 from .pricing import LINES_SQL, order_lines
@@ -41,13 +42,39 @@ def used_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return use.filter("usage >= 40").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").orderBy(F.desc("usage"), "p_name", "p_partkey")
 
 
+#: Labels that name their document in five ways: SQL over labels and documents.
+LABELS = {
+    "label_id": "doc_id", "document_id": "CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS STRING) WHEN doc_id % 2 = 0 THEN '-' ELSE '999999999999' END",
+    "source_file": "CASE doc_id % 5 WHEN 1 THEN 'scans/' || doc_id || '_' || lang || '.TXT' WHEN 3 THEN '_' || lang || '.txt' WHEN 4 THEN 'nothing.pdf' END",
+    "label_file": "CASE doc_id % 5 WHEN 2 THEN 'labels/' || doc_id || '_' || lang || '.txt.json' ELSE 'labels/none.json' END",
+}
+
+
 def label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON18 SRC26: the document of each label by id, else by a second key, with the way it was found."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), (F.col("doc_id") * 2).alias("by_id"), F.col("doc_id").alias("by_name"))
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    one = labels.join(d.select(F.col("doc_id").alias("by_id"), F.col("doc_id").alias("d1")), "by_id", "left")
-    two = one.join(d.select(F.col("doc_id").alias("by_name"), F.col("doc_id").alias("d2")), "by_name", "left")
-    return two.select("label_id", F.coalesce("d1", "d2").alias("document_id"), F.when(F.col("d1").isNotNull(), "id").when(F.col("d2").isNotNull(), "name").otherwise("none").alias("found_by"))
+    """JON18: the document of each label by id, else by file name, else by the end of a path, the newest one, with the way it was found."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id").join(d, "doc_id").select(*[F.expr(sql).alias(c) for c, sql in LABELS.items()])
+    paths = d.select(F.col("doc_id").alias("document_id"), F.expr("'in/' || source || '/' || doc_id || '_' || lang || '.txt'").alias("path"))
+    return journal.resolve_labels(labels, paths)
+
+
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG15: two extraction runs of each part's orders compared by measures; the winner by quality, within a margin."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("marks"), F.count_if(F.col("l_discount") > 0.05).alias("documents"), F.max("l_linenumber").alias("tables"))
+    run = lambda marks, chars: lines.select("p_partkey", marks.cast("long").alias("marks"), chars.cast("long").alias("chars"), quality.snapshot_score(chars, marks, F.col("documents"), F.col("tables") > 5, F.col("tables") > 6, F.lit(2), F.col("tables"), F.col("p_partkey") % 5 == 0).alias("quality"))
+    a, b = run(F.col("marks"), F.col("marks") * 30), run(F.greatest(F.col("marks") - F.col("p_partkey") % 40, F.lit(0)), F.col("marks") * 40)
+    return quality.compare_runs(a.filter("p_partkey % 11 > 0"), b.filter("p_partkey % 13 > 0"), "p_partkey", ["marks", "chars"], "quality")
+
+
+def benchmark_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG13 SNK15: documents of each language, done and failed, and those that clean-up made better; the report is written as JSON and read back."""
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id") % 17 == 0, F.col("doc_id") % 3 > 0, F.col("doc_id"), F.col("n_chars")).toDF("lang", "failed", "known", "doc_id", "n_chars")
+    rate = lambda m: F.when(F.col("known"), (F.col("n_chars") % m) / m)
+    sure = lambda m: F.when(F.col("doc_id") % 7 > 0, (F.col("n_chars") % m).cast("double"))
+    out = quality.batch(d, ["lang"], F.col("failed"), rate(10), rate(8), sure(9), sure(11))
+    work = folder(spark)
+    out.write.json(work)
+    return spark.read.schema(out.schema).json(work)
 
 
 #: Extraction payloads of parts: marks as text, as objects, both, none, and broken JSON: SQL over part.
@@ -117,15 +144,22 @@ def replace_for_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(merge.latest(new, ["conv_id", "turn"], [F.asc("role")]))
 
 
-QUERIES = {f.__name__: f for f in (default_hours, breakdown_text, catalogue_cleanup, used_mappings, label_resolution, expected_marks, adjacent_runs, correction_outcomes, distinct_then_join, priority_rows, nested_json, jammed_names, replace_for_document)}
+QUERIES = {f.__name__: f for f in (default_hours, breakdown_text, catalogue_cleanup, used_mappings, label_resolution, run_comparison, benchmark_batch, expected_marks, adjacent_runs, correction_outcomes, distinct_then_join, priority_rows, nested_json, jammed_names, replace_for_document)}
 _KEY = "regexp_replace(regexp_replace(replace(lower({}), 'х', 'x'), '(\\d),(\\d)', '\\1.\\2', 'g'), '\\s+', '', 'g')"
 SQL = {
     "default_hours": "SELECT p_type AS key, CAST(CASE WHEN p_type = 'PROMO' THEN 8 ELSE max(p_size) END AS DOUBLE) AS hours FROM part GROUP BY p_type",
     "breakdown_text": f"WITH {LINES_SQL} SELECT order_id, string_agg(code || ' x' || quantity || ' ' || final_cost, '; ' ORDER BY code || ' x' || quantity || ' ' || final_cost) AS breakdown FROM lines GROUP BY order_id",
     "catalogue_cleanup": "SELECT CASE p_type WHEN 'PROMO' THEN 'LARGE' WHEN 'ECONOMY' THEN 'SMALL' ELSE p_type END AS code, count(*) AS n, max(p_retailprice) AS price FROM part WHERE p_type <> 'STANDARD' GROUP BY 1",
     "used_mappings": "SELECT p_partkey, count(*) AS usage, p_name FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_partkey, p_name HAVING count(*) >= 40",
-    "label_resolution": """SELECT l.doc_id AS label_id, coalesce(a.doc_id, b.doc_id) AS document_id, CASE WHEN a.doc_id IS NOT NULL THEN 'id' WHEN b.doc_id IS NOT NULL THEN 'name' ELSE 'none' END AS found_by
-  FROM labels l LEFT JOIN documents a ON a.doc_id = l.doc_id * 2 LEFT JOIN documents b ON b.doc_id = l.doc_id""",
+    "label_resolution": """SELECT l.doc_id AS label_id, CASE WHEN l.doc_id % 5 < 3 THEN l.doc_id WHEN l.doc_id % 5 = 3 THEN (SELECT max(x.doc_id) FROM documents x WHERE x.lang = d.lang) END AS document_id,
+  (['id', 'name', 'name', 'path', NULL])[l.doc_id % 5 + 1] AS found_by FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
+    "run_comparison": """WITH l AS (SELECT l_partkey AS p, count(*) AS m, count(*) FILTER (WHERE l_discount > 0.05) AS d, max(l_linenumber) AS t FROM lineitem GROUP BY 1),
+  r AS (SELECT p, m AS ma, 30 * m AS ca, greatest(m - p % 40, 0) AS mb, 40 * m AS cb, least(150, 30 * d) + CASE WHEN t > 5 THEN 100 ELSE 0 END + CASE WHEN t > 6 THEN 50 ELSE 0 END + 60 + CASE WHEN t > 0 THEN 50 ELSE 0 END AS rest, CASE WHEN p % 5 = 0 THEN 850 ELSE 1000 END AS most FROM l),
+  q AS (SELECT *, least(most, rest + least(350, 50 * ma) + CASE WHEN ca > 100 THEN 200 ELSE 0 END + CASE WHEN ca > 1000 THEN 100 ELSE 0 END) AS qa, least(most, rest + least(350, 50 * mb) + CASE WHEN cb > 100 THEN 200 ELSE 0 END + CASE WHEN cb > 1000 THEN 100 ELSE 0 END) AS qb FROM r)
+  SELECT p AS p_partkey, CASE WHEN p % 11 > 0 AND p % 13 > 0 THEN mb - ma END AS delta_marks, CASE WHEN p % 11 > 0 AND p % 13 > 0 THEN cb - ca END AS delta_chars, CASE WHEN p % 11 > 0 AND p % 13 > 0 THEN round((qb - qa) / 1000, 3) END AS delta_quality,
+  CASE WHEN p % 11 > 0 AND p % 13 > 0 THEN CASE WHEN qb / 1000 > qa / 1000 + 0.02::DOUBLE THEN 'B' WHEN qa / 1000 > qb / 1000 + 0.02::DOUBLE THEN 'A' ELSE 'tie' END END AS winner FROM q WHERE p % 11 > 0 OR p % 13 > 0""",
+    "benchmark_batch": """SELECT lang, count(*) AS files_total, count(*) FILTER (WHERE doc_id % 17 > 0) AS files_ok, count(*) FILTER (WHERE doc_id % 17 = 0) AS files_error,
+  count(*) FILTER (WHERE doc_id % 17 > 0 AND CASE WHEN doc_id % 3 > 0 THEN (n_chars % 8) * 10 < (n_chars % 10) * 8 ELSE doc_id % 7 > 0 AND n_chars % 11 > n_chars % 9 END) AS improved FROM documents GROUP BY lang""",
     "expected_marks": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_brand WHEN 2 THEN p_name || '|' || p_type ELSE '' END AS marks,
   CAST((['2', '1', '2', '0', '0'])[p_size % 5 + 1] AS BIGINT) AS n_marks FROM part""",
     "adjacent_runs": """WITH s AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

@@ -77,6 +77,7 @@ NOT_BILLABLE = r"маркиров|упаков|срок\s+служб|компл
 
 #: Validation: lengths, factors and penalties.
 LONG_NAME, EMPTY_MARKS_CHARS = 80, 500
+EDITED = 0.75
 OCR_FACTOR, NO_DOCUMENT, DUPLICATE, UNKNOWN_TYPE, NO_TAX_ID = 0.85, 0.10, 0.05, 0.10, 0.15
 
 # What may follow a fire class in a designation; words of a line that greets a letter's recipient.
