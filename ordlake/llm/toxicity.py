@@ -34,6 +34,8 @@ from .common import new_column, save
 #: Bound of the training sample, hashed word features, and what makes a feature tell: training documents that have it,
 #: and its likelihood ratio against independence of the label.
 MAX_TRAINING, FEATURES, MIN_DOCS, MIN_RATIO = 6_000, 1 << 21, 4, 24.0
+#: Hashes of labels are cut from this many, so that a sample is never empty because its share is small.
+HASHES = 1 << 62
 EPOCHS, RATE, DECAY, HELD = 400, 0.05, 1e-5, 4
 #: Beside each word its first bytes are features, which carry over to longer forms of a word.
 HEADS = (4, 5)
@@ -175,14 +177,17 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, held: np.ndarray) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Text and label of the rows that may be learned from."""
+    """Text and label of the rows that may be learned from, a sample of about MAX_TRAINING labels; a repeated label counts once.
+
+    The sampled labels are broadcast (their number is bounded by the sample), so texts are filtered where they are read.
+    """
     own = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__label")).filter("__id is not null and __label is not null")
-    own = own.filter(F.crc32(F.col("__id").cast("string")) % 3 != 1)
+    own = own.filter(F.crc32(F.col("__id").cast("string")) % 3 != 1).distinct()
     total = own.count()
     if total > MAX_TRAINING:  # the least hashes: the same rows on every run
-        own = own.filter(F.pmod(F.xxhash64(F.col("__id"), F.lit(11)), F.lit(1_000_000)) < int(1e6 * MAX_TRAINING / total))
+        own = own.filter(F.pmod(F.xxhash64(F.col("__id"), F.lit(11)), F.lit(HASHES)) < HASHES * MAX_TRAINING // total)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return texts.join(own, "__id").select("__id", "__text", "__label")
+    return texts.join(F.broadcast(own), "__id").select("__id", "__text", "__label")
 
 
 def _bags(text: pa.Array) -> pa.Array:

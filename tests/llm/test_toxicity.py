@@ -60,6 +60,16 @@ def test_only_allowed_rows_train(labelled):
     assert used.filter(F.crc32(F.col("__id").cast("string")) % 3 == 1).count() == 0
 
 
+def test_training_is_a_bounded_sample(spark):
+    ids = spark.range(40_000).select(F.col("id").alias("doc_id"))
+    docs, labels = ids.withColumn("text", F.lit("a b")), ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    n = m.training_rows(docs, labels, "doc_id", "text", "toxic").count()
+    assert abs(n - m.MAX_TRAINING) < 400
+    again = labels.unionByName(labels.filter("doc_id < 1000"))
+    assert m.training_rows(docs, again, "doc_id", "text", "toxic").count() == n
+    assert m.HASHES * m.MAX_TRAINING // 10**13 > 0  # also ten trillion labels leave a sample
+
+
 @pytest.mark.parametrize("share", [0.01, 0.03])
 def test_words_below_one_in_a_hundred_documents_tell(spark, share):
     r = random.Random(8)
