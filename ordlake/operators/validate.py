@@ -33,7 +33,7 @@ def marks(df: DataFrame, doc: str, position: str, ocr: str) -> DataFrame:
 def organisations(df: DataFrame, document_type: str) -> DataFrame:
     """df (name, role, org_type, inn, confidence) with checked confidence, status, warnings and read_only."""
     name = F.coalesce(F.col("name"), F.lit(""))
-    long, own, letter = F.length(name) > rules.LONG_NAME, (F.col("role") == "customer") & testing_center(name), (F.col(document_type) == "letter") & (F.col("role") == "customer") & F.col("inn").isNull()
+    long, own, letter = F.length(name) > rules.LONG_NAME, (F.col("role") == "customer") & testing_center(name), (F.col(document_type) == "letter") & (F.col("role") == "customer") & (F.coalesce(F.col("inn"), F.lit("")) == "")
     c = F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
     c = F.when(long, F.least(c, F.lit(0.30))).otherwise(c)
     c = F.when(own, F.least(c, F.lit(0.20))).otherwise(c)
