@@ -108,11 +108,18 @@ def _bytes(text: pd.Series) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in text]
 
 
+def _by_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut where their rows' numbers leave a range of 2 ** 32: a batch may hold rows of several small files, and
+    places are kept as differences of 32 bits to the least number."""
+    for batch in batches:
+        yield from (batch.iloc[s:e] for s, e in _cuts(batch["row"].to_numpy() >> 32))
+
+
 def _find(n_shards: int):
     """Blocks (chunk, shard) of anchors: distinct (gram, around), their marks of several, and places by number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(_by_files(batches)):
             chunk = TaskContext.get().partitionId() << 32 | number
             rows = batch["row"].to_numpy()
             found = list(anchors(_bytes(batch["text"])))

@@ -74,3 +74,15 @@ def test_merge_and_front_coding():
 
 def test_empty(empty):
     assert m.remove_repeats(empty).count() == 0
+
+
+def test_batches_over_several_files(spark, texts):
+    """Rows of other partitions have numbers over 32 bits away; here one task reads all that were written, as with many small files."""
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = m.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).drop("kept").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert Counter(tuple(r) for r in got) == Counter(brute(texts))
