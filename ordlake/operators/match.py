@@ -131,8 +131,8 @@ def fuzzy_names(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     Brands are compatible if equal or alike in their first three or four letters (three only if one has no more); a
     designation without a brand may meet any other. The score is the matching-blocks ratio of the compact forms; ties
     go to the shorter, then the lesser partner. The best one is snapped to from the score snap on. Both sides are
-    taken distinct. Branded designations meet by the beginnings of their brands, all others through the index of rare
-    characters in similar.ratio_pairs; lengths and common characters that rule out the score are tested before the ratio.
+    taken distinct. Branded designations meet by the beginnings of their brands, all others through
+    similar.ratio_pairs; lengths and common characters that rule out the score are tested before the ratio.
     """
     from .similar import _near, ratio_pairs
 
@@ -146,11 +146,11 @@ def fuzzy_names(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     near = near.filter((F.col("__a") == F.col("__b")) | _near(F.col("__a"), F.col("__b"), least))
     branded = near.withColumn("score", F.when(F.col("__a") == F.col("__b"), 1.0).otherwise(ratio(F.col("__a"), F.col("__b"))))
 
-    def through_index(x: DataFrame, y: DataFrame) -> DataFrame:
+    def any_brand(x: DataFrame, y: DataFrame) -> DataFrame:
         found = ratio_pairs(x.select("__a"), y.select("__b"), least).toDF("__a", "__b", "score")
         return x.select(left_key, "__a").join(found, "__a").join(y.select(right_key, "__b"), "__b").select(left_key, right_key, "score")
 
-    others = through_index(a.filter("__a_t = ''"), b).unionByName(through_index(a.filter("__a_t <> ''"), b.filter("__b_t = ''")))
+    others = any_brand(a.filter("__a_t = ''"), b).unionByName(any_brand(a.filter("__a_t <> ''"), b.filter("__b_t = ''")))
     scored = branded.select(left_key, right_key, "score").unionByName(others).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy(left_key).orderBy(F.desc("score"), F.length(right_key), right_key))
     ranked = scored.withColumn("__rank", rank).filter(F.col("__rank") <= k)

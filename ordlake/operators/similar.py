@@ -1,26 +1,35 @@
-"""Joins of names by a matching-blocks ratio or by containment, through indexes that lose no pair.
+"""Joins of names by a matching-blocks ratio or by containment, by bounds that lose no pair.
 
-The ratio of a and b is 2M/T, T the sum of their lengths, M the characters in matching blocks. Two facts bound it:
+The ratio of a and b is 2M/T, T the sum of their lengths, M the characters in matching blocks. Three facts bound it:
 
 - the blocks' characters are common to both, so they share at least t T / 2 characters, counted with repeats;
 - between two blocks at least one character is unmatched, so of T - 2M unmatched characters follow at most
-  T - 2M + 1 blocks, and a and b share at least M - (T - 2M + 1) >= (1.5 t - 1) T - 1 pairs of neighbouring characters.
+  T - 2M + 1 blocks, and a and b share at least M - (T - 2M + 1) >= (1.5 t - 1) T - 1 pairs of neighbouring characters;
+- the blocks stand in one order in both, so M is at most the length of their longest common subsequence.
 
-Grams are numbered by occurrence, so repeats count, and ordered from the rarest. Two names that share at least c of their
-grams share one among the first n - c + 1 of both, which is all that is posted and joined. Names are taken distinct, so
-a name that many rows have is compared once. A name inside a longer one has its rarest gram there: the shorter posts
-that one, the longer probes with all of its own.
+Such bounds leave no gram rare enough for an index: names of 20 characters that reach 0.82 need share only 7 of 19 pairs. So
+names are taken distinct and dealt into blocks, each pair of blocks is one group, and in it every pair of names is
+tested by the bits of its characters, what is left by the bits of its pairs, then by the subsequence, then by the ratio. The
+work is still a few nanoseconds for each pair of distinct names; memory is that of two blocks.
+
+A name inside a longer one has its rarest run of characters there: the shorter posts that one, the longer probes with all
+of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .match import ratio, top
+from .match import top
 
-#: From this ratio on pairs of neighbours bound well, and shorter names than they can bound must be equal.
-BIGRAM_MIN = 0.82
+#: Distinct names of a block, 64-bit words of a name's bits, and elements of one pass of the subsequences.
+BLOCK, WORDS, PASS = 1 << 13, 4, 1 << 22
 
 
 def grams(name: Column, n: int) -> Column:
@@ -30,18 +39,6 @@ def grams(name: Column, n: int) -> Column:
     return F.transform(every, lambda g, i: F.concat(g, F.lit("#"), (i + 2 - F.array_position(every, g)).cast("string")))
 
 
-def _ranked(names: DataFrame, n: int) -> DataFrame:
-    """(name, g) with a name's grams from the rarest."""
-    tokens = names.select("name", F.explode(grams(F.col("name"), n)).alias("gram"))
-    count = tokens.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = tokens.join(count, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    return ranked.select("name", F.col("g.gram").alias("g"))
-
-
-def _names(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.select(F.col(left.columns[0]).alias("name")).union(right.select(F.col(right.columns[0]).alias("name"))).filter("name <> ''").distinct()
-
-
 def _near(a: Column, b: Column, least: float) -> Column:
     """Whether lengths and common characters allow the ratio; nothing is lost by it."""
     total = F.length(a) + F.length(b)
@@ -49,22 +46,115 @@ def _near(a: Column, b: Column, least: float) -> Column:
     return (F.least(F.length(a), F.length(b)) >= bound) & (F.size(F.array_intersect(grams(a, 1), grams(b, 1))) >= bound)
 
 
+def gram_bits(names: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, lost) of each name: a bit for the k-th occurrence of each run of n characters (1 or 2), and how many fell on a bit in use.
+
+    Two names share at most as many runs as they share bits, and those that either of them lost.
+    """
+    size = [len(x) for x in names]
+    code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(names)), size)
+    if n == 2:
+        inside = owner[1:] == owner[:-1]
+        code, owner = (code[:-1] << np.uint64(21) | code[1:])[inside], owner[1:][inside]
+    order = np.lexsort((code, owner))
+    code, owner = code[order], owner[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+    at = np.arange(len(code))
+    k = at - np.maximum.accumulate(np.where(new, at, 0))
+    h = (code * np.uint64(64) + k.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    wide = 64 * WORDS
+    bits = np.zeros((len(names), wide), bool)
+    bits[owner, (h >> np.uint64(40)).astype(np.int64) % (wide - 1)] = True  # the last one stays free, so a count fits in a byte
+    return np.packbits(bits, axis=1).view(np.uint64), np.bincount(owner, minlength=len(names)) - bits.sum(axis=1)
+
+
+def _padded(names: list[str], pad: int) -> np.ndarray:
+    width = max(map(len, names))
+    out = np.full((len(names), width), pad, np.int32)
+    for i, x in enumerate(names):
+        out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
+
+
+def common_subsequence(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair (a[i], b[i])."""
+    x, y = _padded(a, -1), _padded(b, -2)
+    row = np.zeros((len(a), y.shape[1] + 1), np.int32)
+    for i in range(x.shape[1]):
+        row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (y == x[:, i : i + 1])), axis=1)
+    return row[:, -1]
+
+
+def likely(left: list[str], right: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs whose lengths, characters and pairs of neighbours allow the ratio; right is sorted by length."""
+    chars, lost = gram_bits(left, 1)
+    pairs, pairs_lost = gram_bits(left, 2)
+    own_chars, own_pairs = (gram_bits(right, n)[0] for n in (1, 2))
+    columns = np.ascontiguousarray(own_chars.T)
+    sizes = np.array([len(x) for x in right])
+    needs: dict[tuple[int, int], np.ndarray] = {}
+    for i, name in enumerate(left):
+        low = np.searchsorted(sizes, np.floor(len(name) * least / (2 - least) - 1e-6))
+        high = np.searchsorted(sizes, np.ceil(len(name) * (2 - least) / least + 1e-6), "right") if least > 0 else len(sizes)
+        key = (len(name), int(lost[i]))
+        if key not in needs:
+            needs[key] = np.clip(np.ceil(least * (sizes + key[0]) / 2 - 1e-6) - key[1], 0, 255).astype(np.uint8)
+        shared = np.bitwise_count(columns[0, low:high] & chars[i, 0])
+        for w in range(1, WORDS):
+            shared += np.bitwise_count(columns[w, low:high] & chars[i, w])
+        j = low + np.flatnonzero(shared >= needs[key][low:high])
+        if len(j):
+            both = np.bitwise_count(own_pairs[j] & pairs[i]).sum(axis=1, dtype=np.int64) + pairs_lost[i]
+            j = j[both >= (1.5 * least - 1) * (sizes[j] + len(name)) - 1 - 1e-6]
+            yield np.full(len(j), i), j
+
+
+def _scored(least: float):
+    """Pairs of two blocks of names with their ratio."""
+
+    def judged(a: list[str], b: list[str]) -> list[tuple[str, str, float]]:
+        most = 2 * common_subsequence(a, b) / np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+        scores = [(a[k], b[k], SequenceMatcher(None, a[k], b[k]).ratio()) for k in np.flatnonzero(most >= least - 1e-9)]
+        return [s for s in scores if s[2] >= least]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[str, str, float]] = []
+        for a, b in zip(group["left"], group["right"], strict=True):
+            left, right = sorted(a, key=len), sorted(b, key=len)
+            wait: list[tuple[str, str]] = []
+            widest = 0
+            for i, j in likely(left, right, least):
+                near = [(left[p], right[q]) for p, q in zip(i, j, strict=True) if left[p] != right[q]]
+                wait += near
+                widest = max([widest, *(len(y) for _, y in near)])
+                if len(wait) * widest > PASS:
+                    out += judged(*map(list, zip(*wait, strict=True)))
+                    wait, widest = [], 0
+            if wait:
+                out += judged(*map(list, zip(*wait, strict=True)))
+        return pd.DataFrame(out, columns=["left_name", "right_name", "score"])
+
+    return run
+
+
+def _blocks(names: DataFrame, number: str, column: str) -> tuple[DataFrame, int]:
+    """(number, column) with the distinct names of each of n blocks, and n."""
+    own = names.select(F.col(names.columns[0]).alias("name")).filter("name <> ''").distinct()
+    n = -(-own.count() // BLOCK) or 1
+    return own.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias(number)).agg(F.collect_list("name").alias(column)), n
+
+
 def ratio_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left_name, right_name, score) of all pairs of a name of left and one of right with at least this ratio.
 
     left and right have one column of names; null and empty names meet nothing; equal names score 1.
     """
-    names = _names(left, right)
-    n = 2 if least >= BIGRAM_MIN else 1
-    size = F.length("name")
-    whole = 2 * size / (2 - least)  # the least sum of lengths of a pair with this name
-    need = F.ceil((1.5 * least - 1) * whole - 1 - 1e-9) if n == 2 else F.ceil(least * whole / 2 - 1e-9)
-    posted = _ranked(names, n).select("name", grams(F.col("name"), 1).alias("chars"), F.explode(F.slice("g", F.lit(1), F.greatest(F.size("g") - F.greatest(need, F.lit(1)) + 1, F.lit(1)))).alias("gram"))
-    side = lambda df, c: posted.join(df.select(F.col(df.columns[0]).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(f"{c}_name"), F.col("chars").alias(f"{c}_chars"), "gram")
-    bound = least * (F.size("left_chars") + F.size("right_chars")) / 2 - 1e-9
-    alike = (F.least(F.size("left_chars"), F.size("right_chars")) >= bound) & (F.size(F.array_intersect("left_chars", "right_chars")) >= bound)
-    near = side(left, "left").join(side(right, "right"), "gram").filter(F.col("left_name") != F.col("right_name")).filter(alike).select("left_name", "right_name").distinct()
-    scored = near.withColumn("score", ratio(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= least)
+    (a, n_left), (b, n_right) = _blocks(left, "i", "left"), _blocks(right, "j", "right")
+    every = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(b, "j")
+    scored = every.repartition(n_left * n_right, "i", "j").groupBy("i", "j").applyInPandas(_scored(least), "left_name string, right_name string, score double")
     return scored.unionByName(_equal(left, right))
 
 
@@ -73,20 +163,26 @@ def _equal(left: DataFrame, right: DataFrame) -> DataFrame:
     return name(left).join(name(right), "name", "left_semi").select(F.col("name").alias("left_name"), F.col("name").alias("right_name"), F.lit(1.0).alias("score"))
 
 
-def contained_pairs(short: DataFrame, long: DataFrame, n: int = 2) -> DataFrame:
+def _runs(name: Column, n: int) -> Column:
+    """The distinct runs of n characters of a name."""
+    return F.when(F.length(name) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(name, i, F.lit(n)))))
+
+
+def contained_pairs(short: DataFrame, long: DataFrame, n: int = 6) -> DataFrame:
     """(short_name, long_name): every name of short and the longer names of long that contain it.
 
-    A name of fewer than n characters posts the rarest of its single characters.
+    A name of short posts the run of n characters that the fewest names of long have; one of fewer characters posts itself, and the
+    names of long then probe with runs of that length too.
     """
-    names = _names(short, long)
-    few = names.filter(F.length("name") < n).limit(1).count() > 0
-    first = names.select("name", F.explode(F.array_distinct(F.filter(F.flatten(F.array(grams(F.col("name"), n), *[grams(F.col("name"), 1)] * few)), lambda g: F.endswith(g, F.lit("#1"))))).alias("gram"))
-    count = first.groupBy("gram").agg(F.count("*").alias("n"))
-    own = lambda df: df.select(F.col(df.columns[0]).alias("name")).distinct()
-    mine = first.join(own(short), "name", "left_semi").filter((F.length("gram") == n + 2) | (F.length("name") < n))
-    rarest = mine.join(count, "gram").groupBy("name").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")).select(F.col("name").alias("short_name"), "gram")
-    probes = first.join(own(long), "name", "left_semi").select(F.col("name").alias("long_name"), "gram")
-    return rarest.join(probes, "gram").filter((F.length("short_name") < F.length("long_name")) & F.contains("long_name", "short_name")).select("short_name", "long_name")
+    own = lambda df, c: df.select(F.col(df.columns[0]).alias(c)).filter(f"{c} <> ''").distinct()
+    mine, theirs = own(short, "short_name"), own(long, "long_name")
+    sizes = sorted({n} | {r[0] for r in mine.filter(F.length("short_name") < n).select(F.length("short_name")).distinct().collect()})
+    probes = theirs.select("long_name", F.explode(F.flatten(F.array_compact(F.array(*[_runs(F.col("long_name"), k) for k in sizes])))).alias("run"))
+    count = probes.filter(F.length("run") == n).groupBy("run").agg(F.count("*").alias("k"))
+    runs = mine.select("short_name", F.explode(_runs(F.col("short_name"), n)).alias("run")).join(count, "run", "left")
+    rarest = runs.groupBy("short_name").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "run"))["run"].alias("run"))
+    posted = rarest.unionByName(mine.filter(F.length("short_name") < n).withColumn("run", F.col("short_name")))
+    return posted.join(probes, "run").filter((F.length("short_name") < F.length("long_name")) & F.contains("long_name", "short_name")).select("short_name", "long_name")
 
 
 def similar_organisations(probes: DataFrame, probe_id: str, known: DataFrame, known_id: str, name: str, key: str, least: float, floor: float, k: int, fuzzy: bool = True) -> DataFrame:

@@ -152,3 +152,21 @@ def test_queries_equal_all_pairs(spark):
 
 def alike(x):
     return "".join(x.strip().lower().replace("ё", "е").replace("×", "х").replace("x", "х").split())
+
+
+@pytest.mark.parametrize("least", [0.6, 0.82])
+def test_bounds_lose_no_pair_in_blocks(spark, least, monkeypatch):
+    """Long names whose bits collide, signs beyond the first plane, repeats, several blocks; only near pairs come to the subsequence."""
+    r = random.Random(9)
+    stems = ["".join(r.choice("абвгдежзик 🙂") for _ in range(n)) for n in (3, 9, 30, 120, 300, 700)]
+    edit = lambda s: "".join(r.choice(["", c * 2, "x"]) if r.random() < 0.12 else c for c in s) or "y"
+    a, b = ([edit(r.choice(stems)) for _ in range(60)] for _ in range(2))
+    left, right = sorted(set(a), key=len), sorted(set(b), key=len)
+    found = {(left[i], right[j]) for p, q in similar.likely(left, right, least) for i, j in zip(p, q, strict=True)}
+    want = {(p, q): ratio(p, q) for p in left for q in right if ratio(p, q) >= least}
+    assert want.keys() <= found and len(want) > 100
+    subsequence = similar.common_subsequence([p for p, _ in want], [q for _, q in want]).tolist()
+    assert all(2 * m / (len(p) + len(q)) >= want[p, q] - 1e-9 for m, (p, q) in zip(subsequence, want, strict=True))
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    got = {(x[0], x[1]): x[2] for x in similar.ratio_pairs(frame(spark, a, "x"), frame(spark, b, "y"), least).collect()}
+    assert got == want | {(p, p): 1.0 for p in set(a) & set(b)}
