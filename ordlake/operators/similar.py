@@ -168,8 +168,8 @@ def _runs(name: Column, n: int) -> Column:
     return F.when(F.length(name) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(name, i, F.lit(n)))))
 
 
-def contained_pairs(short: DataFrame, long: DataFrame, n: int = 6) -> DataFrame:
-    """(short_name, long_name): every name of short and the longer names of long that contain it.
+def _sharing_rarest(short: DataFrame, long: DataFrame, n: int) -> DataFrame:
+    """(short_name, long_name) of all names of short and those of long that have its rarest run.
 
     A name of short posts the run of n characters that the fewest names of long have; one of fewer characters posts itself, and the
     names of long then probe with runs of that length too.
@@ -182,7 +182,12 @@ def contained_pairs(short: DataFrame, long: DataFrame, n: int = 6) -> DataFrame:
     runs = mine.select("short_name", F.explode(_runs(F.col("short_name"), n)).alias("run")).join(count, "run", "left")
     rarest = runs.groupBy("short_name").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "run"))["run"].alias("run"))
     posted = rarest.unionByName(mine.filter(F.length("short_name") < n).withColumn("run", F.col("short_name")))
-    return posted.join(probes, "run").filter((F.length("short_name") < F.length("long_name")) & F.contains("long_name", "short_name")).select("short_name", "long_name")
+    return posted.join(probes, "run").select("short_name", "long_name")
+
+
+def contained_pairs(short: DataFrame, long: DataFrame, n: int = 6) -> DataFrame:
+    """(short_name, long_name): every name of short and the longer names of long that contain it."""
+    return _sharing_rarest(short, long, n).filter((F.length("short_name") < F.length("long_name")) & F.contains("long_name", "short_name"))
 
 
 def similar_organisations(probes: DataFrame, probe_id: str, known: DataFrame, known_id: str, name: str, key: str, least: float, floor: float, k: int, fuzzy: bool = True) -> DataFrame:

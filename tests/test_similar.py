@@ -170,3 +170,11 @@ def test_bounds_lose_no_pair_in_blocks(spark, least, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 16)
     got = {(x[0], x[1]): x[2] for x in similar.ratio_pairs(frame(spark, a, "x"), frame(spark, b, "y"), least).collect()}
     assert got == want | {(p, p): 1.0 for p in set(a) & set(b)}
+
+
+def test_containment_meets_few_names(spark):
+    """Names of like words meet by their rarest run, not by pairs of letters: of 90,000 pairs of names few are compared."""
+    a, b = ([f"общество {x * 7919 % 100000:05d} кабель" for x in range(k, k + 300)] for k in (0, 150))
+    short, long = frame(spark, [x[:-2] for x in a], "x"), frame(spark, b, "y")
+    assert sorted(tuple(r) for r in similar.contained_pairs(short, long).collect()) == sorted((x[:-2], x) for x in a if x in set(b))
+    assert similar._sharing_rarest(short, long, 6).count() < 1000
