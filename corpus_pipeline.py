@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target shares of sources, languages and topics."""
     name = free_name(docs, "mix")
-    return mixing.mix_documents(docs, out_col=name).filter(F.col(f"{name}.selected")).drop(name)
+    return mixing.mix_documents(docs, out_col=name, stored=lambda df: save(df, "measured")).filter(F.col(f"{name}.selected")).drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

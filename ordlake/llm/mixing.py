@@ -9,8 +9,8 @@ every run and needs no shuffle.
 Targets come from the caller: shares for the categories of each dimension. tempered() makes them from the table
 itself: the TOP largest categories by tokens, with shares in proportion to tokens ** POWER. Any other value falls in
 the category OTHER, so the table of cells has a bound that does not grow with the data. Only that table comes to the
-driver. Topics are clusters of hashed words, with each language's mean taken off; they are fitted on a sample of at
-most TOPIC_SAMPLE documents, and every document is assigned to its nearest one.
+driver. Topics are clusters of hashed words, with each language's mean taken off; weights, means and centres are sums over
+all documents, in whole numbers, so they do not depend on how rows are dealt out. Every document is assigned to its nearest topic.
 
 Defined results: a null text has no tokens; null categories are OTHER; a target category without tokens is dropped
 and the remaining shares are scaled up; documents of cells without tokens are sampled at the overall share; cells
@@ -23,6 +23,7 @@ result's name gets underscores until it is free.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import free_name, new_column
+from .common import free_name, new_column, save
 
 OTHER = "(other)"
 ROUNDS, TOLERANCE = 1000, 1e-6
@@ -39,8 +40,10 @@ ROUNDS, TOLERANCE = 1000, 1e-6
 TOP, POWER = 64, 0.5
 #: Share of all tokens that is asked for.
 SHARE = 0.5
-#: Documents that topics are fitted on, topics, hashed word features, languages with a mean of their own, passes.
-TOPIC_SAMPLE, TOPICS, WIDTH, LANGUAGES, PASSES = 2_000, 8, 1 << 10, 16, 20
+#: Topics, hashed word features, languages with a mean of their own, passes, and the whole number that stands for 1 in sums.
+TOPICS, WIDTH, LANGUAGES, PASSES, ONE = 8, 1 << 10, 16, 20, 1 << 14
+#: Documents whose vectors a task holds at a time; sums of so many whole numbers are exact in 32-bit floats.
+ROWS = 1 << 10
 #: Bytes of text that are measured at a time, where texts are not longer.
 PART = 1 << 20
 
@@ -73,28 +76,94 @@ def word_vectors(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _vectors(text: str, make) -> Column:
+    """make(word vectors) of each text, as bytes."""
+    pack = lambda t: pa.array([x.tobytes() for x in make(word_vectors(t.cast(pa.large_binary()).to_pylist()))], pa.binary())
+    return F.arrow_udf(lambda t: bytehash.by_bytes(t, pack, pa.binary(), PART, 512), "binary")(text)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """(vectors, languages, hashes) of ROWS documents at a time."""
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            part = batch.slice(i, ROWS)
+            x = np.frombuffer(b"".join(part.column("v").to_pylist()), np.int16).reshape(len(part), WIDTH)
+            yield x.astype(np.float32), part.column("lang").to_pylist(), part.column("by").to_numpy(zero_copy_only=False)
+
+
+def _sums(vectors: DataFrame, groups) -> dict[tuple[int, str], tuple[np.ndarray, int]]:
+    """(sum, count) of the vectors by (group, language); groups gives the group of each vector of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, str], np.ndarray] = {}
+        for x, langs, _ in _parts(batches):
+            keys = list(zip(groups(x, langs).tolist(), langs, strict=True))
+            names = sorted(set(keys))
+            place = {k: i for i, k in enumerate(names)}
+            own = np.array([place[k] for k in keys]) == np.arange(len(names))[:, None]
+            for k, row, c in zip(names, (own.astype(np.float32) @ x).astype(np.int64), own.sum(axis=1), strict=True):
+                total[k] = total.get(k, 0) + np.append(row, c)
+        if total:
+            yield pa.record_batch({"k": pa.array([k for k, _ in total], pa.int32()), "lang": pa.array([g for _, g in total], pa.string()), "s": pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))})
+
+    rows = vectors.mapInArrow(run, "k int, lang string, s array<bigint>").select("k", "lang", F.posexplode("s").alias("pos", "n")).groupBy("k", "lang", "pos").agg(F.sum("n").alias("n")).collect()
+    out: dict[tuple[int, str], np.ndarray] = {}
+    for r in rows:
+        out.setdefault((r.k, r.lang), np.zeros(WIDTH + 1, np.int64))[r.pos] = r.n
+    return {k: (v[:WIDTH], int(v[WIDTH])) for k, v in sorted(out.items())}
+
+
 def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Topics:
-    """Topics of the TOPIC_SAMPLE documents with the least hashes of id and text."""
-    by = F.xxhash64(F.col(id_col), F.col(text_col))
-    few = docs.select(by.alias("by"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    share = TOPIC_SAMPLE * 2 / max(1, docs.count())
-    few = few.filter(F.pmod("by", F.lit(1_000_003)) < max(1, int(1_000_003 * min(1.0, share)))).orderBy("by").limit(TOPIC_SAMPLE)
-    pack = lambda t: pa.array([x.tobytes() for x in word_vectors(t.cast(pa.large_binary()).to_pylist())], pa.binary())
-    vector = F.arrow_udf(lambda t: bytehash.by_bytes(t, pack, pa.binary(), PART, 512), "binary")("text")
-    rows = sorted(few.select("by", "lang", vector.alias("v")).collect())
-    x = np.stack([np.frombuffer(r.v, np.float32) for r in rows]) if rows else np.zeros((1, WIDTH), np.float32)
-    idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)).astype(np.float32) + 1
-    x = _unit(x * idf)
-    langs = np.array([r.lang for r in rows] or [""])
-    names, n = np.unique(langs, return_counts=True)
-    means = {"": x.mean(axis=0)} | {k: x[langs == k].mean(axis=0) for k in names[np.argsort(-n, kind="stable")][:LANGUAGES].tolist() if k}
-    x -= np.stack([means.get(k, means[""]) for k in langs.tolist()])
-    centres = _unit(x[:1])
-    while len(centres) < min(TOPICS, len(x)):  # the document that is least like every centre begins the next
-        centres = np.concatenate([centres, _unit(x[[int((_unit(x) @ centres.T).max(axis=1).argmin())]])])
-    for _ in range(PASSES):
-        own = (x @ centres.T).argmax(axis=1)
-        centres = _unit(np.stack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))]))
+    """Topics of all documents: spherical k-means that begins with the document of the least hash and those least like the ones before."""
+    text = F.coalesce(text_col, F.lit(""))
+    every = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("by"), F.coalesce(lang_col, F.lit("")).alias("lang"), text.alias("text"))
+    most = every.filter("lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    every = every.withColumn("lang", F.when(F.col("lang").isin([r.lang for r in most]), F.col("lang")).otherwise(""))
+    present = every.select("by", "lang", _vectors("text", lambda x: (x > 0).astype(np.int16)).alias("v"))
+    having = _sums(present, lambda x, langs: np.zeros(len(x), int))
+    n = sum(c for _, c in having.values())
+    idf = np.log((n + 1) / (sum((v for v, _ in having.values()), np.zeros(WIDTH, np.int64)) + 1)).astype(np.float32) + 1
+    whole = lambda x: np.rint(_unit(x * idf) * ONE).astype(np.int16)
+    vectors = save(every.select("by", "lang", _vectors("text", whole).alias("v")), "vectors")
+
+    by_lang = {k: v for (_, k), v in _sums(vectors, lambda x, langs: np.zeros(len(x), int)).items()}
+    mean = lambda v, c: (v / max(c, 1) / ONE).astype(np.float32)
+    means = {k: mean(*v) for k, v in by_lang.items() if k} | {"": mean(sum((v for v, _ in by_lang.values()), np.zeros(WIDTH, np.int64)), n)}
+    bare = lambda x, langs: x / np.float32(ONE) - np.stack([means[k] for k in langs])
+    codes = {k: i for i, k in enumerate(means)}
+    all_means = np.stack(list(means.values()))
+
+    def likeness(x: np.ndarray, langs: list[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """bare(x) @ centres.T, and the language's number of each row."""
+        lang = np.array([codes[k] for k in langs])
+        return x @ centres.T / np.float32(ONE) - (all_means @ centres.T)[lang], lang
+
+    first = vectors.orderBy("by", "lang", "v").limit(1).collect()
+    centres = _unit(bare(np.stack([np.frombuffer(r.v, np.int16) for r in first]), [r.lang for r in first]) if first else np.zeros((1, WIDTH), np.float32))
+    while len(centres) < min(TOPICS, n):  # the document that is least like every centre begins the next
+
+        def least(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            best = None
+            for x, langs, by in _parts(batches):
+                like, lang = likeness(x, langs, centres)
+                to_mean = x @ all_means.T / np.float32(ONE)
+                size = (np.einsum("ij,ij->i", x, x) / np.float32(ONE) ** 2) - 2 * to_mean[np.arange(len(x)), lang] + (all_means**2).sum(axis=1)[lang]
+                like = np.round((like.max(axis=1) / np.sqrt(np.maximum(size, 1e-9))).astype(np.float64), 4)
+                i = np.lexsort((by, like))[0]
+                best = min([(like[i], int(by[i]), _unit(bare(x[i : i + 1], langs[i : i + 1]))[0].tobytes()), *([best] if best else [])])
+            if best:
+                yield pa.record_batch({"like": [best[0]], "by": [best[1]], "v": pa.array([best[2]], pa.binary())})
+
+        r = vectors.mapInArrow(least, "like double, by long, v binary").orderBy("like", "by", "v").first()
+        centres = np.concatenate([centres, np.frombuffer(r.v, np.float32)[None]])
+    for _ in range(PASSES if n else 0):
+        own = _sums(vectors, lambda x, langs, centres=centres: likeness(x, langs, centres)[0].argmax(axis=1))
+        sums = centres.astype(np.float64)
+        for k in {k for k, _ in own}:
+            sums[k] = sum(v / ONE - c * means[g].astype(np.float64) for (j, g), (v, c) in own.items() if j == k)
+        last, centres = centres, _unit(sums).astype(np.float32)
+        if (centres == last).all():
+            break
     return Topics(idf, means, centres)
 
 

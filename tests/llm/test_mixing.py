@@ -125,3 +125,16 @@ def test_documents_without_tokens_are_drawn_at_the_share(spark):
     df = spark.createDataFrame([(i, "e" if i % 2 else "f") for i in range(400)], "doc_id long, source string")
     out = m.mix(df, {"source": F.col("source")}, {"source": {"e": 1.0, "f": 1.0}}, F.when(F.col("source") == "e", 5).otherwise(0), 0.5)
     assert out.filter("source = 'f' and mix.probability = 0.5").count() == 200
+
+
+def test_topics_are_those_of_all_documents(spark):
+    """Weights and means are of every document, over 2,000 of them; how rows are dealt out changes nothing."""
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + j) % 40}" for j in range(12)), ["en", "de", None][i % 3]) for i in range(2600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, again = m.fit_topics(df.repartition(3)), m.fit_topics(df.repartition(7))
+    x = m.word_vectors([t.encode() for _, t, _ in rows])
+    assert np.allclose(got.idf, np.log(2601 / ((x > 0).sum(axis=0) + 1)) + 1, atol=1e-5)
+    unit = m._unit(x * got.idf)
+    for lang, of in (("en", 0), ("de", 1)):
+        assert np.allclose(got.means[lang], unit[of::3].mean(axis=0), atol=1e-5)
+    assert (got.centres == again.centres).all() and (got.idf == again.idf).all()
