@@ -36,27 +36,25 @@ def candidates(docs: DataFrame, key: str, text: str, patterns: dict[str, str], l
     return counts.join(examples(by_doc, ["kind", "candidate"], key, k), ["kind", "candidate"])
 
 
-def frequent_phrases(docs: DataFrame, key: str, words: Column, support: int, longest: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(phrase, n_words, support) of runs of one to `longest` words that at least `support` documents have.
+def frequent_phrases(docs: DataFrame, key: str, words: Column, support: int, longest: int, save: Callable[[DataFrame], DataFrame], shortest: int = 1) -> DataFrame:
+    """(phrase, n_words, support) of runs of `shortest` to `longest` words that at least `support` documents have.
 
-    Level by level: a run of n words can only be frequent if both of its runs of n - 1 words are, so each level joins the
-    places of the frequent runs with their next places, and only what is left is counted. Documents with a null key are one.
+    The distinct runs of a row are listed in the row and counted in each task before they are shuffled. Rows that share a key
+    are one document, also those with a null key; only their runs are taken distinct together.
     """
-    at = docs.select(F.xxhash64(F.col(key).cast("string")).alias("doc"), F.col(key).alias("__key"), F.posexplode(words).alias("pos", "last")).select(F.struct("doc", "__key").alias("doc"), "pos", F.col("last").alias("phrase"), "last").filter("last <> ''")
-    out, places = None, at
-    for n in range(1, longest + 1):
-        counts = places.groupBy("phrase", "doc").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.count("*").alias("support"))
-        found = save(counts.filter(F.col("support") >= support).withColumn("n_words", F.lit(n)))
-        out = found if out is None else out.unionByName(found)
-        if n == longest:
-            break
-        places = save(places.join(found.select("phrase"), "phrase", "left_semi").select("doc", "pos", "phrase", "last"))
-        after = places.select("doc", (F.col("pos") - 1).alias("pos"), F.col("phrase").alias("tail"), F.col("last").alias("new"))
-        joined = places.join(after, ["doc", "pos"])
-        places = joined.select("doc", "pos", F.concat_ws(" ", "phrase", "new").alias("phrase"), F.col("new").alias("last"))
-        if not places.limit(1).count():
-            break
-    return out.select("phrase", "n_words", "support")
+    own = docs.select(F.col(key).alias("__key"), words.alias("__words"))
+    again = save(own.groupBy("__key").count().filter("count > 1").select(F.col("__key").alias("__again"), F.lit(True).alias("__many")))
+    own = own.join(again, F.col("__key").eqNullSafe(F.col("__again")), "left").drop("__again")
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("__words") - n + 1)
+        every = F.filter(F.transform(starts, lambda i: F.slice("__words", i, n)), lambda w: ~F.array_contains(w, ""))
+        return F.when(F.size("__words") >= n, F.transform(F.array_distinct(every), lambda w: F.struct(F.array_join(w, " ").alias("phrase"), F.lit(n).alias("n_words"))))
+
+    listed = own.select("__key", "__many", F.explode(F.flatten(F.array_compact(F.array(*[runs(n) for n in range(shortest, longest + 1)])))).alias("r")).select("__key", "__many", "r.*")
+    single = listed.filter("__many IS NULL").select("phrase", "n_words")
+    shared = listed.filter("__many").select("__key", "phrase", "n_words").distinct().select("phrase", "n_words")
+    return single.unionByName(shared).groupBy("phrase", "n_words").agg(F.count("*").alias("support")).filter(F.col("support") >= support)
 
 
 def review_queue(phrases: DataFrame, rule: Column) -> DataFrame:

@@ -64,7 +64,7 @@ def promoted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     texts = turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
-    found = mining.frequent_phrases(texts, "id", words, 3, 4, save).filter("n_words >= 2")
+    found = mining.frequent_phrases(texts, "id", words, 3, 4, save, shortest=2)
     return mining.review_queue(found, F.when(F.rlike("phrase", F.lit("^the ")), "the").when(F.rlike("phrase", F.lit("tion( |$)")), "tion"))
 
 
