@@ -59,10 +59,9 @@ def mark_key(x: Column) -> Column:
 
 def letters_share(x: Column, letters: str) -> Column:
     """Share of the letters of one alphabet (a regex class) in all Latin and Cyrillic letters; 0 without letters."""
-    text = F.coalesce(x, F.lit(""))
-    every = F.length(F.regexp_replace(text, "[^A-Za-zА-Яа-яЁё]", ""))
-    own = F.length(F.regexp_replace(text, f"[^{letters}]", ""))
-    return F.when(every > 0, own / every).otherwise(F.lit(0.0))
+    only = lambda t, kept: F.regexp_replace(t, f"[^{kept}]++", "")
+    share = lambda a: F.coalesce(F.try_divide(F.length(only(a, letters)), F.length(a)), F.lit(0.0))
+    return let(only(F.coalesce(x, F.lit("")), "A-Za-zА-Яа-яЁё"), share)  # letters of one alphabet stand among all letters
 
 
 def needs_ocr(x: Column, has_images: Column) -> Column:

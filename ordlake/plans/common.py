@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int, *keys: str, each: int = 1 << 16) -> DataFrame:
+    """df dealt by keys into tasks of about `each` rows, as many as there are cores at least: a file may be one split, and
+    partitions that are joined by their compressed size hold ever more rows as a table grows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

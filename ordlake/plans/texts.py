@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import marks, text
 from ..operators import ranking, relational
 from ..sources import files
-from .common import table
+from .common import spread, table
 
 CAP = 60_000
 
@@ -34,7 +34,8 @@ def keyword_test_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letter_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23 CLS09: share of Cyrillic letters, and whether the text layer is good enough."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = spread(d, d.count(), "doc_id", each=1 << 14)
     return d.select("doc_id", F.round(text.letters_share(F.col("text"), "aeiouAEIOU"), 4).alias("vowels"), text.needs_ocr(F.col("text"), F.col("n_chars") > 1000).alias("needs_ocr"))
 
 
