@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, text
 from ..operators import journal, validate
 from ..scratch import folder
-from .common import table
+from .common import spread, table
 
 _N = "CAST({} AS STRING)".format
 _DATE = f"lpad({_N('day(o_orderdate)')}, 2, '0') || '.' || lpad({_N('month(o_orderdate)')}, 2, '0') || '.' || {_N('year(o_orderdate)')}"
@@ -43,7 +43,8 @@ TEXT = f"CASE o_orderkey % 4 WHEN 0 THEN {_LETTER} WHEN 1 THEN {_DIRECTION} WHEN
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request document for each order: doc, text, and the columns of the order and its customer."""
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders")
+    rows = spread(orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), orders.count(), "o_orderkey")
     rows = rows.select("*", *[F.expr(sql).alias(name) for name, sql in PIECES.items()])
     return rows.select(F.col("o_orderkey").alias("doc"), "*", F.expr(TEXT).alias("text"))
 
@@ -56,8 +57,9 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT02 TXT03 TXT04 TXT06 CLS01: type, norm reference, clauses and designations of requests, the first with what stands around it."""
     t = F.col("text")
     join = lambda a: F.array_join(a, "|")
-    context = F.get(extract.with_context(t, extract.sized_marks(t)), F.lit(0))["context"]
-    return requests(spark, sf_dir).select("doc", text.document_type(t).alias("kind"), F.coalesce(extract.norm_document(t), F.lit("-")).alias("norm"), join(extract.cited_clauses(t)).alias("clauses"), join(extract.sized_marks(t)).alias("sized"), join(extract.full_fire_marks(t)).alias("fire"), F.coalesce(context, F.lit("-")).alias("context"))
+    sized = text.let(extract.sized_marks(t), lambda m: F.struct(join(m).alias("sized"), F.get(extract.with_context(t, F.slice(m, 1, 1)), F.lit(0))["context"].alias("context")))
+    rows = requests(spark, sf_dir).select("doc", text.document_type(t).alias("kind"), F.coalesce(extract.norm_document(t), F.lit("-")).alias("norm"), join(extract.cited_clauses(t)).alias("clauses"), sized.alias("s"), join(extract.full_fire_marks(t)).alias("fire"))
+    return rows.select("doc", "kind", "norm", "clauses", "s.sized", "fire", F.coalesce("s.context", F.lit("-")).alias("context"))
 
 
 def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
