@@ -98,5 +98,6 @@ def roles(orgs: DataFrame, doc: str, position: str, is_direction: str) -> DataFr
     out = out.withColumn("role", F.when(F.col(is_direction) & (F.col(position) == body), "customer").otherwise(F.col("role")))
     out = out.withColumn("__c", F.coalesce(F.bool_or(F.col("role") == "customer").over(w), F.lit(False)))
     out = out.withColumn("__m", F.coalesce(first(F.col("role") == "manufacturer"), first(F.col("org_type") == "manufacturer")))
-    extra = out.filter(F.col(is_direction) & ~F.col("__c") & (F.col(position) == F.col("__m"))).withColumn("role", F.lit("customer"))
-    return out.unionByName(extra).drop("__c", "__m")
+    also = F.col(is_direction) & ~F.col("__c") & (F.col(position) == F.col("__m"))
+    both = F.when(also, F.array("role", F.lit("customer"))).otherwise(F.array("role"))  # one reading gives the row and the further one
+    return out.withColumn("role", F.explode(both)).select(*orgs.columns)
