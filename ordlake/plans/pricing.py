@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import marks
 from ..functions.money import FINE, MONEY, format_money, money
 from ..operators import cost, merge, relational
-from .common import plain, sql_doubles, table
+from .common import plain, spread, sql_doubles, table
 
 MINIMUM, MARKUP, DISCOUNT = 15_000, 5, 3
 HOURS, PER_HOUR = 24, "1.50"
@@ -26,7 +26,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of every (order, part), repeats merged to a quantity."""
-    tests = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("code")).agg(F.count("*").alias("quantity"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("code"))
+    tests = spread(lines, lines.count(), "order_id", "code", each=1 << 19).groupBy("order_id", "code").agg(F.count("*").alias("quantity"))
     priced = tests.join(catalogue(spark, sf_dir), "code")
     c = F.col
     final = cost.line_cost(c("rule"), c("base"), c("quantity"), c("cores"), c("groups"), F.lit(None).cast("double"), F.lit(PER_HOUR).cast(FINE), F.lit(HOURS), c("factor"))
