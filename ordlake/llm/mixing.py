@@ -42,8 +42,11 @@ TOP, POWER = 64, 0.5
 SHARE = 0.5
 #: Topics, hashed word features, languages with a mean of their own, passes, and the whole number that stands for 1 in sums.
 TOPICS, WIDTH, LANGUAGES, PASSES, ONE = 8, 1 << 10, 16, 20, 1 << 14
-#: Documents whose vectors a task holds at a time; sums of so many whole numbers are exact in 32-bit floats.
+#: Documents whose vectors a task spreads out at a time.
 ROWS = 1 << 10
+#: Vectors are stored by the words that they have: place and weight, the root of a count or a whole number.
+ROOTS, VECTOR = np.dtype([("p", "<u2"), ("w", "<f4")]), np.dtype([("p", "<u2"), ("w", "<i2")])
+_COUNTED = pa.struct([("tokens", pa.int64()), ("roots", pa.binary())])
 #: Bytes of text that are measured at a time, where texts are not longer.
 PART = 1 << 20
 
@@ -59,7 +62,9 @@ class Topics:
     centres: np.ndarray
 
     def nearest(self, vectors: np.ndarray, langs: list[str | None]) -> np.ndarray:
-        mean = np.stack([self.means.get(x or "", self.means[""]) for x in langs]) if len(langs) else vectors
+        names = list(self.means)
+        at = {x: i for i, x in enumerate(names)}
+        mean = np.stack([self.means[x] for x in names])[[at.get(x or "", at[""]) for x in langs]]
         return ((_unit(vectors * self.idf) - mean) @ self.centres.T).argmax(axis=1)
 
 
@@ -67,97 +72,172 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def word_vectors(texts: list[bytes]) -> np.ndarray:
-    """Square roots of the counts of hashed words, one row for each text."""
-    out = np.zeros((len(texts), WIDTH), np.float32)
+def word_roots(texts: list[bytes]) -> pa.Array:
+    """Square roots of the counts of hashed words, as the bytes of one array of ROOTS for each text."""
+    entries, sizes = [np.zeros(0, ROOTS)], [np.zeros(0, np.int64)]
     for own, h, counts in bytehash.word_hashes(texts):
-        place = np.repeat(np.arange(len(own)), counts) * WIDTH + (h % np.uint64(WIDTH)).astype(np.int64)
-        out[own] = np.sqrt(np.bincount(place, minlength=len(own) * WIDTH)).reshape(len(own), WIDTH)
+        place = np.repeat(np.arange(len(own)) * WIDTH, counts) + (h % np.uint64(WIDTH)).astype(np.int64)
+        count = np.bincount(place, minlength=len(own) * WIDTH)
+        at = np.flatnonzero(count)
+        part = np.empty(len(at), ROOTS)
+        part["p"], part["w"] = at % WIDTH, np.sqrt(count[at])
+        entries.append(part)
+        sizes.append(np.bincount(at // WIDTH, minlength=len(own)))
+    return _packed(np.concatenate(entries), np.concatenate(sizes))
+
+
+def _packed(entries: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The entries of consecutive rows as one binary value for each row."""
+    offsets = (np.concatenate([[0], np.cumsum(sizes)]) * entries.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+
+
+def _entries(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, weight) of every entry of a packed column."""
+    data, offsets = bytehash.buffers(column)
+    e = data.view(kind)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // kind.itemsize), e["p"].astype(np.int64), e["w"]
+
+
+def _dense(own: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, WIDTH), np.float32)
+    out[own, place] = weight
     return out
 
 
-def _vectors(text: str, make) -> Column:
-    """make(word vectors) of each text, as bytes."""
-    pack = lambda t: pa.array([x.tobytes() for x in make(word_vectors(t.cast(pa.large_binary()).to_pylist()))], pa.binary())
-    return F.arrow_udf(lambda t: bytehash.by_bytes(t, pack, pa.binary(), PART, 512), "binary")(text)
+def word_vectors(texts: list[bytes]) -> np.ndarray:
+    """Square roots of the counts of hashed words, one row for each text."""
+    return _dense(*_entries(word_roots(texts), ROOTS), len(texts))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """(vectors, languages, hashes) of ROWS documents at a time."""
+def _by_rows(column: pa.Array, fn, kind: pa.DataType) -> pa.Array:
+    """fn(rows, index of the first) over ROWS rows of a column at a time."""
+    parts = [fn(column.slice(i, ROWS), i) for i in range(0, len(column), ROWS)]
+    bytehash.give_back()
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[Part]:
+    """(row, place, weight) of the entries, and the languages and hashes of the rows, of ROWS documents at a time."""
     for batch in batches:
         for i in range(0, len(batch), ROWS):
             part = batch.slice(i, ROWS)
-            x = np.frombuffer(b"".join(part.column("v").to_pylist()), np.int16).reshape(len(part), WIDTH)
-            yield x.astype(np.float32), part.column("lang").to_pylist(), part.column("by").to_numpy(zero_copy_only=False)
+            yield *_entries(part.column("v"), kind), part.column("lang").to_numpy(), part.column("by").to_numpy()
 
 
-def _sums(vectors: DataFrame, groups) -> dict[tuple[int, str], tuple[np.ndarray, int]]:
-    """(sum, count) of the vectors by (group, language); groups gives the group of each vector of a part."""
+def _sums(rows: DataFrame, kind: np.dtype, langs: list[str], weigh=lambda own, place, weight, lang: (0, weight), n_groups: int = 1) -> dict[tuple[int, str], tuple[np.ndarray, int]]:
+    """(sum, count) of the vectors by (group, language); weigh gives the group of each row of a part and the weight of each entry.
+
+    A task makes one row of sums for each group and language, whatever the number of its documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, str], np.ndarray] = {}
-        for x, langs, _ in _parts(batches):
-            keys = list(zip(groups(x, langs).tolist(), langs, strict=True))
-            names = sorted(set(keys))
-            place = {k: i for i, k in enumerate(names)}
-            own = np.array([place[k] for k in keys]) == np.arange(len(names))[:, None]
-            for k, row, c in zip(names, (own.astype(np.float32) @ x).astype(np.int64), own.sum(axis=1), strict=True):
-                total[k] = total.get(k, 0) + np.append(row, c)
-        if total:
-            yield pa.record_batch({"k": pa.array([k for k, _ in total], pa.int32()), "lang": pa.array([g for _, g in total], pa.string()), "s": pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))})
-
-    rows = vectors.mapInArrow(run, "k int, lang string, s array<bigint>").select("k", "lang", F.posexplode("s").alias("pos", "n")).groupBy("k", "lang", "pos").agg(F.sum("n").alias("n")).collect()
-    out: dict[tuple[int, str], np.ndarray] = {}
-    for r in rows:
-        out.setdefault((r.k, r.lang), np.zeros(WIDTH + 1, np.int64))[r.pos] = r.n
-    return {k: (v[:WIDTH], int(v[WIDTH])) for k, v in sorted(out.items())}
+        n = n_groups * len(langs)
+        total = np.zeros((n, WIDTH + 1), np.int64)
+        for own, place, weight, lang, _ in _parts(batches, kind):
+            group, weight = weigh(own, place, weight, lang)
+            code = group * len(langs) + lang
+            total[:, :WIDTH] += np.bincount(code[own] * WIDTH + place, weight, n * WIDTH).reshape(n, WIDTH).astype(np.int64)
+            total[:, WIDTH] += np.bincount(code, minlength=n)
+        held = np.flatnonzero(total[:, WIDTH])
+        yield pa.record_batch({"k": pa.array(held, pa.int32()), "s": pa.array([total[k].tobytes() for k in held], pa.binary())})
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(WIDTH + 1, np.int64)
+        for s in part.column("s"):
+            total += np.frombuffer(s.as_py(), np.int64)
+        return pa.table({"k": part.column("k").slice(0, 1), "s": pa.array([total.tobytes()], pa.binary())})
+
+    out = {}
+    for r in rows.mapInArrow(run, "k int, s binary").groupBy("k").applyInArrow(add, "k int, s binary").collect():
+        total = np.frombuffer(r.s, np.int64)
+        out[r.k // len(langs), langs[r.k % len(langs)]] = total[:WIDTH], int(total[WIDTH])
+    return dict(sorted(out.items()))
+
+
+def _measured(text: pa.Array) -> pa.Array:
+    """The words between white space and the word_roots of each text."""
+    some = lambda t: pa.StructArray.from_arrays([pa.array(_tokens(t)), word_roots(t.cast(pa.large_binary()).to_pylist())], fields=list(_COUNTED))
+    return bytehash.by_bytes(text, some, _COUNTED, PART, 512)
+
+
+def _counted(text_col: str) -> Column:
+    return F.arrow_udf(_measured, "struct<tokens:bigint,roots:binary>")(F.coalesce(text_col, F.lit("")))
+
+
+def _by(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Topics:
     """Topics of all documents: spherical k-means that begins with the document of the least hash and those least like the ones before."""
-    text = F.coalesce(text_col, F.lit(""))
-    every = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("by"), F.coalesce(lang_col, F.lit("")).alias("lang"), text.alias("text"))
+    return _fit(save(docs.select(_by(id_col, text_col).alias("by"), F.col(lang_col).alias("lang"), _counted(text_col)["roots"].alias("v")), "roots"))
+
+
+def _fit(rows: DataFrame) -> Topics:
+    """fit_topics() of a written table of hashes, languages and word_roots (by, lang, v)."""
+    every = rows.withColumn("lang", F.coalesce("lang", F.lit("")))
     most = every.filter("lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    every = every.withColumn("lang", F.when(F.col("lang").isin([r.lang for r in most]), F.col("lang")).otherwise(""))
-    present = every.select("by", "lang", _vectors("text", lambda x: (x > 0).astype(np.int16)).alias("v"))
-    having = _sums(present, lambda x, langs: np.zeros(len(x), int))
+    langs = sorted({"", *[r.lang for r in most]})
+    code = F.coalesce(*[F.when(F.col("lang") == x, i) for i, x in enumerate(langs)], F.lit(0))  # the first is ""
+    every = every.withColumn("lang", code.cast("int"))
+    having = _sums(every, ROOTS, langs, lambda own, place, weight, lang: (0, None))
     n = sum(c for _, c in having.values())
     idf = np.log((n + 1) / (sum((v for v, _ in having.values()), np.zeros(WIDTH, np.int64)) + 1)).astype(np.float32) + 1
-    whole = lambda x: np.rint(_unit(x * idf) * ONE).astype(np.int16)
-    vectors = save(every.select("by", "lang", _vectors("text", whole).alias("v")), "vectors")
 
-    by_lang = {k: v for (_, k), v in _sums(vectors, lambda x, langs: np.zeros(len(x), int)).items()}
-    mean = lambda v, c: (v / max(c, 1) / ONE).astype(np.float32)
-    means = {k: mean(*v) for k, v in by_lang.items() if k} | {"": mean(sum((v for v, _ in by_lang.values()), np.zeros(WIDTH, np.int64)), n)}
-    bare = lambda x, langs: x / np.float32(ONE) - np.stack([means[k] for k in langs])
-    codes = {k: i for i, k in enumerate(means)}
-    all_means = np.stack(list(means.values()))
+    def whole(roots: pa.Array, _: int) -> pa.Array:
+        own, place, weight = _entries(roots, ROOTS)
+        out = np.empty(len(own), VECTOR)
+        out["p"], out["w"] = place, np.rint(_unit(_dense(own, place, weight, len(roots)) * idf) * ONE)[own, place]
+        return _packed(out, np.bincount(own, minlength=len(roots)))
 
-    def likeness(x: np.ndarray, langs: list[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """bare(x) @ centres.T, and the language's number of each row."""
-        lang = np.array([codes[k] for k in langs])
-        return x @ centres.T / np.float32(ONE) - (all_means @ centres.T)[lang], lang
+    vector = F.arrow_udf(lambda roots: _by_rows(roots, whole, pa.binary()), "binary")
+    vectors = save(every.select("by", "lang", vector("v").alias("v")), "vectors")
 
-    first = vectors.orderBy("by", "lang", "v").limit(1).collect()
-    centres = _unit(bare(np.stack([np.frombuffer(r.v, np.int16) for r in first]), [r.lang for r in first]) if first else np.zeros((1, WIDTH), np.float32))
+    by_lang = {k: v for (_, k), v in _sums(vectors, VECTOR, langs).items()}
+    mean = lambda v, c: (v / max(c, 1) / ONE).astype(np.float32)
+    means = {k: mean(*v) for k, v in by_lang.items() if k} | {"": mean(sum((v for v, _ in by_lang.values()), np.zeros(WIDTH, np.int64)), n)}
+    all_means = np.stack([means[k] for k in langs])
+    bare = lambda x, lang: x / np.float32(ONE) - all_means[lang]
+
+    def likeness(x: np.ndarray, lang: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """bare(x) @ centres.T"""
+        return x @ centres.T / np.float32(ONE) - (all_means @ centres.T)[lang]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for own, place, weight, lang, by in _parts(batches, VECTOR):
+            i = np.lexsort((lang, by))[0]
+            x = _dense(np.zeros(np.count_nonzero(own == i), np.int64), place[own == i], weight[own == i], 1)
+            best = min([(int(by[i]), int(lang[i]), x.tobytes()), *([best] if best else [])])
+        if best:
+            yield pa.record_batch({"by": [best[0]], "lang": pa.array([best[1]], pa.int32()), "v": pa.array([best[2]], pa.binary())})
+
+    r = vectors.mapInArrow(begin, "by long, lang int, v binary").orderBy("by", "lang", "v").first()
+    centres = _unit(bare(np.frombuffer(r.v, np.float32)[None], [r.lang]) if r else np.zeros((1, WIDTH), np.float32))
     while len(centres) < min(TOPICS, n):  # the document that is least like every centre begins the next
 
         def least(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
             best = None
-            for x, langs, by in _parts(batches):
-                like, lang = likeness(x, langs, centres)
+            for own, place, weight, lang, by in _parts(batches, VECTOR):
+                x = _dense(own, place, weight, len(by))
+                like = likeness(x, lang, centres)
                 to_mean = x @ all_means.T / np.float32(ONE)
                 size = (np.einsum("ij,ij->i", x, x) / np.float32(ONE) ** 2) - 2 * to_mean[np.arange(len(x)), lang] + (all_means**2).sum(axis=1)[lang]
                 like = np.round((like.max(axis=1) / np.sqrt(np.maximum(size, 1e-9))).astype(np.float64), 4)
                 i = np.lexsort((by, like))[0]
-                best = min([(like[i], int(by[i]), _unit(bare(x[i : i + 1], langs[i : i + 1]))[0].tobytes()), *([best] if best else [])])
+                best = min([(like[i], int(by[i]), _unit(bare(x[i : i + 1], lang[i : i + 1]))[0].tobytes()), *([best] if best else [])])
             if best:
                 yield pa.record_batch({"like": [best[0]], "by": [best[1]], "v": pa.array([best[2]], pa.binary())})
 
         r = vectors.mapInArrow(least, "like double, by long, v binary").orderBy("like", "by", "v").first()
         centres = np.concatenate([centres, np.frombuffer(r.v, np.float32)[None]])
     for _ in range(PASSES if n else 0):
-        own = _sums(vectors, lambda x, langs, centres=centres: likeness(x, langs, centres)[0].argmax(axis=1))
+        near = lambda own, place, weight, lang, centres=centres: (likeness(_dense(own, place, weight, len(lang)), lang, centres).argmax(axis=1), weight)
+        own = _sums(vectors, VECTOR, langs, near, len(centres))
         sums = centres.astype(np.float64)
         for k in {k for k, _ in own}:
             sums[k] = sum(v / ONE - c * means[g].astype(np.float64) for (j, g), (v, c) in own.items() if j == k)
@@ -178,23 +258,23 @@ def _tokens(text: pa.Array) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])[offsets])
 
 
-_MEASURE = pa.struct([("tokens", pa.int64()), ("topic", pa.int32())])
-
-
-def measure(docs: DataFrame, topics: Topics, text_col: str = "text", lang_col: str = "lang", out_col: str = "measure") -> DataFrame:
-    """docs with a struct of the words between white space and the topic's number of each text."""
+def _topic(docs: DataFrame, topics: Topics, roots: Column, lang: Column) -> Column:
+    """The topic's number of each row by its word_roots and language."""
     shared = docs.sparkSession.sparkContext.broadcast(topics)
 
-    def some(text: pa.Array, lang: pa.Array) -> pa.Array:
-        topic = shared.value.nearest(word_vectors(text.cast(pa.large_binary()).to_pylist()), lang.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(_tokens(text)), pa.array(topic.astype(np.int32))], fields=list(_MEASURE))
+    def run(roots: pa.Array, lang: pa.Array) -> pa.Array:
+        near = lambda x, i: pa.array(shared.value.nearest(_dense(*_entries(x, ROOTS), len(x)), lang.slice(i, len(x)).to_pylist()).astype(np.int32))
+        return _by_rows(roots, near, pa.int32())
+
+    return F.arrow_udf(run, "int")(roots, lang)
 
-    def run(text: pa.Array, lang: pa.Array) -> pa.Array:
-        parts = [some(text.slice(i, j - i), lang.slice(i, j - i)) for i, j in bytehash.slices(bytehash.sizes(text), PART, 512)]
-        bytehash.give_back()
-        return pa.concat_arrays(parts) if parts else pa.array([], _MEASURE)
 
-    return new_column(docs, out_col, F.arrow_udf(run, "struct<tokens:bigint,topic:int>")(F.coalesce(text_col, F.lit("")), F.col(lang_col)))
+def measure(docs: DataFrame, topics: Topics, text_col: str = "text", lang_col: str = "lang", out_col: str = "measure") -> DataFrame:
+    """docs with a struct of the words between white space and the topic's number of each text."""
+    name = free_name(docs, "__counted")
+    counted = docs.withColumn(name, _counted(text_col))
+    found = F.struct(F.col(name)["tokens"].alias("tokens"), _topic(docs, topics, F.col(name)["roots"], F.col(lang_col)).alias("topic"))
+    return new_column(counted, out_col, found).drop(name)
 
 
 def tempered(sized: DataFrame, dimensions: dict[str, Column], tokens: Column, power: float = POWER, top: int = TOP) -> dict[str, dict[str, float]]:
@@ -273,13 +353,14 @@ def allotment_of(docs: DataFrame, dimensions: dict[str, Column], targets: dict[s
     return out
 
 
-def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[str, float]], tokens: Column, share: float, id_col: str = "doc_id", seed: int = 1, out_col: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[str, float]], tokens: Column, share: float, id_col: str = "doc_id", seed: int = 1, out_col: str = "mix", sized: DataFrame | None = None) -> DataFrame:
     """docs with a struct<tokens, cell, weight, probability, selected>; weight is the probability over the greatest one.
 
     dimensions gives the column of each dimension, targets its shares (OTHER included where wanted), tokens the
-    size of a row, and share the part of all tokens that is asked for.
+    size of a row, and share the part of all tokens that is asked for. sized may be a written table of these columns
+    of docs alone, which is cheaper to sum.
     """
-    chance = allotment_of(docs, dimensions, targets, tokens, share).probability
+    chance = allotment_of(docs if sized is None else sized, dimensions, targets, tokens, share).probability
     top = max(chance.values(), default=0.0) or 1.0
     name = free_name(docs, out_col)
     key, value = free_name(docs, "__cell"), free_name(docs, "__probability")
@@ -291,14 +372,17 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[
     return held.withColumn(name, found).select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
-def mix_documents(docs: DataFrame, out_col: str = "mix", share: float = SHARE, stored=None) -> DataFrame:
+def mix_documents(docs: DataFrame, out_col: str = "mix", share: float = SHARE, stored=save) -> DataFrame:
     """mix() of a table of documents by source, language and topic with tempered targets; all columns stay.
 
-    stored may write and read back the table with its measures, so that texts are measured once.
+    stored writes and reads back the table with its measures, so that texts are measured once; it may drop columns
+    that the result need not have.
     """
-    name = free_name(docs, "measure")
-    measured = measure(docs, fit_topics(docs), out_col=name)
-    measured = stored(measured) if stored else measured
-    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(name)["topic"]}
-    tokens = F.col(name)["tokens"]
-    return mix(measured, dimensions, tempered(measured, dimensions, tokens), tokens, share, out_col=out_col).drop(name)
+    key, name, topic, n = (free_name(docs, x) for x in ("__by", "__counted", "__topic", "__tokens"))
+    counted = stored(docs.withColumn(key, _by("doc_id", "text")).withColumn(name, _counted("text")))
+    roots = F.col(name)["roots"]
+    topics = _fit(counted.select(F.col(key).alias("by"), "lang", roots.alias("v")))
+    measured = counted.withColumn(topic, _topic(docs, topics, roots, F.col("lang"))).withColumn(n, F.col(name)["tokens"]).drop(key, name)
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}
+    sized = save(measured.select("source", "lang", topic, n), "sized")
+    return mix(measured, dimensions, tempered(sized, dimensions, F.col(n)), F.col(n), share, out_col=out_col, sized=sized).drop(topic, n)

@@ -138,3 +138,43 @@ def test_topics_are_those_of_all_documents(spark):
     for lang, of in (("en", 0), ("de", 1)):
         assert np.allclose(got.means[lang], unit[of::3].mean(axis=0), atol=1e-5)
     assert (got.centres == again.centres).all() and (got.idf == again.idf).all()
+
+
+def test_texts_are_measured_once(spark):
+    """One pass over the texts; topics are fitted and given by what it has stored, and equal those of the texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    once = docs.withColumn("text", F.udf(counted, "string")("text"))
+    kept = []
+
+    def stored(df):
+        kept.append(m.save(df))
+        return kept[0].drop("text")
+
+    got = {r.doc_id: r.mix for r in m.mix_documents(once, stored=stored).collect()}
+    assert seen.value == docs.count() == len(got)
+    topics = {r.doc_id: r.measure for r in m.measure(docs, m.fit_topics(docs)).collect()}
+    assert all(x.cell[2] == str(topics[i].topic) and x.tokens == topics[i].tokens for i, x in got.items())
+
+
+def test_sums_of_a_task_are_one_row_for_a_group(spark):
+    """A task sends one row for each group and language, not one for each place; counts and sums are exact."""
+    rows = [(i, i % 2, m.word_roots([b"a b b c"] if i % 3 else [b""])[0].as_py()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "by long, lang int, v binary").repartition(4)
+    sent = spark.sparkContext.accumulator(0)
+
+    def weigh(own, place, weight, lang):
+        sent.add(len(lang))
+        return lang * 0 + 1, np.rint(weight**2)
+
+    got = m._sums(df, m.ROOTS, ["", "en"], weigh, 2)
+    assert set(got) == {(1, ""), (1, "en")} and sent.value == 3000
+    one = np.rint(m.word_vectors([b"a b b c"])[0] ** 2).astype(np.int64)
+    for lang, of in (("", 0), ("en", 1)):
+        total, n = got[1, lang]
+        assert n == 1500 and (total == one * sum(1 for i in range(3000) if i % 2 == of and i % 3)).all()
