@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordlake.llm import exact_dedup, minhash, mixing, toxicity
-from ordlake.llm.common import free_name, save, tables
+from ordlake.llm.common import TEXTS, free_name, save, tables
 from ordlake.llm.queries import coded
 
 
@@ -34,12 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target shares of sources, languages and topics."""
     name = free_name(docs, "mix")
-    return mixing.mix_documents(docs, out_col=name, stored=lambda df: save(df, "measured")).filter(F.col(f"{name}.selected")).drop(name)
+    return mixing.mix_documents(docs, out_col=name, stored=lambda df: save(df, "measured", TEXTS)).filter(F.col(f"{name}.selected")).drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what the tokens encode and decode to."""
-    return coded(docs)
+    return save(coded(docs), "tokens", TEXTS)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", sample_mix), ("byte-level BPE", tokens)]

@@ -7,8 +7,8 @@ indexed anew. Documents are put together from their words' tokens. Nothing is sh
 copies have no effect.
 
 Memory is bounded by bytes, not by rows: texts are split PART bytes at a time, new words are replayed as soon
-as PIECE words wait, the tokens of words are forgotten once these hold WORD_CHARS characters, and ids are spelled PIECE at a time. Only a text that is
-itself longer than that, with its ids, is held whole.
+as PIECE words wait, the tokens of words are kept from batch to batch and forgotten once these hold WORD_CHARS characters, ids
+go where they stay, and are spelled PIECE at a time. Only a text that is itself longer than that, with its ids, is held whole.
 
 Defined results: a null text is the empty one and has no tokens; decoding gives back the text's UTF-8 bytes; null
 ids decode to no bytes; equal texts and repeated rows are coded alike, row by row; an empty table gives an empty
@@ -60,6 +60,7 @@ class Vocabulary:
                     pairs[a << 32 | b] = i
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.made = np.array([pairs[x] for x in self.pairs.tolist()], dtype=np.int32)
+        self.gathered = _Gathered(self)  # words are known from one batch to the next
 
     @classmethod
     @cache
@@ -132,9 +133,13 @@ class _Gathered:
     """Distinct words with their tokens, and the places where words stand that are not put together yet."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.places, self.n = v, [], 0
+        self.v = v
+        self.begin()
         self.forget()
 
+    def begin(self) -> None:
+        self.places, self.n = [], 0
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars, self.tokens, self.ends = 0, np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -161,7 +166,7 @@ class _Gathered:
         n = np.diff(self.ends)[own]
         at = np.repeat((self.ends[own] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
         out = self.tokens[at]
-        self.places, self.n = [], 0
+        self.begin()
         if self.chars >= WORD_CHARS:
             self.forget()
         return out, n
@@ -169,20 +174,23 @@ class _Gathered:
 
 def encode_texts(text: pa.Array, v: Vocabulary, pattern: regex.Pattern) -> pa.ListArray:
     """Token ids of every text."""
-    got = _Gathered(v)
-    ids: list[np.ndarray] = []
+    got = v.gathered
+    got.begin()  # places are left where a batch has failed
+    size = bytehash.sizes(text)
+    ids, n_ids = np.empty(int(size.sum()), np.int32), 0  # a token has a byte at least; memory that is not written is not taken
     total = np.zeros(len(text) + 1, np.int64)  # tokens of text i at i + 1
     owner: list[np.ndarray] = []
 
     def flush() -> None:
-        nonlocal owner
+        nonlocal owner, n_ids
         if got.n:
             tokens, n = got.take()
-            ids.append(tokens)
+            ids[n_ids : n_ids + len(tokens)] = tokens
+            n_ids += len(tokens)
             total[:-1] += np.bincount(np.concatenate(owner), n, len(text)).astype(np.int64)
             owner = []
 
-    for i, j in bytehash.slices(bytehash.sizes(text), PART, PART):
+    for i, j in bytehash.slices(size, PART, PART):
         for k, t in enumerate(text.slice(i, j - i).to_pylist(), i):
             found = pattern.finditer(t or "")
             while words := [m.group() for m in islice(found, PIECE)] if len(t or "") > PART else pattern.findall(t or ""):
@@ -194,8 +202,7 @@ def encode_texts(text: pa.Array, v: Vocabulary, pattern: regex.Pattern) -> pa.Li
                     break
     flush()
     ends = np.concatenate([[0], np.cumsum(total[:-1])])
-    values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[:n_ids]))
 
 
 def _spelled(ids: pa.ListArray, words: pa.LargeBinaryArray) -> Iterator[memoryview]:

@@ -11,6 +11,8 @@ from ..scratch import folder
 HOT_SHARE = 1 / 2000
 #: Rows of one long that may be broadcast: 16 MB or so.
 BROADCAST_ROWS = 1 << 20
+#: Spark's setting of the rows in an Arrow batch, and how many texts one may hold where memory is short.
+ARROW_ROWS, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -26,11 +28,21 @@ def new_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(free_name(df, name), value)
 
 
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def save(df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    batch is the most rows that Arrow functions get at a time in this write, where rows hold texts: a batch is held
+    several times over, by the task and by its Python worker. The session's own setting is back when the write ends.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}"
-    df.write.parquet(path)
+    had = spark.conf.get(ARROW_ROWS)
+    try:
+        if batch and not 0 < int(had) <= batch:
+            spark.conf.set(ARROW_ROWS, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, had)
     return spark.read.schema(df.schema).parquet(path)
 
 

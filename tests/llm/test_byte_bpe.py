@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from ordlake.llm import byte_bpe as m
+from ordlake.llm import common
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -52,3 +53,30 @@ def test_small_parts_change_nothing(texts, monkeypatch):
         monkeypatch.setattr(m, name, value)
     assert m.encode_texts(own, v, pattern).equals(whole)
     assert [bytes(x) for x in m._spelled(whole, v.tokens)] == spelled == [(t or "").encode() for _, t in texts]
+
+
+def test_words_are_replayed_once_for_many_batches(monkeypatch):
+    pattern, v, seen = regex.compile(public_tokenizers.PATTERN), m.Vocabulary(PATH), []
+    replay = m.replay
+    monkeypatch.setattr(m, "replay", lambda data, ends, v: seen.append(len(data)) or replay(data, ends, v))
+    own = [pa.array(["one two two", None, "three"]), pa.array(["two one three"]), pa.array(["three four"])]
+    enc = library()
+    for part in own:
+        assert m.encode_texts(part, v, pattern).to_pylist() == [enc.encode_ordinary(t or "") for t in part.to_pylist()]
+    # "one", " two", "three"; then "two", " one", " three"; then " four"
+    assert seen == [12, 13, 5]
+
+
+def test_a_batch_that_failed_leaves_nothing():
+    pattern, v = regex.compile(public_tokenizers.PATTERN), m.Vocabulary(PATH)
+    v.gathered.add(["left", " over"])
+    assert m.encode_texts(pa.array(["left alone"]), v, pattern).to_pylist() == [library().encode_ordinary("left alone")]
+
+
+def test_texts_come_in_small_batches_where_asked(spark):
+    """The pipeline's stages that carry texts write them so; the session's setting stays."""
+    had = spark.conf.get(common.ARROW_ROWS)
+    rows = F.arrow_udf(lambda x: pa.array([len(x)] * len(x), pa.int64()), "long")
+    df = spark.range(0, 5000, 1, 1).select(rows("id").alias("n"))
+    assert max(r.n for r in common.save(df, batch=common.TEXTS).collect()) == common.TEXTS
+    assert max(r.n for r in common.save(df).collect()) == 5000 and spark.conf.get(common.ARROW_ROWS) == had
