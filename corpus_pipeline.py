@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordlake.llm import exact_dedup, minhash, mixing, toxicity
-from ordlake.llm.common import TEXTS, free_name, save, tables
+from ordlake.llm.common import PACKED, TEXTS, free_name, save, settled, tables
 from ordlake.llm.queries import coded
 
 
@@ -34,12 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target shares of sources, languages and topics."""
     name = free_name(docs, "mix")
-    return mixing.mix_documents(docs, out_col=name, stored=lambda df: save(df, "measured", TEXTS)).filter(F.col(f"{name}.selected")).drop(name)
+    return mixing.mix_documents(docs, out_col=name, stored=lambda df: save(df, "measured", batch=TEXTS, codec=PACKED)).filter(F.col(f"{name}.selected")).drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what the tokens encode and decode to."""
-    return save(coded(docs), "tokens", TEXTS)
+    return save(coded(docs), "tokens", batch=TEXTS)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", sample_mix), ("byte-level BPE", tokens)]
@@ -49,8 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each reads what the one before has written."""
-    docs = tables(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; each reads what the one before has written, which is deleted once its own result is."""
+
+    def after(n: int) -> DataFrame:
+        if not n:
+            return tables(spark, sf_dir, "documents")
+        name, stage = STAGES[n - 1]
+        made = lambda: stage(spark, after(n - 1), sf_dir)
+        return settled(spark, made, name.replace(" ", "_"), codec=PACKED)
+
+    return after(len(STAGES))

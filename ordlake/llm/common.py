@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,10 @@ HOT_SHARE = 1 / 2000
 BROADCAST_ROWS = 1 << 20
 #: Spark's setting of the rows in an Arrow batch, and how many texts one may hold where memory is short.
 ARROW_ROWS, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: How written tables with texts are compressed.
+PACKED = "zstd"
+
+_scopes = threading.local()  # folders that save() has written, for each open passing() of this thread
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -28,28 +37,77 @@ def new_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(free_name(df, name), value)
 
 
-def save(df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    return _scopes.open
+
+
+def _new_folder(spark: SparkSession) -> str:
+    at = folder(spark)
+    for own in _open_scopes()[-1:]:
+        own.append(at)
+    return at
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What save() writes inside is deleted at the end: for steps that end in values or in a written table."""
+    scopes = _open_scopes()
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for x in scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(x)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def transient(step: Callable) -> Callable:
+    """A step from a table to values; what it writes on the way is deleted at its end."""
+
+    @wraps(step)
+    def run(df: DataFrame, *args, **kw):
+        with passing(df.sparkSession):
+            return step(df, *args, **kw)
+
+    return run
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "t", **how) -> DataFrame:
+    """save(make()); what make() has written on the way is deleted then, as only the written result is read later."""
+    at = _new_folder(spark)
+    with passing(spark):
+        return _written(make(), f"{at}/{name}", **how)
+
+
+def save(df: DataFrame, name: str = "t", **how) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors; how is that of _written()."""
+    return _written(df, f"{_new_folder(df.sparkSession)}/{name}", **how)
+
+
+def _written(df: DataFrame, path: str, batch: int | None = None, codec: str | None = None) -> DataFrame:
+    """df written to path and read back.
 
     batch is the most rows that Arrow functions get at a time in this write, where rows hold texts: a batch is held
     several times over, by the task and by its Python worker. The session's own setting is back when the write ends.
+    codec compresses the files; without it the session's setting does.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}"
     had = spark.conf.get(ARROW_ROWS)
     try:
         if batch and not 0 < int(had) <= batch:
             spark.conf.set(ARROW_ROWS, batch)
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, had)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
+def numbered(docs: DataFrame, name: str, **how) -> DataFrame:
     """docs with a number of each row in the column name, written: so texts and numbers agree in every later read,
     whatever the table's splits are after an executor was lost."""
-    return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", **how)
 
 
 def key_join(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import components, free_name, key_join, numbered, save, small_join
+from .common import PACKED, components, free_name, key_join, numbered, save, settled, small_join
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 registers: a pair of similarity 0.8 is missed with probability 0.0002.
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id and cluster_id are the least doc_id of equal texts and of the cluster.
     """
-    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row", codec=PACKED)
     return _clusters(rows).drop("row")
 
 
@@ -173,22 +173,42 @@ def _clusters(rows: DataFrame) -> DataFrame:
     n = signed.count()
     classes = save(signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
     classes = classes.withColumn("node", F.col("first.row"))
-    links = save(_links(rows.select("row", "text"), classes.select("node", "bands", "registers")), "links")
-    placed = classes.select("key", "node", "size", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    clusters = placed.groupBy("component").agg(F.min("first").alias("best"), F.sum("size").alias("cluster_size"))
-    placed, clusters = save(placed, "placed"), save(clusters, "clusters")
-    placed = save(key_join(placed, clusters, "component", "cluster_size", n), "placed")
+    links = settled(rows.sparkSession, lambda: _links(rows.select("row", "text"), classes.select("node", "bands", "registers")), "links")
+
+    def place() -> DataFrame:
+        placed = save(classes.select("key", "node", "size", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        clusters = save(placed.groupBy("component").agg(F.min("first").alias("best"), F.sum("size").alias("cluster_size")), "clusters")
+        return key_join(placed, clusters, "component", "cluster_size", n)
+
+    placed = settled(rows.sparkSession, place, "placed")
     out = key_join(signed.select("doc_id", "row", "key"), placed, "key", "size", n)
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("best.doc_id").alias("cluster_id"), "cluster_size", (F.col("row") == F.col("best.row")).alias("kept"), "row")
 
 
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (a, b, similarity) between classes; row of texts and node of classes agree."""
-    buckets = save(classes.select("node", F.posexplode("bands").alias("k", "band")), "buckets")
-    n = buckets.count()
+    spark = texts.sparkSession
+    shared = settled(spark, lambda: _shared_buckets(classes), "shared")
+    buckets, n = shared.drop("n"), shared.count()
     order = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node")).alias(f"l{k}")
-    leaders = buckets.groupBy("band").agg(F.count("*").alias("n"), *[order(k) for k in range(LEADERS)]).filter("n > 1")
+    leaders = shared.groupBy("band").agg(F.first("n").alias("n"), *[order(k) for k in range(LEADERS)])
     leaders = save(leaders.select("band", "n", F.array_distinct(F.array(*[f"l{k}.node" for k in range(LEADERS)])).alias("leaders")), "leaders")
+    links = settled(spark, lambda: _verified(settled(spark, lambda: _led_pairs(buckets, leaders, n, classes), "pairs"), texts), "led")
+    open_buckets = leaders.filter(F.col("n") > F.size("leaders") + 1)  # pairs of members that are both no leaders
+    rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "k", "node")
+    return links.unionByName(_rest_links(rest, links, texts, classes.select("node", "registers")))
+
+
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """(band, node, k, n) of the members of buckets of two and more; most buckets have one member, and only that
+    number is shuffled of them."""
+    buckets = save(classes.select("node", F.posexplode("bands").alias("k", "band")), "buckets")
+    sizes = save(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    return key_join(buckets, sizes, "band", "n", buckets.count())
+
+
+def _led_pairs(buckets: DataFrame, leaders: DataFrame, n: int, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a leader and a member of its bucket whose registers agree, in the cells (band, u, v)."""
     met = key_join(buckets, leaders, "band", "n", n).select(F.col("node").alias("member"), F.explode("leaders").alias("leader")).filter("member <> leader")
     met = save(met.groupBy("member").agg(F.collect_set("leader").alias("leaders")), "met")  # at most BANDS * LEADERS of each
     own = lambda name: classes.select(F.col("node").alias(name), F.col("registers").alias(f"r_{name}"))
@@ -201,18 +221,14 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     pair = F.struct(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b"))
     found = near.groupBy(pair.alias("p")).agg(F.min(F.struct("leader", "m", "member")).alias("c"))
     salt = F.pmod(F.xxhash64("c.member"), F.ceil(F.col("c.m") / BLOCK))
-    pairs = save(found.select("p.a", "p.b", F.col("c.leader").alias("band"), salt.cast("long").alias("u"), F.lit(-1).cast("long").alias("v")), "pairs")
-    links = save(_verified(pairs, texts), "led")
-    open_buckets = leaders.filter(F.col("n") > F.size("leaders") + 1)  # pairs of members that are both no leaders
-    rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "k", "node")
-    return links.unionByName(_rest_links(rest, links, texts, classes.select("node", "registers")))
+    return found.select("p.a", "p.b", F.col("c.leader").alias("band"), salt.cast("long").alias("u"), F.lit(-1).cast("long").alias("v"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b, similarity) among pairs (a, b) of the cells (band, u, v); a cell gets each of its texts once."""
     wanted = pairs.select(F.struct("band", "u", "v").alias("cell"), F.explode(F.array("a", "b")).alias("row")).distinct()
     known = small_join(texts, save(wanted.select("row").distinct(), "wanted"), "row", "inner")
-    sent = save(known, "texts").join(wanted, "row")
+    sent = save(known, "texts", codec=PACKED).join(wanted, "row")
     x = lambda name: F.col(f"cell.{name}").alias(f"cell_{name}")
     sent = sent.select("row", "text", x("band"), x("u"), x("v")).groupBy("cell_band", "cell_u", "cell_v")
     return sent.cogroup(pairs.groupBy("band", "u", "v")).applyInPandas(_verify, "a long, b long, similarity double")
@@ -220,8 +236,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _rest_links(rest: DataFrame, links: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links between all members (band, k, node) of each bucket that links leave in different clusters."""
-    placed = rest.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = save(placed, "placed_rest")
+    placed = settled(texts.sparkSession, lambda: rest.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed_rest")
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
     sizes = sizes.groupBy("band").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("main"))
     sizes = save(sizes.filter("n > main.m").select("band", "n", "main"), "open")
@@ -235,7 +250,7 @@ def _rest_links(rest: DataFrame, links: DataFrame, texts: DataFrame, classes: Da
     cells = cell(held.filter("free"), at("us"), every("vs"), True).unionByName(cell(held, every("us"), at("vs"), False))
     schema = "band long, k int, u long, v long, outer boolean, free boolean, node long, component long, registers binary"
     found = save(cells.groupBy("band", "u", "v").applyInPandas(_paired, schema), "found")
-    known = save(small_join(texts, save(found.select(F.col("node").alias("row")).distinct(), "wanted_rest"), "row", "inner"), "texts_rest")
+    known = save(small_join(texts, save(found.select(F.col("node").alias("row")).distinct(), "wanted_rest"), "row", "inner"), "texts_rest", codec=PACKED)
     sent = found.join(known.withColumnRenamed("row", "node"), "node")
     return sent.groupBy("band", "u", "v").applyInPandas(_cell_links, "a long, b long, similarity double")
 
@@ -311,7 +326,7 @@ def _verify(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each cluster; all columns stay."""
     row = free_name(docs, "row")
-    held = numbered(docs, row)
+    held = numbered(docs, row, codec=PACKED)
     rows = held.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(row).alias("row"))
-    gone = _clusters(rows).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return small_join(held, save(gone, "gone"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = settled(docs.sparkSession, lambda: _clusters(rows).filter(~F.col("kept")).select(F.col("row").alias(row)), "gone")
+    return small_join(held, gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

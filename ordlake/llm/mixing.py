@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import free_name, new_column, save
+from .common import free_name, new_column, passing, save, transient
 
 OTHER = "(other)"
 ROUNDS, TOLERANCE = 1000, 1e-6
@@ -172,11 +172,13 @@ def _by(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+@transient
 def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Topics:
     """Topics of all documents: spherical k-means that begins with the document of the least hash and those least like the ones before."""
     return _fit(save(docs.select(_by(id_col, text_col).alias("by"), F.col(lang_col).alias("lang"), _counted(text_col)["roots"].alias("v")), "roots"))
 
 
+@transient
 def _fit(rows: DataFrame) -> Topics:
     """fit_topics() of a written table of hashes, languages and word_roots (by, lang, v)."""
     every = rows.withColumn("lang", F.coalesce("lang", F.lit("")))
@@ -384,5 +386,7 @@ def mix_documents(docs: DataFrame, out_col: str = "mix", share: float = SHARE, s
     topics = _fit(counted.select(F.col(key).alias("by"), "lang", roots.alias("v")))
     measured = counted.withColumn(topic, _topic(docs, topics, roots, F.col("lang"))).withColumn(n, F.col(name)["tokens"]).drop(key, name)
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}
-    sized = save(measured.select("source", "lang", topic, n), "sized")
-    return mix(measured, dimensions, tempered(sized, dimensions, F.col(n)), F.col(n), share, out_col=out_col, sized=sized).drop(topic, n)
+    with passing(docs.sparkSession):  # the result does not read sized
+        sized = save(measured.select("source", "lang", topic, n), "sized")
+        mixed = mix(measured, dimensions, tempered(sized, dimensions, F.col(n)), F.col(n), share, out_col=out_col, sized=sized)
+    return mixed.drop(topic, n)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import new_column, save
+from .common import new_column, save, transient
 
 #: Bound of the training sample, hashed word features, and what makes a feature tell: training documents that have it,
 #: and its likelihood ratio against independence of the label.
@@ -229,6 +229,7 @@ def telling(rows: DataFrame, n: int, positive: int) -> DataFrame:
     return seen.filter((total >= MIN_DOCS) & (ratio >= MIN_RATIO)).select("feature")
 
 
+@transient
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on a bounded sample; only telling features of it reach the driver."""
     rows = training_rows(docs, labels, id_col, text_col, label_col)
