@@ -135,6 +135,26 @@ def small_join(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFram
     return rows.join(F.broadcast(side) if few else side, key, how)
 
 
+def bitmaps(numbers: DataFrame) -> DataFrame:
+    """The numbers in the only column of a table, as one bitmap of 4 KB for each 32,768 successive ones that has any.
+
+    numbered() counts within each task, so this is about an eighth of a byte for each row and 4 KB for each task.
+    """
+    x = numbers.columns[0]
+    dealt = numbers.select(F.bitmap_bucket_number(x).alias("bucket"), F.bitmap_bit_position(x).alias("at")).repartition("bucket")
+    return dealt.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def marked(rows: DataFrame, number: Column, bits: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose number is in written bitmaps() (keep=False: is not); they are broadcast, so no row is shuffled."""
+    at, bucket, held = free_name(rows, "at"), free_name(rows, "bucket"), free_name(rows, "bits")
+    sent = F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(held)))
+    found = rows.withColumn(at, F.bitmap_bit_position(number)).withColumn(bucket, F.bitmap_bucket_number(number)).join(sent, bucket, "inner" if keep else "left")
+    byte = f"cast(conv(hex(substring(`{held}`, cast(`{at}` div 8 as int) + 1, 1)), 16, 10) as bigint)"
+    is_set = F.coalesce(F.expr(f"getbit({byte}, cast(`{at}` % 8 as int)) = 1"), F.lit(False))
+    return found.filter(is_set if keep else ~is_set).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

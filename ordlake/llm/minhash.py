@@ -9,8 +9,10 @@ pairs across clusters are compared as well. Pairs whose registers agree are veri
 of the whole texts, and verified links are closed to clusters.
 
 Equal texts are one class and compared once. Large buckets are reduced in each task; they, and leaders with many
-members, are joined by broadcast (a bounded number), so a third of all rows may share one. A leader's members are
-verified in blocks of about BLOCK, to each of which its text is sent once. What the leaders leave is compared in cells of a grid of
+members, are joined by broadcast (a bounded number), so a third of all rows may share one. Members with the same
+first leader are verified in blocks of about PAIRS_CELL pairs, each with all its leaders, so of alike texts a member is sent once
+and a leader once for each block. Registers stay where they were written: rows that stand for equal texts, members and
+texts are picked by bitmaps of their numbers, and of buckets only the shared ones are shuffled. What the leaders leave is compared in cells of a grid of
 at most about 2 * CELL members, so no task holds a bucket. Cells receive members, never pairs: pairs are formed,
 verified and dropped inside a cell. The work grows with the bucket's size times the number of its members outside
 its largest cluster; the rows sent grow by a CELL-th of that.
@@ -27,11 +29,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import PACKED, components, free_name, key_join, numbered, save, settled, small_join
+from .common import BROADCAST_ROWS, PACKED, bitmaps, components, free_name, key_join, marked, numbered, save, settled
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 registers: a pair of similarity 0.8 is missed with probability 0.0002.
@@ -39,10 +41,12 @@ BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 #: Leaders of a bucket with which its members are compared first.
 LEADERS = 8
-#: Members of a leader that are verified together, and of a side of a cell, in which the rest of a bucket is compared.
-BLOCK, CELL = 256, 1024
+#: Pairs of members and leaders that are verified together, and members of a side of a cell, in which the rest of a bucket is compared.
+PAIRS_CELL, CELL = 1024, 1024
 #: Pairs whose registers agree less are not verified; at similarity 0.8 that is 3.6 standard errors below.
 ESTIMATE = 0.62
+#: Bits of the filter of shared buckets: so many for each, and at most so many in all (32 MB).
+BUCKET_BITS, FILTER_BITS = 32, 1 << 28
 #: Texts hashed at a time: at most so many and so many bytes.
 PAIRS, PAIR_BYTES = 512, 1 << 22
 
@@ -122,12 +126,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (above / v + below / w)).sum())
 
 
-_SIGNED = "struct<key:binary,bands:array<bigint>,registers:binary>"
+_SIGNED = "struct<key:binary,registers:binary>"
 
 
 def _sign(text: pa.Array) -> pa.Array:
-    """Key of equal texts, bands, and the registers' low 16 bits; some texts at a time are taken from the batch."""
-    kind = pa.struct([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
+    """Key of equal texts and the registers' low 16 bits; some texts at a time are taken from the batch."""
+    kind = pa.struct([("key", pa.binary()), ("registers", pa.binary())])
     parts = []
     for i, j in bytehash.slices(bytehash.sizes(text), PAIR_BYTES, PAIRS):
         some = _sign_some(text.slice(i, j - i).cast(pa.large_binary()).to_pylist())
@@ -136,20 +140,21 @@ def _sign(text: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-def _sign_some(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[bytes]]:
-    bands: list = [np.zeros(0, np.int64)] * len(texts)
+def _sign_some(texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     registers = [b""] * len(texts)
     for own, h, counts in bytehash.word_hashes(texts):
         doc, key, weight = shingles(h, counts)
-        value = signatures(doc, key, weight, len(own)).reshape(len(own), BANDS, ROWS)
-        band = np.zeros((len(own), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            band = _MIX(band * np.uint64(0x9FB21C651E98DF25) + value[:, :, r])
+        value = signatures(doc, key, weight, len(own)).astype(np.uint16)
         for k, i in enumerate(own):
             if counts[k]:
-                bands[i] = band[k].view(np.int64)
-                registers[i] = value[k].astype(np.uint16).tobytes()
-    return [hashlib.blake2b(t, digest_size=16).digest() for t in texts], bands, registers
+                registers[i] = value[k].tobytes()
+    return [hashlib.blake2b(t, digest_size=16).digest() for t in texts], registers
+
+
+def _bands() -> Column:
+    """The bands of a document: hashes of ROWS registers each; a text without words has none."""
+    part = [F.xxhash64(F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)) for k in range(BANDS)]
+    return F.when(F.length("registers") > 0, F.array(*part))
 
 
 def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -171,9 +176,9 @@ def _clusters(rows: DataFrame) -> DataFrame:
     """near_duplicates() of a written table doc_id, text, row (a number); row is returned as well."""
     signed = save(rows.select("doc_id", "row", F.arrow_udf(_sign, _SIGNED)("text").alias("s")).select("doc_id", "row", "s.*"), "signed")
     n = signed.count()
-    classes = save(signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
+    classes = save(signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("size")), "classes")
     classes = classes.withColumn("node", F.col("first.row"))
-    links = settled(rows.sparkSession, lambda: _links(rows.select("row", "text"), classes.select("node", "bands", "registers")), "links")
+    links = settled(rows.sparkSession, lambda: _links(rows.select("row", "text"), _picked(signed.select(F.col("row").alias("node"), "registers"), classes)), "links")
 
     def place() -> DataFrame:
         placed = save(classes.select("key", "node", "size", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
@@ -185,30 +190,44 @@ def _clusters(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("best.doc_id").alias("cluster_id"), "cluster_size", (F.col("row") == F.col("best.row")).alias("kept"), "row")
 
 
+def _picked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (node, ...) whose node is in the column node of another table."""
+    return marked(rows, F.col("node"), save(bitmaps(nodes.select("node")), "picked"))
+
+
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between classes; row of texts and node of classes agree."""
+    """Verified links (a, b, similarity) between classes (node, registers); row of texts and node of classes agree."""
     spark = texts.sparkSession
-    shared = settled(spark, lambda: _shared_buckets(classes), "shared")
+    shared = settled(spark, lambda: _shared_buckets(classes.select("node", _bands().alias("bands"))), "shared")
     buckets, n = shared.drop("n"), shared.count()
+    classes = save(_picked(classes, buckets), "members")
     order = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node")).alias(f"l{k}")
     leaders = shared.groupBy("band").agg(F.first("n").alias("n"), *[order(k) for k in range(LEADERS)])
     leaders = save(leaders.select("band", "n", F.array_distinct(F.array(*[f"l{k}.node" for k in range(LEADERS)])).alias("leaders")), "leaders")
     links = settled(spark, lambda: _verified(settled(spark, lambda: _led_pairs(buckets, leaders, n, classes), "pairs"), texts), "led")
     open_buckets = leaders.filter(F.col("n") > F.size("leaders") + 1)  # pairs of members that are both no leaders
     rest = key_join(buckets, open_buckets, "band", "n", n).filter(~F.array_contains("leaders", F.col("node"))).select("band", "k", "node")
-    return links.unionByName(_rest_links(rest, links, texts, classes.select("node", "registers")))
+    return links.unionByName(_rest_links(rest, links, texts, classes))
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:
-    """(band, node, k, n) of the members of buckets of two and more; most buckets have one member, and only that
-    number is shuffled of them."""
-    buckets = save(classes.select("node", F.posexplode("bands").alias("k", "band")), "buckets")
-    sizes = save(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    return key_join(buckets, sizes, "band", "n", buckets.count())
+    """(band, node, k, n) of the members of buckets of two and more.
+
+    Most buckets have one member: buckets are counted by half their bits, and a filter of those that occur again keeps
+    the others from the shuffle. What it lets through is counted exactly.
+    """
+    buckets = classes.select("node", F.posexplode("bands").alias("k", "band"))
+    low = lambda mask: F.col("band").bitwiseAND(F.lit(mask))
+    again = save(buckets.groupBy(low((1 << 32) - 1).alias("band")).agg(F.count("*").alias("n")).filter("n > 1").select("band"), "again")
+    bits = min(FILTER_BITS, 1 << max(15, (BUCKET_BITS * again.count()).bit_length()))
+    seen = save(bitmaps(again.select(low(bits - 1))), "seen")
+    some = save(marked(buckets, low(bits - 1), seen), "buckets")
+    sizes = save(some.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    return key_join(some, sizes, "band", "n", some.count())
 
 
 def _led_pairs(buckets: DataFrame, leaders: DataFrame, n: int, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a leader and a member of its bucket whose registers agree, in the cells (band, u, v)."""
+    """Pairs (a, b) of a leader and a member of its bucket whose registers agree, in cells (cell)."""
     met = key_join(buckets, leaders, "band", "n", n).select(F.col("node").alias("member"), F.explode("leaders").alias("leader")).filter("member <> leader")
     met = save(met.groupBy("member").agg(F.collect_set("leader").alias("leaders")), "met")  # at most BANDS * LEADERS of each
     own = lambda name: classes.select(F.col("node").alias(name), F.col("registers").alias(f"r_{name}"))
@@ -216,22 +235,31 @@ def _led_pairs(buckets: DataFrame, leaders: DataFrame, n: int, classes: DataFram
     told = save(led.groupBy("leader").agg(F.count("*").alias("m")).join(own("leader"), "leader"), "told")
     near = key_join(met.join(own("member"), "member").withColumn("leader", F.explode("leaders")).drop("leaders"), told, "leader", "m", led.count())
     near = near.withColumn("agree", F.pandas_udf(_agreement, "double")("r_member", "r_leader")).filter(F.col("agree") >= ESTIMATE)
-    # members of a leader are verified a block at a time, so its text is sent once for each block; of a pair that
-    # leads both ways one is enough
-    pair = F.struct(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b"))
-    found = near.groupBy(pair.alias("p")).agg(F.min(F.struct("leader", "m", "member")).alias("c"))
-    salt = F.pmod(F.xxhash64("c.member"), F.ceil(F.col("c.m") / BLOCK))
-    return found.select("p.a", "p.b", F.col("c.leader").alias("band"), salt.cast("long").alias("u"), F.lit(-1).cast("long").alias("v"))
+    near = save(near.select("member", "leader"), "near")
+    # all pairs of a member stand with those of the other members that have the same first leader, so many at a time
+    # as are about PAIRS_CELL pairs; of a pair that leads both ways one is enough
+    first = lambda c: F.struct(F.xxhash64(c, F.lit(0)).alias("by"), F.col(c).alias("to"))
+    tops = save(near.groupBy("member").agg(F.least(F.min(first("leader")), first("member")).alias("top"), F.collect_set("leader").alias("leaders")).select("member", "leaders", "top.to"), "tops")
+    sizes = save(tops.groupBy("to").agg(F.sum(F.size("leaders")).alias("m")), "blocks")
+    dealt = key_join(tops, sizes, "to", "m", near.count())
+    salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("m") / PAIRS_CELL)).cast("long")
+    dealt = dealt.select("member", F.xxhash64("to", salt).alias("cell"), F.explode("leaders").alias("leader"))
+    return dealt.groupBy(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).agg(F.min("cell").alias("cell"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b, similarity) among pairs (a, b) of the cells (band, u, v); a cell gets each of its texts once."""
-    wanted = pairs.select(F.struct("band", "u", "v").alias("cell"), F.explode(F.array("a", "b")).alias("row")).distinct()
-    known = small_join(texts, save(wanted.select("row").distinct(), "wanted"), "row", "inner")
-    sent = save(known, "texts", codec=PACKED).join(wanted, "row")
-    x = lambda name: F.col(f"cell.{name}").alias(f"cell_{name}")
-    sent = sent.select("row", "text", x("band"), x("u"), x("v")).groupBy("cell_band", "cell_u", "cell_v")
-    return sent.cogroup(pairs.groupBy("band", "u", "v")).applyInPandas(_verify, "a long, b long, similarity double")
+    """Links (a, b, similarity) among pairs (a, b) of the cells (cell); a cell gets each of its texts once."""
+    wanted = save(pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sent = _sent(texts, wanted).select("cell", F.col("node").alias("row"), "text")
+    return sent.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInPandas(_verify, "a long, b long, similarity double")
+
+
+def _sent(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of a written table (node, ...), one for each of its rows; where these are too many to be sent to every
+    task, only texts that are wanted are shuffled."""
+    few = wanted.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    some = _picked(texts.withColumnRenamed("row", "node"), wanted)
+    return some.join(F.broadcast(wanted) if few else wanted, "node")
 
 
 def _rest_links(rest: DataFrame, links: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -250,8 +278,7 @@ def _rest_links(rest: DataFrame, links: DataFrame, texts: DataFrame, classes: Da
     cells = cell(held.filter("free"), at("us"), every("vs"), True).unionByName(cell(held, every("us"), at("vs"), False))
     schema = "band long, k int, u long, v long, outer boolean, free boolean, node long, component long, registers binary"
     found = save(cells.groupBy("band", "u", "v").applyInPandas(_paired, schema), "found")
-    known = save(small_join(texts, save(found.select(F.col("node").alias("row")).distinct(), "wanted_rest"), "row", "inner"), "texts_rest", codec=PACKED)
-    sent = found.join(known.withColumnRenamed("row", "node"), "node")
+    sent = found.join(_picked(texts.withColumnRenamed("row", "node"), found), "node")
     return sent.groupBy("band", "u", "v").applyInPandas(_cell_links, "a long, b long, similarity double")
 
 
@@ -328,5 +355,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = free_name(docs, "row")
     held = numbered(docs, row, codec=PACKED)
     rows = held.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(row).alias("row"))
-    gone = settled(docs.sparkSession, lambda: _clusters(rows).filter(~F.col("kept")).select(F.col("row").alias(row)), "gone")
-    return small_join(held, gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = settled(docs.sparkSession, lambda: bitmaps(_clusters(rows).filter(~F.col("kept")).select("row")), "gone")
+    return marked(held, F.col(row), gone, keep=False).select(*[F.col(f"`{c}`") for c in docs.columns])
