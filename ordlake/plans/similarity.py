@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import marks, text
 from ..operators import match, similar
+from ..scratch import save
 from .common import table
 
 #: Three neighbouring words of a text are the bare name of an organisation.
@@ -17,16 +18,16 @@ _WORDS = r"[^\s,.]+( [^\s,.]+){2}"
 def organisations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Customers and suppliers (org_id, name, org_key) named by documents; suppliers' names are whole, shortened or misspelt."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", _WORDS, 0).alias("w")).filter("w <> ''")
-    c = table(spark, sf_dir, "customer").join(words, F.col("c_custkey") == F.col("doc_id")).select(F.col("c_custkey").alias("org_id"), F.concat(F.when(F.col("c_nationkey") % 2 == 0, "ООО ").otherwise(""), F.lit('"'), "w", F.lit('"')).alias("name"))
+    c = table(spark, sf_dir, "customer").join(words.hint("merge"), F.col("c_custkey") == F.col("doc_id")).select(F.col("c_custkey").alias("org_id"), F.concat(F.when(F.col("c_nationkey") % 2 == 0, "ООО ").otherwise(""), F.lit('"'), "w", F.lit('"')).alias("name"))
     kind = F.col("s_suppkey") % 3
     own = F.when(kind == 0, F.concat(F.lit("«"), "w", F.lit("»"))).when(kind == 1, F.regexp_replace("w", " [^ ]+$", "")).otherwise(F.concat(F.substring("w", 1, 4), F.expr("substring(w, 6)")))
-    s = table(spark, sf_dir, "supplier").join(words, F.col("s_suppkey") == F.col("doc_id")).select(F.col("s_suppkey").alias("org_id"), own.alias("name"))
+    s = table(spark, sf_dir, "supplier").join(words.hint("merge"), F.col("s_suppkey") == F.col("doc_id")).select(F.col("s_suppkey").alias("org_id"), own.alias("name"))
     keyed = lambda df: df.withColumn("org_key", text.organisation_key(F.col("name")))
     return keyed(c), keyed(s)
 
 
 def _similar(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
-    known, probes = organisations(spark, sf_dir)
+    known, probes = map(save, organisations(spark, sf_dir))  # else the documents are read again for every step
     asked = probes.select("org_id", "org_key")
     there = known.select(F.col("org_id").alias("similar_id"), "name", "org_key")
     return similar.similar_organisations(asked, "org_id", there, "similar_id", "name", "org_key", rules.ORG_MIN, rules.ORG_CONTAINED, rules.ORG_TOP, fuzzy)
