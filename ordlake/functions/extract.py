@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,17 +142,33 @@ def testing_center(name: Column) -> Column:
     return F.coalesce(name, F.lit("")).rlike(_I + rules.TESTING_CENTER)
 
 
+def _unnamed(raw: Column) -> Column:
+    """True for no name or a login."""
+    return (raw == "") | raw.rlike(r"^[a-z]\.[a-z]{3,20}$")
+
+
+def _holds(key: Column, own: list[str]) -> Column:
+    """Whether a normalised name holds one of the names own, spaces and dashes aside."""
+    close = lambda k: reduce(lambda a, sign: F.replace(a, F.lit(sign), F.lit("")), " –—-", k)
+    keys = [close(organisation_key(F.lit(o))) for o in own]
+    return reduce(lambda a, b: a | b, [(k != "") & F.contains(close(key), k) for k in keys], F.lit(False))
+
+
 def placeholder(name: Column) -> Column:
     """True for no name, a login or a word such as 'заказчик'."""
     raw = F.trim(F.coalesce(name, F.lit("")))
-    return (raw == "") | organisation_key(raw).isin(rules.PLACEHOLDER_NAMES) | raw.rlike(r"^[a-z]\.[a-z]{3,20}$")
+    return _unnamed(raw) | organisation_key(raw).isin(rules.PLACEHOLDER_NAMES)
 
 
 def own_laboratory(name: Column, own: list[str]) -> Column:
     """True for a name of our own laboratory: one of the names own, or a name that holds one of them, spaces and dashes aside."""
-    close = lambda k: F.regexp_replace(k, r"[\s–—-]+", "")
-    keys = F.array(*[close(organisation_key(F.lit(o))) for o in own]).cast("array<string>")
-    return F.exists(F.filter(keys, lambda k: k != ""), lambda k: F.contains(close(organisation_key(name)), k))
+    return _holds(organisation_key(name), own)
+
+
+def nobody(name: Column, own: list[str]) -> Column:
+    """placeholder or own_laboratory, with the name normalised once."""
+    raw = F.trim(F.coalesce(name, F.lit("")))
+    return _unnamed(raw) | let(organisation_key(raw), lambda k: k.isin(rules.PLACEHOLDER_NAMES) | _holds(k, own))
 
 
 def labelled(text: Column, label: str) -> Column:

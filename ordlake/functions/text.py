@@ -45,10 +45,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def organisation_key(x: Column) -> Column:
     """Lower-case name without quotes, leading legal forms (each once, in their order) and outer signs."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), r"[«»\"'`{}\[\]]", ""), r"\s+", " "))
-    for form in rules.LEGAL_FORMS:
-        bare = F.regexp_replace(bare, f"^{form} ", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"^[ .,;-]+", ""), r"[ .,;-]+$", "")
+    bare = F.trim(F.regexp_replace(F.translate(F.lower(F.trim(F.coalesce(x, F.lit("")))), "«»\"'`{}[]", ""), r"\s+", " "))
+    forms = "".join(f"(?:{form} )?" for form in rules.LEGAL_FORMS)
+    return F.regexp_replace(F.regexp_replace(bare, rf"^{forms}[ .,;-]*", ""), r"[ .,;-]+$", "")
 
 
 def mark_key(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import own_laboratory, placeholder
+from ..functions.extract import nobody
 from ..functions.text import organisation_key
 
 CUSTOMER_KINDS = ["certification_body", "designer"]
@@ -19,24 +19,29 @@ def parties(orgs: DataFrame, doc: str, position: str, own: list[str], given: Dat
     a kind in CUSTOMER_KINDS, the manufacturer the first in that role. Names of given (doc, customer, manufacturer) that an
     operator entered come first. Equal positions are told apart by name. Requests without organisations have no row but for given.
     """
-    nobody = lambda c: placeholder(c) | own_laboratory(c, own)
-    rows = orgs.filter(~nobody(F.col("name")))
+    rows = orgs.filter(~nobody(F.col("name"), own))
     first = lambda c, name: F.min_by("name", F.when(c, F.struct(position, "name"))).alias(name)
     found = rows.groupBy(doc).agg(first((F.col("role") == "customer") | F.col("org_type").isin(CUSTOMER_KINDS), "customer"), first(F.col("role") == "manufacturer", "manufacturer"))
     if given is None:
         return found
-    named = lambda c: F.when(~nobody(F.col(c)), F.trim(c)).alias(f"__{c}")
+    named = lambda c: F.when(~nobody(F.col(c), own), F.trim(c)).alias(f"__{c}")
     both = found.join(given.select(doc, named("customer"), named("manufacturer")), doc, "full")
     return both.select(doc, F.coalesce("__customer", "customer").alias("customer"), F.coalesce("__manufacturer", "manufacturer").alias("manufacturer"))
 
 
 def with_cards(found: DataFrame, cards: DataFrame) -> DataFrame:
-    """found (customer, manufacturer) with customer_org_id and manufacturer_org_id: the least card (org_id, name) of the normalised name, or null."""
-    known = cards.groupBy(organisation_key(F.col("name")).alias("__key")).agg(F.min("org_id").alias("__id")).filter("__key <> ''")
+    """found (customer, manufacturer) with customer_org_id and manufacturer_org_id: the least card (org_id, name) of the normalised name, or null.
+
+    Keys are columns before the join, which would else normalise names again for every comparison of its sort. Rows without a name have
+    a key of their own, with a sign that no normalised name keeps: else they would all meet in one task.
+    """
+    known = cards.select(organisation_key(F.col("name")).alias("__key"), "org_id").groupBy("__key").agg(F.min("org_id").alias("__id"))
     out = found
     for party in ("customer", "manufacturer"):
-        own = known.select(F.col("__key").alias(f"__k_{party}"), F.col("__id").alias(f"{party}_org_id"))
-        out = out.join(own, organisation_key(F.col(party)) == F.col(f"__k_{party}"), "left").drop(f"__k_{party}")
+        rows = out.withColumn("__name", organisation_key(F.col(party)))
+        alone = F.concat(F.lit('"'), F.xxhash64(*out.columns).cast("string"))
+        rows = rows.withColumn("__key", F.when(F.col("__name") == "", alone).otherwise(F.col("__name"))).drop("__name")
+        out = rows.join(known.withColumnRenamed("__id", f"{party}_org_id"), "__key", "left").drop("__key")
     return out
 
 

@@ -27,7 +27,7 @@ def marks(df: DataFrame, doc: str, position: str, ocr: str) -> DataFrame:
     status = F.when(bad, "error").when(no_doc | F.col("__again"), "warning").otherwise("ok")
     out = df.withColumn("confidence", F.round(c, 2)).withColumn("status", status)
     out = out.withColumn("warnings", _warnings((used_ocr, "P1-1"), (bad, "P1-2"), (no_doc, "P1-3"), (F.col("__again"), "P2-1")))
-    return out.withColumn("accepted", F.col("status") != "error").drop("__key", "__again")
+    return out.withColumn("accepted", ~F.coalesce(bad, F.lit(False))).drop("__key", "__again")  # no error; told without a window over equal marks
 
 
 def organisations(df: DataFrame, document_type: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..operators import journal, validate
-from ..scratch import folder
+from ..scratch import folder, save
 from .common import spread, table
 
 _N = "CAST({} AS STRING)".format
@@ -160,7 +160,7 @@ def extraction_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = requests(spark, sf_dir)
     given = r.filter("doc % 10 = 0").select("doc", F.when(F.col("doc") % 20 == 0, F.lit("заказчик")).alias("customer"), F.expr("'кабельный завод ' || c_mktsegment").alias("manufacturer"))
     found = journal.with_cards(journal.parties(_organisations(spark, sf_dir), "doc", "pos", OWN_LABORATORY, given), cards)
-    rows = journal.entries(r, "doc", "text", text.document_type(F.col("text")), found, _checked_marks(spark, sf_dir).filter("accepted"))
+    rows = save(journal.entries(r, "doc", "text", text.document_type(F.col("text")), found, _checked_marks(spark, sf_dir).filter("accepted")))  # once for both batches
     work = folder(spark)
     for part in (0, 1):
         rows.filter(F.col("doc") % 2 == part).write.mode("append").parquet(work)
