@@ -181,6 +181,8 @@ def likely(left: list[str], right: list[str], least: float) -> Iterator[tuple[np
     n = 0
     for i, key in enumerate(zip(length.tolist(), rare.tolist(), strict=True)):
         if key not in needs:
+            if len(needs) == 256:
+                needs.clear()
             needs[key] = np.clip(np.ceil(least * (sizes + key[0]) / 2 - 1e-6) - key[1], 0, 255).astype(np.uint8)
         within = slice(low[i], high[i])
         j = low[i] + np.flatnonzero(np.bitwise_count(column[within] & word[i]) >= needs[key][within])
